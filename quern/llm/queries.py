@@ -4,23 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_round_trip
 from .common import table
 from .media_ogg import ogg_digest
+from .packing import packed
 from .shards import virtual_slot_shards
+from .token_output import stored_ids_digest
 
 
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slot_shards(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_ids_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op3_byte_bpe": op3_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
+    "op8_packing": op8_packing,
+    "op9_token_output": op9_token_output,
 }
 ORACLE_SQL: dict[str, str] = {}
