@@ -11,7 +11,9 @@ from .bpe import bpe_round_trip
 from .common import table
 from .media_ogg import ogg_digest
 from .packing import packed
+from .quality import quality_scores
 from .shards import virtual_slot_shards
+from .simhash import near_duplicates
 from .token_output import stored_ids_digest
 
 
@@ -27,6 +29,10 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slot_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,11 +41,17 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_ids_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_virtual_slots": op6_virtual_slots,
+    "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_token_output": op9_token_output,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
