@@ -157,7 +157,7 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> R
 
 
 def scored(documents: DataFrame, ranking: Ranking | None) -> DataFrame:
-    """documents with score."""
+    """documents with _quality_score."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     at = documents.columns.index("text")
 
@@ -165,17 +165,17 @@ def scored(documents: DataFrame, ranking: Ranking | None) -> DataFrame:
         for b in batches:
             x = np.array([text_features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, -1)
             score = np.full(b.num_rows, 0.5) if ranking is None else ranking.scores(x) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "_quality_score"])
 
-    return documents.mapInArrow(run, f"{kinds}, quality_score double")
+    return documents.mapInArrow(run, f"{kinds}, _quality_score double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     rows = scored(documents.select("doc_id", "text"), learn(documents, labels))
-    return rows.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 0).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= CUTOFF).cast("int").alias("predicted"))
+    return rows.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 0).alias("held_out"), F.col("_quality_score").alias("score"), (F.col("_quality_score") >= CUTOFF).cast("int").alias("predicted"))
 
 
 def kept_by_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with their columns."""
-    return scored(documents, learn(documents, labels)).filter(F.col("quality_score") >= CUTOFF).select(*documents.columns)
+    return scored(documents, learn(documents, labels)).filter(F.col("_quality_score") >= CUTOFF).select(*documents.columns)

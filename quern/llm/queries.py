@@ -14,6 +14,7 @@ from .packing import packed
 from .quality import quality_scores
 from .shards import virtual_slot_shards
 from .simhash import near_duplicates
+from .substring import substring_dedup
 from .token_output import stored_ids_digest
 
 
@@ -25,6 +26,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slot_shards(table(spark, sf_dir, "documents"))
 
@@ -48,6 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_substring": op5_substring,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,

@@ -214,5 +214,5 @@ def near_duplicates(documents: DataFrame, small: int = SMALL) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The document of least doc_id of each component, with its columns. Documents without doc_id count as one; of rows that repeat a doc_id one stays."""
-    kept = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
+    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
