@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import table
 from .media_ogg import ogg_digest
@@ -26,6 +27,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ivf_pq": op4_ivf_pq,
     "op5_substring": op5_substring,
     "op6_virtual_slots": op6_virtual_slots,
     "op7_simhash": op7_simhash,
