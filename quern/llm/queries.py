@@ -12,6 +12,7 @@ from .bpe import bpe_round_trip
 from .common import table
 from .media_ogg import ogg_digest
 from .packing import packed
+from .ppm import ppm_scores
 from .quality import quality_scores
 from .shards import virtual_slot_shards
 from .simhash import near_duplicates
@@ -23,6 +24,10 @@ def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -57,6 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
+    "op2_ppm": op2_ppm,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ivf_pq": op4_ivf_pq,
     "op5_substring": op5_substring,
