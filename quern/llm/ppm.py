@@ -1,13 +1,14 @@
 """Prediction by partial matching over bytes, scoring whole documents.
 
 A text is a row of segments: the bytes up to and with one byte of white space, or up to the text's end, which is a
-symbol of its own (END, a byte that UTF-8 doesn't use). A byte's context is up to ORDER bytes before it, back to the
-white space before its segment and no further; so the code length of a text is the sum of those of its segments, each
-distinct segment is coded once, and texts meet the model in joins.
-
-The trie holds the count of every symbol in every context of every order. A symbol that its context hasn't seen costs
-an escape of weight q / (N + q), for a context with N symbols of q kinds, and goes on to the context one byte shorter,
-where the symbols that the longer one has seen are excluded; below order 0 all symbols that are left are alike. A
+symbol of its own (END, a byte that UTF-8 doesn't use). A byte's context is up to ORDER bytes before it, back to a mark
+before its segment that stands for what came earlier: the text's language class and how the last word ended. So the
+code length of a text is the sum of those of its marked segments, each distinct one is coded once, and texts meet the
+model in joins. The language class is a hash of the lang column where there is one; its own cost is in the score.
+
+The trie holds the count of every symbol in every context of every order. In a context with N symbols of q kinds, one
+of count n has probability (n - 1/2) / N; one that it hasn't seen costs an escape of q / 2N and goes on to the context one
+byte shorter, where the symbols that the longer one has seen are excluded; below order 0 all symbols that are left are alike. A
 context that was never seen costs nothing.
 
 Contexts with their symbol are packed into one number (length, then bytes), so the trie is an aggregation, and
@@ -25,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ ORDER = 5
 FOLDS, HELD_OUT = 7, 2
 END = 0xFF
 SYMBOLS = 256
+LANGUAGES = 16
 HEAD_GRAMS = 1 << 20
 HEAD_SEGMENTS = 1 << 19
 FLUSH = 300_000  # segments that a task counts before it hands them on
@@ -46,8 +49,25 @@ _FOLD = bytes.maketrans(_UPPER, _LOWER)
 _LENGTH = 48  # bits below a number's length
 
 
-def segments(text: str | None) -> list[bytes]:
-    return SEGMENT.findall((text or "").encode() + b"\xff")
+def _ending(last: int) -> int:
+    """A class of a word's last byte."""
+    if last >= 128 or chr(last).islower():
+        return 0
+    return 1 if chr(last).isupper() else {".": 2, ",": 3, "!": 4}.get(chr(last), 5 + (last & 1))
+
+
+#: By language class: the mark after a word that ends in a byte, after no word, and (None) at the beginning.
+_MARKS = [{None: bytes([128 + 8 * k + 2]), b"": bytes([128 + 8 * k + 7])} | {bytes([b]): bytes([128 + 8 * k + _ending(b)]) for b in range(256)} for k in range(LANGUAGES)]
+
+
+def segments(text: str | None, language: int = 0) -> list[bytes]:
+    """The text's segments, each behind its mark."""
+    parts = SEGMENT.findall((text or "").encode() + b"\xff")
+    return list(map(add, map(_MARKS[language].__getitem__, [None, *(p[-2:-1] for p in parts[:-1])]), parts))
+
+
+def language_class(documents: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(F.col("lang").cast("string")), F.lit(LANGUAGES)).cast("int") if "lang" in documents.columns else F.lit(0)
 
 
 def is_held_out(doc_id) -> bool:
@@ -55,9 +75,9 @@ def is_held_out(doc_id) -> bool:
 
 
 def gram_numbers(parts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each symbol with its context, for all symbols of some segments, and where each segment's begin."""
-    raw = np.frombuffer(b" " + b" ".join(parts), np.uint8).astype(np.int64)
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    """The number of each symbol with its context, for all symbols of some marked segments, and where each segment's begin."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) - 1
     begins = np.r_[0, size.cumsum()]
     nth = np.arange(begins[-1]) - np.repeat(begins[:-1], size)
     at = np.arange(begins[-1]) + np.repeat(np.arange(len(parts)), size) + 1
@@ -83,14 +103,14 @@ def count_segments(documents: DataFrame) -> DataFrame:
             return pa.record_batch([pa.array(keys, pa.binary()), pa.array(n), pa.array(n + rest)], names=["segment", "n", "n_all"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                (others if is_held_out(doc_id) else learnt).update(segments(text))
+            for doc_id, text, language in zip(*(c.to_pylist() for c in b.columns)):
+                (others if is_held_out(doc_id) else learnt).update(segments(text, language))
                 if len(learnt) + len(others) > FLUSH:
                     yield flush()
         if learnt or others:
             yield flush()
 
-    rows = documents.select("doc_id", "text").mapInArrow(run, "segment binary, n bigint, n_all bigint")
+    rows = documents.select("doc_id", "text", language_class(documents)).mapInArrow(run, "segment binary, n bigint, n_all bigint")
     return rows.groupBy("segment").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
@@ -144,8 +164,7 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
     shorter = contexts.select(F.col("c").alias("c2"), F.col("total").alias("total2"), F.col("kinds").alias("kinds2"))
     known = contexts.withColumn("c2", _shorter(F.col("c"))).join(excluded, "c", "left").join(shorter, "c2", "left")
     known = stored(known.select("c", "total", "kinds", F.coalesce("excluded", F.lit(0)).alias("excluded")), "contexts")
-    weight = F.col("total") + F.col("kinds")
-    seen = grams.select("g", "n_all", _context(g).alias("c")).join(trie, "g").join(known, "c").select("g", "n_all", F.log10(F.col("n") / weight).alias("cost"))
+    seen = grams.select("g", "n_all", _context(g).alias("c")).join(trie, "g").join(known, "c").select("g", "n_all", F.log10((F.col("n") - 0.5) / F.col("total")).alias("cost"))
     # Grams that were never seen: one row per context down to none, then the costs of the escapes and of the symbol.
     unseen = grams.filter("n = 0").select("g", "n_all")
     levels = unseen.select("g", "n_all", F.explode(F.transform(F.sequence(F.lit(1), _length(g).cast("int")), lambda k: F.struct(k.alias("k"), _last(g, k).alias("gk")))).alias("x")).select("g", "n_all", "x.k", "x.gk")
@@ -155,8 +174,7 @@ def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
 
     def step(state: Column, x: Column) -> Column:
         total, kinds = x["total"] - state["excluded"], x["kinds"] - state["kinds"]
-        room = total + kinds
-        found = F.when(x["n"] > 0, F.log10(x["n"] / room)).when(room > 0, F.log10(kinds / room)).otherwise(F.lit(0.0))
+        found = F.when(x["n"] > 0, F.log10((x["n"] - 0.5) / total)).when(total > 0, F.log10(kinds / total / 2)).otherwise(F.lit(0.0))
         return F.struct(
             F.when(state["done"], state["cost"]).otherwise(state["cost"] + found).alias("cost"),
             x["excluded"].cast("long").alias("excluded"),
@@ -182,7 +200,7 @@ def frequent(rows: DataFrame, most: int) -> Column:
 
 
 def cost_segments(counted: DataFrame, costs: DataFrame, order: int = ORDER) -> DataFrame:
-    """counted with word (lower-cased, without its end) and cost, the sum over the segment's symbols."""
+    """counted with word (lower-cased, without mark and end) and cost, the sum over the segment's symbols."""
     common = frequent(costs, HEAD_GRAMS)
     head = costs.filter(common).select("g", "cost").toArrow()
     by = np.argsort(g := np.array(head.column(0), np.int64))
@@ -201,7 +219,7 @@ def cost_segments(counted: DataFrame, costs: DataFrame, order: int = ORDER) -> D
                 lost = np.flatnonzero(~hit)
                 owner = np.searchsorted(begins, lost, side="right") - 1
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(parts) + 1)), pa.int32()), pa.array(g[lost]))
-                yield pa.record_batch([*b.columns, pa.array([x[:-1].translate(_FOLD) for x in parts], pa.binary()), pa.array(sums), lists], names=["segment", "n", "n_all", "word", "partial", "rare"])
+                yield pa.record_batch([*b.columns, pa.array([x[1:-1].translate(_FOLD) for x in parts], pa.binary()), pa.array(sums), lists], names=["segment", "n", "n_all", "word", "partial", "rare"])
 
     rows = stored(counted.mapInArrow(run, "segment binary, n bigint, n_all bigint, word binary, partial double, rare array<bigint>"), "segments")
     rare = rows.select("segment", F.explode("rare").alias("g")).join(costs.filter(~common).select("g", "cost"), "g").groupBy("segment").agg(F.sum("cost").alias("rest"))
@@ -227,6 +245,9 @@ def ppm_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
     names = head.column(0).to_pylist()
     shared = spark.sparkContext.broadcast((names, np.array(head.column(1), bool), np.array(head.column(2), np.int64), np.array(head.column(3), np.float64)))
     end_score = float(np.log10(ends + 1) - room)
+    learning = documents.filter(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
+    spoken = {r["k"]: r["count"] for r in learning.groupBy(language_class(documents).alias("k")).count().collect()}  # at most LANGUAGES rows
+    language_cost = np.log10((np.array([spoken.get(k, 0) for k in range(LANGUAGES)]) + 1) / (sum(spoken.values()) + LANGUAGES))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, token, c, cost = _head(shared)
@@ -235,21 +256,21 @@ def ppm_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
                 rows: list[tuple] = []
-                for text in b.column(1).to_pylist():
-                    found = Counter(segments(text))
+                for text, language in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    found = Counter(segments(text, language))
                     keys = list(found)
                     n = np.fromiter(found.values(), np.int64, len(keys))
                     place = np.fromiter(map(index.get, keys, repeat(-1)), np.int64, len(keys))
                     hit = place >= 0
                     p, m = place[hit], n[hit]
                     rest = [{"segment": keys[i], "m": int(n[i])} for i in np.flatnonzero(~hit)]
-                    rows.append((1 + int(m[token[p]].sum()), int(ends > 0) + int(m[token[p] & (c[p] > 0)].sum()), end_score + float((m * base[p]).sum()), float((m * cost[p]).sum()), rest))
+                    rows.append((1 + int(m[token[p]].sum()), int(ends > 0) + int(m[token[p] & (c[p] > 0)].sum()), end_score + float((m * base[p]).sum()), float(language_cost[language] + (m * cost[p]).sum()), rest))
                 held = [is_held_out(d) for d in b.column(0).to_pylist()]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("segment", pa.binary()), ("m", pa.int64())])))
                 yield pa.record_batch([b.column(0), pa.array(held), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    partial = stored(documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<segment:binary,m:bigint>>").withColumn("row", F.monotonically_increasing_id()), "partial-scores")
+    partial = stored(documents.select("doc_id", "text", language_class(documents)).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<segment:binary,m:bigint>>").withColumn("row", F.monotonically_increasing_id()), "partial-scores")
     m = F.col("m")
     rare = partial.select("row", F.explode("rare").alias("x")).select("row", "x.segment", "x.m").join(model.filter(~common).select("segment", "token", "c", "cost"), "segment")
     rest = rare.groupBy("row").agg(
