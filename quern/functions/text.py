@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters with marks, and under each the letter without.
 MARKED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįñńňòóôõöōőŕřśšşťţùúûüūůűųýÿźżžάέήίϊΐόύϋΰώς"
@@ -67,7 +68,7 @@ def exact_search_token(text: str | None) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in kept).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def exact_search_token_udf(text: pd.Series) -> pd.Series:
     """exact_search_token in Arrow batches, for text beyond the table of marked letters."""
     return text.map(exact_search_token)

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 
 def read_records(spark: SparkSession, path: str, schema: str, lines: bool = True, strict: bool = True) -> DataFrame:
@@ -27,7 +28,7 @@ def union_of(frames: dict[str, DataFrame], key: str = "id") -> DataFrame:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def inflated(payload: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Text of zlib-compressed bytes; null of others."""
 
@@ -41,7 +42,7 @@ def inflated(payload: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def deflated(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else zlib.compress(t.encode(), 9))
 
