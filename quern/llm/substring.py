@@ -308,13 +308,15 @@ def repeats(keyed: DataFrame, buckets: int | None = None, window: int = WINDOW,
         read = lambda b: ((k, h, hashes.array((t or "").encode().split())) for k, h, t in zip(*(c.to_pylist() for c in b.columns)))
         yield from _chunks(batches, block, read, _send_probes(buckets, block), buckets)
 
+    needed = ["_repeat_key", "_repeat_hash", "text", "_repeat_places"]
+
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        read = lambda b: ((k, h, hashes.array((t or "").encode().split()), np.array(p, np.int64)) for k, h, t, p in zip(*(c.to_pylist() for c in b.columns)))
+        read = lambda b: ((k, h, hashes.array((t or "").encode().split()), np.array(p, np.int64)) for k, h, t, p in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in needed)))
         yield from _chunks(batches, window, read, _send_windows(buckets, window, block), buckets)
 
     hits = _settled(keyed.select("_repeat_key", "_repeat_hash", "text").mapInArrow(probes, _SENT), _probe_hits)
-    over = keyed.join(hits, ["_repeat_key", "_repeat_hash"]).select("_repeat_key", "_repeat_hash", "text", "_repeat_places")
+    over = keyed.join(hits, ["_repeat_key", "_repeat_hash"])  # with all columns, as the caller joins them: so Spark moves the texts once
     return _settled(over.mapInArrow(windows, _SENT), _later_windows)
 
 
