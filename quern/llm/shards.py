@@ -64,7 +64,8 @@ def new_map(sizes: dict[int, int], shards: int, slots: int = SLOTS) -> list[int]
 
 
 def rebalanced(at: list[int], sizes: dict[int, int], shards: int) -> list[int]:
-    """The next version of a map for `shards` shards: slots move, one at a time, from the fullest shard to the emptiest while that lowers the larger of the two loads."""
+    """The next version of a map for `shards` shards: slots move, one at a time, from the fullest shard to the emptiest while that lowers the larger of the two loads. Where shards are new, only they take slots."""
+    takers = sorted(set(range(shards)) - set(at)) or list(range(shards))
     at = [s if s < shards else -1 for s in at]
     load = [0] * shards
     held: list[list[int]] = [[] for _ in range(shards)]
@@ -77,7 +78,7 @@ def rebalanced(at: list[int], sizes: dict[int, int], shards: int) -> list[int]:
         at[slot], load[s] = s, load[s] + sizes.get(slot, 0)
         held[s].append(slot)
     while True:
-        a, b = max(range(shards), key=lambda x: (load[x], -x)), min(range(shards), key=lambda x: (load[x], x))
+        a, b = max(range(shards), key=lambda x: (load[x], -x)), min(takers, key=lambda x: (load[x], x))
         gap = load[a] - load[b]
         slot = max((k for k in held[a] if 0 < sizes.get(k, 0) < gap), key=lambda k: (min(sizes[k], gap - sizes[k]), -k), default=None)
         if slot is None:

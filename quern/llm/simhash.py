@@ -214,5 +214,7 @@ def near_duplicates(documents: DataFrame, small: int = SMALL) -> DataFrame:
 
 def one_of_each(documents: DataFrame) -> DataFrame:
     """The document of least doc_id of each component, with its columns. Documents without doc_id count as one; of rows that repeat a doc_id one stays."""
-    kept = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63))).alias("_kept_key")
+    kept = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id"))).distinct()
+    # The join and dropDuplicates have one key, so texts are moved once.
+    return documents.select("*", key(F.col("doc_id"))).join(kept, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).drop("_kept_key")
