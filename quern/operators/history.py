@@ -68,3 +68,19 @@ def reduced_state(df: DataFrame, group: str, failed: Column, ready: Column) -> D
     """error if any failed; cloud if all are ready; else connecting."""
     state = F.when(F.bool_or(failed), "error").when(F.bool_and(ready), "cloud").otherwise("connecting")
     return df.groupBy(group).agg(state.alias("state"))
+
+
+def completions(toggles: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """State of each key after all its toggles: done if there is an odd number; then since the last of them."""
+    state = F.count("*") % 2 == 1
+    return toggles.groupBy(*keys).agg(state.alias("done"), F.when(state, F.max(time)).alias("since"))
+
+
+def combined_latest(frames: dict[str, DataFrame], owner: str, time: str) -> DataFrame:
+    """At every change of one of several inputs (owner, time, place, value), the newest value of each: null before it has one."""
+    rows = None
+    for name, df in sorted(frames.items()):
+        df = df.select(owner, time, "place", *(F.when(F.lit(n == name), F.col("value")).alias(n) for n in sorted(frames)))
+        rows = df if rows is None else rows.unionByName(df)
+    by = Window.partitionBy(owner).orderBy(time, "place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(owner, time, "place", *(F.last(n, ignorenulls=True).over(by).alias(n) for n in sorted(frames)))

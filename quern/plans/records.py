@@ -186,3 +186,32 @@ def freshness(table):
     now = F.lit("2024-06-01").cast("date")
     checked = F.when(F.col("event_id") % 2 == 0, F.lit("2024-04-01")).when(F.col("event_id") % 3 == 0, F.lit("2025-01-01")).otherwise(F.lit("2024-01-01")).cast("date")
     return table("events").select("event_id", hi.fresh(checked, now).alias("fresh"))
+
+
+@query("SELECT user_id, event_type, count(*) % 2 = 1 AS done, CASE WHEN count(*) % 2 = 1 THEN max(event_id) END AS since FROM events GROUP BY 1, 2")
+def completion_states(table):
+    return hi.completions(table("events"), ["user_id", "event_type"], "event_id")
+
+
+@query("""
+SELECT user_id, event_id AS place, last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER w AS click, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER w AS view
+FROM events WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def combine_latest(table):
+    e = table("events").withColumn("place", F.col("event_id"))
+    return hi.combined_latest({k: e.filter(F.col("event_type") == k) for k in ("click", "view")}, "user_id", "ts").select("user_id", "place", "click", "view")
+
+
+@query("""
+SELECT c_custkey AS url, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 0 THEN 2 WHEN c_custkey % 2 = 0 THEN 1 ELSE CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END END AS lastmod,
+ CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 THEN 'done' ELSE 'pending' END AS status FROM customer""")
+def page_states(table):
+    c = table("customer").select(F.col("c_custkey").alias("url"))
+    stored = c.filter("url % 2 = 0").withColumn("lastmod", F.lit(1)).withColumn("status", F.lit("done"))
+    return ca.page_states(stored, c.withColumn("lastmod", F.when(F.col("url") % 3 == 0, 2).otherwise(1)))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'undiscovered' WHEN c_custkey % 7 = 0 THEN 'without outcome' ELSE 'several outcomes' END AS fault FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 7 <> 0 OR c_custkey % 5 <> 0 AND c_custkey % 7 = 0 OR c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 = 0")
+def outcome_accounting(table):
+    c = table("customer").select("c_custkey")
+    outcomes = c.filter("c_custkey % 7 <> 0").unionAll(c.filter("c_custkey % 7 <> 0 AND c_custkey % 11 = 0 AND c_custkey % 5 <> 0"))
+    return ca.accounted(outcomes, c.filter("c_custkey % 5 <> 0"), "c_custkey")

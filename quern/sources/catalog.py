@@ -53,3 +53,19 @@ def reconciled(sitemap: DataFrame, api: DataFrame, key: str, modified: str) -> D
     """The API's rows with the later of two times; require that audit.set_equality of sitemap keys finds none missing first."""
     s = sitemap.select(key, F.col(modified).alias("other"))
     return api.join(s, key, "left").withColumn(modified, F.greatest(modified, "other")).drop("other")
+
+
+def page_states(stored: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(url, lastmod, status): stored pages, pending again where discovery has another time, and new ones, pending."""
+    found = discovered.groupBy("url").agg(F.max("lastmod").alias("found"))
+    both = stored.join(found, "url", "full_outer")
+    changed = F.col("found").isNotNull() & ~F.col("found").eqNullSafe(F.col("lastmod"))
+    return both.select("url", F.when(changed, F.col("found")).otherwise(F.col("lastmod")).alias("lastmod"), F.when(changed | F.col("status").isNull(), "pending").otherwise(F.col("status")).alias("status"))
+
+
+def accounted(outcomes: DataFrame, discovered: DataFrame, key: str) -> DataFrame:
+    """Keys that discovery and the outcomes don't share, or that have several outcomes: none if all is accounted for."""
+    each = outcomes.groupBy(key).agg(F.count("*").alias("n"))
+    both = discovered.select(key).distinct().withColumn("found", F.lit(True)).join(each, key, "full_outer")
+    fault = F.when(F.col("found").isNull(), "undiscovered").when(F.col("n").isNull(), "without outcome").when(F.col("n") > 1, "several outcomes")
+    return both.select(key, fault.alias("fault")).filter(F.col("fault").isNotNull())
