@@ -42,7 +42,7 @@ LEAST = -(1 << 63)
 #: What chunks send, and what buckets send back: rows for a bucket, or for a chunk (bucket >= BUCKETS, passed on as they are).
 _SENT = "bucket int, chunk bigint, kind string, data binary"
 _BACK = "chunk bigint, kind string, data binary"
-_HITS = "doc_id bigint, text_hash bigint, places array<int>"
+_HITS = "doc_id bigint, text_hash bigint, steps array<int>"
 
 
 def _pow(base: np.uint64, n: int) -> np.uint64:
@@ -127,6 +127,21 @@ def _places(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * n else np.uint32).astype(np.int64).cumsum()
 
 
+def _runs(at: np.ndarray) -> bytes:
+    """Ascending places as steps behind a byte that tells their width; the steps of a run are alike, and shuffles compress them."""
+    step = _steps(at)
+    return bytes([step.itemsize]) + step.tobytes()
+
+
+def _unrun(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if data[0] == 2 else np.uint32, -1, 1).astype(np.int64).cumsum()
+
+
+def _all_places(lists: list | None) -> np.ndarray:
+    """Places from lists of steps, of which there are several only where rows repeat."""
+    return np.unique(np.concatenate([np.cumsum(np.asarray(x, np.int64)) for x in lists])) if lists is not None and len(lists) else np.zeros(0, np.int64)
+
+
 def _sorted_runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by key, and for each element in that order whether it begins a run of equal keys."""
     order = np.argsort(key, kind="stable")
@@ -177,7 +192,7 @@ def _send_probes(buckets: int, block: int) -> Callable[[Chunk, int], Iterator[tu
         indexed[run[aligned[order]]] = True
         local = np.sort(order[many[run]])
         if len(local):
-            yield buckets + number % buckets, "hits", c.at[local].astype(np.uint32).tobytes()
+            yield buckets + number % buckets, "hits", _runs(c.at[local])
         back = np.argsort(first, kind="stable")
         key, at, indexed = key[first[back]], c.at[first[back]], indexed[back]
         order, bounds = _to_buckets(key, buckets)
@@ -207,7 +222,7 @@ def _probe_hits(table: pa.Table) -> Iterator[tuple]:
     hit = (np.bincount(run) > 1) & (np.bincount(run, weights=flag[order]) > 0)
     found = np.sort(order[hit[run]])
     for i in np.unique(own[found]):
-        yield chunks[i], place[found[own[found] == i]].astype(np.uint32).tobytes()
+        yield chunks[i], _runs(place[found[own[found] == i]])
 
 
 def _send_windows(buckets: int, window: int, block: int) -> Callable[[Chunk, int], Iterator[tuple]]:
@@ -230,7 +245,7 @@ def _send_windows(buckets: int, window: int, block: int) -> Callable[[Chunk, int
         later = (ids[order] != ids[first][run]) | (inside[order] != inside[first][run])
         repeats = np.sort(order[later])
         if len(repeats):
-            yield buckets + number % buckets, "hits", at[repeats].astype(np.uint32).tobytes()
+            yield buckets + number % buckets, "hits", _runs(at[repeats])
         first = np.sort(first)
         a, b, ids, at = a[first], b[first], ids[first], at[first]
         order, bounds = _to_buckets(a, buckets)
@@ -258,11 +273,11 @@ def _later_windows(table: pa.Table) -> Iterator[tuple]:
     run = begins.cumsum() - 1
     later = np.sort(order[ids[order] != ids[order[begins]][run]])
     for i in np.unique(own[later]):
-        yield chunks[i], at[later[own[later] == i]].astype(np.uint32).tobytes()
+        yield chunks[i], _runs(at[later[own[later] == i]])
 
 
 def _settled(sent: DataFrame, settle: Callable[[pa.Table], Iterator[tuple]]) -> DataFrame:
-    """(doc_id, text_hash, places) that buckets, or chunks by themselves, found."""
+    """(_repeat_key, _repeat_hash, _repeat_places: lists of steps) that buckets, or chunks by themselves, found."""
 
     def bucket(t: pa.Table) -> pa.Table:
         if t.column("kind")[0].as_py() in ("table", "hits"):
@@ -277,18 +292,20 @@ def _settled(sent: DataFrame, settle: Callable[[pa.Table], Iterator[tuple]]) ->
             if kind == "table":
                 table = data
             else:
-                hits.append(np.frombuffer(data, np.uint32))
+                hits.append(_unrun(data))
         ids, text_hashes, start = _read_table(table)
-        place = np.unique(np.concatenate(hits)).astype(np.int64) if hits else np.zeros(0, np.int64)
+        place = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
         doc = np.searchsorted(start, place, side="right") - 1  # of documents that begin at one place, all but the last are empty
         owner, first = np.unique(doc, return_index=True)
-        inside = (place - start[doc]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(inside))
-        return pa.table([pa.array(ids[owner]), pa.array(text_hashes[owner]), lists], names=["doc_id", "text_hash", "places"])
+        inside = place - start[doc]
+        steps = np.diff(inside, prepend=0)
+        steps[first] = inside[first]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(steps.astype(np.int32)))
+        return pa.table([pa.array(ids[owner]), pa.array(text_hashes[owner]), lists], names=["doc_id", "text_hash", "steps"])
 
     found = sent.groupBy("bucket").applyInArrow(bucket, _BACK).groupBy("chunk").applyInArrow(chunk, _HITS)
-    places = F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("_repeat_places")  # more than one list only where rows repeat
-    return found.select(F.col("doc_id").alias("_repeat_key"), F.col("text_hash").alias("_repeat_hash"), "places").groupBy("_repeat_key", "_repeat_hash").agg(places)
+    rows = found.select(F.col("doc_id").alias("_repeat_key"), F.col("text_hash").alias("_repeat_hash"), "steps")
+    return rows.groupBy("_repeat_key", "_repeat_hash").agg(F.collect_list("steps").alias("_repeat_places"))
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -312,7 +329,7 @@ def repeats(keyed: DataFrame, buckets: int | None = None, window: int = WINDOW,
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        read = lambda b: ((k, h, hashes.array((t or "").encode().split()), np.array(p, np.int64)) for k, h, t, p in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in needed)))
+        read = lambda b: ((k, h, hashes.array((t or "").encode().split()), _all_places(p)) for k, h, t, p in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in needed)))
         yield from _chunks(batches, window, read, _send_windows(buckets, window, block), buckets)
 
     hits = _settled(keyed.select("_repeat_key", "_repeat_hash", "text").mapInArrow(probes, _SENT), _probe_hits)
@@ -320,14 +337,15 @@ def repeats(keyed: DataFrame, buckets: int | None = None, window: int = WINDOW,
     return _settled(over.mapInArrow(windows, _SENT), _later_windows)
 
 
-def kept_words(text: str | None, places: list[int] | None, window: int = WINDOW) -> tuple[list[bytes], int]:
+def kept_words(text: str | None, lists: list | None, window: int = WINDOW) -> tuple[list[bytes], int]:
     """The words that stay, and how many go."""
     words = (text or "").encode().split()
-    if places is None or not len(places):
+    places = _all_places(lists)
+    if not len(places):
         return words, 0
     over = np.zeros(len(words) + 1, np.int64)
     np.add.at(over, places, 1)
-    np.add.at(over, np.minimum(np.array(places) + window, len(words)), -1)
+    np.add.at(over, np.minimum(places + window, len(words)), -1)
     gone = over.cumsum()[:-1] > 0
     return [w for w, g in zip(words, gone.tolist()) if not g], int(gone.sum())
 
