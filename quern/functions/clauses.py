@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import neighbourhood, search_token, words
+from .text import bound, neighbourhood, search_token, words
 
 
 @dataclass(frozen=True)
@@ -46,16 +46,19 @@ def unqualified(text: Column, rules: ClauseRules) -> Column:
     def clause(c: Column) -> Column:
         marked = neighbourhood(words(search_token(c)), rules.reach)
         kinds = F.transform(marked, lambda x: F.struct(x["token"].alias("token"), x["near"].alias("near"), kind_of(x["token"], rules).alias("kind"), F.coalesce(has_stem(x["previous"], rules.negations), F.lit(False)).alias("negated")))
-        taken_back = F.transform(F.filter(kinds, lambda x: x["negated"]), lambda x: x["kind"])
 
-        def open_(x: Column) -> Column:
+        def open_(x: Column, taken_back: Column) -> Column:
             qualified = _any_stem(x["near"], rules.qualifiers)
             based = F.lit(False)
             for kind, stems in (rules.bases or {}).items():
                 based = based | ((x["kind"] == kind) & _any_stem(x["near"], stems))
             return x["kind"].isNotNull() & ~(x["negated"] | F.coalesce(F.array_contains(taken_back, x["kind"]), F.lit(False)) | qualified | based)
 
-        return F.exists(kinds, open_)
+        def any_open(marked_kinds: Column) -> Column:
+            taken_back = F.transform(F.filter(marked_kinds, lambda x: x["negated"]), lambda x: x["kind"])
+            return bound(taken_back, lambda b: F.exists(marked_kinds, lambda x: open_(x, b)))
+
+        return bound(kinds, any_open)
 
     return F.exists(F.split(F.coalesce(text, F.lit("")), rules.alternatives), clause)
 

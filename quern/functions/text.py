@@ -97,15 +97,23 @@ def starts_words(key: Column, terms: list[str]) -> Column:
     return contains_all(F.concat(F.lit(" "), key), [f" {t}" for t in terms])
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it: inside a lambda an expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def neighbourhood(tokens: Column, reach: int = 3) -> Column:
     """For each token: its place, the one before it, and those up to `reach` places away."""
-    return F.transform(
+    return bound(
         tokens,
-        lambda t, i: F.struct(
-            i.alias("place"),
-            t.alias("token"),
-            F.when(i > 0, F.get(tokens, i - 1)).alias("previous"),
-            F.slice(tokens, F.greatest(i - reach + 1, F.lit(1)), reach + 1 + F.least(i, F.lit(reach))).alias("near"),
+        lambda all_: F.transform(
+            all_,
+            lambda t, i: F.struct(
+                i.alias("place"),
+                t.alias("token"),
+                F.when(i > 0, F.get(all_, i - 1)).alias("previous"),
+                F.slice(all_, F.greatest(i - reach + 1, F.lit(1)), reach + 1 + F.least(i, F.lit(reach))).alias("near"),
+            ),
         ),
     )
 

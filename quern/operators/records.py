@@ -31,8 +31,9 @@ def associations(pairs: DataFrame, active: DataFrame) -> tuple[DataFrame, DataFr
 
 def aligned(left: Column, right: Column) -> Column:
     """Pairs of two lists by place; none where their lengths differ."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(left)), lambda i: F.struct(i.alias("place"), F.element_at(left, i).alias("left"), F.element_at(right, i).alias("right")))
-    return F.when((F.size(left) == F.size(right)) & (F.size(left) > 0), pairs)
+    pairs = F.arrays_zip(left.alias("left"), right.alias("right"))
+    placed = F.transform(pairs, lambda x, i: F.struct((i + 1).alias("place"), x["left"].alias("left"), x["right"].alias("right")))
+    return F.when((F.size(left) == F.size(right)) & (F.size(left) > 0), placed)
 
 
 def baseline(found: DataFrame, expected: dict[str, int]) -> DataFrame:
