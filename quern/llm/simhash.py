@@ -33,6 +33,7 @@ SEED = 42
 RADIUS = 2
 SMALL = 2048
 ITEMS = 1 << 14  # comparisons of one fingerprint with 64 that are made at a time
+WORDS = 1 << 11
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -152,9 +153,10 @@ def _compared(grouped: DataFrame) -> DataFrame:
         for b in batches:
             column = b.column(0)
             flat, offsets = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+            ends = np.cumsum(-(-np.diff(offsets) // 64))
             at = 0
-            while at < len(offsets) - 1:  # as many groups at a time as have about 2^16 members
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 16), side="right")) - 1)
+            while at < len(ends):  # as many groups at a time as fill about WORDS words of each plane
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WORDS, side="right")))
                 u, v = group_links([flat[a:z] for a, z in zip(offsets[at:end], offsets[at + 1 : end + 1])])
                 yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["a", "b"])
                 at = end
