@@ -96,10 +96,9 @@ def strict_minutes(table):
     return rows.select("id", pa.strict_minutes(F.col("text")).alias("minutes"))
 
 
-@query("SELECT p_partkey, round(greatest(0.0, least(10.0, p_retailprice / 1200.0 * 10)), 2) AS rating FROM part WHERE abs(p_retailprice / 1200.0 * 1000 - floor(p_retailprice / 1200.0 * 1000) - 0.5) > 1e-6")
+@query("SELECT p_partkey, round(greatest(0.0, least(10.0, p_retailprice / 997.0 * 10)), 2) AS rating FROM part")
 def rating_rescale(table):
-    raw = F.col("p_retailprice") / 1200.0 * 1000
-    return table("part").filter(F.abs(raw - F.floor(raw) - 0.5) > 1e-6).select("p_partkey", pa.rating_of_ten(F.col("p_retailprice"), F.lit(1200.0)).alias("rating"))
+    return table("part").select("p_partkey", pa.rating_of_ten(F.col("p_retailprice"), F.lit(997.0)).alias("rating"))
 
 
 @query("SELECT * FROM (VALUES (1, 'https://example.com/a/b'), (2, 'https://example.com'), (3, NULL), (4, 'https://example.com/x')) t(id, url)")
@@ -108,11 +107,11 @@ def url_canonical(table):
     return rows.select("id", pa.canonical_url(F.col("raw")).alias("url"))
 
 
-@query("SELECT page_id, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || regexp_replace(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1), '/+$', '') AS url FROM pages WHERE NOT contains(url, 'www.') AND NOT contains(url, '@') AND url = lower(url) AND NOT regexp_matches(url, ':[0-9]')")
+@query("""
+SELECT page_id, CASE WHEN host <> '' THEN 'https://' || regexp_replace(lower(host), '^www\\.', '') || regexp_replace(path, '/+$', '') END AS url FROM (
+ SELECT page_id, regexp_extract(url, '^(?i:https?)://(?:[^/@?#]*@)?([^/:?#]+)', 1) AS host, regexp_extract(url, '^(?i:https?)://(?:[^/@?#]*@)?[^/:?#]+(?::[0-9]+)?(/[^?#]*)?', 1) AS path FROM pages)""")
 def page_urls(table):
-    u = F.col("url")
-    rows = table("pages").filter(~F.contains(u, F.lit("www.")) & ~F.contains(u, F.lit("@")) & (u == F.lower(u)) & ~u.rlike(":[0-9]"))
-    return rows.select("page_id", pa.canonical_url(u).alias("url"))
+    return table("pages").select("page_id", pa.canonical_url(F.col("url")).alias("url"))
 
 
 @query("""SELECT page_id, lower(regexp_extract(html, '<html[^>]*\\blang="([a-zA-Z-]+)"', 1)) AS lang, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages""")
@@ -214,9 +213,9 @@ def retirement(table):
     return ca.retired(table("labels"), table("documents").filter("lang = 'en'"), "doc_id").select("doc_id", "active")
 
 
-@query("SELECT doc_id, text FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id, text FROM documents")
 def payload_codec(table):
-    return table("documents").filter("doc_id < 200").select("doc_id", re_.inflated(re_.deflated("text")).alias("text"))
+    return table("documents").select("doc_id", re_.inflated(re_.deflated("text")).alias("text"))
 
 
 @query("SELECT p_partkey, array_to_string([lower(p_name), lower(p_type)], ' ') AS search FROM part")
