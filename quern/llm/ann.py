@@ -10,8 +10,9 @@ Equal vectors are filed once, with the K + 1 least ids among them: no more can b
 steps, salted by id. Lists are cut into blocks of about BLOCK vectors and the queries of a list into blocks too, so
 that a large list is many tasks.
 
-PROBE_SHARE of the lists are probed. It is high because vectors without clusters need it for a recall of 0.9; lower it
-for clustered vectors.
+How many lists are probed is measured when the index is fitted: the least number by which TARGET of the sample's own
+nearest neighbours, found exactly for TRIAL of its vectors, lie in probed lists. Clustered vectors need few lists, vectors
+without clusters most of them.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part, nor do rows without an id; rows that repeat an id with one vector count once; fewer than K candidates
@@ -30,7 +31,8 @@ from .common import stored
 K = 20
 QUERY_STEP = 20
 SAMPLE = 20_000
-PROBE_SHARE = 0.75
+TARGET = 0.96
+TRIAL = 256
 SUBSPACES = 16
 CODES = 256
 REFINE = 256
@@ -79,6 +81,7 @@ class Index:
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(subspaces, sample.shape[1]))
         self.words = [_centroids(rest[:, cut], codes, 8, draw) for cut in self.cuts]
+        self.probed = self._needed(sample)
 
     def file(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list of each vector, and its codes."""
@@ -86,9 +89,19 @@ class Index:
         rest = x - self.coarse[at]
         return at, np.stack([nearest(rest[:, cut], w) for cut, w in zip(self.cuts, self.words)], 1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, share: float) -> np.ndarray:
-        n = max(1, int(np.ceil(share * len(self.coarse))))
-        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, :n]
+    def _needed(self, sample: np.ndarray, k: int = K, target: float = TARGET, trial: int = TRIAL) -> int:
+        q = sample[:trial]
+        score = q @ sample.T
+        score[np.arange(len(q)), np.arange(len(q))] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(sample) - 1)]
+        if not best.size:
+            return len(self.coarse)
+        at = nearest(sample, self.coarse)
+        rank = np.argsort(self.probes(q, len(self.coarse)), axis=1)
+        return int(np.ceil(np.quantile(rank[np.arange(len(q))[:, None], at[best]], target))) + 1
+
+    def probes(self, q: np.ndarray, n: int | None = None) -> np.ndarray:
+        return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, : n or self.probed]
 
     def estimates(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Inner products of queries with residuals by their codes; that with the centroid is the same for a whole list."""
@@ -123,8 +136,8 @@ def search_block(index: Index, queries: np.ndarray, own: np.ndarray, vectors: np
     return found
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, share: float = PROBE_SHARE, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest of each query, a row whose id `step` divides."""
+def nearest_neighbours(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, probed: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id and score: the k nearest of each query, a row whose id `step` divides. probed: lists for a query, if not as many as the index found it needs."""
     spark = vectors.sparkSession
     out = "query_id bigint, rank int, vec_id bigint, score double"
     sized = usable(vectors).withColumn("vec_id", F.col("vec_id").cast("long"))
@@ -147,7 +160,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, s
     def probe(batches):
         for b in batches:
             if b.num_rows:
-                p = index.value.probes(_matrix(b.column(1)), share).astype(np.int32)
+                p = index.value.probes(_matrix(b.column(1)), probed).astype(np.int32)
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(p.tolist(), pa.list_(pa.int32()))], names=["query_id", "query", "lists"])
 
     filed = stored(lone.mapInArrow(file, "embedding array<float>, ids array<bigint>, list int, codes binary"), "inverted-file")

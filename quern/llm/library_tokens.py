@@ -28,7 +28,7 @@ def _byte_letters() -> dict[int, str]:
 class LibraryTokens:
     """Texts to ids as little-endian unsigned 32-bit integers. lower: the vocabulary is for lower-cased text without white space."""
 
-    def __init__(self, path: str, lower: bool, limit: int = 700_000):
+    def __init__(self, path: str, lower: bool, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
@@ -42,7 +42,7 @@ class LibraryTokens:
         if (known := self.pieces.get(piece)) is None:
             tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
             known = np.array([t.id for t in tokens], np.uint32).tobytes()
-            if len(self.pieces) >= self.limit // 2:
+            if len(self.pieces) >= self.limit // 4:
                 self.pieces.clear()
             self.pieces[piece] = known
         return known

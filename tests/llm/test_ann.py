@@ -38,7 +38,7 @@ def test_recall_and_exact_scores(spark):
 def test_copies_ties_and_what_takes_no_part(spark):
     good = [(i, [1.0, 0.0] if i < 60 else [0.0, float(i)], 0) for i in range(80)]
     bad = [(100, None, 0), (101, [0.0, 0.0], 0), (102, [None, 1.0], 0), (103, [float("nan"), 1.0], 0), (104, [float("inf"), 1.0], 0), (None, [1.0, 1.0], 0), (120, [1.0], 0)]
-    got = search(spark, good + bad + good[:2], share=1.0)
+    got = search(spark, good + bad + good[:2], probed=10**6)
     assert got == {q: [(a, s) for a, s in v] for q, v in truth([(i, v) for i, v, _ in good]).items()}
 
 
@@ -48,4 +48,4 @@ def test_few_rows(spark, rows):
 
 
 def test_fewer_candidates_than_asked(spark):
-    assert search(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.0], 0), (3, [2.0, 0.0], 0)], share=1.0) == {0: [(3, 2.0), (1, 0.5)]}
+    assert search(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.0], 0), (3, [2.0, 0.0], 0)], probed=10**6) == {0: [(3, 2.0), (1, 0.5)]}
