@@ -72,4 +72,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Every window of 20 words by its text; a word goes where one over it isn't the first of its text.
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+),
+windows AS (
+  SELECT doc_id, pos, word,
+    string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS content,
+    lead(pos, 19) OVER (PARTITION BY doc_id ORDER BY pos) IS NOT NULL AS whole
+  FROM words
+),
+repeats AS (
+  SELECT doc_id, pos, word, whole AND row_number() OVER (PARTITION BY whole, content ORDER BY doc_id, pos) > 1 AS repeated
+  FROM windows
+),
+marked AS (
+  SELECT doc_id, pos, word, bool_or(repeated) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM repeats
+)
+SELECT doc_id, count(pos) AS n_words, count(pos) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents LEFT JOIN marked USING (doc_id)
+GROUP BY doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring": OP5_SQL}
