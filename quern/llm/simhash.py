@@ -203,6 +203,12 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     return out
 
 
+def _rooted(fps: DataFrame, small: int = SMALL) -> DataFrame:
+    """(fp, root) of all distinct fingerprints: the least fingerprint that each reaches by links."""
+    distinct = fps.select("fp").distinct()
+    return distinct.join(components(links(distinct, small)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     fps = stored(fingerprints(documents), "fingerprints")
@@ -214,9 +220,22 @@ def near_duplicates(documents: DataFrame, small: int = SMALL) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(documents: DataFrame) -> DataFrame:
-    """The document of least doc_id of each component, with its columns. Documents without doc_id count as one; of rows that repeat a doc_id one stays."""
-    key = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63))).alias("_kept_key")
-    kept = near_duplicates(documents).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id"))).distinct()
+def row_keys(documents: DataFrame) -> DataFrame:
+    """documents with what tells rows apart: a key of doc_id that is never null, and a hash of the text."""
+    return documents.withColumn("_row_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_row_hash", F.xxhash64("text"))
+
+
+def first_of_each(documents: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The row of least (doc_id, text hash) of each root, with its columns; rooted: (_row_key, _row_hash, no_id, root) of all rows. No doc_id is the greatest; rows alike in doc_id and text are one."""
+    first = F.min(F.struct("no_id", "_row_key", "_row_hash")).alias("x")
+    kept = rooted.groupBy("root").agg(first).select("x._row_key", "x._row_hash").distinct()
     # The join and dropDuplicates have one key, so texts are moved once.
-    return documents.select("*", key(F.col("doc_id"))).join(kept, "_kept_key", "left_semi").dropDuplicates(["_kept_key"]).drop("_kept_key")
+    both = ["_row_key", "_row_hash"]
+    return row_keys(documents).join(kept, both, "left_semi").dropDuplicates(both).drop(*both)
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """The row of least (doc_id, text hash) of each component of fingerprints, with its columns. Rows count each, also without doc_id or with one that others have too; only rows alike in both are one."""
+    keyed = row_keys(documents.select("doc_id", "text")).select(F.struct(F.col("doc_id").isNull().alias("no_id"), "_row_key", "_row_hash").alias("doc_id"), "text")
+    fps = stored(fingerprints(keyed), "fingerprints")
+    return first_of_each(documents, fps.join(_rooted(fps), "fp").select("doc_id.*", "root"))

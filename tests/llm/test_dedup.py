@@ -153,3 +153,12 @@ def test_near_duplicates(docs, none):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({c for _, c in got.values()}, key=str)
+
+
+def test_rows_without_or_with_a_shared_id_stay(spark):
+    draw = random.Random(4)
+    clean = [" ".join(str(draw.randint(0, 10**6)) for _ in range(30)) for _ in range(9)]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[2]), (5, clean[3]), (5, clean[4]), (6, clean[4]), (7, clean[5]), (None, clean[5]), (8, clean[6]), (8, clean[6]), (4, clean[6])]
+    want = [(None, clean[0]), (None, clean[1]), (None, clean[2]), (5, clean[3]), (5, clean[4]), (7, clean[5]), (4, clean[6])]
+    got = [tuple(r) for r in simhash.one_of_each(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
