@@ -1,0 +1,132 @@
+"""Near copies by the Jaccard similarity of their word shingles: MinHash bands choose candidates, whole shingle sets decide.
+
+A text is the set of the hashes of its SHINGLE words in a row (lower-cased; a shorter text is one shingle); texts of one
+set are one node. BANDS band keys of ROWS minima each bring nodes together: two of similarity s share one with odds of
+1 - (1 - s^ROWS)^BANDS, which are 0.9996 at 0.8. Each candidate is confirmed by its similarity, LEAST or more, of whole sets.
+
+First each node is confirmed against the least node that it shares a key with. Then all pairs under a key are that the first
+links don't connect; a key with more than GROUP nodes is dealt at random into groups of about that size, anew in each
+band, and each of its nodes meets those of its group, so no group is quadratic in the input.
+
+Defined results: null texts are empty; texts without words are one node; see first_of_each for rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+from itertools import combinations, repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+from .components import components
+from .simhash import first_of_each, row_keys
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 20, 5
+GROUP = 64
+SEED = 42
+_DRAW = np.random.default_rng(11)
+_TIMES = _DRAW.integers(1 << 62, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MIX = _DRAW.integers(1 << 62, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The set of a text's shingle hashes, in order."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1)))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """The band keys of a set; of an empty one, none."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), 1024):
+        least = np.minimum(least, (found[at : at + 1024, None] * _TIMES + _PLUS).min(axis=0))
+    least ^= least >> np.uint64(31)
+    return (least.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64)
+
+
+def _nodes(keyed: DataFrame) -> DataFrame:
+    """(no_id, _row_key, _row_hash, node, bands, found) of every row (no_id, _row_key, _row_hash, text)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                found = [shingles(t) for t in b.column(3).to_pylist()]
+                node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+                lists = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in ([bands(x) for x in found], found)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(node), *lists], names=["no_id", "_row_key", "_row_hash", "node", "bands", "found"])
+
+    return keyed.mapInArrow(run, "no_id boolean, _row_key bigint, _row_hash bigint, node bigint, bands array<bigint>, found array<bigint>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those of distinct pairs (a, b) whose sets, of (node, found), are similar."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2), b.column(3)
+            held = np.zeros(b.num_rows, bool)
+            for i in range(b.num_rows):
+                u, v = (np.asarray(c[i].values) for c in (x, y))
+                if min(len(u), len(v)) >= least * max(len(u), len(v)):
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    held[i] = both >= least * (len(u) + len(v) - both)
+            yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(held))
+
+    one, other = (sets.select(F.col("node").alias(n), F.col("found").alias(f)) for n, f in (("a", "x"), ("b", "y")))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _mixed(grouped: DataFrame) -> DataFrame:
+    """(a, b) of the nodes of different roots in rows (members: structs of root and node)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for members in b.column(0):
+                pairs = [(m["node"], n["node"]) for m, n in combinations(members.as_py(), 2) if m["root"] != n["root"]]
+                yield pa.record_batch([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+    return grouped.select("members").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def similar_roots(nodes: DataFrame, group: int = GROUP) -> DataFrame:
+    """(node, root) of the nodes that reach a lesser one by links, from rows (node, bands, found)."""
+    sets = nodes.select("node", "found").dropDuplicates(["node"])
+    keyed = nodes.select("node", F.posexplode("bands").alias("kind", "key")).distinct()
+    sizes = keyed.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1")
+    shared = stored(keyed.join(sizes, ["kind", "key"]), "shared")
+    first = shared.groupBy("node").agg(F.min("least").alias("b")).filter("node <> b").select(F.col("node").alias("a"), "b")
+    ids = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    few = lambda pairs: sets.join(ids(pairs), "node", "left_semi")
+    first = stored(first, "candidates")
+    links = stored(confirmed(first, few(first)), "links")
+    roots = components(links)
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A key whose nodes are connected already has nothing left to confirm.
+    open_keys = rooted.groupBy("kind", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("kind", "key")
+    dealt = rooted.join(open_keys, ["kind", "key"], "left_semi").withColumn("part", F.pmod(F.xxhash64("node", "kind"), F.ceil(F.col("n") / group)))
+    members = dealt.groupBy("kind", "key", "part").agg(F.collect_list(F.struct("root", "node")).alias("members"))
+    rest = stored(_mixed(members).join(first, ["a", "b"], "left_anti"), "candidates")
+    return components(links.unionAll(confirmed(rest, few(rest))))
+
+
+def one_of_each_similar(documents: DataFrame) -> DataFrame:
+    """The row of least (doc_id, text hash) of each group of texts linked by a similarity of LEAST or more, with its columns."""
+    keyed = row_keys(documents.select("doc_id", "text")).select(F.col("doc_id").isNull().alias("no_id"), "_row_key", "_row_hash", "text")
+    nodes = stored(_nodes(keyed), "shingles")
+    rows = nodes.select("no_id", "_row_key", "_row_hash", "node")
+    rooted = rows.join(similar_roots(nodes), "node", "left").select("no_id", "_row_key", "_row_hash", F.coalesce("root", "node").alias("root"))
+    return first_of_each(documents, rooted)

@@ -1,0 +1,75 @@
+"""Near copies by shingle similarity, against brute force and on planted copies."""
+
+import random
+
+import corpus_pipeline
+from quern.llm import similar
+
+
+def brute_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_kept(rows):
+    """rows of distinct ids: the least id of each component."""
+    sets = {i: brute_shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                if label[b] < label[a] and jaccard(sets[a], sets[b]) >= 0.8:
+                    label[a], changed = label[b], True
+    return {i for i in sets if label[i] == i}
+
+
+def planted(seed, originals, n_words=300):
+    """Rows of originals (even ids) and one copy each (odd ids) with 0 to 6 runs of words replaced."""
+    draw = random.Random(seed)
+    word = lambda: str(draw.randint(0, 10**7))
+    rows = []
+    for k in range(originals):
+        words = [word() for _ in range(n_words)]
+        copy = list(words)
+        for _ in range(k % 7):
+            copy[draw.randrange(n_words)] = word()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+
+
+def test_planted_copies_of_0_8_and_more_go(spark):
+    rows = planted(3, 140)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect()}
+    sets = {i: brute_shingles(t) for i, t in rows}
+    close = [i for i in sets if i % 2 and jaccard(sets[i], sets[i - 1]) >= 0.8]
+    assert len(close) > 100 and min(jaccard(sets[i], sets[i - 1]) for i in close) < 0.87
+    assert sum(i not in got for i in close) / len(close) >= 0.99
+    assert all(i in got for i in sets if i not in close)
+
+
+def test_against_brute_force_with_chains_and_large_keys(spark):
+    draw = random.Random(8)
+    words, rows = [str(draw.randint(0, 10**7)) for _ in range(200)], []
+    for i in range(150):  # each a few words from the one before
+        words = list(words)
+        for _ in range(1 if i % 10 else 30):
+            words[draw.randrange(200)] = str(draw.randint(0, 10**7))
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"] for r in similar.one_of_each_similar(frame(spark, rows)).collect()}
+    assert got == brute_kept(rows)
+
+
+def test_odd_rows(docs, none):
+    kept = similar.one_of_each_similar(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 1, 5, 6, None, 8}
+    assert similar.one_of_each_similar(none).count() == 0
