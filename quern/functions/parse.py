@@ -21,7 +21,7 @@ def iso_minutes(text: Column) -> Column:
     """Minutes of an ISO 8601 duration, rounded up; null where it isn't one."""
     part = lambda k: _number(F.nullif(F.regexp_extract(text, ISO_DURATION, k), F.lit("")))
     total = part(1) * 1440 + part(2) * 60 + part(3) + part(4) / 60
-    return F.when(text.rlike(ISO_DURATION) & ~F.upper(text).isin("P", "PT"), F.ceil(total).cast("int"))
+    return F.when(text.rlike(ISO_DURATION) & ~F.upper(text).isin("P", "PT"), F.ceil(total))
 
 
 def wait_minutes(text: Column) -> Column:
@@ -33,7 +33,7 @@ def wait_minutes(text: Column) -> Column:
     total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + _number(p["n"]) * factor(p["u"]))
     last = F.element_at(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"), 1), -1)
     any_number = F.size(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"), 1)) > 0
-    return F.ceil(F.when(F.size(numbers) > 0, total).when(any_number, _number(last)).otherwise(0.0)).cast("int")
+    return F.ceil(F.when(F.size(numbers) > 0, total).when(any_number, _number(last)).otherwise(0.0))
 
 
 def total_minutes(explicit: Column, *parts: Column) -> Column:
@@ -74,8 +74,8 @@ def strict_minutes(text: Column) -> Column:
     one = r"(?i)(?:\d+\s*[-–]\s*)?(\d+)\s*(hours?|h|minutes?|min|m)\b"
     left = F.trim(F.regexp_replace(text, one + r"[\s,]*", ""))
     pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(one), 1).alias("n"), F.regexp_extract_all(text, F.lit(one), 2).alias("u"))
-    total = F.aggregate(pairs, F.lit(0), lambda acc, p: acc + p["n"].cast("int") * F.when(F.lower(p["u"]).startswith("h"), 60).otherwise(1))
-    return F.when(left == "", total).otherwise(0)
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + _number(p["n"]) * F.when(F.lower(p["u"]).startswith("h"), 60).otherwise(1))
+    return F.when(left == "", F.ceil(total)).otherwise(0)
 
 
 def safe_number(text: Column, default: float = 0.0) -> Column:

@@ -255,3 +255,57 @@ def document_ids(table):
 @query("SELECT doc_id, 'cooked_' || substr(sha256(doc_id || '|' || lang), 1, 32) AS event FROM documents")
 def event_ids(table):
     return table("documents").select("doc_id", pa.event_id("cooked", F.col("doc_id").cast("string"), F.col("lang")).alias("event"))
+
+
+def all_texts(table) -> DataFrame:
+    """(source, id, turn, text) of all documents and conversations."""
+    docs = table("documents").select(F.lit("documents").alias("source"), F.col("doc_id").cast("long").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    return docs.unionAll(table("conversations").select(F.lit("conversations"), F.col("conv_id").cast("long"), F.col("turn").cast("long"), "text"))
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_size * 1440 + p_partkey % 24 * 60 WHEN 2 THEN (p_partkey % 600 + 59) // 60 ELSE p_size * 60 + p_partkey % 60 END AS minutes FROM part""")
+def part_durations(table):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    days, hours = F.concat(F.lit("P"), size, F.lit("DT"), k % 24, F.lit("H")), F.concat(F.lit("pt"), size, F.lit("h"), k % 60, F.lit("m"))
+    text = F.when(k % 5 == 0, F.concat(F.lit("P"), k)).when(k % 5 == 1, days).when(k % 5 == 2, F.concat(F.lit("PT"), k % 600, F.lit("S"))).otherwise(hours)
+    return table("part").select("p_partkey", pa.iso_minutes(text).alias("minutes"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'x_o-' || o_orderkey ELSE 'x_h_' || sha256('o/' || o_orderkey) END AS id FROM orders")
+def order_ids(table):
+    k = F.col("o_orderkey")
+    native = F.when(k % 3 == 0, k.cast("string")).when(k % 3 == 1, F.concat(F.lit("o-"), k)).otherwise(F.concat(F.lit("o/"), k))
+    return table("orders").select("o_orderkey", pa.document_id(F.lit("x"), native).alias("id"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '^[0-9]+$') THEN url WHEN regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$') THEN 'x_' || url ELSE 'x_h_' || sha256(url) END AS id FROM pages")
+def page_ids(table):
+    return table("pages").select("page_id", pa.document_id(F.lit("x"), F.col("url")).alias("id"))
+
+
+@query()
+def text_waits(table):
+    return all_texts(table).select("source", "id", "turn", pa.wait_minutes(F.col("text")).alias("minutes"))
+
+
+@query()
+def text_strict_minutes(table):
+    return all_texts(table).select("source", "id", "turn", pa.strict_minutes(F.col("text")).alias("minutes"))
+
+
+@query()
+def text_quantities(table):
+    lines = all_texts(table).select("source", "id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return lines.select("source", "id", "turn", "line", pa.measured(F.col("text")).alias("m")).select("source", "id", "turn", "line", "m.*")
+
+
+@query()
+def text_clauses(table):
+    return all_texts(table).select("source", "id", "turn", cl.unqualified(F.col("text"), RULES).alias("animal"))
+
+
+@query()
+def text_timing(table):
+    total = (F.col("id") % 90).cast("int")
+    return all_texts(table).select("source", "id", "turn", F.size(cl.timing_contradictions(F.array("text"), total)).alias("n"))
