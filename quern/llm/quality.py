@@ -145,11 +145,19 @@ def fold(key: str = "doc_id", folds: int = FOLDS):
     return F.crc32(F.col(key).cast("string")) % folds
 
 
+def _bounded(rated: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` of rows (doc_id, text, hash, label), the least by hash, and one of those alike in (doc_id, hash, label)."""
+    keys = ["doc_id", "hash", "label"]
+    chosen = rated.select(*keys).distinct().orderBy(F.xxhash64("doc_id", "hash"), *keys).limit(rows)
+    return rated.join(F.broadcast(chosen), keys, "left_semi").dropDuplicates(keys)
+
+
 def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Ranking | None:
-    """Fits on labelled rows outside the held-out fold, at most `rows` of them."""
+    """Fits on labelled rows outside the held-out fold, at most `rows` labels and as many of the rows that they match."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
     sample = known.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    got = _with_features(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).collect()
+    rated = documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(sample), "doc_id")
+    got = _with_features(_bounded(rated, rows)).collect()
     if not got:
         return None
     order = sorted(got, key=lambda r: (r["label"], r["features"]))  # the same order whatever the partitions

@@ -48,3 +48,13 @@ def test_odd_documents(spark, docs, none):
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
     kept = quality.kept_by_quality(docs, labels)
     assert kept.columns == docs.columns
+
+
+def test_rows_that_share_a_labelled_id_are_bounded(spark, monkeypatch):
+    rows = [(1, f"text {k} of one id") for k in range(60)] + [(1, "text 0 of one id")] * 20 + [(k, f"other {k}") for k in range(2, 40)]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, label: seen.append(len(x)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    quality.learn(docs.repartition(3), labels, 25)
+    quality.learn(docs.filter("doc_id = 1"), labels, 1000)
+    assert seen == [25, 60]
