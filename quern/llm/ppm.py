@@ -1,295 +1,382 @@
 """Prediction by partial matching over bytes, scoring whole documents.
 
-A text is a row of segments: the bytes up to and with one byte of white space, or up to the text's end, which is a
-symbol of its own (END, a byte that UTF-8 doesn't use). A byte's context is up to ORDER bytes before it, back to a mark
-before its segment that stands for what came earlier: the text's language class and how the last word ended. So the
-code length of a text is the sum of those of its marked segments, each distinct one is coded once, and texts meet the
-model in joins. The language class is a hash of the lang column where there is one; its own cost is in the score.
-
-The trie holds the count of every symbol in every context of every order. In a context with N symbols of q kinds, one
-of count n has probability (n - 1/2) / N; one that it hasn't seen costs an escape of q / 2N and goes on to the context one
-byte shorter, where the symbols that the longer one has seen are excluded; below order 0 all symbols that are left are alike. A
-context that was never seen costs nothing.
-
-Contexts with their symbol are packed into one number (length, then bytes), so the trie is an aggregation, and
-exclusions are a join of the trie with itself one byte shorter. Only frequent rows (HEAD_GRAMS numbers, HEAD_SEGMENTS
-segments, whatever the input) are broadcast; all others meet in shuffled joins. No count is cut off.
-
-Defined results: a null text is an empty one, which has the end alone; rows that repeat count each time; a null doc_id is
-never held out; without learning texts every symbol costs log10(256).
+A text is its UTF-8 bytes and then END, a byte that UTF-8 doesn't use; ORDER of them stand before its first byte. Each
+byte is predicted from the ORDER bytes before it, across words and lines. A byte with its context is one number, a gram,
+and the trie is the sorted grams with their counts, of which those of shorter contexts follow.
+
+In a context whose counts add up to N over q kinds of symbols, a symbol of count n has probability (n - D) / N, where D is
+DISCOUNT; one that it hasn't seen costs an escape of q D / N and goes on to the context one byte shorter, where the symbols
+that the longer one has seen are excluded; below order 0 all symbols that are left are alike. A context that was never
+seen costs nothing. Counts are occurrences at ORDER and at orders 1 and 0; in between they are update-exclusive: in how
+many contexts one byte longer the symbol was seen.
+
+How it runs: a chunk of documents (up to Limits.chunk bytes of text) sends each of its distinct grams once, with its count in
+learning texts, to the bucket of the gram's last two context bytes. So a bucket holds the whole trie below its contexts of
+two bytes, exclusions included; the counts of shorter contexts are a table of at most 65,536 numbers, which all buckets get.
+A bucket first adds up what all chunks sent, one after the other, then answers each chunk with the grams' code lengths,
+in the order in which they were sent. Distinct words go the same way and come back with their counts. A chunk's texts
+are stored with its grams, so that it scores the very texts that it asked for. No count is cut off.
+
+Defined results: a null or empty text has the end alone; a blank one its white space; very long texts are cut into slices
+for memory, with the bytes before as context; rows that repeat count each time, and equal texts have equal scores; a null
+doc_id is never held out; without learning texts every symbol costs log10(256); an empty table gives no rows. Words are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import repeat
-from operator import add
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import WordHashes, stored
 
 ORDER = 5
+DISCOUNT = 0.4
 FOLDS, HELD_OUT = 7, 2
-END = 0xFF
+END = b"\xff"
 SYMBOLS = 256
-LANGUAGES = 16
-HEAD_GRAMS = 1 << 20
-HEAD_SEGMENTS = 1 << 19
-FLUSH = 300_000  # segments that a task counts before it hands them on
-SEGMENT = re.compile(rb"[^\x20\x09-\x0d\xff]*[\x20\x09-\x0d\xff]")
-_UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
-_FOLD = bytes.maketrans(_UPPER, _LOWER)
-_LENGTH = 48  # bits below a number's length
+_SENT = "bucket int, chunk bigint, kind string, n bigint, data binary"
+_BACK = "chunk bigint, bucket int, kind string, n bigint, data binary"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _ending(last: int) -> int:
-    """A class of a word's last byte."""
-    if last >= 128 or chr(last).islower():
-        return 0
-    return 1 if chr(last).isupper() else {".": 2, ",": 3, "!": 4}.get(chr(last), 5 + (last & 1))
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of text in a chunk, bytes whose grams are made at a time, and buckets for each kind of key."""
 
+    chunk: int = 1 << 24
+    slice: int = 1 << 22
+    buckets: int = 1024
 
-#: By language class: the mark after a word that ends in a byte, after no word, and (None) at the beginning.
-_MARKS = [{None: bytes([128 + 8 * k + 2]), b"": bytes([128 + 8 * k + 7])} | {bytes([b]): bytes([128 + 8 * k + _ending(b)]) for b in range(256)} for k in range(LANGUAGES)]
 
+LIMITS = Limits()
 
-def segments(text: str | None, language: int = 0) -> list[bytes]:
-    """The text's segments, each behind its mark."""
-    parts = SEGMENT.findall((text or "").encode() + b"\xff")
-    return list(map(add, map(_MARKS[language].__getitem__, [None, *(p[-2:-1] for p in parts[:-1])]), parts))
 
+def is_held_out(doc_id) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
-def language_class(documents: DataFrame) -> Column:
-    return F.pmod(F.xxhash64(F.col("lang").cast("string")), F.lit(LANGUAGES)).cast("int") if "lang" in documents.columns else F.lit(0)
 
+def _slices(texts: list[bytes], order: int, most: int = LIMITS.slice) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(texts' places, grams, where each text's begin) of a few texts or a part of one at a time; a text's slices are alike wherever it stands."""
+    few: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        if few and size + len(t) >= most:
+            yield few, *_grams([texts[k] for k in few], order)
+            few, size = [], 0
+        few.append(i)
+        size += len(t) + 1
+        if len(t) >= most:
+            raw = END * order + t + END
+            for at in range(0, len(t) + 1, most):
+                yield [i], _windows(np.frombuffer(raw, np.uint8, min(most + order, len(raw) - at), at), order), np.zeros(1, np.int64)
+            few, size = [], 0
+    if few:
+        yield few, *_grams([texts[k] for k in few], order)
 
-def is_held_out(doc_id) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
+def _windows(raw: np.ndarray, order: int) -> np.ndarray:
+    n = len(raw) - order
+    g = raw[order:].astype(np.uint64)
+    for k in range(1, order + 1):
+        g |= raw[order - k : order - k + n].astype(np.uint64) << np.uint64(8 * k)
+    return g
 
-def gram_numbers(parts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each symbol with its context, for all symbols of some marked segments, and where each segment's begin."""
-    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    size = np.fromiter(map(len, parts), np.int64, len(parts)) - 1
-    begins = np.r_[0, size.cumsum()]
-    nth = np.arange(begins[-1]) - np.repeat(begins[:-1], size)
-    at = np.arange(begins[-1]) + np.repeat(np.arange(len(parts)), size) + 1
-    length = np.minimum(nth + 2, order + 1)
-    number = length << _LENGTH
-    for t in range(order + 1):
-        number |= np.where(t < length, raw[np.maximum(at - t, 0)] << (8 * t), 0)
-    return number, begins
 
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    pad = END * order
+    raw = np.frombuffer(pad + (END + pad).join(texts) + END, np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    begins = np.r_[0, size.cumsum()[:-1]]
+    # Between two texts lie `order` windows that belong to neither.
+    return _windows(raw, order)[np.arange(int(size.sum())) + np.repeat(order * np.arange(len(texts)), size)], begins
 
-def count_segments(documents: DataFrame) -> DataFrame:
-    """(segment, n, n_all): occurrences in learning texts, and in all."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learnt, others = Counter(), Counter()
+def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
 
-        def flush() -> pa.RecordBatch:
-            keys = list(learnt.keys() | others.keys())
-            n = np.fromiter(map(learnt.__getitem__, keys), np.int64, len(keys))
-            rest = np.fromiter(map(others.__getitem__, keys), np.int64, len(keys))
-            learnt.clear()
-            others.clear()
-            return pa.record_batch([pa.array(keys, pa.binary()), pa.array(n), pa.array(n + rest)], names=["segment", "n", "n_all"])
 
-        for b in batches:
-            for doc_id, text, language in zip(*(c.to_pylist() for c in b.columns)):
-                (others if is_held_out(doc_id) else learnt).update(segments(text, language))
-                if len(learnt) + len(others) > FLUSH:
-                    yield flush()
-        if learnt or others:
-            yield flush()
+def distinct_grams(texts: list[bytes], learnt: list[bool], order: int = ORDER, most: int = LIMITS.slice) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct grams, and how often each is in learning texts."""
+    parts = []
+    for which in (True, False):
+        for _, g, _ in _slices([t for t, x in zip(texts, learnt) if x == which], order, most):
+            key, n = np.unique(g, return_counts=True)
+            parts.append((key, n if which else np.zeros(len(key), np.int64)))
+    return _counted(parts)
+
+
+def distinct_words(hashes: list[np.ndarray], learnt: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    parts = []
+    for which in (True, False):
+        some = [h for h, x in zip(hashes, learnt) if x == which]
+        key, n = np.unique(np.concatenate(some) if some else np.zeros(0, np.uint64), return_counts=True)
+        parts.append((key, n if which else np.zeros(len(key), np.int64)))
+    return _counted(parts)
+
+
+def gram_bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    """By the last two bytes of the context."""
+    pair = (g >> np.uint64(8)) & np.uint64(0xFFFF)
+    return ((pair * _MIX) >> np.uint64(54)).astype(np.int64) % buckets
+
+
+def word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return buckets + ((h * _MIX) >> np.uint64(54)).astype(np.int64) % buckets
+
+
+def _by_bucket(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket that keeps the keys' own, the buckets there are, and where each begins and ends in it."""
+    order = np.argsort(bucket, kind="stable")
+    kinds, first = np.unique(bucket[order], return_index=True)
+    return order, kinds, np.r_[first, len(bucket)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: their upper bytes are alike, and shuffles compress them away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplanes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind)[:, 0]
+
+
+def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"bucket": pa.int32(), "chunk": pa.int64(), "kind": pa.string(), "n": pa.int64(), "data": pa.binary()}
+    columns = [x.split()[0] for x in names.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], kinds[c]) for k, c in enumerate(columns)], names=columns)
 
-    rows = documents.select("doc_id", "text", language_class(documents)).mapInArrow(run, "segment binary, n bigint, n_all bigint")
-    return rows.groupBy("segment").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
+def _packed(ids: pa.Array, texts: list[bytes]) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.record_batch([ids, pa.array(texts, pa.large_binary())], names=["doc_id", "text"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-def count_grams(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, n, n_all) for each symbol with its longest context, from (segment, n, n_all)."""
+
+def _words(hashes: WordHashes, text: bytes) -> np.ndarray:
+    return hashes.array(text.lower().split())  # of bytes: only A-Z change, only 09-0D and 20 separate
+
+
+def sent(documents: DataFrame, order: int = ORDER, limits: Limits = LIMITS) -> DataFrame:
+    """What chunks send: rows of kind keys for buckets; pairs, tokens and ends for all; and their own texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        number = TaskContext.get().partitionId() << 24
+        ids: list[pa.Array] = []
+        texts: list[bytes] = []
+        held: list[bool] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            learnt = [not x for x in held]
+            key, n = distinct_grams(texts, learnt, order, limits.slice)
+            pairs = np.bincount((key & np.uint64(0xFFFF)).astype(np.int64), weights=n, minlength=1 << 16).astype(np.int64)
+            some = np.flatnonzero(pairs)
+            rows = [(-1, number, "pairs", 0, np.r_[some, pairs[some]].tobytes()), (-1, number, "ends", sum(learnt), b"")]
+            words, m = distinct_words([_words(hashes, t) for t in texts], learnt)
+            rows.append((-1, number, "tokens", int(m.sum()), b""))
+            for k, c, bucket in ((key, n, gram_bucket(key, limits.buckets)), (words, m, word_bucket(words, limits.buckets))):
+                by, kinds, cut = _by_bucket(bucket)
+                for b, a, z in zip(kinds.tolist(), cut[:-1], cut[1:]):
+                    rows.append((b, number, "keys", int(z - a), _planes(k[by[a:z]]) + _planes(c[by[a:z]])))
+            yield _rows(rows, _SENT)
+            yield _rows([(-1, number, "texts", len(texts), _packed(pa.concat_arrays(ids), texts))], _SENT)
+
         for whole in batches:
-            for at in range(0, whole.num_rows, 50_000):
-                b = whole.slice(at, 50_000)
-                g, begins = gram_numbers(b.column(0).to_pylist(), order)
-                size = np.diff(begins)
-                kinds, back = np.unique(g, return_inverse=True)
-                sums = [np.bincount(back, weights=np.repeat(np.array(b.column(k)), size)).astype(np.int64) for k in (1, 2)]
-                yield pa.record_batch([pa.array(kinds), *map(pa.array, sums)], names=["g", "n", "n_all"])
-
-    return counted.mapInArrow(run, "g bigint, n bigint, n_all bigint").groupBy("g").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
-
-
-def _length(number: Column) -> Column:
-    return F.shiftright(number, _LENGTH)
-
-
-def _last(number: Column, length: Column | int) -> Column:
-    """The number of the last `length` bytes."""
-    length = F.lit(length) if isinstance(length, int) else length
-    mask = F.element_at(F.array(*(F.lit((1 << 8 * k) - 1).cast("long") for k in range(ORDER + 2))), (length + 1).cast("int"))
-    tag = F.element_at(F.array(*(F.lit(k << _LENGTH).cast("long") for k in range(ORDER + 2))), (length + 1).cast("int"))
-    return number.bitwiseAND(mask).bitwiseOR(tag)
-
-
-def _context(gram: Column) -> Column:
-    """The gram without its last byte, as a number."""
-    value = F.shiftright(gram.bitwiseAND(F.lit((1 << _LENGTH) - 1)), 8)
-    return value.bitwiseOR(F.element_at(F.array(*(F.lit(k << _LENGTH).cast("long") for k in range(ORDER + 2))), _length(gram).cast("int")))
-
-
-def _shorter(number: Column) -> Column:
-    return _last(number, F.greatest(_length(number) - 1, F.lit(0)))
-
-
-def code_lengths(grams: DataFrame, order: int = ORDER) -> DataFrame:
-    """(g, n_all, cost): log10 of the probability of each gram's symbol in its context."""
-    g = F.col("g")
-    sequence = F.sequence(F.lit(1), _length(g).cast("int"))
-    trie = stored(grams.filter("n > 0").select(F.explode(F.transform(sequence, lambda k: _last(g, k))).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")), "trie")
-    contexts = trie.groupBy(_context(g).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    # What the next shorter context has of the symbols that a context has seen.
-    deeper = trie.filter(_length(g) > 1).select(_context(g).alias("c"), _shorter(g).alias("g2"))
-    excluded = deeper.join(trie.select(F.col("g").alias("g2"), F.col("n").alias("n2")), "g2").groupBy("c").agg(F.sum("n2").alias("excluded"))
-    shorter = contexts.select(F.col("c").alias("c2"), F.col("total").alias("total2"), F.col("kinds").alias("kinds2"))
-    known = contexts.withColumn("c2", _shorter(F.col("c"))).join(excluded, "c", "left").join(shorter, "c2", "left")
-    known = stored(known.select("c", "total", "kinds", F.coalesce("excluded", F.lit(0)).alias("excluded")), "contexts")
-    seen = grams.select("g", "n_all", _context(g).alias("c")).join(trie, "g").join(known, "c").select("g", "n_all", F.log10((F.col("n") - 0.5) / F.col("total")).alias("cost"))
-    # Grams that were never seen: one row per context down to none, then the costs of the escapes and of the symbol.
-    unseen = grams.filter("n = 0").select("g", "n_all")
-    levels = unseen.select("g", "n_all", F.explode(F.transform(F.sequence(F.lit(1), _length(g).cast("int")), lambda k: F.struct(k.alias("k"), _last(g, k).alias("gk")))).alias("x")).select("g", "n_all", "x.k", "x.gk")
-    levels = levels.withColumn("c", _context(F.col("gk"))).join(trie.select(F.col("g").alias("gk"), "n"), "gk", "left").join(known, "c", "left")
-    one = F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kinds", F.lit(0)).alias("kinds"), F.coalesce("excluded", F.lit(0)).alias("excluded"))
-    chains = levels.groupBy("g").agg(F.first("n_all").alias("n_all"), F.reverse(F.array_sort(F.collect_list(one))).alias("levels"))  # at most ORDER + 1, longest first
-
-    def step(state: Column, x: Column) -> Column:
-        total, kinds = x["total"] - state["excluded"], x["kinds"] - state["kinds"]
-        found = F.when(x["n"] > 0, F.log10((x["n"] - 0.5) / total)).when(total > 0, F.log10(kinds / total / 2)).otherwise(F.lit(0.0))
-        return F.struct(
-            F.when(state["done"], state["cost"]).otherwise(state["cost"] + found).alias("cost"),
-            x["excluded"].cast("long").alias("excluded"),
-            x["kinds"].cast("long").alias("kinds"),
-            (state["done"] | (x["n"] > 0)).alias("done"),
-        )
-
-    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("excluded"), F.lit(0).cast("long").alias("kinds"), F.lit(False).alias("done"))
-    end = F.aggregate("levels", start, step)
-    novel = chains.select("g", "n_all", end.alias("end")).select("g", "n_all", F.when(F.col("end.done"), F.col("end.cost")).otherwise(F.col("end.cost") - F.log10(F.greatest(SYMBOLS - F.col("end.kinds"), F.lit(1)))).alias("cost"))
-    return seen.unionAll(novel)
-
-
-def frequent(rows: DataFrame, most: int) -> Column:
-    """A condition on n_all that at most `most` rows meet: a power of two that counts of the powers tell."""
-    power = F.floor(F.log2("n_all")).cast("int")
-    held, least = 0, 63
-    for r in sorted(rows.groupBy(power.alias("p")).count().collect(), key=lambda r: -r["p"]):  # at most 64 rows
-        if held + r["count"] > most:
-            break
-        held, least = held + r["count"], r["p"]
-    return F.col("n_all") >= F.lit(1 << least if least < 63 else (1 << 63) - 1)
-
-
-def cost_segments(counted: DataFrame, costs: DataFrame, order: int = ORDER) -> DataFrame:
-    """counted with word (lower-cased, without mark and end) and cost, the sum over the segment's symbols."""
-    common = frequent(costs, HEAD_GRAMS)
-    head = costs.filter(common).select("g", "cost").toArrow()
-    by = np.argsort(g := np.array(head.column(0), np.int64))
-    table = counted.sparkSession.sparkContext.broadcast((np.array(g)[by], np.array(head.column(1), np.float64)[by]))
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                ids.append(b.column(0))
+                texts += [(t or "").encode() for t in b.column(1).to_pylist()]
+                held += [is_held_out(i) for i in b.column(0).to_pylist()]
+                size += sum(map(len, texts[-b.num_rows :]))
+                if size >= limits.chunk:
+                    yield from flush()
+                    number += 1
+                    ids, texts, held, size = [], [], [], 0
+        if texts:
+            yield from flush()
+
+    return documents.select("doc_id", "text").mapInArrow(run, _SENT)
+
+
+def pair_counts(rows: DataFrame) -> np.ndarray:
+    """How often each byte follows each other one in learning texts: at most 65,536 rows, whatever the input."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cost = table.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 50_000):
-                b = whole.slice(at, 50_000)
-                parts = b.column(0).to_pylist()
-                g, begins = gram_numbers(parts, order)
-                place = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-                hit = known[place] == g if len(known) else np.zeros(len(g), bool)
-                sums = np.add.reduceat(np.where(hit, cost[place] if len(known) else 0.0, 0.0), begins[:-1]) if len(g) else np.zeros(0)
-                lost = np.flatnonzero(~hit)
-                owner = np.searchsorted(begins, lost, side="right") - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(parts) + 1)), pa.int32()), pa.array(g[lost]))
-                yield pa.record_batch([*b.columns, pa.array([x[1:-1].translate(_FOLD) for x in parts], pa.binary()), pa.array(sums), lists], names=["segment", "n", "n_all", "word", "partial", "rare"])
-
-    rows = stored(counted.mapInArrow(run, "segment binary, n bigint, n_all bigint, word binary, partial double, rare array<bigint>"), "segments")
-    rare = rows.select("segment", F.explode("rare").alias("g")).join(costs.filter(~common).select("g", "cost"), "g").groupBy("segment").agg(F.sum("cost").alias("rest"))
-    return rows.join(rare, "segment", "left").select("segment", "n", "n_all", "word", (F.col("partial") + F.coalesce("rest", F.lit(0.0))).alias("cost"))
-
-
-def ppm_scores(documents: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = documents.sparkSession
-    counted = stored(count_segments(documents), "counts")
-    grams = stored(count_grams(counted, order), "grams")
-    costs = stored(code_lengths(grams, order), "costs")
-    coded = cost_segments(counted, costs, order)
-    words = coded.filter(F.octet_length("word") > 0).groupBy("word").agg(F.sum("n").alias("c"))
-    model = stored(coded.join(words, "word", "left").select("segment", "n", "n_all", (F.octet_length("word") > 0).alias("token"), F.coalesce("c", F.lit(0)).alias("c"), "cost"), "model")
-    ends = counted.filter(F.substring("segment", -1, 1) == F.lit(bytes([END]))).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    token = model.filter("token").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()[0]
-    distinct = words.filter("c > 0").count()
-    total, kinds = token + ends, distinct + (ends > 0)
-    room = np.log10(total + kinds + 1)
-    common = frequent(model, HEAD_SEGMENTS)
-    head = model.filter(common).select("segment", "token", "c", "cost").toArrow()
-    names = head.column(0).to_pylist()
-    shared = spark.sparkContext.broadcast((names, np.array(head.column(1), bool), np.array(head.column(2), np.int64), np.array(head.column(3), np.float64)))
-    end_score = float(np.log10(ends + 1) - room)
-    learning = documents.filter(F.col("doc_id").isNull() | (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT))
-    spoken = {r["k"]: r["count"] for r in learning.groupBy(language_class(documents).alias("k")).count().collect()}  # at most LANGUAGES rows
-    language_cost = np.log10((np.array([spoken.get(k, 0) for k in range(LANGUAGES)]) + 1) / (sum(spoken.values()) + LANGUAGES))
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                pair, n = np.frombuffer(data, np.int64).reshape(2, -1)
+                total[pair] += n
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+    found = rows.filter("kind = 'pairs'").select("data").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << 16, np.int64)
+    out[np.array(found.column(0), np.int64)] = np.array(found.column(1), np.int64)
+    return out
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """values of the wanted keys, of sorted ones; 0 for others."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def code_lengths(grams: np.ndarray, n: np.ndarray, pairs: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """log10 of the probability of each gram's symbol in its context, from all learnt grams that end in the same contexts of two bytes, and the counts of pairs."""
+    mask = lambda k: np.uint64((1 << 8 * k) - 1)
+    symbols: dict[int, tuple[np.ndarray, np.ndarray]] = {order: (grams[n > 0], n[n > 0])}
+    for k in range(order - 1, 1, -1):
+        key, _ = symbols[k + 1]
+        symbols[k] = _counted([(key & mask(k + 1), np.ones(len(key), np.int64))])
+    some = np.flatnonzero(pairs)
+    symbols[1] = some.astype(np.uint64), pairs[some]
+    alone = pairs.reshape(256, 256).sum(0)
+    symbols[0] = np.flatnonzero(alone).astype(np.uint64), alone[alone > 0]
+    done = np.zeros(len(grams), bool)
+    cost = np.zeros(len(grams))
+    gone = kinds_gone = np.zeros(len(grams), np.int64)
+    for k in range(order, -1, -1):
+        key, c = symbols[k]
+        context = key >> np.uint64(8)
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(key) else np.zeros(0, np.int64)
+        total, kinds = (np.add.reduceat(x, first) if len(key) else x for x in (c, np.ones(len(key), np.int64)))
+        lower = np.add.reduceat(_found(*symbols[k - 1], key & mask(k)), first) if k and len(key) else np.zeros(len(first), np.int64)
+        wanted = (grams >> np.uint64(8)) & mask(k)
+        t, q, e = (_found(context[first], x, wanted) for x in (total, kinds, lower))
+        seen = _found(key, c, grams & mask(k + 1))
+        left, kinds_left = t - gone, q - kinds_gone
+        hit = ~done & (seen > 0)
+        escape = ~done & (seen == 0) & (left > 0)
+        cost[hit] += np.log10((seen[hit] - DISCOUNT) / left[hit])
+        cost[escape] += np.log10(kinds_left[escape] * DISCOUNT / left[escape])
+        done |= hit
+        gone, kinds_gone = e, q
+    cost[~done] -= np.log10(np.maximum(SYMBOLS - kinds_gone[~done], 1))
+    return cost
+
+
+def answers(rows: DataFrame, pairs: np.ndarray, order: int = ORDER, limits: Limits = LIMITS) -> DataFrame:
+    """What buckets send back: to each chunk the code lengths of its grams, or the counts of its words, in the order sent; and how many distinct words have a count."""
+    table = rows.sparkSession.sparkContext.broadcast(pairs)
+
+    def read(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return _unplanes(data[: 8 * n], np.uint64), _unplanes(data[8 * n :], np.int64)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, token, c, cost = _head(shared)
-        base = np.where(token, np.log10(c + 1.0) - room, 0.0)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                rows: list[tuple] = []
-                for text, language in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    found = Counter(segments(text, language))
-                    keys = list(found)
-                    n = np.fromiter(found.values(), np.int64, len(keys))
-                    place = np.fromiter(map(index.get, keys, repeat(-1)), np.int64, len(keys))
-                    hit = place >= 0
-                    p, m = place[hit], n[hit]
-                    rest = [{"segment": keys[i], "m": int(n[i])} for i in np.flatnonzero(~hit)]
-                    rows.append((1 + int(m[token[p]].sum()), int(ends > 0) + int(m[token[p] & (c[p] > 0)].sum()), end_score + float((m * base[p]).sum()), float(language_cost[language] + (m * cost[p]).sum()), rest))
-                held = [is_held_out(d) for d in b.column(0).to_pylist()]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("segment", pa.binary()), ("m", pa.int64())])))
-                yield pa.record_batch([b.column(0), pa.array(held), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    partial = stored(documents.select("doc_id", "text", language_class(documents)).mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<segment:binary,m:bigint>>").withColumn("row", F.monotonically_increasing_id()), "partial-scores")
-    m = F.col("m")
-    rare = partial.select("row", F.explode("rare").alias("x")).select("row", "x.segment", "x.m").join(model.filter(~common).select("segment", "token", "c", "cost"), "segment")
-    rest = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("token"), m).otherwise(0)).alias("t"),
-        F.sum(F.when(F.col("token") & (F.col("c") > 0), m).otherwise(0)).alias("k"),
-        F.sum(F.when(F.col("token"), m * (F.log10(F.col("c") + 1.0) - F.lit(float(room)))).otherwise(0.0)).alias("b"),
-        F.sum(m * F.col("cost")).alias("s"),
-    )
-    add = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
-    return partial.drop("rare").join(rest, "row", "left").select("doc_id", "held_out", add("n_tokens", "t"), add("n_known", "k"), F.lit(int(total)).cast("long").alias("train_tokens"), add("base_score", "b"), add("score", "s"))
-
-
-_heads: list = []
-
-
-def _head(shared) -> tuple:
-    """The broadcast segments with their places, made once in a Python worker."""
-    value = shared.value
-    if not _heads or _heads[0] is not value:
-        names, token, c, cost = value
-        _heads[:] = [value, ({s: i for i, s in enumerate(names)}, token, c, cost)]
-    return _heads[1]
+        bucket, parts, waiting, held = None, [], 0, 0
+        key, value = _counted([])
+        asked = False
+        for b in batches:
+            out: list[tuple] = []
+            for k, chunk, phase, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                if k != bucket:
+                    bucket, parts, waiting, held, asked = k, [], 0, 0, False
+                if phase == 0:
+                    parts.append(read(n, data))
+                    waiting += n
+                    if waiting > 2 * held + 100_000:  # so that what is held follows the distinct keys, not the chunks
+                        parts = [_counted(parts)]
+                        held, waiting = len(parts[0][0]), 0
+                    continue
+                if not asked:
+                    key, c = _counted(parts)
+                    value = code_lengths(key, c, table.value, order) if bucket < limits.buckets else c
+                    if bucket >= limits.buckets:
+                        out.append((-1, bucket, "distinct", int((c > 0).sum()), b""))
+                    parts, asked = [], True
+                wanted, _ = read(n, data)
+                out.append((chunk, bucket, "answer", n, _planes(value[np.searchsorted(key, wanted)])))
+            yield _rows(out, _BACK)
+
+    # Each message goes to its bucket twice in one exchange: to be counted, then to be answered.
+    twice = rows.filter("kind = 'keys'").select("bucket", "chunk", F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), "n", "data")
+    return twice.repartition("bucket").sortWithinPartitions("bucket", "phase").mapInArrow(run, _BACK)
+
+
+def _sums(value: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the runs that begin at places; of an empty run, 0."""
+    size = np.diff(np.r_[begins, len(value)])
+    out = np.zeros(len(begins), value.dtype)
+    some = size > 0
+    if some.any():
+        out[some] = np.add.reduceat(value, begins[some])
+    return out
+
+
+def scored(asked: DataFrame, replied: DataFrame, kind: str, ends: int, order: int = ORDER, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, logs (the sum of log10(c + 1) over tokens) and score, of the chunks' texts."""
+
+    def chunk(ids: pa.Array, texts: list[bytes], replies: dict[int, bytes], hashes: WordHashes) -> pa.RecordBatch:
+        held = [is_held_out(i) for i in ids.to_pylist()]
+        learnt = [not x for x in held]
+        grams, _ = distinct_grams(texts, learnt, order, limits.slice)
+        by_word = [_words(hashes, t) for t in texts]
+        words, _ = distinct_words(by_word, learnt)
+        value = []
+        for keys, bucket, of in ((grams, gram_bucket(grams, limits.buckets), np.float64), (words, word_bucket(words, limits.buckets), np.int64)):
+            by, kinds, _ = _by_bucket(bucket)
+            got = np.zeros(len(keys), of)
+            got[by] = np.concatenate([_unplanes(replies[k], of) for k in kinds.tolist()]) if len(keys) else got
+            value.append(got)
+        score = np.zeros(len(texts))
+        index = pd.Index(grams)
+        for few, g, begins in _slices(texts, order, limits.slice):
+            score[few] += _sums(value[0][index.get_indexer(g)], begins)
+        size = np.fromiter(map(len, by_word), np.int64, len(texts))
+        begins = np.r_[0, size.cumsum()[:-1]]
+        flat = np.concatenate(by_word)
+        c = value[1][pd.Index(words).get_indexer(flat)] if len(flat) else np.zeros(0, np.int64)
+        known = _sums((c > 0).astype(np.int64), begins) + (ends > 0)
+        logs = _sums(np.log10(c + 1.0), begins) + np.log10(ends + 1.0)
+        return pa.record_batch([ids, pa.array(held), pa.array(size + 1), pa.array(known), pa.array(logs), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        replies: dict[int, bytes] = {}
+        for b in batches:
+            for bucket, what, data in zip(*(b.column(k) for k in (1, 2, 4))):
+                if what.as_py() == "answer":
+                    replies[bucket.as_py()] = data.as_py()
+                else:
+                    t = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
+                    yield chunk(t.column("doc_id").combine_chunks(), t.column("text").to_pylist(), replies, hashes)
+                    replies = {}
+
+    texts = asked.filter("kind = 'texts'").select("chunk", "bucket", "kind", "n", "data")
+    both = replied.filter("kind = 'answer'").unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")  # answers before texts
+    return both.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
+
+
+def ppm_scores(documents: DataFrame, order: int = ORDER, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    asked = stored(sent(documents, order, limits), "grams")
+    sums = {r["kind"]: r["n"] for r in asked.filter("kind IN ('tokens', 'ends')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # two rows
+    ends = sums.get("ends", 0)
+    total = sums.get("tokens", 0) + ends
+    replied = stored(answers(asked, pair_counts(asked), order, limits), "answers")
+    distinct = replied.filter("kind = 'distinct'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + (ends > 0)
+    rows = scored(asked, replied, documents.schema["doc_id"].dataType.simpleString(), ends, order, limits)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
