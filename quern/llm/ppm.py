@@ -52,8 +52,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 class Limits:
     """Bytes of text in a chunk, bytes whose grams are made at a time, and buckets for each kind of key."""
 
-    chunk: int = 1 << 24
-    slice: int = 1 << 22
+    chunk: int = 1 << 23
+    slice: int = 1 << 20
     buckets: int = 1024
 
 
