@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset, a temporary one of this machine."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where that is unset, a run on one machine (master local) gets a temporary one, and a cluster an error."""
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -35,6 +38,24 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Those names, with underscores before them until df has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return tuple(out)
+
+
+def number_of(column: str, df: DataFrame) -> Column:
+    """A number that orders whole numbers as they are, hashes other kinds of key, and puts null before all."""
+    c = F.col(column)
+    whole = df.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.coalesce(c.cast("long") if whole else F.when(c.isNotNull(), F.xxhash64(c)), F.lit(-(1 << 63)))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text; of null, none."""
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")

@@ -1,6 +1,7 @@
 """Document quality by Bradley-Terry ranking.
 
-A document's strength is linear in features of its text alone. It is learned from preference pairs (a document of
+A document's strength is linear in features of its text alone: shares of kinds of bytes, words, repeats and lines, and
+hashed shares of its words and of its runs of three bytes. It is learned from preference pairs (a document of
 label 1 is preferred to one of label 0) by logistic loss on the difference of the two's features. The threshold is the
 quantile of the strengths of the learning rows at their share of label 0; the score is a logistic function of the
 strength that is CUTOFF there.
@@ -8,12 +9,16 @@ strength that is CUTOFF there.
 Learning uses at most SAMPLE_ROWS labelled rows (those of least hash of doc_id, so the same ones whatever the
 partitions) and PAIRS pairs; scoring runs over all rows, with nothing but the fitted weights sent to the executors.
 
-Defined results: a null text is an empty one, and an empty text has the score of its features (all zero); rows with a
-null label don't count; without both labels every score is 0.5; repeated rows are scored each.
+Defined results: a null text is an empty one, and an empty or blank text has the score of its features (all zero); very
+long texts count whole, in slices; rows with a null label don't count; without both labels every score is 0.5; repeated
+rows are scored each, and equal texts have equal scores, whatever rows stand beside them; of strengths that tie with the
+threshold all are kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -22,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 CUTOFF = 0.3
 FOLDS = 5
 SAMPLE_ROWS = 20_000
 PAIRS = 60_000
-RIDGE = 1e-3
+RIDGE, NGRAM_RIDGE = 1e-3, 2e-2
+NGRAMS = 128  # hashed shares of words, and as many of runs of three bytes
+PLAIN = 2 * 17
 
 _LOWER = np.zeros(256, bool)
 _LOWER[97:123] = True
@@ -50,7 +59,7 @@ def text_features(text: str | None) -> np.ndarray:
     words = raw.split()
     n = len(words)
     if not n:
-        return np.zeros(2 * 17)
+        return np.zeros(PLAIN + 2 * NGRAMS)
     b = np.frombuffer(raw, np.uint8)
     counts = np.bincount(b, minlength=256)
     solid = max(1, int(counts[~_SPACE].sum()))
@@ -87,7 +96,18 @@ def text_features(text: str | None) -> np.ndarray:
             1 / (1 + n),
         ]
     )
-    return np.concatenate([f, np.sqrt(np.maximum(f, 0))])
+    by_word = np.bincount(np.fromiter(map(zlib.crc32, map(bytes.lower, words)), np.uint32, n) % NGRAMS, minlength=NGRAMS) / n
+    return np.concatenate([f, np.sqrt(np.maximum(f, 0)), np.sqrt(by_word), np.sqrt(_runs_of_three(raw.lower()))])
+
+
+def _runs_of_three(raw: bytes, most: int = 1 << 20) -> np.ndarray:
+    """Hashed shares of all runs of three bytes."""
+    out = np.zeros(NGRAMS)
+    for at in range(0, max(1, len(raw) - 2), most):
+        b = np.frombuffer(raw[at : at + most + 2], np.uint8).astype(np.uint32)
+        h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) if len(b) > 2 else b[:0]
+        out += np.bincount(h >> np.uint32(25), minlength=NGRAMS)
+    return out / max(1, len(raw) - 2)
 
 
 @dataclass(frozen=True)
@@ -101,11 +121,29 @@ class Ranking:
     scale: float
 
     def strengths(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.spread) @ self.weights
+        """Each row is summed by itself, so that a strength doesn't depend on the rows beside it."""
+        return (np.ascontiguousarray((x - self.mean) / self.spread) * self.weights).sum(axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        z = self.scale * (self.strengths(x) - self.threshold) + np.log(CUTOFF / (1 - CUTOFF))
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        z = np.clip(self.scale * (self.strengths(x) - self.threshold) + math.log(CUTOFF / (1 - CUTOFF)), -40, 40)
+        return np.array([1 / (1 + math.exp(-v)) for v in z.tolist()])
+
+
+def minimised(z: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: np.ndarray, block: int = 8192) -> np.ndarray:
+    """The weights of least mean logistic loss over pairs of rows of z, with half the ridge on their squares."""
+    w = np.zeros(z.shape[1])
+    for _ in range(25):
+        gradient, curvature = ridge * w, np.diag(ridge)
+        for at in range(0, len(better), block):
+            d = z[better[at : at + block]] - z[worse[at : at + block]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # of the less preferred
+            gradient -= (d * p[:, None]).sum(0) / len(better)
+            curvature += (d * (p * (1 - p))[:, None]).T @ d / len(better)
+        step = np.linalg.solve(curvature, gradient)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
 
 
 def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ranking | None:
@@ -116,16 +154,8 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 7) ->
     mean, spread = x.mean(0), x.std(0) + 1e-6
     z = (x - mean) / spread
     draw = np.random.default_rng(seed)
-    d = z[draw.choice(good, pairs)] - z[draw.choice(bad, pairs)]
-    w = np.zeros(x.shape[1])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # of the less preferred
-        gradient = -(d * p[:, None]).mean(0) + RIDGE * w
-        curvature = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(curvature, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-6:
-            break
+    ridge = np.where(np.arange(x.shape[1]) < PLAIN, RIDGE, NGRAM_RIDGE)
+    w = minimised(z, draw.choice(good, pairs), draw.choice(bad, pairs), ridge)
     s = z @ w
     threshold = float(np.quantile(s, len(bad) / (len(bad) + len(good)), method="midpoint"))
     return Ranking(mean, spread, w, threshold, float(2 / max(1e-6, np.median(np.abs(s - threshold)))))
@@ -157,15 +187,17 @@ def learn(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> R
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
     sample = known.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     rated = documents.select("doc_id", "text", F.xxhash64("text").alias("hash")).join(F.broadcast(sample), "doc_id")
-    got = _with_features(_bounded(rated, rows)).collect()
-    if not got:
+    got = _with_features(_bounded(rated, rows)).toArrow()
+    if not got.num_rows:
         return None
-    order = sorted(got, key=lambda r: (r["label"], r["features"]))  # the same order whatever the partitions
-    return fit(np.array([r["features"] for r in order]), np.array([r["label"] for r in order]))
+    x = got.column("features").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+    label = np.array(got.column("label"))
+    order = np.lexsort((*x.T[::-1], label))  # the same order whatever the partitions
+    return fit(x[order], label[order])
 
 
-def scored(documents: DataFrame, ranking: Ranking | None) -> DataFrame:
-    """documents with _quality_score."""
+def scored(documents: DataFrame, ranking: Ranking | None, name: str) -> DataFrame:
+    """documents with their scores under a name."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema)
     at = documents.columns.index("text")
 
@@ -173,17 +205,18 @@ def scored(documents: DataFrame, ranking: Ranking | None) -> DataFrame:
         for b in batches:
             x = np.array([text_features(t) for t in b.column(at).to_pylist()]).reshape(b.num_rows, -1)
             score = np.full(b.num_rows, 0.5) if ranking is None else ranking.scores(x) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, "_quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], names=[*b.schema.names, name])
 
-    return documents.mapInArrow(run, f"{kinds}, _quality_score double")
+    return documents.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    rows = scored(documents.select("doc_id", "text"), learn(documents, labels))
-    return rows.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 0).alias("held_out"), F.col("_quality_score").alias("score"), (F.col("_quality_score") >= CUTOFF).cast("int").alias("predicted"))
+    rows = scored(documents.select("doc_id", "text"), learn(documents, labels), "score")
+    return rows.select("doc_id", (F.coalesce(fold(), F.lit(0)) == 0).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"))
 
 
 def kept_by_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with their columns."""
-    return scored(documents, learn(documents, labels)).filter(F.col("_quality_score") >= CUTOFF).select(*documents.columns)
+    (name,) = free_names(documents, "_quality_score")
+    return scored(documents, learn(documents, labels), name).filter(F.col(name) >= CUTOFF).select(*(f"`{c}`" for c in documents.columns))

@@ -11,7 +11,9 @@ bits lie in the other 32, of which one third must agree, and then one third of w
 a group shares at least 49 bits; there are at most 2^15 distinct fingerprints in it, which bounds the work of a task.
 
 Defined results: null texts are empty; a text without words has fingerprint 0 and is linked like any other; documents of
-equal fingerprint are one node; a component of documents that all lack a doc_id has none.
+equal fingerprint are one node; repeated rows count each; a component of documents that all lack a doc_id has none; very
+long texts are hashed whole, their bits counted in slices; an empty table gives no rows. near.py finds texts by similarity
+with the same comparison at a wider radius.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, number_of, stored
 from .components import components
 
 SHINGLE = 3
@@ -63,23 +65,24 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _planes(fp: np.ndarray) -> np.ndarray:
-    """(64, len / 64): word k of plane b holds bit b of fingerprints 64 k to 64 k + 63."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
+def bit_planes(fp: np.ndarray) -> np.ndarray:
+    """(64 W, len / 64) of fingerprints of W words of 64 bits each: word k of plane b holds bit b of fingerprints 64 k to 64 k + 63."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-(-len(fp) // 64), 64, -1), axis=2, bitorder="little")
     packed = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little"))
     return packed.view(np.uint64)[:, :, 0]
 
 
 def near_lanes(planes: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each item, the bits of those lanes of its word that are within radius of its query."""
+    """For each item, the bits of those lanes of its word that are within radius of its query: a number, or W of them."""
     near = np.zeros(len(query), np.uint64)
+    query = query.reshape(len(query), -1)
     live = np.arange(len(query))
     width = max(1, radius.bit_length())
     counter = [np.zeros(len(query), np.uint64) for _ in range(width)]
     far = np.zeros(len(query), np.uint64)
     q, w = query, word
-    for b in range(64):
-        carry = planes[b, w] ^ np.where((q >> np.uint64(b)) & np.uint64(1), _FULL, np.uint64(0))
+    for b in range(len(planes)):
+        carry = planes[b, w] ^ np.where((q[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), _FULL, np.uint64(0))
         for k in range(width):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
         far = far | carry
@@ -117,7 +120,7 @@ def group_links(groups: list[np.ndarray], radius: int = RADIUS) -> tuple[np.ndar
     for g, at in zip(groups, 64 * first_word):
         lanes[at : at + len(g)] = np.sort(g)
         valid[at : at + len(g)] = True
-    planes = _planes(lanes)
+    planes = bit_planes(lanes)
     real = np.packbits(valid.reshape(-1, 64), axis=1, bitorder="little").view(np.uint64)[:, 0]
     label = np.arange(len(lanes))
     members = np.flatnonzero(valid)
@@ -183,8 +186,8 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     found = []
     for level in range(3):
         sizes = keyed.groupBy("kind", "part").agg(F.count("*").alias("n")).filter("n > 1")
-        most = small if level < 2 else 1 << 15
-        grouped = keyed.join(sizes.filter(F.col("n") <= most), ["kind", "part"]).groupBy("kind", "part").agg(F.collect_list("fp").alias("fps"))
+        ready = sizes.filter(F.col("n") <= small) if level < 2 else sizes  # of the last level, none has more than 2^15
+        grouped = keyed.join(ready, ["kind", "part"]).groupBy("kind", "part").agg(F.collect_list("fp").alias("fps"))
         found.append(_compared(grouped.select("fps")))
         if level == 2:
             break
@@ -194,7 +197,7 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
         for m, k in kinds.items():
             options = F.array(*(F.struct(F.lit(next_kinds[t]).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(t))).alias("part")) for t in finer[m]))
             choice = F.when(F.col("kind") == k, options).otherwise(choice)
-        hot = keyed.join(sizes.filter(F.col("n") > most).select("kind", "part"), ["kind", "part"])
+        hot = keyed.join(sizes.filter(F.col("n") > small).select("kind", "part"), ["kind", "part"])
         keyed = hot.select("fp", F.explode(choice).alias("x")).select("fp", "x.kind", "x.part").distinct()  # two groups may lead to one
         kinds = next_kinds
     out = found[0]
@@ -220,18 +223,18 @@ def near_duplicates(documents: DataFrame, small: int = SMALL) -> DataFrame:
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def row_keys(documents: DataFrame) -> DataFrame:
+def row_keys(documents: DataFrame, key: str = "_row_key", digest: str = "_row_hash") -> DataFrame:
     """documents with what tells rows apart: a key of doc_id that is never null, and a hash of the text."""
-    return documents.withColumn("_row_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_row_hash", F.xxhash64("text"))
+    return documents.withColumn(key, number_of("doc_id", documents)).withColumn(digest, F.xxhash64("text"))
 
 
 def first_of_each(documents: DataFrame, rooted: DataFrame) -> DataFrame:
     """The row of least (doc_id, text hash) of each root, with its columns; rooted: (_row_key, _row_hash, no_id, root) of all rows. No doc_id is the greatest; rows alike in doc_id and text are one."""
+    key, digest = free_names(documents, "_row_key", "_row_hash")
     first = F.min(F.struct("no_id", "_row_key", "_row_hash")).alias("x")
-    kept = rooted.groupBy("root").agg(first).select("x._row_key", "x._row_hash").distinct()
+    kept = rooted.groupBy("root").agg(first).select(F.col("x._row_key").alias(key), F.col("x._row_hash").alias(digest)).distinct()
     # The join and dropDuplicates have one key, so texts are moved once.
-    both = ["_row_key", "_row_hash"]
-    return row_keys(documents).join(kept, both, "left_semi").dropDuplicates(both).drop(*both)
+    return row_keys(documents, key, digest).join(kept, [key, digest], "left_semi").dropDuplicates([key, digest]).drop(key, digest)
 
 
 def one_of_each(documents: DataFrame) -> DataFrame:

@@ -6,16 +6,20 @@ WINDOW >= 2 BLOCK - 1. So:
 
 1. Index and probe: aligned blocks are the index, and every rolling window of BLOCK words probes it. Both go to buckets
    by hash; a probe hits if its block is aligned somewhere and occurs at least twice.
-2. Extend: only where a hit lies, the windows of WINDOW words over it are hashed (96 bits) and compared; all but the
-   earliest of equal windows are repeats, and runs of them are the maximal exact repeats.
+2. Extend: only where a hit lies, to all windows of WINDOW words over it, on both sides. These are compared by 96-bit
+   hashes of whole windows, not word by word, in a second exchange: a word goes where any window over it has an earlier
+   equal, so it takes the earliest of all places, not the one that a hit came from. All but the earliest of equal windows
+   are repeats, and runs of them are the maximal exact repeats.
 3. Words under repeats are removed.
 
 What is moved is packed: a chunk of documents (up to CHUNK_WORDS words) sends each bucket one block of bytes, with each
 hash once, whatever its number of occurrences in the chunk; repeats inside a chunk are settled there. So a passage
 that a third of all documents share reaches a bucket once per chunk, and no pairs are made. Texts are moved once.
 
-Defined results: null texts have no words; rows that repeat a doc_id with the same text count as one document, whose
-places are equal rather than earlier; a null doc_id counts as the smallest.
+Defined results: null, empty and blank texts have no words; rows that repeat a doc_id with the same text count as one
+document, whose places are equal rather than earlier; a null doc_id counts as the smallest, and doc_ids that aren't whole
+numbers are in the order of their hashes; very long texts are chunks of their own; an empty table gives no rows; extra
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +33,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes
+from .common import WordHashes, free_names, number_of
 
 WINDOW = 20
 BLOCK = 10
 CHUNK_WORDS = 1 << 20
-BUCKETS = 1024
+BUCKET_BYTES = 1 << 21
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 LEAST = -(1 << 63)
 
-#: What chunks send, and what buckets send back: rows for a bucket, or for a chunk (bucket >= BUCKETS, passed on as they are).
+#: What chunks send, and what buckets send back: rows for a bucket, or for a chunk (bucket >= buckets, passed on as they are).
 _SENT = "bucket int, chunk bigint, kind string, data binary"
 _BACK = "chunk bigint, kind string, data binary"
 _HITS = "doc_id bigint, text_hash bigint, steps array<int>"
@@ -65,7 +69,7 @@ def rolling(h: np.ndarray, width: int, base: np.uint64 = _M) -> np.ndarray:
     return out[: max(0, len(h) - width + 1)]
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
 
@@ -182,7 +186,7 @@ def _to_buckets(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _send_probes(buckets: int, block: int) -> Callable[[Chunk, int], Iterator[tuple]]:
     def send(c: Chunk, number: int) -> Iterator[tuple]:
-        key = _mixed(rolling(c.words, block)[c.at]) if len(c.at) else np.zeros(0, np.uint64)
+        key = mixed(rolling(c.words, block)[c.at]) if len(c.at) else np.zeros(0, np.uint64)
         aligned = (c.at - c.start[c.doc]) % block == 0
         order, begins = _sorted_runs(key)
         run = begins.cumsum() - 1
@@ -234,8 +238,8 @@ def _send_windows(buckets: int, window: int, block: int) -> Callable[[Chunk, int
                 np.add.at(over, start + np.minimum(places + 1, len(part)), -1)
         wanted = over.cumsum()[c.at] > 0
         at, doc = c.at[wanted], c.doc[wanted]
-        a = _mixed(rolling(c.words, window)[at]) if len(at) else np.zeros(0, np.uint64)
-        b = _mixed(rolling(_mixed(c.words), window, _MIX)[at]).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        a = mixed(rolling(c.words, window)[at]) if len(at) else np.zeros(0, np.uint64)
+        b = mixed(rolling(mixed(c.words), window, _MIX)[at]).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
         ids = np.array(c.ids, np.int64)[doc]
         inside = at - c.start[doc]
         order = np.lexsort((inside, ids, b, a))
@@ -310,15 +314,16 @@ def _settled(sent: DataFrame, settle: Callable[[pa.Table], Iterator[tuple]]) ->
 
 def _keyed(documents: DataFrame) -> DataFrame:
     """documents with a key that is never null, and a hash that tells texts of one doc_id apart."""
-    return documents.withColumn("_repeat_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))).withColumn("_repeat_hash", F.xxhash64("text"))
+    return documents.withColumn("_repeat_key", number_of("doc_id", documents)).withColumn("_repeat_hash", F.xxhash64("text"))
 
 
 def repeats(keyed: DataFrame, buckets: int | None = None, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """(_repeat_key, _repeat_hash, _repeat_places): where the windows begin that aren't the first of their kind, for rows (_repeat_key, _repeat_hash, text)."""
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block")
-    if buckets is None:
-        buckets = max(256, 4 * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if buckets is None:  # of about BUCKET_BYTES of text, so that what a group holds doesn't grow with the input
+        size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(256, size // BUCKET_BYTES)
 
     def probes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -379,9 +384,12 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     def kept_text(text, places):
         return text.combine(places, lambda t, p: b" ".join(kept_words(t, p)[0]).decode())
 
+    used = ("_repeat_key", "_repeat_hash", "_repeat_places")
+    aside = {c: free_names(documents, f"_aside_{c}")[0] for c in documents.columns if c.lower() in used}
+    documents, columns = documents.withColumnsRenamed(aside), documents.columns
     rows = _with_repeats(documents)
     new = F.when(F.col("_repeat_places").isNull(), F.col("text")).otherwise(kept_text("text", "_repeat_places"))
     out = rows.withColumn("text", new)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.col("_repeat_places").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*documents.columns)
+    return out.select(*(f"`{c}`" for c in documents.columns)).toDF(*columns)

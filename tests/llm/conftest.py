@@ -16,8 +16,8 @@ TEXTS = [
 @pytest.fixture(scope="session")
 def docs(spark):
     """Nulls, an empty and a blank text, repeated texts, long ones, a row without id, and columns whose names operators might use."""
-    rows = [(i, t, "en", "s", len(t or ""), "clash", 1, [2], "x", "y") for i, t in TEXTS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, places array<int>, media string, score string")
+    rows = [(i, t, "en", "s", len(t or ""), "clash", 1, [2], "x", "y", 1.0, 2.0, 3.0, "z") for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, places array<int>, media string, score string, _kept_key double, _repeat_key double, _row_key double, _quality_score string")
 
 
 @pytest.fixture(scope="session")

@@ -40,6 +40,37 @@ def test_ranking_puts_good_first():
     assert np.mean(s[y == 1][:, None] > s[y == 0]) > 0.98
 
 
+def test_the_fit_is_the_least_of_the_loss():
+    """Against plain gradient descent from another start, and its gradient written out again."""
+    draw = np.random.default_rng(3)
+    z = draw.normal(size=(80, 6))
+    better, worse = draw.integers(0, 40, 300), draw.integers(40, 80, 300)
+    ridge = np.full(6, 0.02)
+    d = z[better] - z[worse]
+
+    def gradient(w):
+        return -(d / (1 + np.exp(d @ w))[:, None]).mean(0) + ridge * w
+
+    w = draw.normal(size=6)
+    for _ in range(20_000):
+        w -= 0.1 * gradient(w)
+    found = quality.minimised(z, better, worse, ridge, block=70)
+    assert np.abs(gradient(found)).max() < 1e-8 and np.abs(found - w).max() < 1e-6
+
+
+def test_scores_do_not_depend_on_the_rows_beside():
+    rows, labels = labelled(200)
+    x = np.array([quality.text_features(t) for _, t in rows])
+    ranking = quality.fit(x, np.array([q for _, q, _ in labels]))
+    whole = ranking.scores(x)
+    for n in (1, 3, 7, 64):
+        assert (np.concatenate([ranking.scores(x[k : k + n]) for k in range(0, len(x), n)]) == whole).all()
+
+
+def test_long_texts_count_whole():
+    assert np.allclose(quality._runs_of_three(b"abcdefgh" * 100, 16), quality._runs_of_three(b"abcdefgh" * 100))
+
+
 def test_odd_documents(spark, docs, none):
     labels = spark.createDataFrame([(0, 1, 0), (3, None, 0), (5, 0, 0), (6, 0, 1), (None, 1, 0), (0, 1, 0)], "doc_id long, quality int, toxic int")
     out = quality.quality_scores(docs, labels).collect()
