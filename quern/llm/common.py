@@ -11,7 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Arrow batches of the session are bounded by bytes, since texts may be long and workers are many."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,12 +32,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _stored.append(path)
+    return path
+
+
+_stored: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the tables that operators of this session have stored so far, once nothing reads them any more; how many."""
+    n = 0
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df, written once to the shared folder and read back: what follows doesn't recompute it, and a lost executor doesn't lose it."""
+    """df, written once to the shared folder and read back: what follows doesn't recompute it, and a lost executor doesn't lose it. Results read it lazily; drop_stored() deletes what a session has stored when they were used."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -64,7 +84,7 @@ def text_bytes(text: Column) -> Column:
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash. Starts anew when it holds `limit` words, so memory stays bounded."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

@@ -36,7 +36,7 @@ RADIUS = 2
 SMALL = 2048
 ITEMS = 1 << 14  # comparisons of one fingerprint with 64 that are made at a time
 WORDS = 1 << 11
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_FULL, _ZERO, _ONE = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -81,23 +81,49 @@ def near_lanes(planes: np.ndarray, query: np.ndarray, word: np.ndarray, radius:
     counter = [np.zeros(len(query), np.uint64) for _ in range(width)]
     far = np.zeros(len(query), np.uint64)
     q, w = query, word
-    for b in range(len(planes)):
-        carry = planes[b, w] ^ np.where((q[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1), _FULL, np.uint64(0))
-        for k in range(width):
-            counter[k], carry = counter[k] ^ carry, counter[k] & carry
-        far = far | carry
-        if b % 8 == 7:
-            far = far | _above(counter, radius)
-            go = far != _FULL
-            if not go.all():  # abandoned: all 64 distances exceed the radius
-                live, q, w, far = live[go], q[go], w[go], far[go]
-                counter = [c[go] for c in counter]
-                if not len(live):
-                    return near
+    for b in range(0, len(planes), 8):
+        differ = [planes[k].take(w) ^ (_ZERO - ((q[:, k // 64] >> np.uint64(k % 64)) & _ONE)) for k in range(b, b + 8)]
+        far = far | _added(counter, _eight(differ)) | _above(counter, radius)
+        go = far != _FULL
+        if not go.all():  # abandoned: all 64 distances exceed the radius
+            live, q, w, far = live[go], q[go], w[go], far[go]
+            counter = [c[go] for c in counter]
+            if not len(live):
+                return near
     near[live] = ~far
     return near
 
 
+def _full_add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and carry of three bits in each lane."""
+    half = a ^ b
+    return half ^ c, (a & b) | (half & c)
+
+
+def _eight(x: list[np.ndarray]) -> list[np.ndarray]:
+    """Four bits, from the lowest, of the sum of eight bits in each lane, by carry-save adders."""
+    a, c1 = _full_add(x[0], x[1], x[2])
+    b, c2 = _full_add(x[3], x[4], x[5])
+    ones, c3 = _full_add(a, b, x[6])
+    ones, c4 = ones ^ x[7], ones & x[7]
+    twos, d1 = _full_add(c1, c2, c3)
+    twos, d2 = twos ^ c4, twos & c4
+    return [ones, twos, d1 ^ d2, d1 & d2]
+
+
+def _added(counter: list[np.ndarray], number: list[np.ndarray]) -> np.ndarray:
+    """Adds numbers to counters, in place; lanes that overflow."""
+    carry = np.zeros_like(counter[0])
+    for k in range(len(counter)):
+        if k < len(number):
+            counter[k], carry = _full_add(counter[k], number[k], carry)
+        else:
+            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+    for high in number[len(counter) :]:
+        carry = carry | high
+    return carry
+
+
 def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     """Lanes whose count exceeds radius, by comparing bit by bit from the top."""
     above, equal = np.zeros_like(counter[0]), np.full_like(counter[0], _FULL)
