@@ -5,35 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The form of a duration, and of a measured line.
-ISO_DURATION = r"(?i)^P(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?$"
-WAIT = r"(?iu)(\d+(?:[.,]\d+)?)\s*(days?|ημέρ[εα]ς?|hours?|ώρ[εα]ς?|minutes?|min|λεπτά?)"
-QUANTITY = r"^\s*(\d+\s*[¼½¾⅓⅔⅛⅜⅝⅞]|(?:\d+\s+)?\d+\s*/\s*\d+|\d+(?:[.,]\d+)?(?:\s*[-–]\s*\d+(?:[.,]\d+)?)?|[¼½¾⅓⅔⅛⅜⅝⅞])\s*(.*)$"
-UNIT = r"(?i)^(kg|gr?|ml|lt?|tbsp|tsp|cups?)\b\.?\s*(.*)$"
+NUMBER = r"\d+(?:[.,]\d+)?"
+# Minutes in the units of durations, before and after the T; and words for units of time.
+DATE_MINUTES = {"D": 1440.0}
+TIME_MINUTES = {"H": 60.0, "M": 1.0, "S": 1 / 60}
+TIME_WORDS = {"day": (1440, r"days?|ημέρ[εα]ς?"), "hour": (60, r"hours?|ώρ[εα]ς?"), "minute": (1, r"minutes?|min|λεπτά?")}
+# Signs that are one fraction, and words for measures.
+GLYPHS = "¼½¾⅓⅔⅛⅜⅝⅞"
+MEASURES = ("kg", "gr?", "ml", "lt?", "tbsp", "tsp", "cups?", "κιλ[όά]", "γρ(?:αμμάρι(?:α|ο)?)?", "κ\\.\\s?[σγ]", "φλ(?:ιτζάνι(?:α)?)?", "λίτρ(?:ο|α)", "κουταλ(?:ιά|ιές|άκι|άκια)")
 SAFE_ID = r"^[A-Za-z0-9][A-Za-z0-9_-]{0,127}$"
 
 
+def rating_doubled(value: Column, largest: Column) -> Column:
+    """A rating on a scale of five (its largest is 5 or less) doubled, others as they are; within 0 and 10, two decimals."""
+    fine = value.isNotNull() & ~F.isnan(value)
+    return F.coalesce(F.when(fine, F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.when(largest <= 5, value * 2).otherwise(value))), 2)), F.lit(0.0))
+
+
 def _number(text: Column) -> Column:
     return F.coalesce(F.replace(text, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
 
 
+def _unit_sum(half: Column, minutes: dict[str, float]) -> tuple[Column, Column]:
+    """(minutes of number-unit pairs, whether they are all of the text, each unit once at most and in order)."""
+    units = "".join(minutes)
+    pair = rf"(\d+(?:\.\d+)?)([{units}])"
+    number, unit = (F.regexp_extract_all(half, F.lit(pair), k) for k in (1, 2))
+    worth = F.create_map(*(F.lit(x) for kv in minutes.items() for x in kv))
+    total = F.aggregate(F.arrays_zip(number.alias("n"), unit.alias("u")), F.lit(0.0), lambda acc, p: acc + _number(p["n"]) * worth[p["u"]])
+    whole = (F.regexp_replace(half, pair, "") == "") & F.array_join(unit, "").rlike("^" + "".join(f"{u}?" for u in units) + "$")
+    return total, whole
+
+
 def iso_minutes(text: Column) -> Column:
-    """Minutes of an ISO 8601 duration, rounded up; null where it isn't one."""
-    part = lambda k: _number(F.nullif(F.regexp_extract(text, ISO_DURATION, k), F.lit("")))
-    total = part(1) * 1440 + part(2) * 60 + part(3) + part(4) / 60
-    return F.when(text.rlike(ISO_DURATION) & ~F.upper(text).isin("P", "PT"), F.ceil(total))
+    """Minutes of an ISO 8601 duration, rounded up; null where it isn't one. What stands before the T are days, what stands after it times of day."""
+    upper = F.upper(text)
+    halves = F.split(F.substring(upper, 2, 1 << 20), "T", 2)
+    days, fine_days = _unit_sum(F.get(halves, F.lit(0)), DATE_MINUTES)
+    times, fine_times = _unit_sum(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), TIME_MINUTES)
+    return F.when(upper.startswith("P") & upper.rlike("[0-9]") & fine_days & fine_times, F.ceil(days + times))
 
 
 def wait_minutes(text: Column) -> Column:
     """Minutes that a free text tells, numbers with their units added up; else its last number; else 0."""
-    numbers = F.regexp_extract_all(text, F.lit(WAIT), 1)
-    units = F.lower(F.array_join(F.regexp_extract_all(text, F.lit(WAIT), 2), "|"))
-    pairs = F.arrays_zip(numbers.alias("n"), F.split(units, r"\|").alias("u"))
-    factor = lambda u: F.when(u.rlike("^(day|ημέρ)"), 1440).when(u.rlike("^(hour|ώρ)"), 60).otherwise(1)
-    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + _number(p["n"]) * factor(p["u"]))
-    last = F.element_at(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"), 1), -1)
-    any_number = F.size(F.regexp_extract_all(text, F.lit(r"(\d+(?:[.,]\d+)?)"), 1)) > 0
-    return F.ceil(F.when(F.size(numbers) > 0, total).when(any_number, _number(last)).otherwise(0.0))
+    wait = rf"(?iu)({NUMBER})\s*({'|'.join(words for _, words in TIME_WORDS.values())})"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(wait), 1).alias("n"), F.regexp_extract_all(text, F.lit(wait), 2).alias("u"))
+
+    def worth(unit: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for minutes, words in TIME_WORDS.values():
+            out = F.coalesce(out, F.when(unit.rlike(rf"(?iu)^(?:{words})$"), minutes))
+        return out
+
+    total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + _number(p["n"]) * worth(p["u"]))
+    numbers = F.regexp_extract_all(text, F.lit(f"({NUMBER})"), 1)
+    return F.ceil(F.when(F.size(pairs) > 0, total).when(F.size(numbers) > 0, _number(F.element_at(numbers, -1))).otherwise(0.0))
 
 
 def total_minutes(explicit: Column, *parts: Column) -> Column:
@@ -50,20 +76,34 @@ def rating_of_ten(value: Column, best: Column) -> Column:
     return F.coalesce(F.when(fine, F.round(F.greatest(F.lit(0.0), F.least(F.lit(10.0), value / best * 10)), 2)), F.lit(0.0))
 
 
+def _amount() -> str:
+    """A pattern of what can be an amount, longer forms before the shorter ones that they begin with."""
+    whole, glyph = r"\d+", f"[{GLYPHS}]"
+    fraction = rf"{whole}\s*/\s*{whole}"
+    forms = [rf"{whole}\s*{glyph}", rf"{whole}\s+{fraction}", fraction, rf"{NUMBER}\s*[-–]\s*{NUMBER}", NUMBER, glyph]
+    return f"(?:{'|'.join(forms)})"
+
+
 def measured(line: Column) -> Column:
-    """struct(quantity, unit, title, info) of a line such as '2 cups flour, sifted'. Lines such as '2 x 400 g' stay whole."""
+    """struct(quantity, unit, title, info) of a line such as '2 cups flour, sifted'.
+
+    A line is read in steps, each of which takes what it knows off the front: an amount, then a measure that something
+    follows. What is left is the title up to its first comma, and the rest is info. A line stays whole where nothing
+    follows the amount, where a measure alone does, or where it is a multiple such as '2 x 400 g'.
+    """
     clean = F.trim(F.regexp_replace(F.coalesce(line, F.lit("")), r"\s+", " "))
-    rest = F.regexp_extract(clean, QUANTITY, 2)
-    split = clean.rlike(QUANTITY) & (rest != "") & ~rest.rlike(r"(?i)^[x×]\s*\d")
-    with_unit = rest.rlike(UNIT) & (F.regexp_extract(rest, UNIT, 2) != "")
-    bare_unit = rest.rlike(UNIT) & ~with_unit
-    used = split & ~bare_unit
-    title = F.when(used & with_unit, F.regexp_extract(rest, UNIT, 2)).when(used, rest).otherwise(clean)
-    head, tail = F.trim(F.regexp_extract(title, r"^([^,]*),(.*)$", 1)), F.trim(F.regexp_extract(title, r"^([^,]*),(.*)$", 2))
-    noted = (head != "") & (tail != "")
+    amount = F.regexp_extract(clean, f"^{_amount()}", 0)
+    after = F.ltrim(F.substr(clean, F.length(amount) + 1))
+    unit = F.regexp_extract(after, rf"(?iu)^({'|'.join(MEASURES)})(?![\p{{L}}\p{{N}}])", 1)
+    behind = F.ltrim(F.regexp_replace(F.substr(after, F.length(unit) + 1), r"^\.", ""))
+    whole = (amount == "") | (after == "") | after.rlike(r"(?i)^[x×]\s*\d") | ((unit != "") & (behind == ""))
+    title = F.when(whole, clean).when(unit != "", behind).otherwise(after)
+    comma = F.instr(title, ",")
+    head, tail = F.trim(F.substr(title, F.lit(1), comma - 1)), F.trim(F.substr(title, comma + 1))
+    noted = (comma > 0) & (head != "") & (tail != "")
     return F.struct(
-        F.when(used, F.trim(F.regexp_extract(clean, QUANTITY, 1))).otherwise("").alias("quantity"),
-        F.when(used & with_unit, F.regexp_extract(rest, UNIT, 1)).otherwise("").alias("unit"),
+        F.when(whole, "").otherwise(amount).alias("quantity"),
+        F.when(whole, "").otherwise(unit).alias("unit"),
         F.when(noted, head).otherwise(title).alias("title"),
         F.when(noted, tail).otherwise("").alias("info"),
     )
@@ -99,12 +139,20 @@ def event_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
 
 
-def canonical_url(url: Column) -> Column:
-    """scheme://host/path in lower-case host, without credentials, port, query, fragment and trailing slash; null where it is no web address."""
-    form = r"(?i)^(https?)://(?:[^/@?#]*@)?([^/:?#]+)(?::\d+)?(/[^?#]*)?"
-    host = F.lower(F.regexp_extract(url, form, 2))
-    path = F.regexp_replace(F.regexp_extract(url, form, 3), "/+$", "")
-    return F.when(host != "", F.concat(F.lit("https://"), F.regexp_replace(host, r"^www\.", ""), path))
+def canonical_url(url: Column, hosts: tuple[str, ...] | None = None) -> Column:
+    """https://host/path in lower-case host without www, query, fragment and trailing slash. Null where the address isn't https, has credentials or a port, or where its host isn't one of `hosts` (None: any)."""
+    form = r"(?i)^https://([^/?#]+)(/[^?#]*)?"
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, form, 1)), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(url, form, 2), "/+$", "")
+    known = host.isin(*hosts) if hosts is not None else F.lit(True)
+    return F.when((host != "") & ~host.rlike("[@:]") & known, F.concat(F.lit("https://"), host, path))
+
+
+def page_key(url: Column) -> Column:
+    """host/path of any web address, to tell pages apart: without scheme, www, credentials, port, query, fragment and trailing slash; null where it is none."""
+    form = r"(?i)^https?://(?:[^/@?#]*@)?([^/:?#]+)(?::\d+)?(/[^?#]*)?"
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, form, 1)), r"^www\.", "")
+    return F.when(host != "", F.concat(host, F.regexp_replace(F.regexp_extract(url, form, 2), "/+$", "")))
 
 
 def epoch_millis(text: Column) -> Column:

@@ -9,9 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Letters with marks, and under each the letter without.
-MARKED = "àáâãäåāăąçćčďèéêëēėęěğìíîïīįñńňòóôõöōőŕřśšşťţùúûüūůűųýÿźżžάέήίϊΐόύϋΰώς"
-BARE__ = "aaaaaaaaacccdeeeeeeeegiiiiiinnnooooooorrsssttuuuuuuuuyyzzzαεηιιιουυυωσ"
+def _decomposed() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters and numbers whose full decomposition, without marks, is another single character; and those that become several (ligatures, fractions, iota below), but for East Asian ones."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if unicodedata.category(c)[0] in "LN" and c == c.lower():
+            plain = "".join(x for x in unicodedata.normalize("NFKD", c).casefold() if unicodedata.category(x) != "Mn")
+            if plain != c and len(plain) == 1:
+                one[c] = plain
+            elif c != "ß" and len(plain) > 1 and (c < "\u3000" or "\ufb00" <= c < "\ufb50"):
+                several[c] = plain
+    return one, several
+
+
+SINGLE, SEVERAL = _decomposed()
 
 # How Greek letters are written in Latin ones; an upsilon after a vowel makes a digraph.
 GREEK_DIGRAPHS = [("ου", "ou"), ("αυ", "av"), ("ευ", "ev"), ("ηυ", "iv")]
@@ -30,9 +41,12 @@ LATIN_SOUNDS = [
 
 
 def folded(text: Column) -> Column:
-    """Lower case without accents: composed letters by table, loose combining marks by class."""
-    lower = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
-    return F.translate(F.regexp_replace(lower, r"\p{Mn}+", ""), MARKED, BARE__)
+    """Lower case, fully decomposed, without marks: single letters by table, the few that become several only where a text has any."""
+    lower = F.replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss"))
+    forms = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(plain).alias("plain")) for c, plain in SEVERAL.items()))
+    longer = F.aggregate(forms, lower, lambda acc, x: F.replace(acc, x["c"], x["plain"]))
+    lower = F.when(lower.rlike(f"[{''.join(SEVERAL)}]"), longer).otherwise(lower)
+    return F.translate(lower, "".join(SINGLE), "".join(SINGLE.values()))
 
 
 def search_token(text: Column) -> Column:

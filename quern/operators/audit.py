@@ -50,15 +50,13 @@ def largest(df: DataFrame, size: Column, key: str) -> DataFrame:
     return df.agg(F.max(size).alias("size"), F.max_by(key, F.struct(size, -F.col(key))).alias(key))
 
 
-def digest(df: DataFrame, group: list[str], key: str, json: Column, buckets: int = 256) -> DataFrame:
-    """A SHA-256 of each group's rows that doesn't depend on their order or place: rows are hashed, buckets of hashes are hashed, and then the buckets. No group comes together in one place but as `buckets` hashes."""
-    row = F.sha2(F.concat_ws("|", F.col(key).cast("string"), json), 256)
-    rows = df.select(*group, row.alias("h"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"))
-    # Equal hashes count: each joins its bucket's sum of 32-bit parts, which has no order.
-    part = lambda k: F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)"))
-    sums = rows.groupBy(*group, "bucket").agg(F.concat_ws(",", *(part(k).cast("string") for k in range(8))).alias("s"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "s"))), lambda x: F.concat_ws(":", x["bucket"].cast("string"), x["s"]))
-    return sums.groupBy(*group).agg(F.sha2(F.array_join(ordered, ";"), 256).alias("digest"))
+def digest(df: DataFrame, group: list[str], key: str, json: Column) -> DataFrame:
+    """A SHA-256 of each group's rows that doesn't depend on their order or place: rows are hashed, and hashes are hashed in order, as a tree: those of 65,536 ranges, then 256 ranges of these, then these. Repeated rows count."""
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), ""), 256).alias("h")
+    rows = df.select(*group, F.sha2(F.concat_ws("|", F.col(key).cast("string"), json), 256).alias("h"))
+    low = rows.groupBy(*group, F.substring("h", 1, 4).alias("k")).agg(joined(F.struct("h")))
+    mid = low.groupBy(*group, F.substring("k", 1, 2).alias("k")).agg(joined(F.struct("k", "h")))
+    return mid.groupBy(*group).agg(joined(F.struct("k", "h")).alias("digest"))
 
 
 def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.language import active_in
 from ..functions.parse import quick
 from ..functions.text import contains_all, contains_words, starts_words
 
@@ -27,7 +28,7 @@ class Preferences:
 
 @dataclass(frozen=True)
 class Criteria:
-    """0 and empty mean no condition. facets: group -> tokens, any of a group, all groups. terms: keyed title terms."""
+    """0 and empty mean no condition. facets: group -> tokens, any of a group, all groups. terms: keyed title terms. language: rows must be active and of it, or of a region of it."""
 
     category: str = ""
     ease: str = ""
@@ -38,6 +39,7 @@ class Criteria:
     terms: tuple[str, ...] = ()
     whole_words: bool = False
     facets: dict[str, frozenset[str]] = field(default_factory=dict)
+    language: str = ""
     preferences: Preferences = Preferences(excluded_categories=frozenset())
 
     def valid(self, most_rating: float = 10.0) -> bool:
@@ -77,8 +79,10 @@ def preferred(p: Preferences, c: dict[str, Column]) -> Column:
 
 
 def predicate(q: Criteria, c: dict[str, Column], most_rating: float = 10.0) -> Column:
-    """The condition of some criteria on columns named category, ease, rating, minutes, source, title_key, facets, texts, vegan. Only those that are asked for need be there."""
+    """The condition of some criteria on columns named category, ease, rating, minutes, source, title_key, facets, texts, vegan, active, language. Only those that are asked for need be there."""
     tests = [preferred(q.preferences, c)]
+    if q.language:
+        tests.append(active_in(c["active"], c["language"], q.language))
     if q.category:
         tests.append(c["category"] == q.category)
     if q.ease:
@@ -111,6 +115,12 @@ def page(df: DataFrame, order: list[Column], limit: int = PAGE, offset: int = 0)
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def counted_page(df: DataFrame, order: list[Column], limit: int = PAGE, offset: int = 0) -> DataFrame:
+    """A page whose rows tell how many there are in all (total) and whether more follow (has_more). The rows are counted by themselves, without sorting them."""
+    total = df.count()
+    return page(df, order, limit, offset).withColumn("total", F.lit(total).cast("long")).withColumn("has_more", F.lit(offset + limit < total))
+
+
 def explore(df: DataFrame, q: Criteria, columns: dict[str, Column], limit: int = PAGE, offset: int = 0, most_rating: float = 10.0) -> DataFrame:
     """A ranked page; criteria that aren't valid give an empty one, never a wider one."""
     found = df.filter(predicate(q, columns, most_rating)) if q.valid(most_rating) else df.limit(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,8 +65,8 @@ def modal_label(df: DataFrame, group: str, label: str, greatest: bool = True) ->
     counts = df.groupBy(group, label).agg(F.count("*").alias("n"))
     if greatest:
         return counts.groupBy(group).agg(F.max_by(label, F.struct("n", label)).alias("label"), F.max("n").alias("n"))
-    order = Window.partitionBy(group).orderBy(F.desc("n"), F.lower(label), label)
-    return counts.withColumn("r", F.row_number().over(order)).filter("r = 1").select(group, F.col(label).alias("label"), "n")
+    least = F.struct((-F.col("n")).alias("n"), F.lower(label).alias("low"), F.col(label).alias("label"))
+    return counts.groupBy(group).agg(F.min_by(label, least).alias("label"), F.max("n").alias("n"))
 
 
 def best_variant(df: DataFrame, key: Column, label: str, place: str) -> DataFrame:

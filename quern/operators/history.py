@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 def with_legacy(stored: DataFrame, plans: DataFrame, match: list[str], key: str, time: str) -> DataFrame:
-    """Stored events, and one for each completed plan that has none, newest first; of a key one."""
+    """Stored events, and one for each completed plan that has none; of a key one. Their order belongs to the page that shows them."""
     missing = plans.join(stored.select(*match), match, "left_anti")
     both = stored.withColumn("legacy", F.lit(False)).unionByName(missing.withColumn("legacy", F.lit(True)), allowMissingColumns=True)
     order = Window.partitionBy(key).orderBy("legacy", F.desc(time))
-    return both.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r").orderBy(F.desc(time), key)
+    return both.withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
 
 
 def by_month(events: DataFrame, time: str) -> DataFrame:
@@ -84,3 +84,19 @@ def combined_latest(frames: dict[str, DataFrame], owner: str, time: str) -> Data
         rows = df if rows is None else rows.unionByName(df)
     by = Window.partitionBy(owner).orderBy(time, "place").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(owner, time, "place", *(F.last(n, ignorenulls=True).over(by).alias(n) for n in sorted(frames)))
+
+
+def running_steps(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with step, their place in their group; groups are records' own lists, which are small."""
+    return rows.withColumn("step", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+
+
+def in_month(df: DataFrame, time: str, first: str) -> DataFrame:
+    """Rows of the month that begins at a day, as a range of times, which reaches the scan."""
+    start = F.lit(first).cast("date")
+    return df.filter((F.col(time) >= start.cast("timestamp")) & (F.col(time) < F.add_months(start, 1).cast("timestamp")))
+
+
+def month_with_own(events: DataFrame, own: DataFrame, time: str, first: str, on: Column) -> DataFrame:
+    """A month's events, with one's own rows that they meet."""
+    return in_month(events, time, first).join(own, on, "left")

@@ -1,6 +1,7 @@
-"""Weekly plans: what is locked, completed or blank on purpose stays; every other cell gets a choice of its own.
+"""Weekly plans as states: what is locked, completed or on a blank day stays; other cells get choices of their own.
 
-Each choice depends on a seed and its cell alone, so it doesn't matter in which order, or where, cells are filled.
+A cell is (date, course, category, locked, completed, blank, item); blank days are empty on purpose. Each choice depends on a
+seed, its cell and a draw alone, so it doesn't matter in which order, or where, cells are filled.
 """
 
 from __future__ import annotations
@@ -8,24 +9,63 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MAIN = "main"
 
-def kept_cell(plan: dict[str, Column]) -> Column:
-    """Completed or locked (also when empty: blank on purpose)."""
-    return F.coalesce(plan["locked"] | plan["completed"], F.lit(False))
 
+def kept_cell() -> Column:
+    """Completed or locked, or of a day that is blank on purpose."""
+    return F.coalesce(F.col("locked"), F.lit(False)) | F.coalesce(F.col("completed"), F.lit(False)) | F.coalesce(F.col("blank"), F.lit(False))
 
-def filled_week(cells: DataFrame, candidates: DataFrame, seed: int) -> DataFrame:
-    """cells (date, course, category, locked, completed, item) with an item of their category in every open one.
 
-    Candidates (category, item) are numbered within their category, and the cell's hash chooses a number. Of a category
-    only the chosen numbers are joined, so nothing is multiplied. An open cell whose category has no candidate stays empty.
+def cell_place(seed: int, draw: int, n: Column) -> Column:
+    """A place below n: 60 bits of the SHA-256 of seed, date, course and draw."""
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("date").cast("string"), F.col("course"), F.lit(str(draw))), 256)
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % n
+
+
+def drawn(cells: DataFrame, candidates: DataFrame, seed: int, wanted: Column, draw: int = 0) -> DataFrame:
+    """cells with an item of their category, from candidates (category, item), where it is wanted; null where the category has none.
+
+    A category's candidates stand in order of a hash prefix and then of their item. Only counts by prefix are summed up, and only
+    the candidates of the prefixes that cells point at are numbered, so a category may hold most of all candidates.
     """
-    numbered = candidates.withColumn("number", F.row_number().over(Window.partitionBy("category").orderBy("item")) - 1)
-    counts = candidates.groupBy("category").agg(F.count("*").alias("n"))
-    keep = kept_cell({c: F.col(c) for c in ("locked", "completed")})
-    asked = cells.join(counts, "category", "left").withColumn("number", F.when(~keep, F.pmod(F.xxhash64(F.lit(seed), "date", "course"), F.col("n"))))
-    chosen = numbered.select("category", "number", F.col("item").alias("chosen"))
-    return asked.join(chosen, ["category", "number"], "left").select("date", "course", "category", "locked", "completed", F.when(keep, F.col("item")).otherwise(F.col("chosen")).alias("item"))
+    keyed = candidates.select("category", "item", F.substring(F.md5(F.col("item").cast("string")), 1, 3).alias("prefix"))
+    by = Window.partitionBy("category").orderBy("prefix")  # at most 4,096 prefixes
+    counts = keyed.groupBy("category", "prefix").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("start", F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["start"])
+    total = counts.groupBy("category").agg(F.sum("n").alias("total"))
+    asked = cells.filter(wanted).select("date", "course", "category").join(total, "category").withColumn("place", cell_place(seed, draw, F.col("total")))
+    spans = counts.select(F.col("category").alias("c"), "prefix", "start", (F.col("start") + F.col("n")).alias("stop"))
+    asked = asked.join(spans, (F.col("category") == F.col("c")) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("stop")))
+    asked = asked.select("date", "course", "category", "prefix", (F.col("place") - F.col("start")).alias("nth"))
+    few = keyed.join(asked.select("category", "prefix").distinct(), ["category", "prefix"], "left_semi")
+    numbered = few.withColumn("nth", (F.row_number().over(Window.partitionBy("category", "prefix").orderBy("item")) - 1).cast("long"))
+    chosen = asked.join(numbered, ["category", "prefix", "nth"]).select("date", "course", F.col("item").alias("_chosen"))
+    return cells.join(chosen, ["date", "course"], "left").withColumn("item", F.when(wanted, F.col("_chosen")).otherwise(F.col("item"))).drop("_chosen")
+
+
+def ensured(cells: DataFrame, candidates: DataFrame, seed: int, usable: Column | None = None) -> DataFrame:
+    """Main cells that are empty, or whose item can't be used any more, get one; saved side courses stay as they are."""
+    lacking = F.col("item").isNull() if usable is None else F.col("item").isNull() | ~F.coalesce(usable, F.lit(False))
+    return drawn(cells, candidates, seed, ~kept_cell() & (F.col("course") == MAIN) & lacking)
+
+
+def rerolled_week(cells: DataFrame, candidates: DataFrame, seed: int, draw: int) -> DataFrame:
+    """Every cell that isn't kept is drawn anew; what was there may come again, and a cell without candidates becomes empty."""
+    return drawn(cells, candidates, seed, ~kept_cell(), draw)
+
+
+def rerolled(cells: DataFrame, candidates: DataFrame, seed: int, draw: int, date: Column, course: str) -> DataFrame:
+    """One cell is drawn anew, kept or not, since it is asked for. A day that was blank is so no more, unless nothing was found."""
+    asked = (F.col("date") == date) & (F.col("course") == course)
+    out = drawn(cells, candidates, seed, asked, draw)
+    return out.withColumn("blank", F.col("blank") & ~(asked & F.col("item").isNotNull()))
+
+
+def menu(cells: DataFrame, candidates: DataFrame, seed: int, date: Column) -> DataFrame:
+    """The side courses of a day that are missing are drawn; saved ones are never redrawn, and a blank day stays blank."""
+    missing = (F.col("date") == date) & (F.col("course") != MAIN) & F.col("item").isNull() & ~F.coalesce(F.col("blank"), F.lit(False))
+    return drawn(cells, candidates, seed, missing)
 
 
 def weekday_category(day: Column, defaults: dict[int, str], other: str) -> Column:

@@ -17,6 +17,11 @@ def enriched(events: DataFrame, items: DataFrame, plans: DataFrame, item: str, d
     return out.withColumn("title", F.coalesce(F.nullif(F.col("item_title"), F.lit("")), "plan_title", "title")).drop("item_title", "plan_title")
 
 
+def favourites(items: DataFrame, favourite: DataFrame, key: str) -> DataFrame:
+    """Items that are favourites, with what the favourite's row has; of repeated favourites one."""
+    return items.join(favourite.dropDuplicates([key]), key)
+
+
 def own_over_shared(own: DataFrame, shared: DataFrame, key: str) -> DataFrame:
     """Of each key the own row, else the shared one."""
     return own.unionByName(shared.join(own.select(key), key, "left_anti"))
@@ -63,12 +68,29 @@ def conflicts_renamed(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.withColumn("renamed", renamed).dropDuplicates(["renamed"])
 
 
-def chunk_numbers(rows: DataFrame, group: str, order: list[Column], most_rows: int, most_bytes: int, size: str) -> DataFrame:
-    """A chunk number for each row in order: a chunk ends at a multiple of the most rows, or where bytes so far pass a multiple of the most bytes; so no chunk has more rows, nor more bytes than that and one row."""
-    by = Window.partitionBy(group).orderBy(*order)
-    rows = rows.withColumn("before", F.coalesce(F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.struct(F.floor((F.row_number().over(by) - 1) / most_rows).alias("r"), F.floor(F.col("before") / most_bytes).alias("b"))
-    return rows.withColumn("place", place).withColumn("chunk", F.dense_rank().over(Window.partitionBy(group).orderBy("place")) - 1).drop("before", "place")
+def chunk_numbers(rows: DataFrame, group: str, key: str, most_rows: int, most_bytes: int, size: str, width: int = 100_000) -> DataFrame:
+    """A chunk number for each row, in order of a unique whole number: a chunk ends at a multiple of the most rows, or where bytes so far pass a multiple of the most bytes; so no chunk has more rows, nor more bytes than that and one row.
+
+    A group may hold most rows, so sums run within ranges of `width` keys, and only the ranges' own sums run over the whole group.
+    """
+    span = F.floor(F.col(key) / width)
+    whole = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(group, "_span").orderBy(key)
+    before = lambda c: F.coalesce(F.sum(c).over(whole), F.lit(0))
+    spanned = rows.withColumn("_span", span)
+    ranges = spanned.groupBy(group, "_span").agg(F.count("*").alias("_n"), F.sum(size).alias("_size"), F.max_by(size, key).alias("_last"))
+    ranges = ranges.select(group, "_span", before("_n").alias("_rows"), before("_size").alias("_bytes"), F.lag("_last").over(Window.partitionBy(group).orderBy("_span")).alias("_last"))
+    placed = spanned.join(ranges, [group, "_span"])
+    row = F.col("_rows") + F.row_number().over(within) - 1
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumns({"_row": row, "_before": F.col("_bytes") + F.coalesce(F.sum(size).over(earlier), F.lit(0)), "_previous": F.coalesce(F.lag(size).over(within), "_last")})
+    marks = lambda r, b: F.struct(F.floor(r / most_rows), F.floor(b / most_bytes))
+    starts = (F.col("_row") > 0) & (marks(F.col("_row"), F.col("_before")) != marks(F.col("_row") - 1, F.col("_before") - F.col("_previous")))
+    placed = placed.withColumn("_start", starts.cast("long"))
+    totals = placed.groupBy(group, "_span").agg(F.sum("_start").alias("_starts"))
+    totals = totals.select(group, "_span", before("_starts").alias("_chunks"))
+    out = placed.join(totals, [group, "_span"]).withColumn("chunk", (F.col("_chunks") + F.sum("_start").over(within)).cast("int"))
+    return out.drop("_span", "_rows", "_bytes", "_last", "_row", "_before", "_previous", "_start", "_chunks")
 
 
 def sync_status(recovering: Column, failed: Column, ready: Column, pending: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,10 +65,13 @@ def planner_count(table):
     return df.filter(ex.predicate(q, columns(df), MOST) & (F.col("p_partkey") != 17)).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE false")
+@query("SELECT name, n FROM (SELECT 'valid' AS name, least(count(*), 100) AS n FROM part WHERE p_size BETWEEN 1 AND 30 UNION ALL SELECT 'rating', 0 UNION ALL SELECT 'minutes', 0 UNION ALL SELECT 'beyond', 0)")
 def invalid_criteria(table):
+    """How many rows a page has: criteria that aren't valid give none, never all."""
     df = catalog(table)
-    return ex.explore(df, ex.Criteria(min_rating=-1.0), columns(df)).select("p_partkey", "p_name")
+    asked = {"valid": ex.Criteria(max_minutes=30), "rating": ex.Criteria(min_rating=-1.0), "minutes": ex.Criteria(max_minutes=-5), "beyond": ex.Criteria(min_rating=11.0)}
+    pages = [ex.explore(df, q, columns(df), 100).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, q in asked.items()]
+    return reduce(DataFrame.unionAll, pages)
 
 
 @query("""
@@ -88,25 +93,42 @@ def own_first_paging(table):
     return ex.own_first(own, shared, ["name", "id"], 50, 10)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL' ORDER BY p_partkey LIMIT 1 OFFSET 5")
+@query("SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL' ORDER BY p_partkey LIMIT 1 OFFSET (SELECT count(*) // 2 FROM part WHERE p_type = 'SMALL')")
 def pick_at_place(table):
-    return se.pick_at(table("part").filter("p_type = 'SMALL'"), 5, "p_partkey").select("p_partkey", "p_name")
+    small = table("part").filter("p_type = 'SMALL'")
+    return se.pick_at(small, small.count() // 2, "p_partkey", few=50).select("p_partkey", "p_name")
+
+
+_PLACE = "CAST('0x' || substr(sha256('{}'), 1, 15) AS BIGINT)"
 
 
-@query()
+@query(f"""
+SELECT p_partkey, p_name FROM part WHERE p_type = 'SMALL' ORDER BY p_partkey LIMIT 1
+OFFSET (SELECT {_PLACE.format(42)} % count(*) FROM part WHERE p_type = 'SMALL')""")
 def seeded_pick(table):
     return se.seeded_pick(table("part").filter("p_type = 'SMALL'"), 42, "p_partkey").select("p_partkey", "p_name")
 
 
+@query(" UNION ALL ".join(f"""
+SELECT {seed} AS seed, side, id FROM (SELECT side, id FROM (SELECT 0 AS side, s_suppkey AS id FROM supplier UNION ALL SELECT 1, c_custkey FROM customer) ORDER BY side, id LIMIT 1
+ OFFSET (SELECT {_PLACE.format(seed)} % ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer))))""" for seed in range(6)))
+def mixed_pick(table):
+    own = table("supplier").select(F.lit(0).alias("side"), F.col("s_suppkey").alias("id"))
+    shared = table("customer").select(F.lit(1).alias("side"), F.col("c_custkey").alias("id"))
+    picks = [se.mixed_pick(own, shared, seed, "id").select(F.lit(seed).alias("seed"), "side", "id") for seed in range(6)]
+    return reduce(DataFrame.unionAll, picks)
+
+
 @query("""
 WITH f AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS rn, count(*) OVER () AS n FROM part WHERE p_type = 'PROMO')
 SELECT p_partkey FROM f WHERE p_partkey NOT IN (SELECT p_partkey FROM f WHERE (rn - (n - 1) + n) % n IN (0, 1)) ORDER BY (rn - (n - 1) + n) % n LIMIT 1""")
 def wrapping_pick(table):
     promo = table("part").filter("p_type = 'PROMO'")
-    order = [F.desc("p_retailprice"), F.asc("p_partkey")]
+    rank = F.struct((-F.col("p_retailprice")).alias("p"), F.col("p_partkey").alias("k"))
     n = promo.count()
-    first = [r["p_partkey"] for r in promo.orderBy(*order).offset(n - 1).limit(1).collect() + promo.orderBy(*order).limit(1).collect()]
-    return se.wrapping_pick(promo, n - 1, order, "p_partkey", first).select("p_partkey")
+    keyed = promo.withColumn("rank", rank)
+    ends = [se.pick_at(keyed, k, "rank").first()["p_partkey"] for k in (n - 1, 0)]
+    return se.wrapping_pick(promo, n - 1, rank, "p_partkey", ends).select("p_partkey")
 
 
 @query("""
@@ -119,10 +141,10 @@ def autocomplete(table):
 
 @query("""
 SELECT key FROM (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'x' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS key FROM customer)
-ORDER BY CASE WHEN regexp_matches(key, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(key AS HUGEINT), key LIMIT 40 OFFSET 990""")
+ORDER BY CASE WHEN regexp_matches(key, '^[0-9]+$') THEN 0 ELSE 1 END, TRY_CAST(key AS HUGEINT), key""")
 def numeric_first_order(table):
     key = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))).otherwise(F.col("c_custkey").cast("string"))
-    return table("customer").select(key.alias("key")).orderBy(*se.numeric_first(F.col("key"))).offset(990).limit(40)
+    return table("customer").select(key.alias("key")).orderBy(*se.numeric_first(F.col("key")))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (77, 5, 300, 42)")

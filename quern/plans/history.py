@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import history as hi
 from ..operators import merge as me
-from ..operators import planner as pl
 from ..operators import projections as pr
 from .registry import query
 
@@ -102,11 +101,11 @@ def week_skeleton(table):
 
 
 @query("""
-WITH g AS (SELECT i AS cell, DATE '2024-02-01' - CAST((isodow(DATE '2024-02-01') - 1) AS INTEGER) + CAST(i AS INTEGER) AS date FROM range(42) t(i))
-SELECT CAST(cell AS INTEGER) AS cell, CAST(date AS VARCHAR) AS date, CASE WHEN month(date) = 2 THEN CAST(day(date) AS INTEGER) END AS day FROM g""")
+WITH m AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS month FROM orders), g AS (SELECT month, i AS cell, month - CAST((isodow(month) - 1) AS INTEGER) + CAST(i AS INTEGER) AS date FROM m, range(42) t(i))
+SELECT CAST(month AS VARCHAR) AS month, CAST(cell AS INTEGER) AS cell, CAST(date AS VARCHAR) AS date, CASE WHEN date_trunc('month', date) = month THEN CAST(day(date) AS INTEGER) END AS day FROM g""")
 def month_grid(table):
-    one = table("region").limit(1).select(F.lit("2024-02-14").cast("date").alias("today"))
-    return hi.month_grid(one, F.col("today")).select("cell", F.col("date").cast("string").alias("date"), "day")
+    months = table("orders").select(F.trunc("o_orderdate", "MM").alias("today")).distinct()
+    return hi.month_grid(months, F.col("today")).select(F.col("today").cast("string").alias("month"), "cell", F.col("date").cast("string").alias("date"), "day")
 
 
 @query("""
@@ -158,16 +157,6 @@ def course_pivot(table):
     return pr.plans(top, ["user_id"], ["view", "click"]).select("user_id", F.col("view").alias("view_top"), F.col("click").alias("click_top"))
 
 
-@query()
-def week_plan(table):
-    spark = table("part").sparkSession
-    days = hi.week(spark.range(1), F.lit("2024-01-10").cast("timestamp")).select("day")
-    courses = days.select(F.col("day").alias("date"), F.explode(F.array(*map(F.lit, ("main", "side")))).alias("course"))
-    cells = courses.withColumn("category", pl.weekday_category(F.col("date"), {0: "SMALL", 4: "PROMO", 6: "none"}, "LARGE"))
-    cells = cells.withColumn("locked", F.weekday("date") == 2).withColumn("completed", F.weekday("date") == 1).withColumn("item", F.when(F.weekday("date") == 1, F.lit(7)).cast("long"))
-    return pl.filled_week(cells, table("part").select(F.col("p_type").alias("category"), F.col("p_partkey").alias("item")), 11)
-
-
 @query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(table):
     from ..streaming.state import event_windows as windows

@@ -22,7 +22,8 @@ def history_enrichment(table):
 
 @query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 def favourites_join(table):
-    return table("orders").join(table("customer").filter("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+    orders = table("orders").withColumnRenamed("o_custkey", "c_custkey")
+    return re_.favourites(orders, table("customer").filter("c_mktsegment = 'BUILDING'"), "c_custkey").select("o_orderkey", "c_name")
 
 
 @query("""
@@ -32,15 +33,14 @@ SELECT CAST(cell AS INTEGER) AS cell, o_orderkey, c_name FROM g LEFT JOIN p USIN
 def calendar_grid_join(table):
     orders = table("orders")
     last = orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.max_by("o_custkey", "o_orderkey").alias("c_custkey"), F.max("o_orderkey").alias("o_orderkey"))
-    grid = hi.month_grid(table("region").limit(1).select(F.lit("1998-02-10").cast("date").alias("t")), F.col("t"))
+    grid = hi.month_grid(orders.sparkSession.range(1).select(F.lit("1998-02-10").cast("date").alias("t")), F.col("t"))
     return grid.join(last, "date", "left").join(table("customer").select("c_custkey", "c_name"), "c_custkey", "left").select("cell", "o_orderkey", "c_name")
 
 
 @query("SELECT o_orderkey, c_custkey AS customer FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_nationkey = 3 WHERE strftime(o_orderdate, '%Y-%m') = '1998-02'")
 def calendar_month_join(table):
-    month = table("orders").filter(F.date_format("o_orderdate", "yyyy-MM") == "1998-02")
     own = table("customer").filter("c_nationkey = 3")
-    return month.join(own, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.col("c_custkey").alias("customer"))
+    return hi.month_with_own(table("orders"), own, "o_orderdate", "1998-02-01", F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_custkey").alias("customer"))
 
 
 @query("SELECT id, name FROM (SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier))")
@@ -101,7 +101,7 @@ def history_conflicts(table):
 WITH o AS (SELECT lang, doc_id, row_number() OVER w - 1 AS rn, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id))
 SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY rn // 100, before // 50000) - 1 AS INTEGER) AS chunk FROM o""")
 def upload_chunks(table):
-    return re_.chunk_numbers(table("documents"), "lang", [F.asc("doc_id")], 100, 50_000, "n_chars").select("doc_id", "chunk")
+    return re_.chunk_numbers(table("documents"), "lang", "doc_id", 100, 50_000, "n_chars", 64).select("doc_id", "chunk")
 
 
 @query("""

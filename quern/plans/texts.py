@@ -11,6 +11,7 @@ from ..functions import parse as pa
 from ..functions import text as te
 from ..operators import audit as au
 from ..operators import explore as ex
+from ..operators import history as hi
 from ..operators import projections as pr
 from ..sources import catalog as ca
 from ..sources import pages as pg
@@ -64,36 +65,7 @@ def token_neighbourhood(table):
 
 @query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS step FROM conversations")
 def running_step(table):
-    from pyspark.sql import Window
-
-    return table("conversations").select("conv_id", "turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("step"))
-
-
-@query("""
-SELECT * FROM (VALUES (1, 'PT1H30M', 90), (2, 'P1DT2H', 1560), (3, 'PT45S', 1), (4, 'PT0.5H', 30), (5, 'soon', NULL), (6, 'P', NULL), (7, 'pt20m', 20)) t(id, text, minutes)""")
-def duration_parse(table):
-    rows = literals(table, [(1, "PT1H30M"), (2, "P1DT2H"), (3, "PT45S"), (4, "PT0.5H"), (5, "soon"), (6, "P"), (7, "pt20m")], "id int, text string")
-    return rows.select("id", "text", pa.iso_minutes(F.col("text")).alias("minutes"))
-
-
-@query("SELECT * FROM (VALUES (1, '2 hours and 15 minutes', 135), (2, '1,5 ώρες', 90), (3, 'about 40', 40), (4, 'none', 0), (5, '1 day', 1440), (6, '', 0)) t(id, text, minutes)")
-def wait_parse(table):
-    rows = literals(table, [(1, "2 hours and 15 minutes"), (2, "1,5 ώρες"), (3, "about 40"), (4, "none"), (5, "1 day"), (6, "")], "id int, text string")
-    return rows.select("id", "text", pa.wait_minutes(F.col("text")).alias("minutes"))
-
-
-@query("""
-SELECT * FROM (VALUES (1, '2 cups', 'flour', 'sifted'), (2, '1/2 kg', 'sugar', ''), (3, '3', 'eggs', ''), (4, '', 'salt', ''), (5, '', '2 x 400 g tins', ''), (6, '1 ½ l', 'milk', 'warm')) t(id, amount, title, info)""")
-def quantity_parse(table):
-    rows = literals(table, [(1, "2 cups flour, sifted"), (2, "1/2 kg sugar"), (3, "3 eggs"), (4, "salt"), (5, "2 x 400 g tins"), (6, "1 ½ l milk, warm")], "id int, line string")
-    m = pa.measured(F.col("line"))
-    return rows.select("id", F.trim(F.concat_ws(" ", m["quantity"], m["unit"])).alias("amount"), m["title"].alias("title"), m["info"].alias("info"))
-
-
-@query("SELECT * FROM (VALUES (1, 45), (2, 90), (3, 0), (4, 0)) t(id, minutes)")
-def strict_minutes(table):
-    rows = literals(table, [(1, "30-45 min"), (2, "1 hour, 30 minutes"), (3, "30 min or so"), (4, "soon")], "id int, text string")
-    return rows.select("id", pa.strict_minutes(F.col("text")).alias("minutes"))
+    return hi.running_steps(table("conversations"), "conv_id", "turn").select("conv_id", "turn", "step")
 
 
 @query("SELECT p_partkey, round(greatest(0.0, least(10.0, p_retailprice / 997.0 * 10)), 2) AS rating FROM part")
@@ -101,17 +73,15 @@ def rating_rescale(table):
     return table("part").select("p_partkey", pa.rating_of_ten(F.col("p_retailprice"), F.lit(997.0)).alias("rating"))
 
 
-@query("SELECT * FROM (VALUES (1, 'https://example.com/a/b'), (2, 'https://example.com'), (3, NULL), (4, 'https://example.com/x')) t(id, url)")
-def url_canonical(table):
-    rows = literals(table, [(1, "http://user:pw@WWW.Example.com:8080/a/b/?q=1#f"), (2, "https://example.com"), (3, "ftp://x"), (4, "HTTPS://example.com/x/")], "id int, raw string")
-    return rows.select("id", pa.canonical_url(F.col("raw")).alias("url"))
-
-
 @query("""
-SELECT page_id, CASE WHEN host <> '' THEN 'https://' || regexp_replace(lower(host), '^www\\.', '') || regexp_replace(path, '/+$', '') END AS url FROM (
- SELECT page_id, regexp_extract(url, '^(?i:https?)://(?:[^/@?#]*@)?([^/:?#]+)', 1) AS host, regexp_extract(url, '^(?i:https?)://(?:[^/@?#]*@)?[^/:?#]+(?::[0-9]+)?(/[^?#]*)?', 1) AS path FROM pages)""")
+SELECT page_id, host || regexp_replace(path, '/+$', '') AS key,
+ CASE WHEN starts_with(lower(url), 'https://') AND NOT regexp_matches(lower(authority), '[@:]') THEN 'https://' || host || regexp_replace(path, '/+$', '') END AS canonical,
+ CASE WHEN starts_with(lower(url), 'https://') AND NOT regexp_matches(lower(authority), '[@:]') AND (host = 'ththre.example.com' OR host = 'thther.example.org') THEN 'https://' || host || regexp_replace(path, '/+$', '') END AS listed
+FROM (SELECT page_id, url, regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1) AS authority, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+(/[^?#]*)?', 1) AS path,
+ regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^.*@', ''), ':[0-9]+$', ''), '^www\\.', '') AS host FROM pages)""")
 def page_urls(table):
-    return table("pages").select("page_id", pa.canonical_url(F.col("url")).alias("url"))
+    url = F.col("url")
+    return table("pages").select("page_id", pa.page_key(url).alias("key"), pa.canonical_url(url).alias("canonical"), pa.canonical_url(url, ("ththre.example.com", "thther.example.org")).alias("listed"))
 
 
 @query("""SELECT page_id, lower(regexp_extract(html, '<html[^>]*\\blang="([a-zA-Z-]+)"', 1)) AS lang, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages""")
@@ -147,10 +117,10 @@ def size_argmax(table):
     return au.largest(table("documents"), F.octet_length("text"), "doc_id")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars <> length(text) THEN 'differs' END AS kind FROM documents WHERE n_chars <> length(text)")
+@query("SELECT doc_id, 'differs' AS kind FROM documents WHERE n_chars <> octet_length(encode(text))")
 def drift_audit(table):
     docs = table("documents").select("doc_id", "n_chars")
-    derived = table("documents").select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
+    derived = table("documents").select("doc_id", F.octet_length("text").cast("long").alias("n_chars"))
     return au.drift(docs, derived, "doc_id", ["n_chars"]).select("doc_id", "kind")
 
 
@@ -179,10 +149,10 @@ def eligibility_sets(table):
     return out.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("quality"), "n")
 
 
-@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars >= 20000 THEN 'length' END, CASE WHEN NOT regexp_matches(text, '^[[:upper:]]') THEN 'start' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents WHERE lang = 'en' AND (n_chars >= 20000 OR NOT regexp_matches(text, '^[[:upper:]]'))")
+@query("SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars >= 20000 THEN 'length' END, CASE WHEN NOT regexp_matches(text, '^[[:upper:]]') THEN 'start' END], lambda x: x IS NOT NULL), ',') AS broken FROM documents WHERE n_chars >= 20000 OR NOT regexp_matches(text, '^[[:upper:]]')")
 def record_violations(table):
     rules = {"length": F.col("n_chars") < 20000, "start": F.col("text").rlike("^[A-Z]")}
-    return au.violations(table("documents").filter("lang = 'en'"), "doc_id", rules).select("doc_id", F.array_join("violations", ",").alias("broken"))
+    return au.violations(table("documents"), "doc_id", rules).select("doc_id", F.array_join("violations", ",").alias("broken"))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
@@ -190,12 +160,15 @@ def duplicate_keys(table):
     return au.duplicates(table("orders"), "o_custkey")
 
 
-@query("SELECT k, only_in FROM (SELECT k, 'left' AS only_in FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer))")
+@query("SELECT k, only_in FROM (SELECT k, 'left' AS only_in FROM (SELECT p_size AS k FROM part EXCEPT SELECT c_nationkey FROM customer) UNION ALL SELECT k, 'right' FROM (SELECT c_nationkey AS k FROM customer EXCEPT SELECT p_size FROM part))")
 def set_equality(table):
-    return au.set_equality(table("customer").select(F.col("c_custkey").alias("k")), table("orders").select(F.col("o_custkey").alias("k")))
+    return au.set_equality(table("part").select(F.col("p_size").alias("k")), table("customer").select(F.col("c_nationkey").alias("k")))
 
 
-@query()
+@query("""
+WITH r AS (SELECT n_regionkey AS g, sha256(n_nationkey || '|' || '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation),
+low AS (SELECT g, substr(h, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1, 2), mid AS (SELECT g, substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM low GROUP BY 1, 2)
+SELECT g, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM mid GROUP BY g""")
 def catalog_digest(table):
     n = table("nation")
     return au.digest(n.withColumn("g", F.col("n_regionkey")), ["g"], "n_nationkey", ne.canonical_json(n))
@@ -230,28 +203,11 @@ def nutrition_unpivot(table):
 
 
 RULES = cl.ClauseRules(
-    kinds={"milk": (("milk", "cream"), ("milk",)), "meat": (("ham",), ("chicken", "beef")), "egg": ((), ("egg", "mayo"))},
+    kinds={"milk": (("milk", "cream"), ("milk",)), "meat": (("ham",), ("chicken", "beef")), "egg": ((), ("egg", "mayo", "en"))},
     bases={"milk": ("coconut", "oat", "soy", "almond")},
 )
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false), (5, false), (6, true), (7, false)) t(id, animal)")
-def animal_clause(table):
-    rows = [(1, "chicken breast"), (2, "coconut milk"), (3, "oat milk or cream"), (4, "sauce without eggs"), (5, "vegan mayonnaise"), (6, "2 eggs"), (7, None)]
-    return literals(table, rows, "id int, text string").select("id", cl.unqualified(F.col("text"), RULES).alias("animal"))
-
-
-@query("SELECT * FROM (VALUES (1, 1), (2, 0), (3, 0), (4, 1), (5, 0)) t(id, n)")
-def timing_guard(table):
-    rows = [(1, ["Mix. Leave for 2 hours.", "Serve"], 60), (2, ["You can leave it for 2 hours."], 60), (3, ["Bake 30 minutes."], 60), (4, ["Chill overnight."], 20), (5, ["Leave for 2 hours."], 0)]
-    return literals(table, rows, "id int, steps array<string>, total int").select("id", F.size(cl.timing_contradictions(F.col("steps"), F.col("total"))).alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('12', '12'), ('a-1', 'x_a-1')) t(native, id)")
-def document_ids(table):
-    return literals(table, [("12",), ("a-1",)], "native string").select("native", pa.document_id(F.lit("x"), F.col("native")).alias("id"))
-
-
 @query("SELECT doc_id, 'cooked_' || substr(sha256(doc_id || '|' || lang), 1, 32) AS event FROM documents")
 def event_ids(table):
     return table("documents").select("doc_id", pa.event_id("cooked", F.col("doc_id").cast("string"), F.col("lang")).alias("event"))
@@ -284,28 +240,97 @@ def page_ids(table):
     return table("pages").select("page_id", pa.document_id(F.lit("x"), F.col("url")).alias("id"))
 
 
-@query()
+ALL_TEXTS = "(SELECT 'documents' AS source, CAST(doc_id AS BIGINT) AS id, CAST(0 AS BIGINT) AS turn, text FROM documents UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations)"
+_WAIT = "'(?i)([0-9]+(?:[.,][0-9]+)?)\\s*(days?|ημέρ[εα]ς?|hours?|ώρ[εα]ς?|minutes?|min|λεπτά?)'"
+
+
+@query(f"""
+WITH t AS (SELECT source, id, turn, regexp_extract_all(text, {_WAIT}, 1) AS n, regexp_extract_all(text, {_WAIT}, 2) AS u, regexp_extract_all(text, '([0-9]+(?:[.,][0-9]+)?)', 1) AS others FROM {ALL_TEXTS})
+SELECT source, id, turn, CAST(ceil(CASE
+ WHEN len(n) > 0 THEN list_sum(list_transform(range(1, len(n) + 1), lambda i: CAST(replace(n[i], ',', '.') AS DOUBLE) * CASE WHEN regexp_matches(u[i], '(?i)^(day|ημέρ)') THEN 1440 WHEN regexp_matches(u[i], '(?i)^(hour|ώρ)') THEN 60 ELSE 1 END))
+ WHEN len(others) > 0 THEN CAST(replace(others[-1], ',', '.') AS DOUBLE) ELSE 0 END) AS BIGINT) AS minutes FROM t""")
 def text_waits(table):
     return all_texts(table).select("source", "id", "turn", pa.wait_minutes(F.col("text")).alias("minutes"))
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN p_size || ' hours, ' || p_partkey % 60 || ' min' WHEN 1 THEN p_size || '-' || (p_size + 5) || ' minutes' WHEN 2 THEN p_size || ' min or so' ELSE p_size || 'h' END AS text,
+ CASE p_partkey % 4 WHEN 0 THEN p_size * 60 + p_partkey % 60 WHEN 1 THEN p_size + 5 WHEN 2 THEN 0 ELSE p_size * 60 END AS minutes FROM part)
+SELECT 'part' AS source, k AS id, CAST(0 AS BIGINT) AS turn, CAST(minutes AS BIGINT) AS minutes FROM d
+UNION ALL SELECT source, id, turn, CASE WHEN text <> '' AND trim(regexp_replace(text, '(?i)(?:[0-9]+\\s*[-–]\\s*)?[0-9]+\\s*(hours?|h|minutes?|min|m)\\b[\\s,]*', '', 'g')) = '' THEN -1 ELSE 0 END FROM {ALL_TEXTS}""")
 def text_strict_minutes(table):
-    return all_texts(table).select("source", "id", "turn", pa.strict_minutes(F.col("text")).alias("minutes"))
-
-
-@query()
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = F.when(k % 4 == 0, F.concat(size, F.lit(" hours, "), k % 60, F.lit(" min"))).when(k % 4 == 1, F.concat(size, F.lit("-"), size + 5, F.lit(" minutes")))
+    text = text.when(k % 4 == 2, F.concat(size, F.lit(" min or so"))).otherwise(F.concat(size, F.lit("h")))
+    made = table("part").select(F.lit("part").alias("source"), k.cast("long").alias("id"), F.lit(0).cast("long").alias("turn"), text.alias("text"))
+    return made.unionAll(all_texts(table)).select("source", "id", "turn", pa.strict_minutes(F.col("text")).alias("minutes"))
+
+
+_GLYPH = "[¼½¾⅓⅔⅛⅜⅝⅞]"
+_NUM = "[0-9]+(?:[.,][0-9]+)?"
+_AMOUNT = f"(?:[0-9]+\\s*{_GLYPH}|[0-9]+\\s+[0-9]+\\s*/\\s*[0-9]+|[0-9]+\\s*/\\s*[0-9]+|{_NUM}\\s*[-–]\\s*{_NUM}|{_NUM}|{_GLYPH})"
+_UNITS = "kg|gr?|ml|lt?|tbsp|tsp|cups?|κιλ[όά]|γρ(?:αμμάρι(?:α|ο)?)?|κ\\.\\s?[σγ]|φλ(?:ιτζάνι(?:α)?)?|λίτρ(?:ο|α)|κουταλ(?:ιά|ιές|άκι|άκια)"
+
+
+def _measured_sql(rows: str, keys: str) -> str:
+    return f"""
+WITH c AS (SELECT {keys}, trim(regexp_replace(line_text, '\\s+', ' ', 'g')) AS clean FROM ({rows})),
+a AS (SELECT *, regexp_extract(clean, '^{_AMOUNT}') AS amount FROM c),
+b AS (SELECT *, ltrim(substr(clean, length(amount) + 1)) AS after FROM a),
+d AS (SELECT *, regexp_extract(after, '(?i)^({_UNITS})(?:[^\\p{{L}}\\p{{N}}]|$)', 1) AS u FROM b),
+e AS (SELECT *, ltrim(regexp_replace(substr(after, length(u) + 1), '^\\.', '')) AS behind FROM d),
+f AS (SELECT *, amount = '' OR after = '' OR regexp_matches(after, '(?i)^[x×]\\s*[0-9]') OR (u <> '' AND behind = '') AS whole FROM e),
+g AS (SELECT *, CASE WHEN whole THEN clean WHEN u <> '' THEN behind ELSE after END AS t FROM f),
+h AS (SELECT *, instr(t, ',') AS comma FROM g),
+i AS (SELECT *, CASE WHEN comma > 0 THEN trim(substr(t, 1, comma - 1)) ELSE '' END AS head, CASE WHEN comma > 0 THEN trim(substr(t, comma + 1)) ELSE '' END AS tail FROM h)
+SELECT {keys}, CASE WHEN whole THEN '' ELSE amount END AS quantity, CASE WHEN whole THEN '' ELSE u END AS unit,
+ CASE WHEN head <> '' AND tail <> '' THEN head ELSE t END AS title, CASE WHEN head <> '' AND tail <> '' THEN tail ELSE '' END AS info FROM i"""
+
+
+@query(_measured_sql(f"SELECT source, id, turn, CAST(unnest(range(0, len(l))) AS INTEGER) AS line, unnest(l) AS line_text FROM (SELECT source, id, turn, string_split(text, chr(10)) AS l FROM {ALL_TEXTS})", "source, id, turn, line"))
 def text_quantities(table):
     lines = all_texts(table).select("source", "id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     return lines.select("source", "id", "turn", "line", pa.measured(F.col("text")).alias("m")).select("source", "id", "turn", "line", "m.*")
 
 
-@query()
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN p_size || '/4' WHEN 3 THEN p_size || ' ½' ELSE '' END AS quantity,
+ CASE p_partkey % 5 WHEN 1 THEN 'cups' WHEN 2 THEN 'γρ' ELSE '' END AS unit,
+ CASE p_partkey % 5 WHEN 4 THEN p_size || ' x 400 g ' || p_name ELSE p_name END AS title, CASE WHEN p_partkey % 5 < 4 THEN lower(p_type) ELSE '' END AS info FROM part""")
+def part_quantities(table):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    front = F.when(k % 5 == 0, "").when(k % 5 == 1, F.concat(size, F.lit(" cups "))).when(k % 5 == 2, F.concat(size, F.lit("/4 γρ. "))).when(k % 5 == 3, F.concat(size, F.lit(" ½ "))).otherwise(F.concat(size, F.lit(" x 400 g ")))
+    line = F.concat(front, F.col("p_name"), F.when(k % 5 < 4, F.concat(F.lit(" , "), F.lower("p_type"))).otherwise(""))
+    return table("part").select("p_partkey", pa.measured(line).alias("m")).select("p_partkey", "m.*")
+
+
+@query(f"""
+WITH c AS (SELECT source, id, turn, unnest(range(0, len(l))) AS cn, unnest(l) AS clause FROM (SELECT source, id, turn, string_split_regex(text, '(?i)\\s+(?:or|ή)\\s+|/') AS l FROM {ALL_TEXTS})),
+k AS (SELECT source, id, turn, cn, i, t[i] AS token, CASE WHEN i > 1 THEN t[i - 1] END AS prev, list_slice(t, greatest(i - 3, 1), i + 3) AS near FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM (SELECT source, id, turn, cn, list_filter(string_split({_TOKEN.format('clause')}, ' '), lambda x: x <> '') AS t FROM c))),
+m AS (SELECT *, CASE WHEN token IN ('milk', 'cream') OR starts_with(token, 'milk') THEN 'milk' WHEN token = 'ham' OR starts_with(token, 'chicken') OR starts_with(token, 'beef') THEN 'meat' WHEN starts_with(token, 'egg') OR starts_with(token, 'mayo') OR starts_with(token, 'en') THEN 'egg' END AS kind,
+ coalesce(starts_with(prev, 'without') OR starts_with(prev, 'no'), false) AS negated,
+ len(list_filter(near, lambda x: starts_with(x, 'vegan'))) > 0 AS qualified, len(list_filter(near, lambda x: starts_with(x, 'coconut') OR starts_with(x, 'oat') OR starts_with(x, 'soy') OR starts_with(x, 'almond'))) > 0 AS based FROM k),
+o AS (SELECT *, coalesce(bool_or(negated) OVER (PARTITION BY source, id, turn, cn, kind), false) AS taken_back FROM m WHERE kind IS NOT NULL)
+SELECT source, id, turn, EXISTS (SELECT 1 FROM o WHERE o.source = t.source AND o.id = t.id AND o.turn = t.turn AND NOT (negated OR taken_back OR qualified OR (kind = 'milk' AND based))) AS animal FROM {ALL_TEXTS} t""")
 def text_clauses(table):
     return all_texts(table).select("source", "id", "turn", cl.unqualified(F.col("text"), RULES).alias("animal"))
 
 
-@query()
+@query(f"""
+WITH s AS (SELECT source, id, turn, CAST(id % 90 AS INTEGER) AS total, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS s FROM {ALL_TEXTS}),
+d AS (SELECT *, regexp_extract_all(s, '(?i)([0-9]+(?:[.,][0-9]+)?)\\s*(?:(?:-|–|to)\\s*[0-9]+(?:[.,][0-9]+)?\\s*)?(days?|hours?|minutes?|min)\\b', 1) AS n, regexp_extract_all(s, '(?i)([0-9]+(?:[.,][0-9]+)?)\\s*(?:(?:-|–|to)\\s*[0-9]+(?:[.,][0-9]+)?\\s*)?(days?|hours?|minutes?|min)\\b', 2) AS u FROM s),
+f AS (SELECT source, id, turn FROM d WHERE total > 0 AND regexp_matches(s, '(?i)\\b(?:leave|place|bake|boil|simmer|cook|rest|marinate|soak|chill|freeze|wait)\\b') AND NOT regexp_matches(s, '(?i)\\b(?:if|can|may|optional\\w*|alternatively|ideally|keeps?|store)\\b')
+ AND (len(list_filter(range(1, len(n) + 1), lambda i: CAST(replace(n[i], ',', '.') AS DOUBLE) * CASE WHEN lower(u[i])[1] = 'd' THEN 1440 WHEN lower(u[i])[1] = 'h' THEN 60 ELSE 1 END > total)) > 0 OR (total < 30 AND regexp_matches(s, '(?i)\\b(?:overnight|all night|until the next day)\\b'))))
+SELECT source, id, turn, CAST((SELECT count(*) FROM f WHERE f.source = t.source AND f.id = t.id AND f.turn = t.turn) AS INTEGER) AS n FROM {ALL_TEXTS} t""")
 def text_timing(table):
     total = (F.col("id") % 90).cast("int")
     return all_texts(table).select("source", "id", "turn", F.size(cl.timing_contradictions(F.array("text"), total)).alias("n"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 10 = 0 OR p_size % 4 = 2 THEN 0 WHEN p_size % 4 = 3 THEN CASE WHEN p_size % 10 < 3 THEN 1 ELSE 0 END ELSE CASE WHEN p_partkey % 7 * 60 > p_size % 10 * 10 THEN 1 ELSE 0 END END AS n FROM part""")
+def part_timing(table):
+    """Steps made from all parts: binding hours, optional ones, and nights, against a total."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    first = F.when(size % 4 == 2, F.concat(F.lit("You can leave it for "), k % 7, F.lit(" hours."))).when(size % 4 == 3, "Chill overnight.").otherwise(F.concat(F.lit("Mix. Leave for "), k % 7, F.lit(" hours.")))
+    return table("part").select("p_partkey", F.size(cl.timing_contradictions(F.array(first, F.lit("Serve")), (size % 10 * 10).cast("int"))).alias("n"))

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parse import page_key
+
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "nav", "header", "footer", "title"}
 _SILENT = {"script", "style"}
 
@@ -66,15 +68,29 @@ def unescaped(text: str, times: int = 5) -> str:
     return text
 
 
-def page_text(source: str | None) -> str:
-    """Lines of visible text, trimmed, without blank ones."""
+def _read(source: str | None) -> _Page:
     p = _Page()
     p.feed(source or "")
     p.close()
+    return p
+
+
+def _lines(p: _Page) -> str:
     lines = (" ".join(unescaped(x).split()) for x in "".join(p.parts).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
+def page_text(source: str | None) -> str:
+    """Lines of visible text, trimmed, without blank ones."""
+    return _lines(_read(source))
+
+
+def chosen(found: list[dict], url: str) -> dict | None:
+    """Of a page's objects the one whose address is the page's; else the only one; else none."""
+    same = [x for x in found if isinstance(x.get("url"), str) and x["url"].rstrip("/") == (url or "").rstrip("/")]
+    return same[0] if len(same) == 1 else found[0] if len(found) == 1 else None
+
+
 def nodes_of(value, kind: str) -> list[dict]:
     """JSON-LD objects of a type (the last part of its name counts), in lists and graphs too."""
     if isinstance(value, list):
@@ -114,16 +130,14 @@ def parsed_pages(pages: DataFrame, key: str = "page_id", body: str = "html", kin
         for b in batches:
             rows = []
             for source in b.column(1).to_pylist():
-                p = _Page()
-                p.feed(source or "")
-                p.close()
+                p = _read(source)
                 found: list[dict] = []
                 for d in p.data:
                     try:
                         found += nodes_of(json.loads(d), kind)
                     except ValueError:
                         pass
-                rows.append((p.lang, p.canonical, len(p.links), page_text(source), json.dumps(found, ensure_ascii=False, sort_keys=True)))
+                rows.append((p.lang, p.canonical, len(p.links), _lines(p), json.dumps(found, ensure_ascii=False, sort_keys=True)))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.record_batch([b.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=[key, "lang", "canonical", "n_links", "text", "data"])
 
@@ -143,6 +157,35 @@ def page_links(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(r"(?i)<a\s[^>]*href=\"([^\"#]+)"), 1))
 
 
+def resolved_tables(rows: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, data, error) of JSON texts that are reference tables: their first value with all references followed, as JSON; what is no table has an error."""
+    named = rows.schema[key].dataType.simpleString()
+
+    def one(text: str | None) -> tuple[str | None, str]:
+        try:
+            table = json.loads(text or "")
+        except ValueError:
+            return None, "no JSON"
+        if not isinstance(table, list) or not table:
+            return None, "no table"
+        return json.dumps(resolved(table), ensure_ascii=False, sort_keys=True), ""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [one(t) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], names=[key, "data", "error"])
+
+    return rows.select(key, body).mapInArrow(run, f"{key} {named}, data string, error string")
+
+
+def canonical_links(pages: DataFrame, url: str = "url", body: str = "html") -> DataFrame:
+    """(from, to): links of pages as page keys, those that begin with a slash under the page's own host; other kinds of address go."""
+    links = pages.select(F.col(url).alias("page"), F.explode(page_links(F.col(body))).alias("link"))
+    host = F.regexp_extract(F.col("page"), r"^([a-zA-Z]+://[^/?#]+)", 1)
+    whole = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("https:"), "link")).when(F.startswith("link", F.lit("/")), F.concat(host, "link")).otherwise(F.col("link"))
+    return links.select(page_key(F.col("page")).alias("from"), page_key(whole).alias("to")).filter(F.col("to").isNotNull()).distinct()
+
+
 def frontier(pages: DataFrame, seen: DataFrame, body: str = "html") -> DataFrame:
     """Links that haven't been seen, each once, with how many pages have them."""
     links = pages.select(F.explode(page_links(F.col(body))).alias("url"))
@@ -153,3 +196,16 @@ def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
     """(loc, lastmod) of a sitemap's entries: of an address the latest time."""
     rows = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string").load(path)
     return rows.filter("loc is not null").groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+
+
+def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
+    """(loc, lastmod) of the sitemaps that an index names."""
+    rows = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string, lastmod string").load(path)
+    return rows.filter("loc is not null").groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+
+
+def by_page_id(entries: DataFrame, pattern: str) -> DataFrame:
+    """(id, loc, lastmod): of the entries that a pattern's group finds an id in, one for each id, of the latest time; of equals any, but always the same."""
+    found = entries.withColumn("id", F.regexp_extract("loc", pattern, 1)).filter("id <> ''")
+    newest = F.max_by(F.struct("loc", "lastmod"), F.struct(F.coalesce("lastmod", F.lit("")).alias("t"), F.sha2("loc", 256).alias("h")))
+    return found.groupBy("id").agg(newest.alias("x")).select("id", "x.*")

@@ -24,12 +24,19 @@ def merged_versions(updates: DataFrame, keys: list[str]) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         payload, time = state.get if state.exists else (None, -1)
-        known = state.exists
-        rows = pd.concat(list(frames)).sort_values(["time", "authoritative"])
-        for p, t, sure in zip(rows["payload"], rows["time"], rows["authoritative"]):
-            p = None if pd.isna(p) else p
-            if sure or not known or (payload is not None and t > time):
-                payload, time, known = p, int(t), True
+        rows = pd.concat(list(frames)).sort_values(["time", "authoritative"], kind="stable")
+        rows = rows.assign(payload=rows["payload"].astype(object).where(rows["payload"].notna(), None))
+        sure = rows["authoritative"].to_numpy(bool)
+        begin = len(rows) - sure[::-1].argmax() - 1 if sure.any() else -1 if state.exists else 0
+        if begin >= 0:  # the last that is sure, or the first of all, stands whatever was before
+            payload, time = rows["payload"].iloc[begin], int(rows["time"].iloc[begin])
+        if payload is not None:  # what is deleted stays so; else newer times follow one another until one deletes
+            newer = rows.iloc[begin + 1 :]
+            newer = newer[newer["time"] > time].drop_duplicates("time")
+            if len(newer):
+                gone = newer["payload"].isna().to_numpy()
+                last = newer.iloc[gone.argmax() if gone.any() else -1]
+                payload, time = last["payload"], int(last["time"])
         state.update((payload, time))
         yield pd.DataFrame([[*key, payload, time]], columns=[*keys, "payload", "time"])
 
@@ -37,13 +44,53 @@ def merged_versions(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.groupBy(*keys).applyInPandasWithState(step, f"{kinds}, payload string, time long", "payload string, time long", "update", GroupStateTimeout.NoTimeout)
 
 
-def keep_latest(stream: DataFrame, path: str, keys: list[str], time: str, checkpoint: str):
-    """A query that keeps the newest row of each key in versioned tables below path: each batch writes version n + 1 from version n, so a batch that is run again gives the same."""
+def keep_latest(stream: DataFrame, path: str, keys: list[str], time: str, checkpoint: str, buckets: int = 64):
+    """A query that keeps the newest row of each key in a table of buckets below path: a batch writes anew only the buckets that its keys fall into, each under the batch's number. So a batch that is run again gives the same. latest_table() reads it, drop_superseded() deletes what newer batches have replaced."""
     from ..operators.merge import latest
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        before = rows if number == 0 else spark.read.schema(rows.schema).parquet(f"{path}/{number - 1}").unionByName(rows)
-        latest(before, keys, [F.desc(time)]).write.mode("overwrite").parquet(f"{path}/{number}")
+        fresh = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most `buckets`
+        before = latest_table(spark, path, fresh.schema, number).filter(F.col("bucket").isin(touched))
+        ties = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
+        now = latest(before.unionByName(fresh), keys, [F.desc(time), F.desc(ties)]).withColumn("batch", F.lit(number))
+        now.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "bucket").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """(batch, bucket, folder) of all that is there."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, "batch=*/bucket=*"))
+    names = [str(f.getPath().toString()) for f in found or []]
+    return [(int(n.split("/batch=")[1].split("/")[0]), int(n.rsplit("=", 1)[1]), n) for n in names]
+
+
+def _newest(versions: list[tuple[int, int, str]], before: int | None) -> dict[int, str]:
+    out: dict[int, tuple[int, str]] = {}
+    for number, bucket, name in versions:
+        if (before is None or number < before) and number >= out.get(bucket, (-1, ""))[0]:
+            out[bucket] = (number, name)
+    return {b: name for b, (_, name) in out.items()}
+
+
+def latest_table(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
+    """The newest version of each bucket, of batches before a number where one is given."""
+    newest = _newest(_versions(spark, path), before)
+    if not newest:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*newest.values()).drop("batch")
+
+
+def drop_superseded(spark: SparkSession, path: str) -> int:
+    """Deletes the versions of buckets that newer batches have replaced, once nothing reads them; how many."""
+    versions = _versions(spark, path)
+    stay = set(_newest(versions, None).values())
+    old = [name for _, _, name in versions if name not in stay]
+    for name in old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(old)

@@ -1,11 +1,16 @@
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import nested, parse, text
+from quern.functions import clauses, language, links, nested, parse, text
 from quern.sources import pages
 
+RULES = clauses.ClauseRules(
+    kinds={"milk": (("milk", "cream"), ("milk",)), "meat": (("ham",), ("chicken", "beef")), "egg": ((), ("egg", "mayo"))},
+    bases={"milk": ("coconut", "oat", "soy", "almond")},
+)
 GROUPS = [
     ["Παστίτσιο", "pastitsio", "PASTITSIO"],
     ["χταπόδι", "xtapodi", "htapodi", "chtapodi"],
@@ -92,3 +97,73 @@ def test_reference_table_stops_at_cycles():
 def test_parsed_pages(spark):
     df = spark.createDataFrame([(1, '<html lang="en"><a href="/x">y</a>'), (2, None)], "page_id long, html string")
     assert [(r["lang"], r["n_links"], r["text"], r["data"]) for r in pages.parsed_pages(df).orderBy("page_id").collect()] == [("en", 1, "y", "[]"), ("", 0, "", "[]")]
+
+
+@pytest.mark.parametrize("raw, minutes", [("PT1H30M", 90), ("P1DT2H", 1560), ("PT45S", 1), ("PT0.5H", 30), ("soon", None), ("P", None), ("PT", None), ("pt20m", 20), ("PT5M3H", None), ("P1H", None), ("PT1D", None), ("P2D", 2880), (None, None), ("", None), ("PT1H1H", None)])
+def test_durations(spark, raw, minutes):
+    assert one(spark, raw, parse.iso_minutes) == minutes
+
+
+@pytest.mark.parametrize("raw, minutes", [("2 hours and 15 minutes", 135), ("1,5 ώρες", 90), ("about 40", 40), ("none", 0), ("1 day", 1440), ("", 0), ("ΔΥΟ 2 ΩΡΕΣ", 2), ("3 ΏΡΕΣ", 180)])
+def test_waits(spark, raw, minutes):
+    assert one(spark, raw, parse.wait_minutes) == minutes
+
+
+@pytest.mark.parametrize("raw, parts", [
+    ("2 cups flour, sifted", ("2", "cups", "flour", "sifted")), ("1/2 kg sugar", ("1/2", "kg", "sugar", "")), ("3 eggs", ("3", "", "eggs", "")), ("salt", ("", "", "salt", "")), ("2 x 400 g tins", ("", "", "2 x 400 g tins", "")),
+    ("1 ½ l milk, warm", ("1 ½", "l", "milk", "warm")), ("500 γρ. αλεύρι, κοσκινισμένο", ("500", "γρ", "αλεύρι", "κοσκινισμένο")), ("2-3 κουταλιές λάδι", ("2-3", "κουταλιές", "λάδι", "")), ("1 1/2 cup water", ("1 1/2", "cup", "water", "")), ("200 g", ("", "", "200 g", "")), ("2 large onions", ("2", "", "large onions", "")), (None, ("", "", "", "")), ("½ lemon", ("½", "", "lemon", "")),
+])
+def test_measured_lines(spark, raw, parts):
+    assert tuple(one(spark, raw, parse.measured)) == parts
+
+
+@pytest.mark.parametrize("raw, minutes", [("30-45 min", 45), ("1 hour, 30 minutes", 90), ("30 min or so", 0), ("soon", 0)])
+def test_strict_minutes(spark, raw, minutes):
+    assert one(spark, raw, parse.strict_minutes) == minutes
+
+
+def test_addresses(spark):
+    raw = ["http://www.example.com/a", "https://user:pw@example.com/a", "https://example.com:8080/a", "https://WWW.Example.com/a/b/?q=1#f", "https://example.com", "ftp://x", None]
+    assert [one(spark, x, parse.canonical_url) for x in raw] == [None, None, None, "https://example.com/a/b", "https://example.com", None, None]
+    assert one(spark, raw[3], lambda c: parse.canonical_url(c, ("other.org",))) is None
+    assert [one(spark, x, parse.page_key) for x in raw] == ["example.com/a", "example.com/a", "example.com/a", "example.com/a/b", "example.com", None, None]
+
+
+@pytest.mark.parametrize("raw", ["Ș ș Ț", "Tiếng Việt", "ﬁn ﬂat", "ＦＵＬＬ ｗｉｄｔｈ", "x² ½ cup", "ǅ ĳ", "Ω Ά ΐ"])
+def test_folding_is_the_full_decomposition(spark, raw):
+    assert one(spark, raw, text.search_token) == text.exact_search_token(raw)
+
+
+def test_every_letter_folds_as_its_decomposition(spark):
+    letters = [chr(c) for c in range(0xA0, 0x2000) if unicodedata.category(chr(c)) in ("Ll", "Lo", "Nd", "No") and unicodedata.normalize("NFKD", chr(c)) != chr(c)]
+    df = spark.createDataFrame([(c,) for c in letters], "x string").select("x", text.search_token(F.col("x")).alias("t"))
+    wrong = {r["x"]: r["t"] for r in df.collect() if r["t"] != text.exact_search_token(r["x"]) and " " not in text.exact_search_token(r["x"])}
+    assert not wrong
+
+
+@pytest.mark.parametrize("clause, animal", [("chicken breast", True), ("coconut milk", False), ("oat milk or cream", True), ("sauce without eggs", False), ("vegan mayonnaise", False), ("2 eggs", True), (None, False)])
+def test_clauses(spark, clause, animal):
+    assert one(spark, clause, lambda c: clauses.unqualified(c, RULES)) is animal
+
+
+@pytest.mark.parametrize("steps, total, n", [(["Mix. Leave for 2 hours.", "Serve"], 60, 1), (["You can leave it for 2 hours."], 60, 0), (["Bake 30 minutes."], 60, 0), (["Chill overnight."], 20, 1), (["Leave for 2 hours."], 0, 0)])
+def test_timing(spark, steps, total, n):
+    df = spark.createDataFrame([(steps, total)], "s array<string>, t int")
+    assert len(df.select(clauses.timing_contradictions(F.col("s"), F.col("t"))).first()[0]) == n
+
+
+def test_document_ids(spark):
+    assert [one(spark, x, lambda c: parse.document_id(F.lit("x"), c)) for x in ("12", "a-1")] == ["12", "x_a-1"]
+
+
+def test_media_and_links(spark):
+    same = ["https://www.youtube.com/watch?t=3&v=abcdefghijk", "https://youtu.be/abcdefghijk?si=1", "https://m.youtube.com/shorts/abcdefghijk", "https://www.youtube-nocookie.com/embed/abcdefghijk"]
+    assert {one(spark, x, links.media_identity) for x in same} == {"video:abcdefghijk"}
+    assert one(spark, "https://www.I.org/p/a-640x480.JPG?w=2", links.media_identity) == "image:i.org/p/a.jpg"
+    assert one(spark, "https://x.org/r/a_1?x#y", lambda c: links.shared_id(c, "https://x.org/r")) == "a_1" and one(spark, "https://evil.org/r/a", lambda c: links.shared_id(c, "https://x.org/r")) is None
+
+
+def test_language_gates(spark):
+    assert [one(spark, x, lambda c: language.declared(c, "el")) for x in ("el", "EL_gr", " el-GR", "ell", None)] == [True, True, True, False, False]
+    greek = "\\p{InGreek}"
+    assert [one(spark, x, lambda c: language.substantive(c, greek, "a-z")) for x in ("Μια συνταγή", "ab αβ", "α")] == [True, False, False]

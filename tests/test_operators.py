@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import audit, explore, facets, history, merge, planner, select
+from quern.operators import records as records_
 from quern.sources import catalog, pages, records
 
 
@@ -40,8 +43,8 @@ def test_seeded_pick_repeats(spark):
 
 def test_wrapping_pick_goes_round(spark):
     df = spark.range(5)
-    assert select.wrapping_pick(df, 4, [F.asc("id")], "id", [4, 0]).first()[0] == 1
-    assert select.wrapping_pick(df, 0, [F.asc("id")], "id", [0, 1, 2, 3, 4]).count() == 0
+    assert select.wrapping_pick(df, 4, F.col("id"), "id", [4, 0]).first()[0] == 1
+    assert select.wrapping_pick(df, 0, F.col("id"), "id", [0, 1, 2, 3, 4]).count() == 0
 
 
 SCHEMA = "k int, payload string, time long, revision string, observed boolean, imported boolean"
@@ -92,12 +95,74 @@ def test_month_grid_begins_on_monday(spark):
     assert len(grid) == 42 and [r["day"] for r in grid[:4]] == [None, None, None, 1] and str(grid[0]["date"]) == "2024-01-29"
 
 
-def test_week_keeps_what_is_locked(spark):
-    cells = spark.createDataFrame([("d1", "main", "A", True, False, None), ("d2", "main", "A", False, True, 9), ("d3", "main", "A", False, False, None), ("d4", "main", "none", False, False, None)], "date string, course string, category string, locked boolean, completed boolean, item long")
+CELLS = "date string, course string, category string, locked boolean, completed boolean, blank boolean, item long"
+
+
+def items(df):
+    return {(r["date"], r["course"]): r["item"] for r in df.collect()}
+
+
+def test_week_states(spark):
+    rows = [("d1", "main", "A", True, False, False, None), ("d2", "main", "A", False, True, False, 9), ("d3", "main", "A", False, False, False, None), ("d4", "main", "none", False, False, False, None), ("d5", "main", "A", False, False, True, None), ("d6", "main", "A", False, False, False, 4), ("d6", "side", "A", False, False, False, None)]
+    cells = spark.createDataFrame(rows, CELLS)
+    food = spark.range(10).select(F.lit("A").alias("category"), F.col("id").alias("item"))
+    plan = items(planner.ensured(cells, food, 3))
+    assert plan["d1", "main"] is None and plan["d2", "main"] == 9 and plan["d3", "main"] in range(10) and plan["d4", "main"] is None and plan["d5", "main"] is None
+    assert plan["d6", "main"] == 4 and plan["d6", "side"] is None
+    assert plan == items(planner.ensured(cells.repartition(3), food.repartition(2), 3))
+    again = items(planner.rerolled_week(cells, food, 3, 1))
+    assert again["d1", "main"] is None and again["d2", "main"] == 9 and again["d5", "main"] is None and again["d6", "side"] in range(10)
+    menu = items(planner.menu(cells, food, 3, F.lit("d6")))
+    assert menu["d6", "main"] == 4 and menu["d6", "side"] in range(10) and menu["d3", "main"] is None
+    blank = planner.rerolled(cells, food, 3, 1, F.lit("d5"), "main").filter("date = 'd5'").first()
+    assert blank["item"] in range(10) and not blank["blank"]
+    nothing = planner.rerolled(cells, food.limit(0), 3, 1, F.lit("d5"), "main").filter("date = 'd5'").first()
+    assert nothing["item"] is None and nothing["blank"]
+
+
+def test_draws_are_uniform_and_differ(spark):
+    cells = spark.range(3000).select(F.concat(F.lit("d"), "id").alias("date"), F.lit("main").alias("course"), F.lit("A").alias("category"), *(F.lit(False).alias(c) for c in ("locked", "completed", "blank")), F.lit(None).cast("long").alias("item"))
     food = spark.range(10).select(F.lit("A").alias("category"), F.col("id").alias("item"))
-    plan = {r["date"]: r["item"] for r in planner.filled_week(cells, food, 3).collect()}
-    assert plan["d1"] is None and plan["d2"] == 9 and plan["d3"] in range(10) and plan["d4"] is None
-    assert plan == {r["date"]: r["item"] for r in planner.filled_week(cells.repartition(3), food.repartition(2), 3).collect()}
+    counts = [r["count"] for r in planner.ensured(cells, food, 3).groupBy("item").count().collect()]
+    assert len(counts) == 10 and 230 < min(counts) and max(counts) < 370
+
+
+def test_picks_by_narrowing(spark):
+    df = spark.range(5000).select((F.col("id") * 7 % 5000).alias("id"))
+    for k in (0, 1, 777, 4998, 4999):
+        assert select.pick_at(df, k, "id", few=20).first()[0] == k
+    tied = df.withColumn("rank", F.struct((F.col("id") % 3).alias("a"), F.col("id").alias("b")))
+    order = sorted(range(5000), key=lambda i: (i % 3, i))
+    for k in (0, 2500, 4999):
+        assert select.pick_at(tied, k, "rank", few=20).first()["id"] == order[k]
+    assert select.pick_at(df.limit(0), 0, "id").count() == 0
+
+
+def test_mixed_pick_takes_both_sides(spark):
+    own, shared = spark.range(3), spark.range(100, 103)
+    assert {select.mixed_pick(own, shared, seed, "id").first()[0] for seed in range(40)} == {0, 1, 2, 100, 101, 102}
+    assert select.mixed_pick(own.limit(0), shared.limit(0), 1, "id").count() == 0
+
+
+def test_chunks(spark):
+    draw = random.Random(3)
+    size = [draw.randint(0, 40) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(size)), "k long, n long").withColumn("g", F.lit("one")).repartition(5)
+    got = {r["k"]: r["chunk"] for r in records_.chunk_numbers(df, "g", "k", 20, 300, "n", width=13).collect()}
+    chunk, before, want = 0, 0, {}
+    for k, n in enumerate(size):
+        if k and (k // 20, before // 300) != mark:
+            chunk += 1
+        mark = (k // 20, before // 300)
+        want[k] = chunk
+        before += n
+    assert got == want
+
+
+def test_counted_page(spark):
+    df = spark.range(30)
+    assert [(r["id"], r["total"], r["has_more"]) for r in explore.counted_page(df, [F.asc("id")], 3, 26).collect()] == [(26, 30, True), (27, 30, True), (28, 30, True)]
+    assert explore.counted_page(df, [F.asc("id")], 5, 30).count() == 0 and not explore.counted_page(df, [F.asc("id")], 5, 25).first()["has_more"]
 
 
 def test_catalog_round_trip(spark, tmp_path):
@@ -123,3 +188,35 @@ def test_records(spark, tmp_path):
 def test_sitemap(spark, tmp_path):
     (tmp_path / "s.xml").write_text("<urlset><url><loc>/a</loc><lastmod>2024-01-01</lastmod></url><url><loc>/a</loc><lastmod>2024-02-01</lastmod></url><url><loc>/b</loc></url></urlset>")
     assert {tuple(r) for r in pages.read_sitemap(spark, str(tmp_path / "s.xml")).collect()} == {("/a", "2024-02-01"), ("/b", None)}
+
+
+def test_sitemap_index_and_ids(spark, tmp_path):
+    (tmp_path / "i.xml").write_text("<sitemapindex><sitemap><loc>/s1</loc><lastmod>2024-01-01</lastmod></sitemap><sitemap><loc>/s2</loc></sitemap></sitemapindex>")
+    assert {tuple(r) for r in pages.read_sitemap_index(spark, str(tmp_path / "i.xml")).collect()} == {("/s1", "2024-01-01"), ("/s2", None)}
+    entries = spark.createDataFrame([("/r/1-old", "2024-01"), ("/r/1-new", "2024-02"), ("/r/2", None), ("/about", "2024-03")], "loc string, lastmod string")
+    assert {tuple(r) for r in pages.by_page_id(entries, r"^/r/([0-9]+)").collect()} == {("1", "/r/1-new", "2024-02"), ("2", "/r/2", None)}
+
+
+def test_wrapped_records_and_bad_lines(spark, tmp_path):
+    (tmp_path / "w.json").write_text('{"recipes": [{"id": 1, "t": "a"},\n {"id": 2, "t": "b"}]}')
+    assert rows(records.read_wrapped(spark, str(tmp_path / "w.json"), "id int, t string", "recipes")) == [(1, "a"), (2, "b")]
+    (tmp_path / "b.jsonl").write_text('\ufeff{"id":1}\n\n{oops\n{"id":2}\n[bad', encoding="utf-8")
+    assert [(r["line"], r["text"]) for r in records.bad_lines(spark, str(tmp_path / "b.jsonl"), "id int").orderBy("line").collect()] == [(3, "{oops"), (5, "[bad")]
+
+
+def test_payload_must_be_of_its_row(spark):
+    fine = spark.createDataFrame([("1", '{"id":"1"}')], "id string, payload string")
+    assert records.require_same_id(fine, "id", "payload").count() == 1
+    with pytest.raises(Exception, match="another id"):
+        records.require_same_id(fine.withColumn("id", F.lit("2")), "id", "payload").collect()
+
+
+def test_reference_tables_as_rows(spark):
+    df = spark.createDataFrame([(1, '[{"a":1},"x"]'), (2, "{}"), (3, "nothing"), (4, None)], "k int, body string")
+    assert sorted((r["k"], r["data"], r["error"]) for r in pages.resolved_tables(df, "k", "body").collect()) == [(1, '{"a": "x"}', ""), (2, None, "no table"), (3, None, "no JSON"), (4, None, "no JSON")]
+
+
+def test_links_of_a_page(spark):
+    df = spark.createDataFrame([("https://www.a.org/p?x=1", '<a href="/q/">1</a><a href="//b.org/r">2</a><a href="mailto:x">3</a><a href="/q">4</a>')], "url string, html string")
+    assert rows(pages.canonical_links(df)) == [("a.org/p", "a.org/q"), ("a.org/p", "b.org/r")]
+    assert pages.chosen([{"url": "https://a/x"}, {"url": "https://a/y/"}], "https://a/y")["url"].endswith("y/") and pages.chosen([{}, {}], "z") is None and pages.chosen([{"n": 1}], "z") == {"n": 1}

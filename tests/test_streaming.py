@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quern.streaming import state
@@ -24,8 +26,30 @@ def test_latest_table(spark, tmp_path):
     stream = state.event_stream(spark, str(tmp_path / "in"), SCHEMA)
     q = state.keep_latest(stream, str(tmp_path / "out"), ["k"], "time", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
-    assert {r["k"]: r["payload"] for r in spark.read.parquet(str(tmp_path / "out" / str(last))).collect()} == {1: "b", 2: "x"}
+    kind = "k int, payload string, time long, authoritative boolean, bucket int"
+    now = lambda: {r["k"]: r["payload"] for r in state.latest_table(spark, str(tmp_path / "out"), kind).collect()}
+    assert now() == {1: "b", 2: "x"}
+    assert state.drop_superseded(spark, str(tmp_path / "out")) == 2 and now() == {1: "b", 2: "x"}
+
+
+def test_merging_is_that_of_one_update_after_the_other(spark, tmp_path):
+    draw = random.Random(4)
+    batches = [[(draw.randint(1, 6), draw.choice([None, "a", "b", "c"]), draw.randint(1, 9), draw.random() < 0.3) for _ in range(12)] for _ in range(6)]
+    want = {}
+    for rows in batches:
+        for k, p, t, sure in sorted(rows, key=lambda r: (r[2], r[3])):
+            known = k in want
+            payload, time = want.get(k, (None, -1))
+            if sure or not known or (payload is not None and t > time):
+                want[k] = (p, t)
+    write(spark, tmp_path / "in", batches)
+    stream = state.event_stream(spark, str(tmp_path / "in"), SCHEMA)
+    q = state.merged_versions(stream, ["k"]).writeStream.outputMode("update").format("memory").queryName("sequence").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in spark.table("sequence").collect():
+        got[r["k"]] = (r["payload"], r["time"])
+    assert got == want
 
 
 def test_windows_drop_what_is_too_late(spark):

