@@ -49,3 +49,41 @@ def test_few_rows(spark, rows):
 
 def test_fewer_candidates_than_asked(spark):
     assert search(spark, [(0, [1.0, 0.0], 0), (1, [0.5, 0.0], 0), (3, [2.0, 0.0], 0)], probed=10**6) == {0: [(3, 2.0), (1, 0.5)]}
+
+
+def recall(got, expected):
+    return sum(len({a for a, _ in got[q]} & {a for a, _ in expected[q]}) for q in expected) / sum(map(len, expected.values()))
+
+
+def test_clustered_vectors_need_few_lists(spark, monkeypatch):
+    draw = np.random.default_rng(1)
+    centres = draw.normal(size=(40, 16))
+    x = (centres[draw.integers(0, 40, 3000)] + 0.15 * draw.normal(size=(3000, 16))).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    seen = []
+    probing = ann.Index.probing
+    monkeypatch.setattr(ann.Index, "probing", lambda self, *a, **b: seen.append((probing(self, *a, **b), len(self.coarse))) or seen[-1][0])
+    got = search(spark, rows)
+    assert recall(got, truth([(i, x[i]) for i in range(3000)])) >= 0.9
+    assert seen[0][0] < seen[0][1] / 2
+
+
+@pytest.mark.parametrize("kind", ["double", "int"])
+def test_other_number_types_are_exact(spark, kind):
+    draw = np.random.default_rng(2)
+    x = draw.normal(size=(300, 8)) if kind == "double" else draw.integers(-9, 9, (300, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>").repartition(3)
+    want = truth([(i, x[i].astype(float)) for i in range(300) if np.any(x[i])])
+    got = {}
+    for r in ann.nearest_neighbours(df, probed=10**6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert {q: [a for a, _ in v] for q, v in got.items()} == {q: [a for a, _ in v] for q, v in want.items()}
+    assert all(abs(s - t) < 1e-12 * max(1, abs(t)) for q in want for (_, s), (_, t) in zip(got[q], want[q]))
+
+
+def test_lists_in_parts(spark):
+    first, blocks = ann.parts_of(np.array([3, 4, 25, 0, 9, 2]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and blocks.tolist() == [1, 1, 3, 1, 1, 1]
+    x = np.random.default_rng(3).normal(size=(600, 8)).astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    assert search(spark, rows, part=50, probed=10**6) == search(spark, rows, probed=10**6)
