@@ -2,10 +2,11 @@
 
 A text is cut by the vocabulary's pattern; each distinct piece is a row of byte tokens in a matrix of rows of about
 its length. In each round every row merges its leftmost pair of minimum rank: ranks of pairs come from a hash table
-in arrays, the merged rows close up, and rows without a pair leave the matrix. A row beyond LONG tokens has a matrix of
-its own, and takes all occurrences of its pair in one round wherever that is the same as one after the other.
+in arrays, the merged rows close up, and rows without a pair leave the matrix. A piece beyond LONG bytes, of which there
+are few, makes the same merges in the same order from a heap, as rounds over a row so wide would take its length squared.
 
-Null texts are empty: no tokens. The vocabulary's path is a parameter; it is read on the driver, and what is sent to
+Defined results: null and empty texts have no tokens; a blank text has those of its white space; very long texts are cut by the
+pattern like any other; repeated rows and equal texts have equal ids; an empty table gives no rows. The vocabulary's path is a parameter; it is read on the driver, and what is sent to
 the executors is bounded by the vocabulary.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -145,22 +147,29 @@ class ByteBPE:
             rank[rows[inner], before[inner]] = self.pairs.lookup(token[rows[inner], before[inner]], least[inner])
 
     def _long(self, piece: bytes) -> bytes:
+        """The same merges in the same order, the next one from a heap of (rank, place): a long row alone would be looked through whole in each round."""
         token = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
         rank = self.pairs.lookup(token[:-1], token[1:])
-        while len(rank) and (least := rank.min()) != NONE:
-            at = np.flatnonzero(rank == least)
-            run = np.r_[True, np.diff(at) != 1]  # of overlapping pairs, every other one from the left
-            first = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-            at = at[(at - first) % 2 == 0]
-            merged = token.copy()
-            merged[at] = least
-            merged = np.delete(merged, at + 1)
-            again = self.pairs.lookup(merged[:-1], merged[1:])
-            if len(at) > 1 and len(again) and again.min() < least:  # a new pair comes before the next occurrence
-                merged = np.delete(np.r_[token[: at[0]], least, token[at[0] + 1 :]], at[0] + 1)
-                again = self.pairs.lookup(merged[:-1], merged[1:])
-            token, rank = merged, again
-        return token.astype(np.uint32).tobytes()
+        some = np.flatnonzero(rank != NONE)
+        ids = token.tolist()
+        heap = list(zip(rank[some].tolist(), some.tolist(), token[some].tolist(), token[some + 1].tolist()))
+        heapq.heapify(heap)
+        while heap:
+            least, at, left, right = heapq.heappop(heap)
+            to = after[at]
+            if ids[at] != left or to >= len(ids) or ids[to] != right:
+                continue  # one of the two has been merged
+            ids[at], ids[to] = least, -1
+            after[at] = after[to]
+            if after[to] < len(ids):
+                before[after[to]] = at
+            sides = [(x, y) for x, y in ((before[at], at), (at, after[at])) if x >= 0 and y < len(ids)]
+            found = self.pairs.lookup(np.array([ids[x] for x, _ in sides], np.int64), np.array([ids[y] for _, y in sides], np.int64)) if sides else ()
+            for (x, y), r in zip(sides, found):
+                if r != NONE:
+                    heapq.heappush(heap, (int(r), x, ids[x], ids[y]))
+        return np.array([i for i in ids if i >= 0], np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.memory.many(texts)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +61,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_bytes(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose values in a column of texts or bytes have at most `most` bytes together, or are one value."""
+    size = np.array(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64)
+    ends = size.cumsum()
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Those names, with underscores before them until df has no column of that name in any case."""
     taken = {c.lower() for c in df.columns}

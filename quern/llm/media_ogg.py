@@ -6,8 +6,9 @@ reassembles packets from the lacing values (also packets that run over several p
 streams by serial number, derives each packet's time from the granule positions, and puts packets back in order of
 time.
 
-Defined results: a null payload is an empty one; an empty file has no streams; equal payloads give equal files. A
-damaged file raises OggError with the place of the damage.
+Defined results: a null payload is an empty one, and an empty or blank text its padding; an empty file has no streams; equal
+payloads give equal files, and repeated rows count each; very long texts are single files, written and read a few
+megabytes of files at a time; an empty table gives no rows. A damaged file raises OggError with the place of the damage.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 SAMPLE_RATE = 8000
 UNIT = 192  # payloads are padded to a multiple of this many bytes
 BLOCK = 4 * UNIT  # samples in a packet
@@ -198,7 +201,7 @@ def with_media(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, 1)):
             raw = [x or b"" for x in b.column(1).to_pylist()]
             yield pa.record_batch({"k": b.column(0), "n_bytes": pa.array(map(len, raw), pa.int64()), "media": pa.array([encode(pad(x)) for x in raw], pa.binary())})
 
@@ -214,7 +217,7 @@ def read_media(df: DataFrame, media: str = "media") -> DataFrame:
     at = df.columns.index(media)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in by_bytes(whole, at)):
             sizes, hashes, tails, features = [], [], [], []
             for stored in b.column(at).to_pylist():
                 payload, facts = decode(stored or b"")

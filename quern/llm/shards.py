@@ -6,7 +6,7 @@ shard with the fewest bytes, largest slots first. Rebalancing edits the map (a n
 
 Equal texts share a slot, hence a shard. Only a text whose copies hold more than a HOT_SHARE-th of a shard's fair share
 of bytes is salted by doc_id over all slots, so that no group of copies makes a shard large. There are at most
-HOT_SHARE x shards such texts, so their table has a proven bound and may be broadcast.
+HOT_SHARE x shards such texts, so their table has a proven bound and may be broadcast; their rows are marked as parted.
 
 Law: `bytes`. Nulls: a null text has size 16 and is hashed as such; a null doc_id is an ordinary row. Repeated rows
 each get a place of their own. An empty table gives an empty result.
@@ -32,7 +32,7 @@ def record_size(text: Column) -> Column:
 
 
 def with_virtual_slot(df: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Adds size, text_crc32 and virtual_slot."""
+    """doc_id with size, text_crc32, virtual_slot and parted: whether the row is one of a group of copies that is dealt over all slots."""
     rows = df.select(
         "doc_id",
         record_size(F.col("text")).alias("size"),
@@ -45,7 +45,7 @@ def with_virtual_slot(df: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     hot = groups.join(F.broadcast(fair), F.col("bytes") > F.col("most")).select("text_hash", "size", F.lit(True).alias("hot"))
     marked = rows.join(F.broadcast(hot), ["text_hash", "size"], "left")  # at most HOT_SHARE * shards rows
     slot = F.when(F.col("hot"), F.xxhash64("text_hash", "doc_id")).otherwise(F.xxhash64("text_hash", F.lit("slot")))
-    return marked.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot"))
+    return marked.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot"), F.coalesce("hot", F.lit(False)).alias("parted"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -120,4 +120,4 @@ def virtual_slot_shards(documents: DataFrame, shards: int = SHARDS, slots: int =
     counts = F.split(F.lit(",".join(str(counted.get(k, (0, 0))[1]) for k in range(slots))), ",")
     known = spark.range(1).select(F.posexplode(counts).alias("virtual_slot", "n")).select("virtual_slot", F.col("n").cast("long").alias("n"))
     placed = place(rows, slot_map, known)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(1).alias("map_version"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "parted", F.lit(1).alias("map_version"))

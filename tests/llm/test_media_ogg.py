@@ -1,4 +1,6 @@
 import hashlib
+import random
+import struct
 import zlib
 
 import pytest
@@ -53,3 +55,48 @@ def test_digest(docs, none):
         media = ogg.encode(padded)
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
     assert ogg.ogg_digest(none).count() == 0
+
+
+def slow_crc(page):
+    """CRC-32 by the polynomial 04c11db7, bit by bit."""
+    crc = 0
+    for byte in page:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+def test_pages_by_a_reader_of_their_own():
+    """Pages read by the format's description alone: capture pattern, checksum, page numbers, flags, lacing, granule positions."""
+    payload = bytes(random.Random(1).randrange(256) for _ in range(ogg.UNIT * 40))
+    data = ogg.encode(payload)
+    at, streams = 0, {}
+    while at < len(data):
+        capture, version, flags, granule, serial, number, crc, segments = struct.unpack_from("<4sBBqIIIB", data, at)
+        lacing = data[at + 27 : at + 27 + segments]
+        end = at + 27 + segments + sum(lacing)
+        page = bytearray(data[at:end])
+        page[22:26] = bytes(4)
+        assert capture == b"OggS" and version == 0 and slow_crc(page) == crc
+        s = streams.setdefault(serial, {"pages": 0, "packets": [b""], "granules": [], "last": False})
+        assert number == s["pages"] and bool(flags & 2) == (number == 0) and not s["last"]
+        s["pages"] += 1
+        s["last"] = bool(flags & 4)
+        body = at + 27 + segments
+        ended = False
+        for n in lacing:
+            s["packets"][-1] += data[body : body + n]
+            body += n
+            if n < 255:
+                s["packets"].append(b"")
+                ended = True
+        assert (granule == -1) == (not ended)
+        if ended:
+            s["granules"].append(granule)
+        at = end
+    assert len(streams) == ogg.LANES and all(s["last"] and s["granules"] == sorted(s["granules"]) for s in streams.values())
+    samples = sum(len(p) for s in streams.values() for p in s["packets"][1:])
+    assert samples == len(payload) and sum(s["granules"][-1] for s in streams.values()) >= len(payload) // ogg.LANES
+    lanes = [b"".join(s["packets"][1:]) for s in streams.values()]
+    assert sorted(b"".join(lanes)) == sorted(payload) and payload.startswith(lanes[0][: ogg.BLOCK])

@@ -47,3 +47,10 @@ def test_a_new_shard_takes_whole_slots(spark, tmp_path):
     shards.save_map(spark, second, 2, str(tmp_path))
     assert shards.load_map(spark, str(tmp_path), 1).filter("shard = 40").count() == 0 < shards.load_map(spark, str(tmp_path), 2).filter("shard = 40").count()
     assert max(shards.rebalanced(second, sizes, 39)) == 38
+
+
+def test_only_groups_too_large_for_a_shard_are_parted(spark):
+    rows = [(i, f"text {i} " * 20) for i in range(2000)] + [(10_000 + i, "hot " * 50) for i in range(2000)] + [(20_000 + i, "pair") for i in range(2)]
+    got = shards.virtual_slot_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r["doc_id"] for r in got if r["parted"]} == {10_000 + i for i in range(2000)}
+    assert len({r["shard"] for r in got if r["doc_id"] >= 20_000}) == 1
