@@ -65,21 +65,45 @@ def unqualified(text: Column, rules: ClauseRules) -> Column:
 
 @dataclass(frozen=True)
 class TimingRules:
-    """Patterns of a sentence that orders something, of one that doesn't bind, and of waiting overnight."""
+    """Patterns of a sentence that orders something, of one that doesn't bind, and of waiting overnight; words for numbers; units in minutes. A duration that an alternative stands before doesn't bind."""
 
     action: str = r"(?iu)\b(?:leave|place|bake|boil|simmer|cook|rest|marinate|soak|chill|freeze|wait)\b"
     optional: str = r"(?iu)\b(?:if|can|may|optional\w*|alternatively|ideally|keeps?|store)\b"
     overnight: str = r"(?iu)\b(?:overnight|all night|until the next day)\b"
-    duration: str = r"(?iu)(\d+(?:[.,]\d+)?)\s*(?:(?:-|–|to)\s*\d+(?:[.,]\d+)?\s*)?(days?|hours?|minutes?|min)\b"
+    numbers: tuple[tuple[str, float], ...] = (("half an", 0.5), ("half a", 0.5), ("an", 1), ("one", 1), ("two", 2), ("three", 3), ("four", 4), ("five", 5), ("six", 6), ("eight", 8), ("ten", 10), ("twelve", 12), ("twenty", 20), ("thirty", 30))
+    units: tuple[tuple[str, int], ...] = (("days?", 1440), ("hours?", 60), ("minutes?", 1), ("min", 1))
+    range_words: str = r"-|–|to"
+    alternative: str = r"\bor\s+"
+
+
+def _amount_of(text: Column, numbers: tuple[tuple[str, float], ...]) -> Column:
+    """A word for a number, a fraction, or a decimal number."""
+    plain = F.lower(F.regexp_replace(text, r"\s+", " "))
+    out = F.coalesce(F.replace(plain, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
+    parts = F.split(plain, r"\s*/\s*")
+    out = F.when(F.size(parts) == 2, F.coalesce(F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")), F.lit(0.0))).otherwise(out)
+    for word, n in numbers:
+        out = F.when(plain == word, float(n)).otherwise(out)
+    return out
 
 
 def timing_contradictions(steps: Column, total: Column, rules: TimingRules = TimingRules()) -> Column:
-    """Sentences of the steps that must be done and take longer than the whole is said to: the total can't be right."""
+    """Sentences of the steps that must be done and take longer than the whole is said to: the total can't be right. Of a range its lower end counts."""
     sentences = F.flatten(F.transform(steps, lambda s: F.split(s, r"(?<=[.!?;])\s+|\n+")))
+    amount = rf"\d+\s*/\s*\d+|\d+(?:[.,]\d+)?|\b(?:{'|'.join(w for w, _ in rules.numbers)})"
+    unit = "|".join(u for u, _ in rules.units)
+    duration = rf"(?iu)({rules.alternative})?({amount})\s*(?:(?:{rules.range_words})\s*(?:{amount})\s*)?({unit})\b"
+
+    def worth(u: Column) -> Column:
+        out = F.lit(1)
+        for pattern, minutes in reversed(rules.units):
+            out = F.when(u.rlike(f"(?iu)^(?:{pattern})$"), minutes).otherwise(out)
+        return out
 
     def minutes(s: Column) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(s, F.lit(rules.duration), 1).alias("n"), F.regexp_extract_all(s, F.lit(rules.duration), 2).alias("u"))
-        return F.transform(pairs, lambda p: F.replace(p["n"], F.lit(","), F.lit(".")).cast("double") * F.when(F.lower(p["u"]).startswith("d"), 1440).when(F.lower(p["u"]).startswith("h"), 60).otherwise(1))
+        either, n, u = (F.regexp_extract_all(s, F.lit(duration), k) for k in (1, 2, 3))
+        binding = F.filter(F.arrays_zip(either.alias("either"), n.alias("n"), u.alias("u")), lambda p: p["either"] == "")
+        return F.transform(binding, lambda p: _amount_of(p["n"], rules.numbers) * worth(p["u"]))
 
     binding = lambda s: s.rlike(rules.action) & ~s.rlike(rules.optional)
     longer = lambda s: F.exists(minutes(s), lambda m: m > total) | ((total < 30) & s.rlike(rules.overnight))

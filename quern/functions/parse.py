@@ -130,6 +130,11 @@ def stable_key(text: Column) -> Column:
     return head.cast("double") / F.lit(2.0**64)
 
 
+def namespaced_key(provider: Column, id_: Column) -> Column:
+    """stable_key of an id of a provider, so that equal ids of two providers differ."""
+    return stable_key(F.concat(provider, F.lit(":"), id_))
+
+
 def document_id(source: Column, native: Column) -> Column:
     """Digits stay as they are; a safe native id gets its source's key; any other is hashed."""
     return F.when(native.rlike(r"^\d+$"), native).when(native.rlike(SAFE_ID), F.concat(source, F.lit("_"), native)).otherwise(F.concat(source, F.lit("_h_"), F.sha2(native, 256)))

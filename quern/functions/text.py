@@ -64,6 +64,17 @@ def label_key(text: Column) -> Column:
     return F.trim(folded(text))
 
 
+def spaced_label_key(text: Column) -> Column:
+    """A label's key with white space as single spaces."""
+    return F.trim(F.regexp_replace(folded(text), r"\s+", " "))
+
+
+def comparison_text(text: Column) -> Column:
+    """A text to compare wordings by: spaced_label_key without spaces before punctuation, and with one sign for degrees."""
+    degrees = F.regexp_replace(text, "\\s*[\u00ba\u02da\u00b0]\\s*", "\u00b0")
+    return F.regexp_replace(spaced_label_key(degrees), r" +([,.;:!?])", "$1")
+
+
 def title_key(text: Column) -> Column:
     """One form for Greek, Latin and mixed spellings of a title; rules never cross a space."""
     key = search_token(text)

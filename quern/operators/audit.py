@@ -62,3 +62,31 @@ def digest(df: DataFrame, group: list[str], key: str, json: Column) -> DataFrame
 def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one of two sets lacks, with the side that has them. None: the sets are equal."""
     return a.subtract(b).withColumn("only_in", F.lit("left")).unionAll(b.subtract(a).withColumn("only_in", F.lit("right")))
+
+
+def intersection(frames: list[DataFrame]) -> DataFrame:
+    """Rows that all of some sets have."""
+    out = frames[0].distinct()
+    for f in frames[1:]:
+        out = out.intersect(f)
+    return out
+
+
+def set_differences(df: DataFrame, key: str, stored: Column, derived: Column) -> DataFrame:
+    """(key, missing, extra) of rows whose stored set isn't the derived one: what it lacks, and what it has beyond."""
+    lists = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    s, d = lists(stored), lists(derived)
+    out = df.select(key, F.array_except(d, s).alias("missing"), F.array_except(s, d).alias("extra"))
+    return out.filter((F.size("missing") > 0) | (F.size("extra") > 0))
+
+
+def eligibility(df: DataFrame, groups: list[str], stored: Column, derived: Column) -> DataFrame:
+    """(group, value, stored, derived): eligible rows as stored and as found anew, by each grouping and in all."""
+    rows = df.withColumns({"_stored": stored, "_derived": derived})
+    sets = rows.groupingSets([[g] for g in groups] + [[]], *groups).agg(F.count_if("_stored").alias("stored"), F.count_if("_derived").alias("derived"), F.grouping_id().alias("_id"))
+    name = F.lit("all")
+    value = F.lit("")
+    for k, g in enumerate(groups):
+        alone = (1 << len(groups)) - 1 - (1 << (len(groups) - 1 - k))
+        name, value = F.when(F.col("_id") == alone, F.lit(g)).otherwise(name), F.when(F.col("_id") == alone, F.coalesce(F.col(g).cast("string"), F.lit(""))).otherwise(value)
+    return sets.select(name.alias("name"), value.alias("value"), "stored", "derived")

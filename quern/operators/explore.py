@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import and_, or_
 
@@ -46,6 +46,13 @@ class Criteria:
         return 0 <= self.min_rating <= most_rating and self.max_minutes >= 0
 
 
+def known_only(q: Criteria, sources: frozenset[str], categories: frozenset[str]) -> Criteria:
+    """Criteria without sources and categories that aren't known: a stale choice neither hides nor shows anything. Where all chosen sources are unknown, none is chosen."""
+    p = q.preferences
+    kept = replace(p, excluded_sources=p.excluded_sources & sources, excluded_categories=p.excluded_categories & categories)
+    return replace(q, sources=q.sources & sources, preferences=kept)
+
+
 def rating_above(rating: Column, least: float, most: float = 10.0) -> Column:
     """Strictly above, of ratings that are numbers within range; 0 is no condition."""
     return ~F.isnan(rating) & rating.between(0, most) & (rating > least) if least > 0 else F.lit(True)

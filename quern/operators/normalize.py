@@ -156,3 +156,34 @@ def suspicious(df: DataFrame, key: str, category: str, text: str, groups: dict[s
     """(key, category, evidence): rows whose text speaks of groups, their category not among them."""
     found = df.select(key, category, category_evidence(F.col(text), groups).alias("evidence"))
     return found.filter((F.size("evidence") > 0) & ~F.array_contains("evidence", F.col(category)))
+
+
+def by_rules(rows: DataFrame, key: str, labels: str, rules: DataFrame, other: str) -> DataFrame:
+    """(key, category): rules (label, category, rank, final) are joined on tokens of the labels; a final rule comes before all others, then the least rank decides, then the category's name. The rules are a vocabulary, so small, and the join is left to choose how."""
+    each = rows.select(key, F.explode_outer(F.array_distinct(F.transform(labels, search_token))).alias("label"))
+    known = rules.select(search_token(F.col("label")).alias("label"), "category", F.struct((~F.col("final")).alias("later"), "rank", F.col("category").alias("name")).alias("_order"))
+    return each.join(known, "label", "left").groupBy(key).agg(F.coalesce(F.min_by("category", "_order"), F.lit(other)).alias("category"))
+
+
+def anchored(steps: Column, anchors: Column, most: int = 4) -> Column:
+    """For each anchor the places of the steps that it is made of: steps follow one another, and an anchor is one to `most` of them joined by spaces. Null where they don't all go together."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("found"), F.lit(True).alias("fine"))
+
+    def step(acc: Column, anchor: Column) -> Column:
+        fits = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: (acc["at"] + n <= F.size(steps)) & (F.array_join(F.slice(steps, acc["at"] + 1, n), " ") == anchor))
+        n = F.get(fits, F.lit(0))
+        taken = F.when(n.isNotNull(), F.sequence(acc["at"], acc["at"] + n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.struct((acc["at"] + F.coalesce(n, F.lit(0))).alias("at"), F.concat(acc["found"], F.array(taken)).alias("found"), (acc["fine"] & n.isNotNull()).alias("fine"))
+
+    end = F.aggregate(anchors, start, step)
+    return F.when(end["fine"] & (end["at"] == F.size(steps)), end["found"])
+
+
+def provider_of(signals: dict[str, Column], names: dict[str, dict[str, str]]) -> Column:
+    """struct(provider, conflict): each signal (such as key, domain, host) says a provider by its own table; those that say none don't count, and different ones are a conflict."""
+    said = []
+    for name, c in sorted(signals.items()):
+        table = F.create_map(*(F.lit(x) for p in sorted(names[name].items()) for x in p))
+        said.append(table[F.lower(F.trim(c))])
+    distinct = F.array_distinct(F.array_compact(F.array(*said)))
+    return F.struct(F.when(F.size(distinct) == 1, distinct[0]).alias("provider"), (F.size(distinct) > 1).alias("conflict"))

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import language as la
 from ..functions import links as li
 from ..functions import nested as ne
+from ..functions import parse as pa
 from ..functions.parse import ease, quick
+from ..functions.sanitize import sanitized_json
 from ..operators import audit as au
 from ..operators import merge as me
 from ..operators import validate as va
 from ..sources import release as rl
+from ..sources import scopes as sc
 from .registry import query
 
 
@@ -179,3 +182,60 @@ def checkpoint_copy(table):
 def nation_sizes(table):
     n = table("nation")
     return n.select("n_nationkey", ne.encoded_size(ne.canonical_json(n)).alias("size"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN '{"a":' || event_id || ',"b":[1.5,null]}' ELSE NULL END AS clean FROM (SELECT event_id, replace(props, ': ', ':') AS props FROM events)""")
+def sanitized_props(table):
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.col("props")).when(k % 5 == 1, F.concat(F.lit('{"b": [1.5, null], "a": '), k, F.lit("}"))).when(k % 5 == 2, '{"a": 1, "a": 2}').when(k % 5 == 3, F.concat(F.lit('{"n": 99999999999999999999'), k, F.lit("}")))
+    return table("events").select("event_id", sanitized_json(text.otherwise('{" ": NaN}')).alias("clean"))
+
+
+@query("""
+SELECT page_id, host, CASE WHEN host = 'thther.example.org' THEN '' ELSE title END AS title, ad FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^www\\.', '') AS host,
+ trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, trim(regexp_replace(replace(replace(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS ad FROM pages)""")
+def scoped_pages(table):
+    """Titles and advertisements of pages; one host's pages have no titles by its own rules."""
+    ad = {"ad": ("div", "ad")}
+    found = sc.scoped(table("pages"), {"thther.example.org": ad}, ad | {"title": ("h1", "")})
+    first = lambda c: F.coalesce(F.get(c, F.lit(0)), F.lit(""))
+    return found.select("page_id", "host", first("title").alias("title"), first("ad").alias("ad"))
+
+
+@query("""
+SELECT 'lang' AS name, coalesce(lang, '') AS value, count(*) FILTER (n_chars > 500) AS stored, count(*) FILTER (length(text) > 500 AND lang <> 'fr') AS derived FROM documents GROUP BY 2
+UNION ALL SELECT 'source', coalesce(source, ''), count(*) FILTER (n_chars > 500), count(*) FILTER (length(text) > 500 AND lang <> 'fr') FROM documents GROUP BY 2
+UNION ALL SELECT 'all', '', count(*) FILTER (n_chars > 500), count(*) FILTER (length(text) > 500 AND lang <> 'fr') FROM documents""")
+def eligibility_drift(table):
+    return au.eligibility(table("documents"), ["lang", "source"], F.col("n_chars") > 500, (F.char_length("text") > 500) & (F.col("lang") != "fr"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN p_brand ELSE '' END AS missing, CASE WHEN p_partkey % 3 = 0 THEN 'old' ELSE '' END AS extra FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 3 = 0""")
+def set_drift(table):
+    k = F.col("p_partkey")
+    stored = F.when(k % 12 == 0, F.array(F.col("p_type"), F.lit("old"))).when(k % 4 == 0, F.array(F.col("p_type"))).when(k % 3 == 0, F.array(F.col("p_type"), F.lit("old"), F.col("p_brand"))).otherwise(F.array("p_type", "p_brand"))
+    out = au.set_differences(table("part"), "p_partkey", stored, F.array("p_brand", "p_type"))
+    return out.select("p_partkey", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier INTERSECT SELECT p_size FROM part")
+def set_intersection(table):
+    return au.intersection([table("customer").select(F.col("c_nationkey").alias("k")), table("supplier").select("s_nationkey"), table("part").select("p_size")])
+
+
+@query("""
+SELECT p_partkey, lower(p_brand) AS plain, lower(p_brand) || ' x' AS spaced, lower(p_brand) || ', at 180°c.' AS compared FROM part""")
+def label_keys(table):
+    from ..functions import text as te
+
+    b = F.col("p_brand")
+    return table("part").select("p_partkey", te.label_key(F.concat(F.lit(" "), b)).alias("plain"), te.spaced_label_key(F.concat(b, F.lit("\n  X "))).alias("spaced"), te.comparison_text(F.concat(b, F.lit(" , at 180 \u00baC ."))).alias("compared"))
+
+
+@query("SELECT o_orderkey, CAST('0x' || substr(sha256('p:' || o_orderkey), 1, 8) AS BIGINT) AS head FROM orders")
+def namespaced_keys(table):
+    """The first 32 bits of a key in [0, 1)."""
+    key = pa.namespaced_key(F.lit("p"), F.col("o_orderkey").cast("string"))
+    return table("orders").select("o_orderkey", F.floor(key * F.lit(2.0**32)).cast("long").alias("head"))

@@ -10,6 +10,7 @@ from ..operators import facets as fa
 from ..operators import normalize as no
 from ..operators import personal as pe
 from ..operators import planner as pl
+from ..operators import projections as pr
 from ..operators import select as se
 from .registry import query
 
@@ -313,3 +314,53 @@ def label_tokens(table):
     rows = table("part").select(F.lit("f").alias("facet"), F.lower("p_type").alias("token"), F.col("p_type").alias("label"), "p_partkey")
     n = rows.groupBy("token").agg(F.count("*").alias("n"))
     return fa.first_labels(rows, "p_partkey").join(n, "token").select("token", "label", "n")
+
+
+@query("""
+SELECT p_partkey, CASE WHEN contains(' ' || p_name || ' ', ' red ') THEN 'colour' WHEN contains(' ' || p_name || ' ', ' bolt ') THEN 'fastener' WHEN contains(' ' || p_name || ' ', ' ring ') THEN 'jewel' WHEN contains(' ' || p_name || ' ', ' blue ') THEN 'colour' ELSE 'other' END AS category FROM part""")
+def category_rules(table):
+    """Rules as a table: red is final whatever else, then bolt before ring before blue."""
+    rules = table("region").sparkSession.createDataFrame([("Ring", "jewel", 2, False), ("bolt", "fastener", 1, False), ("RED", "colour", 9, True), ("blue", "colour", 3, False)], "label string, category string, rank int, final boolean")
+    return no.by_rules(table("part"), "p_partkey", F.split("p_name", " "), rules, "other")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '0;1,2;3' WHEN 1 THEN '0,1,2,3' WHEN 2 THEN 'none' ELSE 'none' END AS places FROM orders")
+def anchored_steps(table):
+    """Four steps against anchors that are one or some of them; the third kind leaves a step over, the last has a foreign one."""
+    k = F.col("o_orderkey") % 4
+    steps = F.array(F.col("o_orderpriority"), F.lit("a b"), F.lit("c"), F.col("o_orderstatus"))
+    joined = F.array_join(steps, " ")
+    anchors = F.when(k == 0, F.array(steps[0], F.lit("a b c"), steps[3])).when(k == 1, F.array(joined)).when(k == 2, F.array(steps[0], steps[1])).otherwise(F.array(steps[0], F.lit("x"), steps[2], steps[3]))
+    places = no.anchored(steps, anchors)
+    shown = F.array_join(F.transform(places, lambda p: F.array_join(F.transform(p, lambda i: i.cast("string")), ",")), ";")
+    return table("orders").select("o_orderkey", F.coalesce(shown, F.lit("none")).alias("places"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN NULL ELSE 'b' END AS provider, c_custkey % 6 = 1 AS conflict FROM customer")
+def provider_resolution(table):
+    k = F.col("c_custkey")
+    key = F.when(k % 3 == 0, " A ").when(k % 6 == 1, "a")
+    host = F.when(k % 3 == 2, "b.org").when(k % 6 == 1, "b.org")
+    found = no.provider_of({"key": key, "host": host}, {"key": {"a": "a"}, "host": {"b.org": "b"}})
+    return table("customer").select("c_custkey", found.alias("x")).select("c_custkey", "x.*")
+
+
+@query("SELECT p_partkey, coalesce(nullif(CASE WHEN p_partkey % 3 = 0 THEN lower(p_brand) ELSE '' END, ''), CASE WHEN p_partkey % 2 = 0 THEN 'site' ELSE 'b.org' END) AS source FROM part")
+def effective_sources(table):
+    k = F.col("p_partkey")
+    url = F.when(k % 2 == 0, F.concat(F.lit("https://www.A.org/"), k)).otherwise(F.concat(F.lit("https://b.org/"), k))
+    return table("part").select("p_partkey", pr.effective_source(F.when(k % 3 == 0, F.col("p_brand")).otherwise(" "), url, {"a.org": "site"}).alias("source"))
+
+
+@query("""
+SELECT p_partkey, '{"p_name":"' || p_name || '","p_size":' || p_size || '}' AS summary, '{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || '}' AS detail FROM part""")
+def document_projections(table):
+    return pr.documents(table("part").select("p_partkey", "p_name", "p_size", "p_brand", "p_type"), "p_partkey", ["p_size", "p_name"], ["p_type"])
+
+
+@query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#1' AND p_type <> 'PROMO'")
+def known_choices(table):
+    """Stale choices among the criteria are as if they weren't there."""
+    q = ex.Criteria(sources=frozenset({"Brand#1", "gone"}), preferences=ex.Preferences(frozenset({"old"}), frozenset({"PROMO", "stale"})))
+    q = ex.known_only(q, frozenset({"Brand#1", "Brand#2"}), frozenset({"PROMO", "SMALL"}))
+    return table("part").filter(ex.predicate(q, {"category": F.col("p_type"), "source": F.col("p_brand")})).select("p_partkey")

@@ -316,11 +316,17 @@ def text_clauses(table):
     return all_texts(table).select("source", "id", "turn", cl.unqualified(F.col("text"), RULES).alias("animal"))
 
 
+_WORDS = {"half an": 0.5, "half a": 0.5, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "eight": 8, "ten": 10, "twelve": 12, "twenty": 20, "thirty": 30}
+_ANY = f"[0-9]+\\s*/\\s*[0-9]+|[0-9]+(?:[.,][0-9]+)?|\\b(?:{'|'.join(_WORDS)})"
+_DURATION = f"'(?i)(\\bor\\s+)?({_ANY})\\s*(?:(?:-|–|to)\\s*(?:{_ANY})\\s*)?(days?|hours?|minutes?|min)\\b'"
+_NUMBER_OF = "CASE " + " ".join(f"WHEN lower(regexp_replace(n[i], '\\s+', ' ', 'g')) = '{w}' THEN {v}" for w, v in _WORDS.items()) + " WHEN contains(n[i], '/') THEN coalesce(TRY_CAST(trim(string_split(n[i], '/')[1]) AS DOUBLE) / nullif(TRY_CAST(trim(string_split(n[i], '/')[2]) AS DOUBLE), 0), 0) ELSE CAST(replace(n[i], ',', '.') AS DOUBLE) END"
+
+
 @query(f"""
 WITH s AS (SELECT source, id, turn, CAST(id % 90 AS INTEGER) AS total, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1))) AS s FROM {ALL_TEXTS}),
-d AS (SELECT *, regexp_extract_all(s, '(?i)([0-9]+(?:[.,][0-9]+)?)\\s*(?:(?:-|–|to)\\s*[0-9]+(?:[.,][0-9]+)?\\s*)?(days?|hours?|minutes?|min)\\b', 1) AS n, regexp_extract_all(s, '(?i)([0-9]+(?:[.,][0-9]+)?)\\s*(?:(?:-|–|to)\\s*[0-9]+(?:[.,][0-9]+)?\\s*)?(days?|hours?|minutes?|min)\\b', 2) AS u FROM s),
+d AS (SELECT *, regexp_extract_all(s, {_DURATION}, 1) AS alt, regexp_extract_all(s, {_DURATION}, 2) AS n, regexp_extract_all(s, {_DURATION}, 3) AS u FROM s),
 f AS (SELECT source, id, turn FROM d WHERE total > 0 AND regexp_matches(s, '(?i)\\b(?:leave|place|bake|boil|simmer|cook|rest|marinate|soak|chill|freeze|wait)\\b') AND NOT regexp_matches(s, '(?i)\\b(?:if|can|may|optional\\w*|alternatively|ideally|keeps?|store)\\b')
- AND (len(list_filter(range(1, len(n) + 1), lambda i: CAST(replace(n[i], ',', '.') AS DOUBLE) * CASE WHEN lower(u[i])[1] = 'd' THEN 1440 WHEN lower(u[i])[1] = 'h' THEN 60 ELSE 1 END > total)) > 0 OR (total < 30 AND regexp_matches(s, '(?i)\\b(?:overnight|all night|until the next day)\\b'))))
+ AND (len(list_filter(range(1, len(n) + 1), lambda i: alt[i] = '' AND {_NUMBER_OF} * CASE WHEN lower(u[i])[1] = 'd' THEN 1440 WHEN lower(u[i])[1] = 'h' THEN 60 ELSE 1 END > total)) > 0 OR (total < 30 AND regexp_matches(s, '(?i)\\b(?:overnight|all night|until the next day)\\b'))))
 SELECT source, id, turn, CAST((SELECT count(*) FROM f WHERE f.source = t.source AND f.id = t.id AND f.turn = t.turn) AS INTEGER) AS n FROM {ALL_TEXTS} t""")
 def text_timing(table):
     total = (F.col("id") % 90).cast("int")

@@ -60,6 +60,32 @@ def keep_latest(stream: DataFrame, path: str, keys: list[str], time: str, checkp
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
+def settled_values(changes: DataFrame, owner: str, value: str, time: str, quiet: str = "275 milliseconds", late: str = "1 minute") -> DataFrame:
+    """Values of each owner that stood for a while: a session of changes ends when none comes for so long, and its last value is the one that stood. What is later than the watermark is left out."""
+    last = F.max_by(value, time)
+    found = changes.withWatermark(time, late).groupBy(owner, F.session_window(time, quiet)).agg(last.alias(value), F.count("*").alias("changes"))
+    return found.select(owner, F.col("session_window.end").alias("at"), value, "changes")
+
+
+def combined(changes: DataFrame, owner: str, names: list[str]) -> DataFrame:
+    """At every batch, the newest value of each of several inputs by owner, null before it has one. Changes have input, value and time; of equal times the later input's name counts."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, values = (list(x) for x in state.get) if state.exists else ([-1] * len(names), [None] * len(names))
+        rows = pd.concat(list(frames))
+        newest = rows.sort_values("time", kind="stable").drop_duplicates("input", keep="last")
+        for name, value, time in zip(newest["input"], newest["value"], newest["time"]):
+            k = names.index(name) if name in names else -1
+            if k >= 0 and time >= times[k]:
+                times[k], values[k] = int(time), None if pd.isna(value) else str(value)
+        state.update((times, values))
+        yield pd.DataFrame([[*key, *values]], columns=[owner, *names])
+
+    kind = changes.schema[owner].dataType.simpleString()
+    fields = ", ".join(f"`{n}` string" for n in names)
+    return changes.groupBy(owner).applyInPandasWithState(step, f"{owner} {kind}, {fields}", "times array<long>, held array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
 def _versions(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
     """(batch, bucket, folder) of all that is there."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,8 +4,9 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import clauses, language, links, nested, parse, text
-from quern.sources import pages
+from quern.functions import clauses, language, links, nested, parse, sanitize, text
+from quern.operators import normalize
+from quern.sources import pages, scopes
 
 RULES = clauses.ClauseRules(
     kinds={"milk": (("milk", "cream"), ("milk",)), "meat": (("ham",), ("chicken", "beef")), "egg": ((), ("egg", "mayo"))},
@@ -167,3 +168,28 @@ def test_language_gates(spark):
     assert [one(spark, x, lambda c: language.declared(c, "el")) for x in ("el", "EL_gr", " el-GR", "ell", None)] == [True, True, True, False, False]
     greek = "\\p{InGreek}"
     assert [one(spark, x, lambda c: language.substantive(c, greek, "a-z")) for x in ("Μια συνταγή", "ab αβ", "α")] == [True, False, False]
+
+
+@pytest.mark.parametrize("raw, clean", [
+    ('{"b":1,"a":[true,null,"x"]}', '{"a":[true,null,"x"],"b":1}'), ('{"a":1,"a":2}', None), ('{"":1}', None), ('{"a":NaN}', None), ('{"a":1e999}', None), ('{"a":9223372036854775808}', None), ('{"a":-9223372036854775808}', '{"a":-9223372036854775808}'),
+    ("[" * 32 + "]" * 32, "[" * 32 + "]" * 32), ("[" * 40 + "]" * 40, None), ("oops", None), (None, None), ("[" * 5000, None),
+])
+def test_sanitized(spark, raw, clean):
+    assert sanitize.sanitized(raw) == clean and one(spark, raw, sanitize.sanitized_json) == clean
+
+
+@pytest.mark.parametrize("sentence, total, n", [("Bake for half an hour.", 20, 1), ("Bake for half an hour.", 45, 0), ("Simmer two hours.", 60, 1), ("Rest 1/2 hour.", 20, 1), ("Rest 1/0 hour.", 20, 0), ("Cook 10 minutes or 2 hours.", 60, 0), ("Cook for 2 hours.", 60, 1), ("Bake 20 to 90 minutes.", 30, 0), ("Bake twenty minutes.", 30, 0)])
+def test_timing_in_words(spark, sentence, total, n):
+    df = spark.createDataFrame([([sentence], total)], "s array<string>, t int")
+    assert len(df.select(clauses.timing_contradictions(F.col("s"), F.col("t"))).first()[0]) == n
+
+
+def test_scopes():
+    page = '<div class="a b"><p>one<div class="a">two</div></p></div><img><div class="ab">no</div><div class="a">three<script>x</script>'
+    assert scopes.scoped_texts(page, {"a": ("div", "a"), "p": ("p", "")}) == {"a": ["onetwo", "three"], "p": ["onetwo"]}
+    assert scopes.scoped_texts(None, {"a": ("div", "")}) == {"a": []}
+
+
+def test_anchors(spark):
+    rows = spark.createDataFrame([(["a", "b", "c"], ["a b", "c"]), (["a", "b"], ["a"]), (["a"], ["x"]), ([], []), (["a", "b", "c", "d", "e"], ["a b c d e"])], "s array<string>, a array<string>")
+    assert [r[0] for r in rows.select(normalize.anchored(F.col("s"), F.col("a"))).collect()] == [[[0, 1], [2]], None, None, [], None]
