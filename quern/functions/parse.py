@@ -177,6 +177,11 @@ def minutes_label(minutes: Column) -> Column:
     return F.when(F.coalesce(minutes, F.lit(0)) <= 0, "").when(h == 0, F.concat(m, F.lit(" min"))).when(m == 0, F.concat(h, F.lit(" h"))).otherwise(F.concat(h, F.lit(" h "), m, F.lit(" min")))
 
 
+def amount_label(quantity: Column, unit: Column) -> Column:
+    """'2 cups'; what is blank is left out."""
+    return F.trim(F.concat_ws(" ", F.nullif(F.trim(quantity), F.lit("")), F.nullif(F.trim(unit), F.lit(""))))
+
+
 def shortened(text: Column, most: int) -> Column:
     """At most `most` characters, cut at a word's end."""
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_extract(F.substring(text, 1, most), r"^(.*)\s\S*$", 1), F.lit("…")))

@@ -77,3 +77,21 @@ def patch(target: DataFrame, live: DataFrame, key: str, fields: list[str]) -> Da
     values = F.array(*(F.coalesce(F.col(f"t.{f}").cast("string"), F.lit("null")) for f in fields))
     pairs = F.filter(F.arrays_zip(names.alias("field"), values.alias("value")), lambda x: x["field"].isNotNull())
     return joined.select(F.col(f"t.{key}").alias(key), F.map_from_entries(pairs).alias("patch")).filter(F.size("patch") > 0)
+
+
+def same_identity(target: DataFrame, live: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """target; reading a row whose live row has another identity (such as its source) fails the job, since a patch would join two things."""
+    other = live.select(F.col(key).alias("_key"), F.struct(*identity).alias("_live"))
+    joined = target.join(other, F.col(key) == F.col("_key"), "left")
+    fine = F.col("_live").isNull() | F.col("_live").eqNullSafe(F.struct(*identity))
+    checked = joined.filter(F.when(fine, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("another identity: "), F.col(key).cast("string"))).cast("boolean")))
+    return checked.drop("_key", "_live")
+
+
+def claimed_once(rows: DataFrame, claims: DataFrame, done: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, tokens): claims (token, guest, owner) whose token isn't done move the guests' rows to the owners; where an owner has one of the same key, the newer stays, and the owner's of equals. The tokens that are done then, so that a claim that comes again changes nothing."""
+    fresh = claims.join(done.select("token"), "token", "left_anti")
+    to = fresh.groupBy("guest").agg(F.min("owner").alias("_to"))
+    moved = rows.join(to, rows["owner"] == to["guest"], "left").withColumn("_mine", F.col("_to").isNull().cast("int"))
+    moved = moved.withColumn("owner", F.coalesce("_to", "owner")).drop("guest", "_to")
+    return latest(moved, ["owner", *keys], [F.desc("time"), F.desc("_mine")]).drop("_mine"), done.select("token").unionByName(fresh.select("token")).distinct()

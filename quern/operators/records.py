@@ -154,3 +154,19 @@ def default_day(saved: Column, today: Column, planned: Column, month: Column) ->
     first = F.trunc(month, "MM")
     within = lambda d: F.when(F.trunc(d, "MM") == first, d)
     return F.coalesce(within(saved), within(today), planned, first)
+
+
+def encoded_lists(rows: DataFrame, key: str, date: str, fields: list[str]) -> DataFrame:
+    """(key, blob): a key's rows as a JSON list, newest date first and then in order of their other fields; rows without a date go. Lists are one owner's own, so small."""
+    dated = rows.filter(F.trim(F.coalesce(F.col(date).cast("string"), F.lit(""))) != "")
+    entry = F.struct(F.col(date).cast("string").alias("d"), F.to_json(F.struct(*sorted({date, *fields}))).alias("j"))
+    newest = lambda a, b: F.when(a["d"] > b["d"], -1).when(a["d"] < b["d"], 1).when(a["j"] < b["j"], -1).when(a["j"] > b["j"], 1).otherwise(0)
+    ordered = F.array_sort(F.collect_list(entry), newest)
+    return dated.groupBy(key).agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["j"]), ","), F.lit("]")).alias("blob"))
+
+
+def upload_order(changes: DataFrame, kind: str, removed: Column, kinds: list[str]) -> DataFrame:
+    """changes with stage: what others refer to goes first and is removed last, so no reference dangles between two chunks."""
+    place = F.array_position(F.array(*map(F.lit, kinds)), F.col(kind))
+    place = F.when(place == 0, len(kinds) + 1).otherwise(place)
+    return changes.withColumn("stage", F.when(removed, 2 * len(kinds) + 2 - place).otherwise(place - 1).cast("int"))

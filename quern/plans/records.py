@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history as hi
+from ..operators import merge as me
 from ..operators import records as re_
 from ..sources import catalog as ca
 from .registry import query
@@ -215,3 +216,47 @@ def outcome_accounting(table):
     c = table("customer").select("c_custkey")
     outcomes = c.filter("c_custkey % 7 <> 0").unionAll(c.filter("c_custkey % 7 <> 0 AND c_custkey % 11 = 0 AND c_custkey % 5 <> 0"))
     return ca.accounted(outcomes, c.filter("c_custkey % 5 <> 0"), "c_custkey")
+
+
+@query("""
+SELECT o_custkey, '[' || string_agg('{"o_orderkey":' || o_orderkey || ',"status":"' || o_orderstatus || '","day":"' || day || '"}', ',' ORDER BY day DESC, '{"day":"' || day || '","o_orderkey":' || o_orderkey) || ']' AS blob
+FROM (SELECT o_custkey, o_orderkey, o_orderstatus, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE o_orderkey % 7 <> 0) GROUP BY 1""")
+def dated_lists(table):
+    """Orders of each customer as a blob, those of some keys without a date; read back and written with other names."""
+    o = table("orders").select("o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"), F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.to_date("o_orderdate").cast("string")).alias("day"))
+    blobs = re_.encoded_lists(o, "o_custkey", "day", ["o_orderkey", "status"])
+    back = F.from_json("blob", "array<struct<o_orderkey:long,status:string,day:string>>")
+    return blobs.select("o_custkey", F.to_json(back).alias("blob"))
+
+
+@query("SELECT user_id, event_id, CASE WHEN value > 40 THEN CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 4 ELSE 3 END ELSE CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END END AS stage FROM events")
+def upload_stages(table):
+    return re_.upload_order(table("events"), "event_type", F.col("value") > 40, ["view", "click"]).select("user_id", "event_id", "stage")
+
+
+@query("SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN page_id % 5 <> 0 THEN sha256(CASE WHEN page_id % 3 = 0 THEN html || '!' ELSE html END) END AS digest FROM pages")
+def page_store(table):
+    pages = table("pages").select("page_id", F.concat("url", F.lit("#"), "page_id").alias("u"), "url", "html")
+    first = pages.select(F.col("u").alias("url"), F.lit("1").alias("lastmod"), F.col("html").alias("body"))
+    empty = ca.stored_pages(first.select("url", "lastmod", F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("digest"), F.lit("pending").alias("status")), first)
+    again = pages.filter("page_id % 3 = 0 OR page_id % 5 = 0").select(F.col("u").alias("url"), F.lit("2").alias("lastmod"), F.when(F.col("page_id") % 5 == 0, F.lit(None)).otherwise(F.concat("html", F.lit("!"))).alias("body"))
+    return ca.stored_pages(empty, again).join(pages.select(F.col("u").alias("url"), "page_id", F.col("url").alias("address")), "url").select("page_id", F.col("address").alias("url"), "status", "digest")
+
+
+@query("""
+SELECT tens, owner, max(time) AS time FROM (SELECT user_id // 10 AS tens, CASE user_id % 10 WHEN 3 THEN 'o2' WHEN 4 THEN 'g4' ELSE 'o' || user_id % 10 END AS owner, epoch_us(ts) AS time FROM events) GROUP BY 1, 2""")
+def claims_once(table):
+    """Guest 3 is claimed by owner 2, twice by one token; guest 4's claim is done before and changes nothing."""
+    last = F.col("user_id") % 10
+    who = F.when(last == 3, "g3").when(last == 4, "g4").otherwise(F.concat(F.lit("o"), last))
+    rows = table("events").groupBy(F.floor(F.col("user_id") / 10).alias("tens"), who.alias("owner")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("time"))
+    spark = rows.sparkSession
+    claims = spark.createDataFrame([("t3", "g3", "o2"), ("t4", "g4", "o2")], "token string, guest string, owner string")
+    once, done = me.claimed_once(rows, claims, spark.createDataFrame([("t4",)], "token string"), ["tens"])
+    return me.claimed_once(once, claims, done, ["tens"])[0].select("tens", "owner", "time")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0")
+def sitemap_only(table):
+    c = table("customer").select("c_custkey")
+    return ca.sitemap_only(c, c.filter("c_custkey % 3 = 0"), "c_custkey")

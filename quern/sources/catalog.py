@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.select import by_request
+from .records import deflated
 
 
 def checked(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -69,3 +70,26 @@ def accounted(outcomes: DataFrame, discovered: DataFrame, key: str) -> DataFrame
     both = discovered.select(key).distinct().withColumn("found", F.lit(True)).join(each, key, "full_outer")
     fault = F.when(F.col("found").isNull(), "undiscovered").when(F.col("n").isNull(), "without outcome").when(F.col("n") > 1, "several outcomes")
     return both.select(key, fault.alias("fault")).filter(F.col("fault").isNotNull())
+
+
+def sitemap_only(sitemap: DataFrame, api: DataFrame, key: str) -> DataFrame:
+    """Keys that only the sitemap has: require_none() of these comes before reconciled()."""
+    return sitemap.select(key).join(api.select(key), key, "left_anti")
+
+
+def stored_pages(store: DataFrame, fetched: DataFrame) -> DataFrame:
+    """(url, lastmod, body, digest, status) of a page store after pages (url, lastmod, body) were fetched: bodies compressed, each with the SHA-256 of its text. What was fetched is done, a body that is missing has failed, and other pages stay."""
+    body = F.col("body")
+    fresh = fetched.select("url", "lastmod", deflated(body).alias("body"), F.sha2(body, 256).alias("digest"), F.when(body.isNull(), "failed").otherwise("done").alias("status"))
+    return upserted(store, fresh, ["url"])
+
+
+def changed_pages(store: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Fetched pages whose text differs from the stored one's, by digest."""
+    known = store.select("url", F.col("digest").alias("_known"))
+    return fetched.join(known, "url", "left").filter(~F.sha2("body", 256).eqNullSafe(F.col("_known"))).drop("_known")
+
+
+def upserted_run(checkpoint: DataFrame, fresh: DataFrame, keys: list[str], run: str) -> DataFrame:
+    """upserted() for one run: rows of other runs stay as they are, and fresh rows are the run's."""
+    return upserted(checkpoint, fresh.withColumn("run_key", F.lit(run)), ["run_key", *keys])

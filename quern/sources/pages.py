@@ -122,14 +122,14 @@ def resolved(table: list, at: int = 0, depth: int = 40):
     return go(at, frozenset(), depth)
 
 
-def parsed_pages(pages: DataFrame, key: str = "page_id", body: str = "html", kind: str = "Recipe") -> DataFrame:
-    """(key, lang, canonical, n_links, text, data): data is the page's JSON-LD of one kind, as a JSON list."""
+def parsed_pages(pages: DataFrame, key: str = "page_id", body: str = "html", kind: str = "Recipe", url: str | None = None) -> DataFrame:
+    """(key, lang, canonical, n_links, text, data, record): data is the page's JSON-LD of one kind, as a JSON list; record the one of them that is the page's (see chosen), by its address where there is a column of it, else null."""
     named = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for source in b.column(1).to_pylist():
+            for source, address in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 p = _read(source)
                 found: list[dict] = []
                 for d in p.data:
@@ -137,11 +137,13 @@ def parsed_pages(pages: DataFrame, key: str = "page_id", body: str = "html", kin
                         found += nodes_of(json.loads(d), kind)
                     except ValueError:
                         pass
-                rows.append((p.lang, p.canonical, len(p.links), _lines(p), json.dumps(found, ensure_ascii=False, sort_keys=True)))
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.record_batch([b.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())], names=[key, "lang", "canonical", "n_links", "text", "data"])
+                one = chosen(found, address or p.canonical)
+                rows.append((p.lang, p.canonical, len(p.links), _lines(p), json.dumps(found, ensure_ascii=False, sort_keys=True), one and json.dumps(one, ensure_ascii=False, sort_keys=True)))
+            columns = list(zip(*rows)) or [()] * 6
+            yield pa.record_batch([b.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string())], names=[key, "lang", "canonical", "n_links", "text", "data", "record"])
 
-    return pages.select(key, body).mapInArrow(run, f"{key} {named}, lang string, canonical string, n_links int, text string, data string")
+    address = F.col(url) if url else F.lit("")
+    return pages.select(key, body, address.alias("_address")).mapInArrow(run, f"{key} {named}, lang string, canonical string, n_links int, text string, data string, record string")
 
 
 def page_language(body: Column) -> Column:
