@@ -170,6 +170,17 @@ def _packed(ids: pa.Array, texts: list[bytes]) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _parts(texts: list[bytes], most: int = 400_000) -> list[tuple[int, int]]:
+    """Texts in a row with at most `most` bytes, or one: rows that are small for the JVM."""
+    cuts, size = [0], 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            cuts.append(i)
+            size = 0
+        size += len(t)
+    return list(zip(cuts, [*cuts[1:], len(texts)]))
+
+
 def _words(hashes: WordHashes, text: bytes) -> np.ndarray:
     return hashes.array(text.lower().split())  # of bytes: only A-Z change, only 09-0D and 20 separate
 
@@ -198,7 +209,9 @@ def sent(documents: DataFrame, order: int = ORDER, limits: Limits = LIMITS) -> D
                 for b, a, z in zip(kinds.tolist(), cut[:-1], cut[1:]):
                     rows.append((b, number, "keys", int(z - a), _planes(k[by[a:z]]) + _planes(c[by[a:z]])))
             yield _rows(rows, _SENT)
-            yield _rows([(-1, number, "texts", len(texts), _packed(pa.concat_arrays(ids), texts))], _SENT)
+            own, parts = pa.concat_arrays(ids), _parts(texts)
+            for k, (a, z) in enumerate(parts):  # n: how many parts follow
+                yield _rows([(-1, number, "texts", len(parts) - 1 - k, _packed(own.slice(a, z - a), texts[a:z]))], _SENT)
 
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -355,17 +368,22 @@ def scored(asked: DataFrame, replied: DataFrame, kind: str, ends: int, order: in
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         replies: dict[int, bytes] = {}
+        ids: list[pa.Array] = []
+        texts: list[bytes] = []
         for b in batches:
-            for bucket, what, data in zip(*(b.column(k) for k in (1, 2, 4))):
+            for bucket, what, n, data in zip(*(b.column(k) for k in (1, 2, 3, 4))):
                 if what.as_py() == "answer":
                     replies[bucket.as_py()] = data.as_py()
-                else:
-                    t = pa.ipc.open_stream(data.as_buffer()).read_all().combine_chunks()
-                    yield chunk(t.column("doc_id").combine_chunks(), t.column("text").to_pylist(), replies, hashes)
-                    replies = {}
+                    continue
+                t = pa.ipc.open_stream(data.as_py()).read_all()
+                ids += t.column("doc_id").chunks
+                texts += t.column("text").to_pylist()
+                if n.as_py() == 0:
+                    yield chunk(pa.concat_arrays(ids), texts, replies, hashes)
+                    replies, ids, texts = {}, [], []
 
     texts = asked.filter("kind = 'texts'").select("chunk", "bucket", "kind", "n", "data")
-    both = replied.filter("kind = 'answer'").unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")  # answers before texts
+    both = replied.filter("kind = 'answer'").unionAll(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", F.desc("n"))  # answers, and then texts to the last part
     return both.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double")
 
 
