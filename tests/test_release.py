@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from quern.operators import normalize, personal, validate
+from quern.operators import merge, normalize, personal, validate
 from quern.operators.audit import IntegrityError
-from quern.sources import release
+from quern.sources import catalog, release
 
 H = "a" * 64
 
@@ -103,3 +103,24 @@ def test_codec_round_trip(spark):
 def test_aliases_expand():
     groups = {"Bolt": ["bolt", "screw"], "Ring": ["ring"]}
     assert normalize.expanded(frozenset({"screw", "x"}), groups) == {"screw", "bolt", "x"} and normalize.expanded(frozenset({"x"}), groups) == {"x"}
+
+
+def test_a_patch_needs_the_same_identity(spark):
+    a = spark.createDataFrame([(1, "s", "x"), (2, "s", "y")], "k int, source string, v string")
+    assert merge.same_identity(a, a.withColumn("v", F.lit("z")), "k", ["source"]).count() == 2
+    with pytest.raises(Exception, match="another identity: 2"):
+        merge.same_identity(a, a.withColumn("source", F.when(F.col("k") == 2, "t").otherwise("s")), "k", ["source"]).collect()
+
+
+def test_changed_pages(spark):
+    store = spark.createDataFrame([("u", "1", None, None, "pending")], "url string, lastmod string, body binary, digest string, status string")
+    now = catalog.stored_pages(store, spark.createDataFrame([("u", "1", "text"), ("w", "1", None)], "url string, lastmod string, body string"))
+    assert rows(now.select("url", "status")) == [("u", "done"), ("w", "failed")]
+    again = spark.createDataFrame([("u", "2", "text"), ("x", "2", "new")], "url string, lastmod string, body string")
+    assert rows(catalog.changed_pages(now, again).select("url")) == [("x",)]
+
+
+def test_runs_keep_to_themselves(spark):
+    old = spark.createDataFrame([(1, "a", "r1")], "k int, v string, run_key string")
+    out = catalog.upserted_run(old, spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), ["k"], "r2")
+    assert rows(out.select("run_key", "k", "v")) == [("r1", 1, "a"), ("r2", 1, "b"), ("r2", 2, "c")]
