@@ -81,6 +81,11 @@ def read_ids(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     return spark.read.schema(f"doc_id {kind}, part int, before bigint, n_tokens bigint, ids array<int>").parquet(path)
 
 
+def read_range(spark: SparkSession, path: str, low: int, high: int, columns: tuple[str, ...] = ("doc_id", "ids"), kind: str = "bigint") -> DataFrame:
+    """Some columns of the documents of a range of doc_id: row groups and pages of other ranges, and the other columns, aren't read. Counts alone don't read ids."""
+    return read_ids(spark, path, kind).filter(F.col("doc_id").between(low, high)).select(*columns)
+
+
 def ids_digest(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each stored document."""
 

@@ -118,3 +118,23 @@ def test_stored_ids(spark, docs, tmp_path, encoding):
 
 def test_no_rows(spark, none):
     assert token_output.stored_ids_digest(none, P.path("word_bpe_49k.json")).count() == 0
+
+
+def scanned_rows(df):
+    """Rows that the file scan of a collected frame handed on."""
+    node = df._jdf.queryExecution().executedPlan()
+    while not node.nodeName().startswith("Scan"):
+        node = node.children().apply(0)
+    return node.metrics().get("numOutputRows").get().value()
+
+
+def test_a_selective_read_leaves_pages_and_columns_out(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat('word ', id % 100, ' and some more of them') AS text")
+    token_output.write_ids(token_output.encoded(docs, P.path("word_bpe_49k.json")), str(tmp_path / "ids"))
+    some = token_output.read_range(spark, str(tmp_path / "ids"), 7000, 7009)
+    assert [r["doc_id"] for r in some.orderBy("doc_id").collect()] == list(range(7000, 7010))
+    plain = token_output.read_range(spark, str(tmp_path / "ids"), 7000, 7009)
+    plain.collect()
+    assert scanned_rows(plain) <= 2 * token_output.PAGE_ROWS
+    counts = token_output.read_range(spark, str(tmp_path / "ids"), 0, 99, ("doc_id", "n_tokens"))
+    assert "ids" not in counts._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
