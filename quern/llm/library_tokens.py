@@ -8,11 +8,11 @@ text.
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-from .chunks import PLAIN, ChunkMemory, spaced_chunks, words
+from .chunks import PLAIN, Remembered, spaced_chunks, words
 
 #: As PLAIN, in the bytes of a word: letters, then one run of punctuation.
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -31,40 +31,29 @@ class LibraryTokens:
     def __init__(self, path: str, lower: bool, limit: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.lower = lower
-        self.limit = limit
-        self.pieces: dict[str, bytes] = {}
-        self.memory = ChunkMemory(words if lower else spaced_chunks, self.encode_chunks, limit)
+        self.split, self.plain = (words, _WORD.fullmatch) if lower else (spaced_chunks, PLAIN.fullmatch)
+        self.pieces = Remembered(self.piece, max(1, limit // 4))
+        self.chunks = Remembered(self.chunk, limit)
 
     def piece(self, piece: str) -> bytes:
-        if (known := self.pieces.get(piece)) is None:
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            known = np.array([t.id for t in tokens], np.uint32).tobytes()
-            if len(self.pieces) >= self.limit // 4:
-                self.pieces.clear()
-            self.pieces[piece] = known
-        return known
-
-    def encode_chunks(self, chunks: list) -> list[bytes]:
-        out: list[bytes] = []
-        rest: list[int] = []
-        texts = [c.decode() for c in chunks] if self.lower else chunks
-        plain = _WORD if self.lower else PLAIN
-        for c in texts:
-            if m := plain.fullmatch(c):
-                word, marks = m.groups()
-                out.append(self.piece(word.lower() if self.lower else word) + (self.piece(marks) if marks else b""))
-            else:
-                rest.append(len(out))
-                out.append(b"")
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else []):
-            out[i] = np.array(e.ids, np.uint32).tobytes()
-        return out
+        """Ids of a match of the pattern. Of an ASCII one only the space has another letter."""
+        letters = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def chunk(self, chunk: str | bytes) -> bytes:
+        text = chunk.decode() if self.lower else chunk
+        if (m := self.plain(text)) is None:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        word, marks = m.groups()
+        ids = self.pieces[word.lower() if self.lower else word]
+        return ids + self.pieces[marks] if marks else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.memory.many(texts)
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, self.split(t))) for t in texts]
 
 
 _tokens: dict[tuple[str, bool], LibraryTokens] = {}
