@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import islice
 
 #: The characters of Unicode's White_Space property, which \s of the tokenizers' patterns means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -33,21 +32,6 @@ def words(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-class Remembered(dict):
-    """Values of keys, made when they are first asked for; the older half goes when there are `limit` of them, so memory stays bounded."""
-
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit = make, limit
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            for old in list(islice(self, self.limit // 2)):
-                del self[old]
-        value = self[key] = self.make(key)
-        return value
-
-
 class ChunkMemory:
     """Ids of texts, as little-endian unsigned 32-bit integers. split: a text's chunks; encode: ids of chunks that aren't known yet; limit: chunks kept at most."""
 
