@@ -67,6 +67,7 @@ def write_ids(rows: DataFrame, path: str, encoding: str = "dictionary") -> None:
         raise ValueError(f"encoding {encoding}")
     options = {
         "compression": "zstd",
+        "parquet.compression.codec.zstd.level": "1",
         "parquet.writer.version": "PARQUET_2_0",  # whose integers are delta-encoded where they have no dictionary
         "parquet.block.size": ROW_GROUP_BYTES,
         "parquet.page.size": PAGE_BYTES,
@@ -92,9 +93,9 @@ def ids_digest(rows: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(3)
-            flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype(np.uint32)).tobytes()
+            flat = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).view(np.uint8))
             bounds = ids.offsets.to_numpy()
-            crc = [zlib.crc32(flat[4 * a : 4 * z]) for a, z in zip(bounds[:-1], bounds[1:])]
+            crc = [zlib.crc32(flat[a:z]) for a, z in zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist())]
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(np.diff(bounds).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
