@@ -11,6 +11,7 @@ from .ann import nearest_neighbours
 from .bpe import bpe_round_trip
 from .common import table
 from .media_ogg import ogg_digest
+from .merkle import merkle_manifest
 from .packing import packed
 from .ppm import ppm_scores
 from .quality import quality_scores
@@ -60,6 +61,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ogg_media": op1_ogg_media,
     "op2_ppm": op2_ppm,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op13_merkle": op13_merkle,
 }
 #: Every window of 20 words by its text; a word goes where one over it isn't the first of its text.
 OP5_SQL = r"""
@@ -98,4 +104,54 @@ FROM documents LEFT JOIN marked USING (doc_id)
 GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_substring": OP5_SQL}
+#: The trees by recursion over levels, the proofs as joins of leaves with the nodes beside their path, the folding by recursion over the path. crc32 goes bit by bit.
+OP13_SQL = r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, lang, text,
+    concat_ws('', coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-'),
+      coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+      coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-')) AS head,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))) % 3 = 0 AS chosen
+  FROM documents
+),
+hashed AS (
+  SELECT doc_id, lang, coalesce(chosen, false) AS chosen, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(text)) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered
+  FROM fields
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS own FROM hashed),
+inner_nodes AS (
+  SELECT 0 AS level, lang, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT level + 1, lang, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM inner_nodes WHERE n > 1 GROUP BY level, lang, pos // 8
+),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM inner_nodes WHERE n = 1),
+outer_nodes AS (
+  SELECT 0 AS level, pos, h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM outer_nodes WHERE n > 1 GROUP BY level, pos // 8
+),
+sides AS (
+  SELECT p.own, t.level, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < p.pos // (8 ** t.level)::BIGINT), '') AS l, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > p.pos // (8 ** t.level)::BIGINT), '') AS r
+  FROM placed p JOIN inner_nodes t ON t.lang IS NOT DISTINCT FROM p.lang AND t.n > 1 AND t.pos // 8 = (p.pos // (8 ** t.level)::BIGINT) // 8
+  GROUP BY p.own, t.level
+  UNION ALL
+  SELECT p.own, 100 + t.level, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.pos // (8 ** t.level)::BIGINT), ''), coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.pos // (8 ** t.level)::BIGINT), '')
+  FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN outer_nodes t ON t.n > 1 AND t.pos // 8 = (s.pos // (8 ** t.level)::BIGINT) // 8
+  GROUP BY p.own, t.level
+),
+steps AS (SELECT own, row_number() OVER (PARTITION BY own ORDER BY level) AS k, l, r FROM sides),
+proofs AS (SELECT own, sha256(string_agg(l || r, '' ORDER BY k)) AS proof, max(k) AS last FROM steps GROUP BY own),
+folds AS (
+  SELECT own, 0::BIGINT AS k, CASE WHEN chosen THEN lowered ELSE leaf END AS h FROM placed
+  UNION ALL
+  SELECT f.own, f.k + 1, sha256(s.l || f.h || s.r) FROM folds f JOIN steps s ON s.own = f.own AND s.k = f.k + 1
+)
+SELECT doc_id, leaf, s.h AS subroot, o.h AS root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = o.h AS verified
+FROM placed p JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang JOIN outer_nodes o ON o.n = 1 LEFT JOIN proofs USING (own)
+  JOIN folds f ON f.own = p.own AND f.k = coalesce(last, 0)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_substring": OP5_SQL, "op13_merkle": OP13_SQL}
