@@ -20,6 +20,7 @@ from .shards import virtual_slot_shards
 from .simhash import near_duplicates
 from .substring import substring_dedup
 from .token_output import stored_ids_digest
+from .weighted import weighted_fingerprints
 
 
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_output": op9_token_output,
     "op10_quality": op10_quality,
+    "op11_weighted": op11_weighted,
     "op12_alignment": op12_alignment,
     "op13_merkle": op13_merkle,
 }
