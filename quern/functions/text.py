@@ -40,13 +40,24 @@ LATIN_SOUNDS = [
 ]
 
 
+#: Stands for any letter that becomes several, in a text that is only looked through for them.
+_LONGER = "\ue000"
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def folded(text: Column) -> Column:
-    """Lower case, fully decomposed, without marks: single letters by table, the few that become several only where a text has any."""
-    lower = F.replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss"))
+    """Lower case, fully decomposed, without marks. Plain ASCII is done once it is lower case; else one table turns single letters and shows whether there are any that become several, which are rare and replaced one by one."""
+    one = lambda x: F.translate(x, "".join(SINGLE), "".join(SINGLE.values()))
     forms = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(plain).alias("plain")) for c, plain in SEVERAL.items()))
-    longer = F.aggregate(forms, lower, lambda acc, x: F.replace(acc, x["c"], x["plain"]))
-    lower = F.when(lower.rlike(f"[{''.join(SEVERAL)}]"), longer).otherwise(lower)
-    return F.translate(lower, "".join(SINGLE), "".join(SINGLE.values()))
+    longer = lambda x: F.aggregate(forms, x, lambda acc, f: F.replace(acc, f["c"], f["plain"]))
+    looked = lambda x: F.translate(x, "".join(SINGLE) + "".join(SEVERAL), "".join(SINGLE.values()) + _LONGER * len(SEVERAL))
+    bare = lambda x: F.replace(F.regexp_replace(x, r"\p{Mn}+", ""), F.lit("ß"), F.lit("ss"))
+    marked = lambda x: _let(looked(x), lambda y: F.when(F.contains(y, F.lit(_LONGER)), one(longer(x))).otherwise(y))
+    return _let(F.lower(F.coalesce(text, F.lit(""))), lambda x: F.when(F.octet_length(x) == F.char_length(x), x).otherwise(_let(bare(x), marked)))
 
 
 def search_token(text: Column) -> Column:

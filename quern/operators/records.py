@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parse import SAFE_ID
+from ..sources.shared import kept
 
 
 def enriched(events: DataFrame, items: DataFrame, plans: DataFrame, item: str, date: str) -> DataFrame:
@@ -68,29 +71,92 @@ def conflicts_renamed(rows: DataFrame, key: str, payload: str) -> DataFrame:
     return rows.withColumn("renamed", renamed).dropDuplicates(["renamed"])
 
 
-def chunk_numbers(rows: DataFrame, group: str, key: str, most_rows: int, most_bytes: int, size: str, width: int = 100_000) -> DataFrame:
-    """A chunk number for each row, in order of a unique whole number: a chunk ends at a multiple of the most rows, or where bytes so far pass a multiple of the most bytes; so no chunk has more rows, nor more bytes than that and one row.
+def _next_starts(cost: np.ndarray, limits: np.ndarray, most_rows: int) -> np.ndarray:
+    """Of each row, if a chunk begins with it, the row with which the next one does. cost: a column of costs for each limit."""
+    n = len(cost)
+    out = np.minimum(np.arange(n) + most_rows, n)
+    for k, limit in enumerate(limits):
+        total = np.concatenate([np.zeros(1, cost.dtype), np.cumsum(cost[:, k])])
+        out = np.minimum(out, np.searchsorted(total, total[:-1] + limit, side="right") - 1)
+    return np.maximum(out, np.arange(n) + 1)  # a row beyond a limit is a chunk by itself
 
-    A group may hold most rows, so sums run within ranges of `width` keys, and only the ranges' own sums run over the whole group.
+
+def _doubled(step: np.ndarray, until: int) -> np.ndarray:
+    """Of each row, the first row from `until` on that its chain of next rows comes to, by doubling the chain's length."""
+    out = np.append(step, [len(step)])
+    while (short := out[:-1] < until).any():
+        out[:-1] = np.where(short, out[out[:-1]], out[:-1])
+    return out[:-1]
+
+
+def greedy_chunks(rows: DataFrame, group: str, key: str, costs: dict[str, int], most_rows: int, width: int = 100_000) -> DataFrame:
+    """rows with chunk, from 0 in each group: in order of a unique whole number, a row joins the chunk before it unless that has most_rows rows or a sum of costs would pass its limit (column -> limit); so only a chunk of one row can be beyond a limit.
+
+    Where chunks begin depends on all rows before, but a range of rows is left through one of most_rows places of the next one,
+    whatever was before: ranges are tables from the place of their first chunk to that of the next range's. These are composed
+    by doubling, from ranges to pairs, fours and so on, and the places that come out are the only thing that ranges need to
+    know of each other. Rows are numbered from counts of spans of keys; a range has the rows of a task, with most_rows more.
     """
+    width = max(width, most_rows)
+    names = sorted(costs)
+    limits = np.array([costs[c] for c in names], np.int64)
     span = F.floor(F.col(key) / width)
-    whole = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy(group, "_span").orderBy(key)
-    before = lambda c: F.coalesce(F.sum(c).over(whole), F.lit(0))
-    spanned = rows.withColumn("_span", span)
-    ranges = spanned.groupBy(group, "_span").agg(F.count("*").alias("_n"), F.sum(size).alias("_size"), F.max_by(size, key).alias("_last"))
-    ranges = ranges.select(group, "_span", before("_n").alias("_rows"), before("_size").alias("_bytes"), F.lag("_last").over(Window.partitionBy(group).orderBy("_span")).alias("_last"))
-    placed = spanned.join(ranges, [group, "_span"])
-    row = F.col("_rows") + F.row_number().over(within) - 1
-    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumns({"_row": row, "_before": F.col("_bytes") + F.coalesce(F.sum(size).over(earlier), F.lit(0)), "_previous": F.coalesce(F.lag(size).over(within), "_last")})
-    marks = lambda r, b: F.struct(F.floor(r / most_rows), F.floor(b / most_bytes))
-    starts = (F.col("_row") > 0) & (marks(F.col("_row"), F.col("_before")) != marks(F.col("_row") - 1, F.col("_before") - F.col("_previous")))
-    placed = placed.withColumn("_start", starts.cast("long"))
-    totals = placed.groupBy(group, "_span").agg(F.sum("_start").alias("_starts"))
-    totals = totals.select(group, "_span", before("_starts").alias("_chunks"))
-    out = placed.join(totals, [group, "_span"]).withColumn("chunk", (F.col("_chunks") + F.sum("_start").over(within)).cast("int"))
-    return out.drop("_span", "_rows", "_bytes", "_last", "_row", "_before", "_previous", "_start", "_chunks")
+    earlier = Window.partitionBy(group).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(group, span.alias("_span")).agg(F.count("*").alias("_n")).select(group, "_span", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_span").orderBy(key)) - 1
+    placed = rows.select(group, key, span.alias("_span"), *(F.col(c).cast("long").alias(f"_c{k}") for k, c in enumerate(names))).withColumn("_within", within)
+    same = [F.col(group).eqNullSafe(F.col("_of")), F.col("_span") == F.col("_at")]
+    placed = placed.join(counts.select(F.col(group).alias("_of"), F.col("_span").alias("_at"), "_before"), same).withColumn("_row", F.col("_before") + F.col("_within")).drop("_of", "_at", "_span", "_before", "_within")
+    own = F.floor(F.col("_row") / width)
+    shared = F.when((F.col("_row") % width < most_rows) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))  # the first rows of a range end the one before, too
+    spread = placed.withColumn("_range", F.explode(shared))
+    kind = rows.schema[group].dataType.simpleString()
+
+    def costs_of(part: pd.DataFrame) -> np.ndarray:
+        return part[[f"_c{k}" for k in range(len(names))]].fillna(0).to_numpy(np.int64).reshape(len(part), len(names))
+
+    def exits(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_row")
+        own = int((part["_row"] // width == part["_range"]).sum())
+        out = _doubled(_next_starts(costs_of(part), limits, most_rows), own)[: min(most_rows, own)] - own
+        return pd.DataFrame({group: part[group].iloc[:1], "_range": part["_range"].iloc[:1], "_exits": [out.tolist()]})
+
+    tables = spread.groupBy(group, "_range").applyInPandas(exits, f"{group} {kind}, _range long, _exits array<int>")
+    entries = _entries(kept(tables.withColumn("_group", F.xxhash64(group)), "ranges"))
+
+    def numbered(keys: tuple, part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_row")
+        step = _next_starts(costs_of(part), limits, most_rows)
+        start = np.zeros(len(part), np.int64)
+        at = int(entry["_entry"].iloc[0]) if len(entry) else len(part)
+        while at < len(part):
+            start[at] = 1
+            at = int(step[at])
+        own = (part["_row"] // width == part["_range"]).to_numpy()
+        return pd.DataFrame({group: part[group], key: part[key], "_range": part["_range"], "_nth": start.cumsum(), "_starts": int(start[own].sum())})[own]
+
+    key_kind = rows.schema[key].dataType.simpleString()
+    found = spread.withColumn("_group", F.xxhash64(group)).groupBy("_group", "_range").cogroup(entries.groupBy("_group", "_range")).applyInPandas(numbered, f"{group} {kind}, {key} {key_kind}, _range long, _nth long, _starts long")
+    found = kept(found, "chunks")
+    each = found.groupBy(group, "_range").agg(F.max("_starts").alias("_n"))
+    base = each.select(F.col(group).alias("_of"), F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    chunk = (F.col("_base") + F.col("_nth") - 1).cast("int").alias("chunk")
+    numbers = found.join(base, [F.col(group).eqNullSafe(F.col("_of")), F.col("_range") == F.col("_at")]).select(F.col(group).alias("_of"), F.col(key).alias("_key"), chunk)
+    return rows.join(numbers, [F.col(group).eqNullSafe(F.col("_of")), F.col(key) == F.col("_key")]).drop("_of", "_key")
+
+
+def _entries(tables: DataFrame) -> DataFrame:
+    """(_group, _range, _entry): the place in each range where its first chunk begins, from the ranges' tables. Round k composes tables of 2**k ranges, and gives the entries of twice as many."""
+    last = tables.agg(F.max("_range")).first()[0] or 0  # one number
+    known = tables.filter("_range = 0").select("_group", F.col("_range").cast("long").alias("_range"), F.lit(0).alias("_entry"))
+    steps, k = tables.select("_group", "_range", "_exits"), 0
+    while last >> k:
+        reached = known.join(steps, ["_group", "_range"]).select("_group", (F.col("_range") + (1 << k)).alias("_range"), F.get("_exits", F.col("_entry")).alias("_entry"))
+        known = kept(known.unionAll(reached.filter(F.col("_entry").isNotNull())), "entries")
+        after = steps.select("_group", (F.col("_range") - (1 << k)).alias("_range"), F.col("_exits").alias("_then"))
+        steps = kept(steps.join(after, ["_group", "_range"]).select("_group", "_range", F.transform("_exits", lambda x: F.get("_then", x)).alias("_exits")), "ranges")
+        k += 1
+    return known
 
 
 def sync_status(recovering: Column, failed: Column, ready: Column, pending: Column) -> Column:

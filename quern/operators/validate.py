@@ -69,9 +69,13 @@ def json_depth(text: Column) -> Column:
 
 
 def array_in_array(text: Column) -> Column:
-    """A JSON text has an array whose first value is one."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r'"(?:[^"\\]|\\.)*"', "0")
-    return F.regexp_replace(bare, r"\s+", "").rlike(r"\[\[|\],\[")
+    """A JSON text has an array directly in an array, at any place of it. The containers that are open are a text of their signs."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r'"(?:[^"\\]|\\.)*"', "")
+    signs = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    opened = lambda acc, s: F.struct(F.concat(acc["open"], s).alias("open"), (acc["found"] | ((s == "[") & acc["open"].endswith("["))).alias("found"))
+    closed = lambda acc: F.struct(F.substring(acc["open"], F.lit(1), F.length(acc["open"]) - 1).alias("open"), acc["found"].alias("found"))
+    step = lambda acc, s: F.when(s.isin("[", "{"), opened(acc, s)).when(s.isin("]", "}"), closed(acc)).otherwise(acc)
+    return F.aggregate(signs, F.struct(F.lit("").alias("open"), F.lit(False).alias("found")), step)["found"]
 
 
 def catalog_problems(df: DataFrame, key: str, provider: str, full: Column) -> DataFrame:

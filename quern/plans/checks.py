@@ -43,10 +43,13 @@ def catalog_problems(table):
 
 
 @query("""
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS depth, event_id % 3 = 2 AS nested_array FROM events""")
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 4 END AS depth, event_id % 6 IN (2, 3, 5) AS nested_array FROM events""")
 def json_shapes(table):
+    """Arrays in arrays come first, behind a scalar, and behind an object; none in an object of an array, nor in a string."""
     k = F.col("event_id")
-    text = F.when(k % 3 == 0, F.col("props")).when(k % 3 == 1, F.concat(F.lit('{"a":['), k, F.lit(',"}]["],"b":'), F.col("props"), F.lit("}"))).otherwise(F.concat(F.lit('{"a":[ [1,"x"], ['), k, F.lit("]]}")))
+    texts = [F.col("props"), F.concat(F.lit('{"a":['), k, F.lit(',"}]["],"b":'), F.col("props"), F.lit("}")), F.concat(F.lit('{"a":[ [1,"x"], ['), k, F.lit("]]}")),
+             F.concat(F.lit("["), k, F.lit(", [2]]")), F.concat(F.lit('[{"a":['), k, F.lit(']}, "[["]')), F.concat(F.lit('[{"a":{"b":[]}}, ['), F.col("props"), F.lit("]]"))]
+    text = F.element_at(F.array(*texts), (k % 6 + 1).cast("int"))
     return table("events").select("event_id", va.json_depth(text).alias("depth"), va.array_in_array(text).alias("nested_array"))
 
 

@@ -99,10 +99,20 @@ def history_conflicts(table):
 
 
 @query("""
-WITH o AS (SELECT lang, doc_id, row_number() OVER w - 1 AS rn, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM documents WINDOW w AS (PARTITION BY lang ORDER BY doc_id))
-SELECT doc_id, CAST(dense_rank() OVER (PARTITION BY lang ORDER BY rn // 100, before // 50000) - 1 AS INTEGER) AS chunk FROM o""")
+WITH RECURSIVE rows AS (SELECT lang, doc_id, n_chars + 1024 AS bytes, CASE WHEN doc_id % 5 = 0 THEN 3 WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS reads, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents),
+walk AS (
+  SELECT lang, doc_id, k, 0 AS chunk, 1 AS n, bytes, reads FROM rows WHERE k = 1
+  UNION ALL
+  SELECT lang, doc_id, k, chunk + cut, CASE cut WHEN 1 THEN 1 ELSE n + 1 END, CASE cut WHEN 1 THEN more_bytes ELSE bytes + more_bytes END, CASE cut WHEN 1 THEN more_reads ELSE reads + more_reads END
+  FROM (SELECT r.lang, r.doc_id, r.k, w.chunk, w.n, w.bytes, w.reads, r.bytes AS more_bytes, r.reads AS more_reads,
+    CASE WHEN w.n >= 100 OR w.bytes + r.bytes > 50000 OR w.reads + r.reads > 18 THEN 1 ELSE 0 END AS cut FROM walk w JOIN rows r ON r.lang IS NOT DISTINCT FROM w.lang AND r.k = w.k + 1)
+)
+SELECT doc_id, chunk FROM walk""")
 def upload_chunks(table):
-    return re_.chunk_numbers(table("documents"), "lang", "doc_id", 100, 50_000, "n_chars", 64).select("doc_id", "chunk")
+    """Three limits at once, as one walk over the rows would meet them."""
+    k = F.col("doc_id")
+    rows = table("documents").select("lang", "doc_id", (F.col("n_chars") + 1024).alias("bytes"), F.when(k % 5 == 0, 3).when(k % 7 == 0, 2).otherwise(0).alias("reads"))
+    return re_.greedy_chunks(rows, "lang", "doc_id", {"bytes": 50_000, "reads": 18}, 100).select("doc_id", "chunk")
 
 
 @query("""

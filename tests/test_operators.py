@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import audit, explore, facets, history, merge, planner, select
+from quern.operators import audit, explore, facets, history, merge, planner, select, validate
 from quern.operators import records as records_
 from quern.sources import catalog, pages, records
 
@@ -144,19 +144,30 @@ def test_mixed_pick_takes_both_sides(spark):
     assert select.mixed_pick(own.limit(0), shared.limit(0), 1, "id").count() == 0
 
 
-def test_chunks(spark):
-    draw = random.Random(3)
-    size = [draw.randint(0, 40) for _ in range(500)]
-    df = spark.createDataFrame(list(enumerate(size)), "k long, n long").withColumn("g", F.lit("one")).repartition(5)
-    got = {r["k"]: r["chunk"] for r in records_.chunk_numbers(df, "g", "k", 20, 300, "n", width=13).collect()}
-    chunk, before, want = 0, 0, {}
-    for k, n in enumerate(size):
-        if k and (k // 20, before // 300) != mark:
-            chunk += 1
-        mark = (k // 20, before // 300)
-        want[k] = chunk
-        before += n
-    assert got == want
+@pytest.mark.parametrize("width", [7, 50, 100_000])
+def test_chunks_are_those_of_one_walk(spark, width):
+    draw = random.Random(width)
+    data = [(draw.choice(["a", "b", None]), 3 * k, draw.choice([1, 10, 40, 90, 250]), draw.choice([0, 0, 2, 3])) for k in range(400)] + [("c", 1, 500, 9), ("d", 7, None, None)]
+    df = spark.createDataFrame(data, "g string, k long, n int, reads int").repartition(3)
+    got = {r["k"] if r["g"] != "d" else -1: (r["g"], r["chunk"]) for r in records_.greedy_chunks(df, "g", "k", {"n": 200, "reads": 9}, 6, width=width).collect()}
+    assert len(got) == len(data)
+    state = {}
+    for g, k, n, reads in sorted(data, key=lambda r: r[1]):
+        n, reads = n or 0, reads or 0
+        chunk, count, size, read = state.get(g, (0, 0, 0, 0))
+        if count and (count >= 6 or size + n > 200 or read + reads > 9):
+            chunk, count, size, read = chunk + 1, 0, 0, 0
+        state[g] = chunk, count + 1, size + n, read + reads
+        assert got[k if g != "d" else -1] == (g, chunk)
+    assert records_.greedy_chunks(df.limit(0), "g", "k", {"n": 5}, 6).collect() == []
+    six = spark.createDataFrame([("a", k, 60) for k in range(6)], "g string, k long, n int")
+    assert len({r["chunk"] for r in records_.greedy_chunks(six, "g", "k", {"n": 100}, 6).collect()}) == 6
+
+
+def test_arrays_directly_in_arrays(spark):
+    texts = {"[1,[2]]": True, '[{"a":1},[2]]': True, "[[1]]": True, '[{"a":[1]}]': False, '["[[", "],["]': False, '{"a":[{"b":[{"c":[]}, [1]]}]}': True, "[]": False, '[1,{"a":[2]},3]': False, None: False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r["t"]: r["x"] for r in df.withColumn("x", validate.array_in_array(F.col("t"))).collect()} == texts
 
 
 def test_counted_page(spark):
