@@ -4,12 +4,17 @@ Records are hashed into SLOTS virtual slots; bytes are aggregated per slot; a ve
 which slot. Only that map, SLOTS small rows whatever the input's size, comes to the driver, where slots go to the
 shard with the fewest bytes, largest slots first. Rebalancing edits the map (a new version) and moves whole slots.
 
-Equal texts share a slot, hence a shard. Only a text whose copies hold more than a HOT_SHARE-th of a shard's fair share
-of bytes is salted by doc_id over all slots, so that no group of copies makes a shard large. There are at most
+Equal texts, null being like empty, share a slot, hence a shard. Only a text whose copies hold more than a HOT_SHARE-th of
+a shard's fair share of bytes is salted over all slots, so that no group of copies makes a shard large. There are at most
 HOT_SHARE x shards such texts, so their table has a proven bound and may be broadcast; their rows are marked as parted.
 
-Law: `bytes`. Nulls: a null text has size 16 and is hashed as such; a null doc_id is an ordinary row. Repeated rows
-each get a place of their own. An empty table gives an empty result.
+A slot may hold any number of rows, such as all empty texts. Rows are numbered within parts of a slot of about PART_ROWS
+each, and where a part begins in its shard follows from the parts' counts.
+
+Law: `bytes`. Nulls: a null text is an empty one, of size 16; a null doc_id is an ordinary row. Blank texts are ordinary
+texts, very long ones count with all their bytes, and a text above a shard's fair share makes a shard of its own size.
+Repeated rows each get a place of their own; ties of doc_id are broken by the row's place in the table. Other columns,
+whatever their names, take no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +24,13 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, stored
 
 SLOTS = 4096
 SHARDS = 40
 HOT_SHARE = 2
 OVERHEAD = 16
+PART_ROWS = 100_000
 
 
 def record_size(text: Column) -> Column:
@@ -32,20 +38,16 @@ def record_size(text: Column) -> Column:
 
 
 def with_virtual_slot(df: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id with size, text_crc32, virtual_slot and parted: whether the row is one of a group of copies that is dealt over all slots."""
-    rows = df.select(
-        "doc_id",
-        record_size(F.col("text")).alias("size"),
-        F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
-        F.xxhash64("text").alias("text_hash"),
-    )
+    """doc_id with size, text_crc32, tie (the row's place in the table), virtual_slot and parted: whether the row is one of a group of copies that is dealt over all slots."""
+    text = F.coalesce("text", F.lit(""))
+    rows = stored(df.select("doc_id", record_size(text).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("tie")), "slots")
     total = F.coalesce(F.sum("size"), F.lit(0)).alias("total")
     groups = rows.groupBy("text_hash", "size").agg(F.sum("size").alias("bytes"))
     fair = rows.agg(total).select((F.col("total") / shards / HOT_SHARE).alias("most"))
     hot = groups.join(F.broadcast(fair), F.col("bytes") > F.col("most")).select("text_hash", "size", F.lit(True).alias("hot"))
     marked = rows.join(F.broadcast(hot), ["text_hash", "size"], "left")  # at most HOT_SHARE * shards rows
-    slot = F.when(F.col("hot"), F.xxhash64("text_hash", "doc_id")).otherwise(F.xxhash64("text_hash", F.lit("slot")))
-    return marked.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot"), F.coalesce("hot", F.lit(False)).alias("parted"))
+    slot = F.when(F.col("hot"), F.xxhash64("text_hash", "tie")).otherwise(F.xxhash64("text_hash", F.lit("slot")))
+    return marked.select("doc_id", "size", "text_crc32", "tie", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot"), F.coalesce("hot", F.lit(False)).alias("parted"))
 
 
 def slot_sizes(rows: DataFrame) -> DataFrame:
@@ -101,23 +103,22 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
 
 
-def place(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Adds shard, and slot: the row's place in its shard, gapless from 0. Rows are ordered within their virtual slot; where a slot begins in its shard follows from the slots' counts (at most SLOTS rows, broadcast)."""
-    known = slot_map.join(sizes, "virtual_slot")
-    begins = known.select("virtual_slot", "shard", (F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot")) - F.col("n")).alias("begins"))
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("within", within).join(F.broadcast(begins), "virtual_slot").withColumn("slot", (F.col("begins") + F.col("within")).cast("long"))
+def place(rows: DataFrame, slot_map: DataFrame, sizes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds shard, and slot: the row's place in its shard, gapless from 0. slot_map and sizes have a row per virtual slot, so both are broadcast; counts of the slots' parts stay distributed."""
+    known = slot_map.join(sizes, "virtual_slot").select("virtual_slot", "shard", F.greatest(F.ceil(F.col("n") / part_rows), F.lit(1)).alias("parts"))
+    dealt = rows.join(F.broadcast(known), "virtual_slot").withColumn("part", F.pmod(F.xxhash64("tie"), "parts")).drop("parts")
+    counts = dealt.groupBy("virtual_slot", "part", "shard").agg(F.count("*").alias("n"))
+    begins = counts.select("virtual_slot", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot", "part")) - F.col("n")).alias("begins"))
+    within = F.row_number().over(Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size", "tie")) - 1
+    return dealt.withColumn("within", within).join(begins, ["virtual_slot", "part"]).withColumn("slot", (F.col("begins") + F.col("within")).cast("long"))
 
 
-def virtual_slot_shards(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def virtual_slot_shards(documents: DataFrame, shards: int = SHARDS, slots: int = SLOTS, part_rows: int = PART_ROWS) -> DataFrame:
     """All rows with their shard by the stored map, version 1."""
     spark = documents.sparkSession
-    rows = with_virtual_slot(documents, shards, slots)
-    sizes = slot_sizes(rows)
-    counted = {r["virtual_slot"]: (r["bytes"], r["n"]) for r in sizes.collect()}  # at most `slots` rows
-    path = new_path(spark, "slot-map")
-    slot_map = save_map(spark, new_map({k: v[0] for k, v in counted.items()}, shards, slots), 1, path)
-    counts = F.split(F.lit(",".join(str(counted.get(k, (0, 0))[1]) for k in range(slots))), ",")
-    known = spark.range(1).select(F.posexplode(counts).alias("virtual_slot", "n")).select("virtual_slot", F.col("n").cast("long").alias("n"))
-    placed = place(rows, slot_map, known)
+    rows = stored(with_virtual_slot(documents, shards, slots), "slots")
+    sizes = stored(slot_sizes(rows), "slot-sizes")
+    counted = {r["virtual_slot"]: r["bytes"] for r in sizes.collect()}  # at most `slots` rows
+    slot_map = save_map(spark, new_map(counted, shards, slots), 1, new_path(spark, "slot-map"))
+    placed = place(rows, slot_map, sizes, part_rows)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "parted", F.lit(1).alias("map_version"))
