@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.select import by_request
+from . import snapshots as sn
 from .records import deflated
 
 
@@ -16,17 +20,25 @@ def checked(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df
 
 
-def write_catalog(records: DataFrame, facets: DataFrame, path: str, rules: dict[str, Column]) -> None:
-    """Writes records, and facets by facet; the status comes last, so a reader that finds it finds all."""
-    checked(records, rules).write.mode("overwrite").parquet(f"{path}/records")
-    facets.repartition("facet").write.mode("overwrite").partitionBy("facet").parquet(f"{path}/facets")
-    records.sparkSession.range(1).select(F.lit(True).alias("complete")).write.mode("overwrite").parquet(f"{path}/status")
-
-
-def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    if not spark.read.schema("complete boolean").parquet(f"{path}/status").filter("complete").limit(1).count():
-        raise ValueError(f"the catalog at {path} isn't complete")
-    return spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/facets")
+def write_catalog(records: DataFrame, facets: DataFrame, path: str, rules: dict[str, Column]) -> int:
+    """Writes records, and facets by facet, as a new version, whose number is returned. The version is named last, by a rename; one that a rule or a lost writer ends leaves the versions before it as they were."""
+    spark = records.sparkSession
+    version = (sn.versions(spark, path) or [-1])[-1] + 1
+    folder = f"data/{uuid.uuid4().hex}"
+    checked(records, rules).write.parquet(f"{path}/{folder}/records")
+    facets.repartition("facet").write.partitionBy("facet").parquet(f"{path}/{folder}/facets")
+    sn.put_once(spark, f"{path}/snapshots/{version:012d}.json", json.dumps({"folder": folder}))
+    return version
+
+
+def read_catalog(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, facets) of a version, or of the newest."""
+    if version is None:
+        if not (known := sn.versions(spark, path)):
+            raise ValueError(f"the catalog at {path} isn't complete")
+        version = known[-1]
+    folder = json.loads(spark.read.text(f"{path}/snapshots/{version:012d}.json", wholetext=True).first()[0])["folder"]
+    return spark.read.parquet(f"{path}/{folder}/records"), spark.read.parquet(f"{path}/{folder}/facets")
 
 
 def lookup(df: DataFrame, key: str, wanted: list) -> DataFrame:
