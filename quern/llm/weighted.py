@@ -26,18 +26,19 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLES = 64
-SIDE = 8  # samples of one generated stage
+SIDE = 4  # samples of one generated stage
 PART = 4  # of a text, the last that an edited one replaces
 _BREAKS = "[ \\x09-\\x0D]+"
+_ABOVE, _FRACTION = 512, 20  # values lie within 512 of zero, and are compared to 20 binary places
 
 
 def with_next(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Texts (row, doc_id, text, n_chars), and (row, next, before, wanted): the rows after and before each in ascending doc_id, around the end, and how many characters the one before wants of this."""
+    """Texts (row, text), and (row, doc_id, n_chars, next, before, wanted): the rows after and before each in ascending doc_id, around the end, and how many characters the one before wants of this."""
     text = F.coalesce("text", F.lit(""))
-    texts = stored(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"), F.char_length(text).cast("long").alias("n_chars")), "texts")
-    thin = texts.select("row", "doc_id", "n_chars", F.xxhash64("text").alias("hash"))
+    texts = stored(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text")), "texts")
+    thin = texts.select("row", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("hash"))
     order = ("doc_id", "hash", "row")
-    ordered = stored(thin.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n_chars", F.monotonically_increasing_id().alias("place")), "order").withColumn("part", F.shiftrightunsigned("place", 33))
+    ordered = stored(thin.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "doc_id", "n_chars", F.monotonically_increasing_id().alias("place")), "order").withColumn("part", F.shiftrightunsigned("place", 33))
     spots = ordered.groupBy("part").agg(F.min_by("row", "place").alias("first"), F.max_by(F.struct("row", "n_chars"), "place").alias("last"))  # a row per range
     around = Window.orderBy("part")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -45,15 +46,15 @@ def with_next(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = Window.partitionBy("part").orderBy("place")
     links = ordered.withColumns({"after": F.lead("row").over(within), "lagged": F.lag(F.struct("row", "n_chars")).over(within)}).join(spots, "part")
     before = F.coalesce("lagged", "preceding")
-    return texts, links.select("row", F.coalesce("after", "following").alias("next"), before["row"].alias("before"), F.floor(before["n_chars"] / PART).cast("int").alias("wanted"))
+    links = links.select("row", "doc_id", "n_chars", F.coalesce("after", "following").alias("next"), before["row"].alias("before"), F.floor(before["n_chars"] / PART).cast("int").alias("wanted"))
+    return texts.select("row", "text"), stored(links, "links")
 
 
 def edited_texts(texts: DataFrame, links: DataFrame) -> DataFrame:
-    """row, doc_id, n_chars, next, text and edited: the last quarter replaced by as much of the next text's beginning."""
-    both = texts.join(links, "row")
-    heads = both.select(F.col("before").alias("row"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"))
+    """row, text and edited: the last quarter replaced by as much of the next text's beginning. Numbers come from links, so that all that needs texts needs the same exchange of them."""
+    heads = texts.join(links.select("row", "before", "wanted"), "row").select(F.col("before").alias("row"), F.substring("text", F.lit(1), F.col("wanted")).alias("head"))
     kept = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / PART)).cast("int"))
-    return both.join(heads, "row").select("row", "doc_id", "n_chars", "next", "text", F.concat(kept, "head").alias("edited"))
+    return texts.join(links.select("row", "n_chars"), "row").join(heads, "row").select("row", "text", F.concat(kept, "head").alias("edited"))
 
 
 def weights(texts: DataFrame) -> DataFrame:
@@ -71,38 +72,29 @@ def _uniform(bits: Column, n: int) -> Column:
 
 
 def samples(terms: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """row, samples0 and samples1: n hashes of 32 bits for each of the two texts (null where one has no terms)."""
+    """row, samples0 and samples1: n numbers of 32 bits for each of the two texts (null where one has no terms). Value and sample are one number, the value above, so that a least sample is a plain minimum."""
     sides = F.explode(F.array(*(F.lit(s) for s in range(n // SIDE))))
     rows = terms.select("row", "term", "log0", "log1", sides.alias("side"))
-    columns, least = {}, []
+    low = F.lit((1 << 32) - 1)
+    hashes, draws, least = {}, {}, []
     for d in range(SIDE):
-        h, g = F.xxhash64("term", "side", F.lit(2 * d)), F.xxhash64("term", "side", F.lit(2 * d + 1))
-        low = (1 << 32) - 1
-        columns[f"r{d}"] = -F.ln(_uniform(F.shiftrightunsigned(h, 32), 32) * _uniform(h.bitwiseAND(F.lit(low)), 32))
-        columns[f"g{d}"] = g
-    rows = rows.withColumns(columns)
-    columns = {}
+        hashes[f"h{d}"], hashes[f"g{d}"] = F.xxhash64("term", "side", F.lit(2 * d)), F.xxhash64("term", "side", F.lit(2 * d + 1))
     for d in range(SIDE):
-        g, bits = F.col(f"g{d}"), (1 << 21) - 1
-        u = [_uniform(F.shiftrightunsigned(g, at).bitwiseAND(F.lit(bits)), 21) for at in (0, 21, 42)]
-        columns[f"c{d}"] = F.ln(-F.ln(u[0] * u[1]))
-        columns[f"b{d}"] = u[2]
-    rows = rows.withColumns(columns)
-    columns = {}
-    for d in range(SIDE):
-        for form in (0, 1):
-            columns[f"t{d}_{form}"] = F.floor(F.col(f"log{form}") / F.col(f"r{d}") + F.col(f"b{d}"))
-    rows = rows.withColumns(columns)
+        h, g = F.col(f"h{d}"), F.col(f"g{d}")
+        u = [_uniform(F.shiftrightunsigned(g, at).bitwiseAND(F.lit((1 << 21) - 1)), 21) for at in (0, 21, 42)]
+        draws[f"r{d}"] = -F.ln(_uniform(F.shiftrightunsigned(h, 32), 32) * _uniform(h.bitwiseAND(low), 32))
+        draws[f"c{d}"] = F.ln(-F.ln(u[0] * u[1]))
+        draws[f"b{d}"] = u[2]
+    rows = rows.withColumns(hashes).withColumns(draws)
+    rows = rows.withColumns({f"t{d}_{form}": F.floor(F.col(f"log{form}") / F.col(f"r{d}") + F.col(f"b{d}")) for d in range(SIDE) for form in (0, 1)})
     for form in (0, 1):
-        own = []
         for d in range(SIDE):
             t = F.col(f"t{d}_{form}")
-            value = F.col(f"c{d}") - F.col(f"r{d}") * (t - F.col(f"b{d}") + 1)
-            own.append(F.min_by(F.col("term").bitwiseXOR(F.shiftleft(t, 16)), value))
-        least.append([c.alias(f"s{form}_{d}") for d, c in enumerate(own)])
-    found = rows.groupBy("row", "side").agg(*least[0], *least[1])
-    hashed = lambda form: F.array(*(F.xxhash64(f"s{form}_{d}", F.lit(d)).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int") for d in range(SIDE)))
-    some = lambda form: F.when(F.col(f"s{form}_0").isNotNull(), hashed(form))
+            value = F.floor((F.col(f"c{d}") - F.col(f"r{d}") * (t - F.col(f"b{d}") + 1) + _ABOVE) * (1 << _FRACTION))
+            sample = F.col("term").bitwiseXOR(F.shiftleft(t, 16)).bitwiseAND(low)
+            least.append(F.min(F.shiftleft(value, 32).bitwiseOR(sample)).bitwiseAND(low).alias(f"s{form}_{d}"))
+    found = rows.groupBy("row", "side").agg(*least)
+    some = lambda form: F.when(F.col(f"s{form}_0").isNotNull(), F.array(*(F.col(f"s{form}_{d}") for d in range(SIDE))))
     sides = F.array_sort(F.collect_list(F.struct("side", some(0).alias("s0"), some(1).alias("s1"))))  # n / SIDE of them
     both = found.groupBy("row").agg(sides.alias("sides"))
     return both.select("row", *(F.when(F.col(f"sides.s{form}")[0].isNotNull(), F.flatten(f"sides.s{form}")).alias(f"samples{form}") for form in (0, 1)))
@@ -122,8 +114,9 @@ def weighted_fingerprints(documents: DataFrame, n: int = SAMPLES) -> DataFrame:
     texts, links = with_next(documents)
     edited = edited_texts(texts, links)
     taken = samples(weights(edited), n)
-    none = F.array_repeat(F.lit(0), n)
-    own = edited.select("row", "doc_id", "n_chars", "next", F.sha2("edited", 256).alias("edited_sha256")).join(taken, "row", "left")
+    none = F.array_repeat(F.lit(0).cast("long"), n)
+    digests = edited.select("row", F.sha2("edited", 256).alias("edited_sha256"))
+    own = links.select("row", "doc_id", "n_chars", "next").join(digests, "row").join(taken, "row", "left")
     own = stored(own.select("row", "doc_id", "n_chars", "next", "edited_sha256", F.coalesce("samples0", none).alias("own"), F.coalesce("samples1", none).alias("changed")), "samples")
     after = own.select(F.col("row").alias("next"), F.col("own").alias("following"))
     both = own.join(after, "next")

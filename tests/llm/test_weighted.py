@@ -42,8 +42,8 @@ def sample(text, d, n=N):
         t = math.floor(math.log(w) / r + b)
         value = math.log(c) - r * (t - b + 1)
         if best is None or value < best[0]:
-            best = value, struct.unpack("<Q", term)[0] ^ (t << 16)
-    return 0 if best is None else chain(42, struct.pack("<Q", best[1]), struct.pack("<i", d % SIDE)) & 0x7FFFFFFF
+            best = value, (struct.unpack("<Q", term)[0] ^ (t << 16)) & 0xFFFFFFFF
+    return 0 if best is None else best[1]
 
 
 def edited(rows):
