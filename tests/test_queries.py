@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quern.plans import catalog, checks, history, recipes, records, texts  # noqa: F401
+from quern.plans import catalog, checks, history, recipes, records, stored, texts  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
