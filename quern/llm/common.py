@@ -61,6 +61,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, known: DataFrame, key: str, counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with known (a row per key) so that no key is too large for a task: a key that more than a HOT-th of the rows have is joined by broadcast, of at most HOT rows of known. rows are read twice, so store them first. counts: (key, n) of rows, where they are known."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = F.broadcast(known.join(counts.filter(F.col("n") > max(total // HOT, 10_000)).select(key), key, "left_semi"))
+    few = rows.join(hot, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known, key)
+    return few.unionByName(rest)
+
+
 def by_bytes(batch: pa.RecordBatch, at: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values in a column of texts or bytes have at most `most` bytes together, or are one value."""
     size = np.array(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64)

@@ -1,11 +1,11 @@
-"""Connected components of a graph given by its edges, by alternating large and small stars."""
+"""Connected components of a graph given by its edges, by alternating large and small stars. The star of a node with a large share of all edges is spread."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread_join, stored
 
 MAX_ROUNDS = 50
 
@@ -16,8 +16,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         near = edges
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = near.join(least, "u")
+    least = stored(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+    joined = spread_join(near, least.select("u", "m"), "u", least.select("u", "n"))
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = stored(_stars(_stars(edges, large=True), large=False), "edges")
+        edges = stored(_stars(stored(_stars(edges, large=True), "edges"), large=False), "edges")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == (now["n"], now["h"]):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

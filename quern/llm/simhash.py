@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, number_of, stored
+from .common import free_names, number_of, spread_join, stored
 from .components import components
 
 SHINGLE = 3
@@ -211,6 +211,7 @@ def links(distinct: DataFrame, small: int = SMALL) -> DataFrame:
     keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("part")) for m, k in kinds.items()))).alias("x")).select("fp", "x.kind", "x.part")
     found = []
     for level in range(3):
+        keyed = stored(keyed, "keyed")
         sizes = keyed.groupBy("kind", "part").agg(F.count("*").alias("n")).filter("n > 1")
         ready = sizes.filter(F.col("n") <= small) if level < 2 else sizes  # of the last level, none has more than 2^15
         grouped = keyed.join(ready, ["kind", "part"]).groupBy("kind", "part").agg(F.collect_list("fp").alias("fps"))
@@ -241,12 +242,12 @@ def _rooted(fps: DataFrame, small: int = SMALL) -> DataFrame:
 def near_duplicates(documents: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     fps = stored(fingerprints(documents), "fingerprints")
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    groups = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     roots = components(links(groups.select("fp"), small))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = stored(rooted.join(least, "root").select("fp", "component_id", "n"), "components")
+    return spread_join(fps, known.select("fp", "component_id"), "fp", known.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def row_keys(documents: DataFrame, key: str = "_row_key", digest: str = "_row_hash") -> DataFrame:
@@ -267,4 +268,4 @@ def one_of_each(documents: DataFrame) -> DataFrame:
     """The row of least (doc_id, text hash) of each component of fingerprints, with its columns. Rows count each, also without doc_id or with one that others have too; only rows alike in both are one."""
     keyed = row_keys(documents.select("doc_id", "text")).select(F.struct(F.col("doc_id").isNull().alias("no_id"), "_row_key", "_row_hash").alias("doc_id"), "text")
     fps = stored(fingerprints(keyed), "fingerprints")
-    return first_of_each(documents, fps.join(_rooted(fps), "fp").select("doc_id.*", "root"))
+    return first_of_each(documents, spread_join(fps, stored(_rooted(fps), "roots"), "fp").select("doc_id.*", "root"))
