@@ -301,6 +301,64 @@ def menu_suggestion(table):
     return _shown(pl.menu(cells(table), candidates(table), 11, F.lit("2024-01-20").cast("date")))
 
 
+# Plans by each cell's own filters: parts as candidates, some of them favourites.
+
+
+def filtered_cells(table) -> DataFrame:
+    """cells() with filters of their own: sides of any category on some days, limits that come and go, and few distinct sets of them."""
+    day = F.weekday("date")
+    rows = cells(table).withColumn("category", F.when((F.col("course") == "side") & (day % 2 == 0), "any").otherwise(F.col("category")))
+    return rows.withColumns({"ease": F.when(day == 4, "easy"), "min_rating": F.when(day == 0, 905.0).otherwise(0.0), "max_minutes": F.when(day == 5, 30).otherwise(0)})
+
+
+def filtered_candidates(table) -> DataFrame:
+    size = F.col("p_size")
+    ease_ = F.when(size % 2 == 0, "easy").otherwise("hard")
+    return table("part").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("category"), ease_.alias("ease"), F.col("p_retailprice").alias("rating"), size.alias("minutes"), (size % 3 == 0).alias("for_side"))
+
+
+def _filtered_sql(wanted: str, seed: int, draw: int, pool: str = "true", category: str = "category") -> str:
+    """Each course in turn: the candidates of a cell's own filters in their order, from the place that is drawn, around the end, the first that isn't another course's."""
+    place = f"CAST('0x' || substr(sha256('{seed}|' || date || '|' || course || '|{draw}'), 1, 15) AS BIGINT)"
+    start = f"""WITH {_CELLS.replace("isodow(date) IN (2, 3, 4) AS kept", "isodow(date) IN (2, 3, 4) AS kept, isodow(date) - 1 AS wd")},
+q AS (SELECT p_partkey, p_type, CASE WHEN p_size % 2 = 0 THEN 'easy' ELSE 'hard' END AS ease, p_retailprice, p_size, substr(md5(CAST(p_partkey AS VARCHAR)), 1, 3) AS h FROM part WHERE p_type NOT IN ('other') AND {pool}),
+f0 AS (SELECT date, course, CASE WHEN course = 'side' AND wd % 2 = 0 THEN 'any' ELSE category END AS category, saved AS item, kept, wd, CASE WHEN wd = 4 THEN 'easy' END AS ease, CASE WHEN wd = 0 THEN 905.0 ELSE 0 END AS least, CASE WHEN wd = 5 THEN 30 ELSE 0 END AS most FROM c),
+f AS (SELECT date, course, {category} AS category, item, kept, ease, least, most, {wanted} AS wanted FROM f0),
+m AS (SELECT f.date, f.course, p_partkey, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY f.date, f.course) AS total FROM f JOIN q ON (f.category = 'any' OR q.p_type = f.category)
+ AND (f.ease IS NULL OR q.ease = f.ease) AND (f.least = 0 OR q.p_retailprice > f.least) AND (f.most = 0 OR (q.p_size > 0 AND q.p_size <= f.most)) AND (NOT (f.course = 'side' AND f.category = 'any') OR (q.p_size % 3 = 0 AND q.p_type <> 'dessert'))
+ WHERE f.wanted WINDOW w AS (PARTITION BY f.date, f.course ORDER BY h, p_partkey)),
+t AS (SELECT date, course, p_partkey, (nth - {place} % total + total) % total AS tries, total FROM m)"""
+    steps, last = [], "f"
+    for k, course in enumerate(("main", "side", "dessert")):
+        clear = "true" if course == "main" else f"t.p_partkey NOT IN (SELECT item FROM {last} o WHERE o.date = t.date AND o.course <> '{course}' AND o.item IS NOT NULL)"
+        steps.append(f"""s{k} AS MATERIALIZED (SELECT l.date, l.course, CASE WHEN l.wanted AND l.course = '{course}' THEN b.item ELSE l.item END AS item, l.wanted FROM {last} l
+ LEFT JOIN (SELECT date, arg_min(p_partkey, tries) AS item FROM t WHERE course = '{course}' AND tries < 3 AND {clear} GROUP BY date) b ON b.date = l.date)""")
+        last = f"s{k}"
+    return ",\n".join([start, *steps]) + f"\nSELECT CAST(date AS VARCHAR) AS date, course, item FROM {last}"
+
+
+@query(_filtered_sql("NOT kept", 5, 2))
+def filtered_reroll(table):
+    rows = filtered_cells(table)
+    return _shown(pl.planned(rows, filtered_candidates(table), 5, ~pl.kept_cell(), draw=2))
+
+
+@query(_filtered_sql("NOT kept", 5, 1, "p_partkey % 4 = 0 AND p_partkey % 12 <> 0"))
+def favourite_reroll(table):
+    """Favourites only, without those that the week leaves out."""
+    part = table("part").select(F.col("p_partkey").alias("item"))
+    choice = pl.Choice(favourites=part.filter("item % 4 = 0"), week_excluded=part.filter("item % 12 = 0"))
+    return _shown(pl.planned(filtered_cells(table), filtered_candidates(table), 5, ~pl.kept_cell(), choice, draw=1))
+
+
+@query(_filtered_sql("NOT kept AND ((course = 'main' AND (item IS NULL OR item = 9)) OR (course = 'main' AND wd IN (1, 5)) OR (course = 'side' AND wd = 5 AND item IS NOT NULL))", 3, 0, category="CASE WHEN NOT kept AND course = 'main' AND wd IN (1, 5) THEN CASE wd WHEN 5 THEN 'PROMO' ELSE 'any' END WHEN NOT kept AND course = 'side' AND wd = 5 AND item IS NOT NULL THEN 'SMALL' ELSE category END"))
+def week_resets(table):
+    """Tuesdays' and Saturdays' main courses and Saturdays' sides go back to the weekday's category; Tuesdays are done, so they stay."""
+    rows = filtered_cells(table)
+    out = pl.ensured_week(rows, filtered_candidates(table), 3, F.col("item") != 9, {"main": {1, 5}, "side": {5}}, {"main": {5: "PROMO"}, "side": {5: "SMALL"}})
+    return _shown(out)
+
+
 @query("SELECT p_partkey FROM part WHERE p_type = 'SMALL' AND p_size % 2 = 0 AND p_brand NOT IN ('Brand#2')")
 def active_language_rows(table):
     """Criteria with the gate that every candidate passes: active, and of a language."""

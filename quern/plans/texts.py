@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clauses as cl
 from ..functions import nested as ne
 from ..functions import parse as pa
+from ..functions import terms as tm
 from ..functions import text as te
 from ..operators import audit as au
 from ..operators import explore as ex
@@ -340,3 +341,14 @@ def part_timing(table):
     k, size = F.col("p_partkey"), F.col("p_size")
     first = F.when(size % 4 == 2, F.concat(F.lit("You can leave it for "), k % 7, F.lit(" hours."))).when(size % 4 == 3, "Chill overnight.").otherwise(F.concat(F.lit("Mix. Leave for "), k % 7, F.lit(" hours.")))
     return table("part").select("p_partkey", F.size(cl.timing_contradictions(F.array(first, F.lit("Serve")), (size % 10 * 10).cast("int"))).alias("n"))
+
+
+_TERMS = ["of", "of the", "and", "in the", "in", "the", "de la", "de", "la", "el", "und", "der", "die", "no", "all rights reserved", "http", "www"]
+_FOUND = f"regexp_extract_all('  ' || replace({_TOKEN.format('text')}, ' ', '  ') || '  ', ' ({'|'.join(t.replace(' ', '  ') for t in sorted(_TERMS, key=len, reverse=True))}) ', 1)"
+
+
+@query(f"SELECT doc_id, CAST(coalesce(len(f), 0) AS INTEGER) AS n, sha256(replace(coalesce(array_to_string(f, ','), ''), '  ', ' ')) AS terms FROM (SELECT doc_id, {_FOUND} AS f FROM documents)")
+def many_terms(table):
+    """Words and runs of words in whole texts by one automaton, the leftmost and longest first."""
+    found = tm.found_terms(table("documents"), "doc_id", F.col("text"), tm.Vocabulary({t: (t, "word") for t in _TERMS}))
+    return found.select("doc_id", F.size("found").alias("n"), F.sha2(F.array_join(F.col("found.term"), ","), 256).alias("terms"))
