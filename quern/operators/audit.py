@@ -51,12 +51,12 @@ def largest(df: DataFrame, size: Column, key: str) -> DataFrame:
 
 
 def digest(df: DataFrame, group: list[str], key: str, json: Column) -> DataFrame:
-    """A SHA-256 of each group's rows that doesn't depend on their order or place: rows are hashed, and hashes are hashed in order, as a tree: those of 65,536 ranges, then 256 ranges of these, then these. Repeated rows count."""
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), ""), 256).alias("h")
-    rows = df.select(*group, F.sha2(F.concat_ws("|", F.col(key).cast("string"), json), 256).alias("h"))
-    low = rows.groupBy(*group, F.substring("h", 1, 4).alias("k")).agg(joined(F.struct("h")))
-    mid = low.groupBy(*group, F.substring("k", 1, 2).alias("k")).agg(joined(F.struct("k", "h")))
-    return mid.groupBy(*group).agg(joined(F.struct("k", "h")).alias("digest"))
+    """A SHA-256 of each group's rows that doesn't depend on their order or place: rows are hashed, and hashes are hashed in order, as a tree: by their first six digits, then by four, by two, and all. Repeated rows count."""
+    level = df.select(*group, F.sha2(F.concat_ws("|", F.col(key).cast("string"), json), 256).alias("k")).withColumn("h", F.col("k"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256)
+    for digits in (6, 4, 2):
+        level = level.groupBy(*group, F.substring("k", 1, digits).alias("p")).agg(joined.alias("h")).withColumnRenamed("p", "k")
+    return level.groupBy(*group).agg(joined.alias("digest"))
 
 
 def set_equality(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -20,9 +20,9 @@ from .registry import query
 
 @query("""
 SELECT p_partkey, array_to_string(list_sort(list_filter([
- CASE WHEN p_size % 12 = 5 THEN 'ease' END, CASE WHEN p_partkey % 11 = 0 THEN 'labels' END, CASE WHEN p_size * 7 < p_size % 4 * 100 AND p_size > 0 THEN 'parts' END,
+ CASE WHEN p_size % 12 = 5 THEN 'ease' END, CASE WHEN p_partkey % 11 = 0 OR len(list_distinct(string_split(p_name, ' '))) <> len(string_split(p_name, ' ')) THEN 'labels' END, CASE WHEN p_size * 7 < p_size % 4 * 100 AND p_size > 0 THEN 'parts' END,
  CASE WHEN p_partkey % 13 = 0 THEN 'quick' END, CASE WHEN p_retailprice / 95 > 10 THEN 'rating' END, CASE WHEN p_partkey % 17 = 0 THEN 'title' END, CASE WHEN p_partkey % 3 = 0 THEN 'url' END], lambda x: x IS NOT NULL)), ',') AS broken
-FROM part WHERE p_size % 12 = 5 OR p_partkey % 11 = 0 OR (p_size * 7 < p_size % 4 * 100 AND p_size > 0) OR p_partkey % 13 = 0 OR p_retailprice / 95 > 10 OR p_partkey % 17 = 0 OR p_partkey % 3 = 0""")
+FROM part WHERE p_size % 12 = 5 OR p_partkey % 11 = 0 OR len(list_distinct(string_split(p_name, ' '))) <> len(string_split(p_name, ' ')) OR (p_size * 7 < p_size % 4 * 100 AND p_size > 0) OR p_partkey % 13 = 0 OR p_retailprice / 95 > 10 OR p_partkey % 17 = 0 OR p_partkey % 3 = 0""")
 def record_rules(table):
     k, size = F.col("p_partkey"), F.col("p_size")
     band = ease(size % 4, size % 12)
@@ -32,9 +32,7 @@ def record_rules(table):
         "ease": F.when(size % 12 == 5, "odd").otherwise(band), "quick": F.when(k % 13 == 0, ~quick(size * 7)).otherwise(quick(size * 7)), "labels": F.when(k % 11 == 0, F.array(F.col("p_type"), F.col("p_type"))).otherwise(F.split("p_name", " ")),
     }
     rules = va.record_rules(c, ("a.org",))
-    words = F.array_distinct(F.split("p_name", " "))
-    df = table("part").filter(F.size(words) == F.size(F.split("p_name", " ")))
-    return au.violations(df, "p_partkey", rules).select("p_partkey", F.array_join(F.array_sort("violations"), ",").alias("broken"))
+    return au.violations(table("part"), "p_partkey", rules).select("p_partkey", F.array_join(F.array_sort("violations"), ",").alias("broken"))
 
 
 @query("SELECT 'repeated ids' AS problem, count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'several providers', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'mixed', count(*) FILTER (o_orderstatus <> 'F') FROM orders")
@@ -141,9 +139,9 @@ _FRAMED = "octet_length(encode(CAST({0} AS VARCHAR))) || ':' || {0}"
 def _tree_sql(rows: str) -> str:
     """rows: (k, f) of key hashes and frames."""
     return f"""
-WITH r AS ({rows}), low AS (SELECT substr(k, 1, 4) AS k, sha256(string_agg(f, '' ORDER BY k, f)) AS f, count(*) AS n FROM r GROUP BY 1),
-mid AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(f, '' ORDER BY k)) AS f, sum(n) AS n FROM low GROUP BY 1)
-SELECT sha256(string_agg(f, '' ORDER BY k)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM mid"""
+WITH r AS ({rows}), six AS (SELECT substr(k, 1, 6) AS k, sha256(string_agg(sha256(f), '' ORDER BY k, sha256(f))) AS f, count(*) AS n FROM r GROUP BY 1),
+four AS (SELECT substr(k, 1, 4) AS k, sha256(string_agg(f, '' ORDER BY k)) AS f, sum(n) AS n FROM six GROUP BY 1), two AS (SELECT substr(k, 1, 2) AS k, sha256(string_agg(f, '' ORDER BY k)) AS f, sum(n) AS n FROM four GROUP BY 1)
+SELECT sha256(string_agg(f, '' ORDER BY k)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM two"""
 
 
 @query(_tree_sql(f"SELECT sha256(CAST(doc_id AS VARCHAR)) AS k, {_FRAMED.format('doc_id')} || {_FRAMED.format('text')} AS f FROM documents"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import alignment as al
 from ..operators import explore as ex
 from ..operators import facets as fa
 from ..operators import normalize as no
@@ -394,6 +395,32 @@ def anchored_steps(table):
     return table("orders").select("o_orderkey", F.coalesce(shown, F.lit("none")).alias("places"))
 
 
+@query("SELECT a.p_partkey, CAST(levenshtein(a.p_name || a.p_type, b.p_name || b.p_brand) AS INTEGER) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
+def name_distances(table):
+    """Letters of a part's name and type against the next one's name and brand."""
+    part = table("part")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.split(F.concat("p_name", "p_brand"), "").alias("right"))
+    both = part.select("p_partkey", F.split(F.concat("p_name", "p_type"), "").alias("left")).join(after, "p_partkey")
+    return al.alignments(both, "p_partkey", "left", "right").select("p_partkey", "distance")
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'A:' || o_orderpriority || '>rest;B:c d' WHEN 1 THEN ':' || o_orderpriority || '>rest>c d' WHEN 2 THEN 'none' ELSE 'A:' || o_orderpriority || '>rest>c d' END AS sections,
+ CASE o_orderkey % 4 WHEN 2 THEN '' ELSE 'tip' || CASE WHEN o_orderkey % 4 = 3 THEN '' ELSE '>' || o_orderstatus END END AS tips FROM orders WHERE o_orderkey % 4 < 3
+UNION ALL SELECT o_orderkey, 'A:' || o_orderpriority || '>rest>c d', 'tip>' || o_orderstatus FROM orders WHERE o_orderkey % 4 = 3""")
+def grouped_steps(table):
+    """Five steps against two headings and tips, tips alone, headings in the wrong order, and one heading whose anchors leave steps out."""
+    k, p = F.col("o_orderkey") % 4, F.col("o_orderpriority")
+    steps = F.array(p, F.lit("rest"), F.lit("c d"), F.lit("tip"), F.col("o_orderstatus"))
+    group = lambda title, tip, *anchors: F.struct(F.lit(title).alias("title"), F.lit(tip).alias("tip"), F.array(*anchors).alias("steps"))
+    c, d, tip, rest = (F.lit(x) for x in ("c", "d", "tip", "rest"))
+    groups = F.when(k == 0, F.array(group("A", False, p, rest), group("B", False, c, d), group("", True, tip))).when(k == 1, F.array(group("", True, tip)))
+    groups = groups.when(k == 2, F.array(group("B", False, c, d), group("A", False, p))).otherwise(F.array(group("A", False, p, c, d), group("", True, tip)))
+    found = al.grouped_methods(table("orders").select("o_orderkey", steps.alias("steps"), groups.alias("groups")), "o_orderkey", "steps", "groups")
+    sections = F.array_join(F.transform("method.sections", lambda s: F.concat(s["title"], F.lit(":"), F.array_join(s["steps"], ">"))), ";")
+    return found.select("o_orderkey", F.coalesce(sections, F.lit("none")).alias("sections"), F.coalesce(F.array_join("method.tips", ">"), F.lit("")).alias("tips"))
+
+
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN NULL ELSE 'b' END AS provider, c_custkey % 6 = 1 AS conflict FROM customer")
 def provider_resolution(table):
     k = F.col("c_custkey")

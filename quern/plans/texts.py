@@ -168,8 +168,9 @@ def set_equality(table):
 
 @query("""
 WITH r AS (SELECT n_regionkey AS g, sha256(n_nationkey || '|' || '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation),
-low AS (SELECT g, substr(h, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1, 2), mid AS (SELECT g, substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM low GROUP BY 1, 2)
-SELECT g, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM mid GROUP BY g""")
+six AS (SELECT g, substr(h, 1, 6) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM r GROUP BY 1, 2), four AS (SELECT g, substr(k, 1, 4) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM six GROUP BY 1, 2),
+two AS (SELECT g, substr(k, 1, 2) AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM four GROUP BY 1, 2)
+SELECT g, sha256(string_agg(h, '' ORDER BY k)) AS digest FROM two GROUP BY g""")
 def catalog_digest(table):
     n = table("nation")
     return au.digest(n.withColumn("g", F.col("n_regionkey")), ["g"], "n_nationkey", ne.canonical_json(n))

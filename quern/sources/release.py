@@ -100,12 +100,12 @@ def promoted(spark: SparkSession, parts: dict[str, DataFrame], path: str, proble
 
 
 def tree_digest(rows: DataFrame, frame: Column, order: Column) -> DataFrame:
-    """(digest, n): a SHA-256 of framed rows in the order of the SHA-256 of their keys, as a tree: of 65,536 ranges of key hashes each its rows' digest, and of these 256 at a time."""
-    keyed = rows.select(F.sha2(order.cast("string"), 256).alias("k"), frame.alias("f"))
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["f"]), ""), 256).alias("f")
-    low = keyed.groupBy(F.substring("k", 1, 4).alias("k")).agg(joined(F.struct("k", "f")), F.count("*").alias("n"))
-    mid = low.groupBy(F.substring("k", 1, 2).alias("k")).agg(joined(F.struct("k", "f")), F.sum("n").alias("n"))
-    return mid.agg(joined(F.struct("k", "f")).alias("digest"), F.sum("n").alias("n"))
+    """(digest, n): a SHA-256 of framed rows in the order of the SHA-256 of their keys, as a tree: frames are hashed where they are, and only digests are gathered, by six digits of their keys' hashes, then by four and by two."""
+    level = rows.select(F.sha2(order.cast("string"), 256).alias("k"), F.sha2(frame, 256).alias("f"), F.lit(1).cast("long").alias("n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda x: x["f"]), ""), 256)
+    for digits in (6, 4, 2):
+        level = level.groupBy(F.substring("k", 1, digits).alias("p")).agg(joined.alias("f"), F.sum("n").alias("n")).withColumnRenamed("p", "k")
+    return level.agg(joined.alias("digest"), F.sum("n").alias("n"))
 
 
 def framed(*parts: Column) -> Column:
