@@ -144,13 +144,27 @@ def event_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32))
 
 
-def canonical_url(url: Column, hosts: tuple[str, ...] | None = None) -> Column:
-    """https://host/path in lower-case host without www, query, fragment and trailing slash. Null where the address isn't https, has credentials or a port, or where its host isn't one of `hosts` (None: any)."""
+def canonical_url(url: Column, hosts: tuple[str, ...] | None = None, path: str | None = None) -> Column:
+    """https://host/path in lower-case host without www, query, fragment and trailing slash. Null where the address isn't https, has credentials or a port, or where its host isn't one of `hosts` or its path (without the trailing slash) not of the pattern `path` (None: any)."""
     form = r"(?i)^https://([^/?#]+)(/[^?#]*)?"
     host = F.regexp_replace(F.lower(F.regexp_extract(url, form, 1)), r"^www\.", "")
-    path = F.regexp_replace(F.regexp_extract(url, form, 2), "/+$", "")
+    own = F.regexp_replace(F.regexp_extract(url, form, 2), "/+$", "")
     known = host.isin(*hosts) if hosts is not None else F.lit(True)
-    return F.when((host != "") & ~host.rlike("[@:]") & known, F.concat(F.lit("https://"), host, path))
+    fits = own.rlike(path) if path is not None else F.lit(True)
+    return F.when((host != "") & ~host.rlike("[@:]") & known & fits, F.concat(F.lit("https://"), host, own))
+
+
+def url_id(url: Column, path: str) -> Column:
+    """The id in an address: the first group of its path's pattern; null where that doesn't fit."""
+    own = F.regexp_replace(F.regexp_extract(url, r"(?i)^https?://[^/?#]+(/[^?#]*)?", 1), "/+$", "")
+    return F.when(own.rlike(path), F.nullif(F.regexp_extract(own, path, 1), F.lit("")))
+
+
+def strict_month(text: Column) -> Column:
+    """The first day of the month that yyyy-MM or yyyy-MM-dd says, of the years 1900 to 2100 and a day that there is; null for any other text."""
+    form = F.when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01"))).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text)
+    day = F.try_to_timestamp(form, F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(F.year(day).between(1900, 2100), F.trunc(day, "MM"))
 
 
 def page_key(url: Column) -> Column:

@@ -36,6 +36,16 @@ def drift(stored: DataFrame, derived: DataFrame, key: str, columns: list[str]) -
     return joined.select(F.coalesce("sk", "dk").alias(key), kind.alias("kind"), F.when(kind == "differs", F.array_join(differing, ",")).otherwise("").alias("differing")).filter(F.col("kind").isNotNull())
 
 
+def rederived(stored: DataFrame, derived: DataFrame, key: str, columns: list[str], payload: str) -> DataFrame:
+    """drift(), where what was derived is from the same evidence: a row whose payload has another digest is of kind `payload`, whatever else differs."""
+    digest = F.sha2(F.coalesce(F.col(payload).cast("binary"), F.lit("").cast("binary")), 256).alias("_payload")
+    both = stored.select(F.col(key).alias("_key"), digest).join(derived.select(F.col(key).alias("_other"), digest.alias("_derived")), F.col("_key") == F.col("_other"))
+    changed = both.filter(F.col("_payload") != F.col("_derived")).select("_key")
+    found = drift(stored, derived, key, columns)
+    rest = found.join(changed, F.col(key) == F.col("_key"), "left_anti")
+    return rest.unionAll(changed.select(F.col("_key").alias(key), F.lit("payload").alias("kind"), F.lit("").alias("differing")))
+
+
 def transitions(df: DataFrame, before: str, after: str) -> DataFrame:
     return df.groupBy(F.col(before).alias("before"), F.col(after).alias("after")).agg(F.count("*").alias("n"))
 

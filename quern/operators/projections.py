@@ -49,6 +49,12 @@ def documents(df: DataFrame, key: str, summary: list[str], hidden: list[str]) ->
     return df.select(key, F.to_json(F.struct(*sorted(summary))).alias("summary"), F.to_json(F.struct(*sorted(rest))).alias("detail"))
 
 
+def payload_envelope(payload: Column, origin: dict[str, Column], version: int, active: Column) -> Column:
+    """The third form of a document: what it was made from, whole, with where it is from. A missing payload has no envelope."""
+    fields = origin | {"payload": payload, "schemaVersion": F.lit(version), "active": F.coalesce(active, F.lit(False))}
+    return F.when(payload.isNotNull(), F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items()))), {"ignoreNullFields": "false"}))
+
+
 def toggled(events: DataFrame, keys: list[str]) -> DataFrame:
     """Memberships that are on after all toggles: those toggled an odd number of times."""
     return events.groupBy(*keys).agg(F.count("*").alias("toggles")).filter("toggles % 2 = 1")

@@ -7,6 +7,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..functions.parse import SAFE_ID
+
 FEW = 10_000
 CUTS = 64
 
@@ -106,6 +108,16 @@ def first_of(frames: list[DataFrame], key: str, limit: int | None = None) -> Dat
     return out.orderBy("part", "place").limit(limit) if limit else out
 
 
+def reference_set(frames: list[DataFrame], key: str, most: int = 1024) -> DataFrame:
+    """(key) of the first `most` distinct safe ids of several frames in that order, and in each by its place: what a user's plans, favourites and history refer to."""
+    ids = None
+    for k, f in enumerate(frames):
+        own = f.filter(F.col(key).cast("string").rlike(SAFE_ID)).groupBy(key).agg(F.min("place").alias("place")).withColumn("part", F.lit(k))
+        ids = own if ids is None else ids.unionAll(own.select(*ids.columns))
+    first = ids.groupBy(key).agg(F.min(F.struct("part", "place")).alias("first"))
+    return first.orderBy("first", key).limit(most).select(key)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group; the order must have no ties."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= n)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from ..functions.parse import SAFE_ID, canonical_url, ease, quick
+from ..functions.parse import SAFE_ID, canonical_url, ease, quick, stable_key, url_id
 from .audit import IntegrityError
 from .merge import patch
 
@@ -38,6 +38,38 @@ def record_rules(c: dict[str, Column], hosts: tuple[str, ...] | None = None) ->
     return {name: rule() for name, rule in rules.items() if all(x in c for x in needs.get(name, (name,)))}
 
 
+def whole_record_rules(c: dict[str, Column], language: str, hosts: tuple[str, ...], path: str, most: dict[str, int] | None = None) -> dict[str, Column]:
+    """Rules of a whole record beyond record_rules, by the columns it has: what is stored must be what is derived from the rest.
+
+    language; canonical (of url, of a host, its path by a pattern whose group is provider_id); identity (id is the provider's);
+    key (stable_key of the id); prep, cook and total (whole minutes up to their most; the total is at least known parts' sum and
+    no more than it where both are known); preparations and counts (steps of sections, (title, steps)); sections (with steps, none
+    of them blank); images and videos (https, none twice); created and updated (in order); rating10 (rating rescaled from five);
+    nutrition (amounts that aren't negative).
+    """
+    most = {"prep": 10_080, "cook": 10_080, "total": 20_160, "preparations": 100, "steps": 1_000} | (most or {})
+    known = lambda x: F.coalesce(x, F.lit(0))
+    whole = lambda name: lambda: c[name].isNull() | (c[name].between(0, most[name]) & (c[name] == F.floor(c[name])))
+    once = lambda name: lambda: c[name].isNull() | ((F.size(F.array_distinct(c[name])) == F.size(c[name])) & F.forall(c[name], lambda u: u.rlike(r"^https://[^/?#\s]+/")))
+    parts = lambda: known(c["prep"]) + known(c["cook"])
+    rules = {
+        "language": lambda: c["language"] == language,
+        "canonical": lambda: canonical_url(c["url"], hosts, path).eqNullSafe(c["canonical"]) & c["canonical"].isNotNull(),
+        "identity": lambda: (c["id"].cast("string") == c["provider_id"].cast("string")) & (url_id(c["url"], path) == c["id"].cast("string")),
+        "key": lambda: c["key"] == stable_key(c["id"].cast("string")),
+        "prep": whole("prep"), "cook": whole("cook"), "preparations": whole("preparations"),
+        "total": lambda: whole("total")() & ((known(c["total"]) == 0) | F.when((known(c["prep"]) > 0) & (known(c["cook"]) > 0), c["total"] == parts()).otherwise(c["total"] >= parts())),
+        "counts": lambda: c["steps"].between(0, most["steps"]) & (c["steps"] == F.aggregate(c["sections"], F.lit(0), lambda n, s: n + F.size(s["steps"]))),
+        "sections": lambda: F.forall(c["sections"], lambda s: (F.size(s["steps"]) > 0) & F.forall(s["steps"], lambda t: F.trim(t) != "")),
+        "images": once("images"), "videos": once("videos"),
+        "updated": lambda: c["created"].isNull() | c["updated"].isNull() | (c["created"] <= c["updated"]),
+        "rating10": lambda: c["rating"].between(0, 5) & (F.abs(c["rating10"] - 2 * c["rating"]) < 1e-9),
+        "nutrition": lambda: F.forall(F.map_values(c["nutrition"]), lambda x: x.isNull() | (x >= 0)),
+    }
+    needs = {"canonical": ("url", "canonical"), "identity": ("id", "provider_id", "url"), "key": ("key", "id"), "total": ("total", "prep", "cook"), "counts": ("steps", "sections"), "updated": ("created", "updated"), "rating10": ("rating", "rating10")}
+    return {name: rule() for name, rule in rules.items() if all(x in c for x in needs.get(name, (name,)))}
+
+
 def unknown_fields(schema: StructType, allowed: set[str]) -> list[str]:
     return sorted(f for f in schema.fieldNames() if f not in allowed)
 

@@ -15,6 +15,7 @@ from ..operators import merge as me
 from ..operators import validate as va
 from ..sources import release as rl
 from ..sources import scopes as sc
+from ..sources import trees as tr
 from .registry import query
 
 
@@ -35,6 +36,27 @@ def record_rules(table):
     return au.violations(table("part"), "p_partkey", rules).select("p_partkey", F.array_join(F.array_sort("violations"), ",").alias("broken"))
 
 
+@query("""
+SELECT o_orderkey, array_to_string(list_sort(list_filter([
+ CASE WHEN k % 5 = 0 THEN 'language' END, CASE WHEN k % 7 = 0 THEN 'canonical' END, CASE WHEN k % 11 = 0 THEN 'identity' END, CASE WHEN k % 13 = 0 THEN 'key' END, CASE WHEN k % 4 = 1 THEN 'total' END,
+ CASE WHEN k % 6 = 0 THEN 'cook' END, CASE WHEN k % 17 = 0 THEN 'updated' END, CASE WHEN k % 19 = 0 THEN 'videos' END, CASE WHEN k % 23 = 0 THEN 'counts' END, CASE WHEN k % 29 = 0 THEN 'sections' END, CASE WHEN k % 31 = 0 THEN 'rating10' END], lambda x: x IS NOT NULL)), ',') AS broken
+FROM (SELECT o_orderkey, o_orderkey AS k FROM orders) WHERE k % 5 = 0 OR k % 7 = 0 OR k % 11 = 0 OR k % 13 = 0 OR k % 4 = 1 OR k % 6 = 0 OR k % 17 = 0 OR k % 19 = 0 OR k % 23 = 0 OR k % 29 = 0 OR k % 31 = 0""")
+def whole_record_rules(table):
+    """Each rule of whole records broken by a multiple of its own."""
+    k, lit = F.col("o_orderkey"), F.lit
+    broken = lambda n, bad, good: F.when(k % n == 0, bad).otherwise(good)
+    part = lambda title, *steps: F.struct(lit(title).alias("title"), F.array(*steps).alias("steps"))
+    sections = F.array(part("a", lit("x"), lit("y")), part("b", lit("z")))
+    c = {
+        "id": k, "language": broken(5, lit("de"), lit("el")), "url": F.concat(lit("https://www.a.org/r/"), k, lit("?x=1")), "canonical": broken(7, lit("https://a.org/other"), F.concat(lit("https://a.org/r/"), k)),
+        "provider_id": broken(11, k + 1, k), "key": broken(13, lit(0.25), pa.stable_key(k.cast("string"))), "prep": lit(10), "cook": broken(6, lit(20_000), lit(20)), "total": F.when(k % 6 == 0, 20_010).otherwise(30) + F.when(k % 4 == 1, 1).otherwise(0),
+        "created": F.col("o_orderdate"), "updated": F.date_add("o_orderdate", 1) - F.expr("INTERVAL 2 DAY") * broken(17, lit(1), lit(0)), "videos": broken(19, F.array(lit("https://v.org/1"), lit("https://v.org/1")), F.array(lit("https://v.org/1"))),
+        "sections": broken(29, F.array(part("a", lit("x"), lit(" ")), part("b", lit("z"))), sections), "steps": broken(23, lit(2), lit(3)), "rating": F.lit(4.5), "rating10": broken(31, lit(8.0), lit(9.0)),
+    }
+    rules = va.whole_record_rules(c, language="el", hosts=("a.org",), path=r"^/r/(\d+)$")
+    return au.violations(table("orders"), "o_orderkey", rules).select("o_orderkey", F.array_join(F.array_sort("violations"), ",").alias("broken"))
+
+
 @query("SELECT 'repeated ids' AS problem, count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'several providers', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'mixed', count(*) FILTER (o_orderstatus <> 'F') FROM orders")
 def catalog_problems(table):
     return va.catalog_problems(table("orders"), "o_custkey", "o_orderpriority", F.col("o_orderstatus") == "F")
@@ -204,6 +226,15 @@ def scoped_pages(table):
     return found.select("page_id", "host", first("title").alias("title"), first("ad").alias("ad"))
 
 
+@query("""
+SELECT page_id, replace(replace(replace(array_to_string(regexp_extract_all(nav, '<a href="[^"]*">([^<]*)</a>', 1), '|'), '&quot;', '"'), '&lt;', '<'), '&amp;', '&') AS nav, CAST(len(list_distinct(regexp_extract_all(nav, 'href="([^"]*)"', 1))) AS INTEGER) AS links
+FROM (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages)""")
+def page_trees(table):
+    """The texts of a page's navigation by their place in its tree, and its distinct links."""
+    found = tr.read_pages(table("pages"), {}, tr.Family({"nav": "nav > ul > li > a:first"}, media="nav li a[href]"))
+    return found.select("page_id", F.array_join(F.coalesce(F.col("texts")["nav"], F.array().cast("array<string>")), "|").alias("nav"), F.size("media").alias("links"))
+
+
 @query("""
 SELECT 'lang' AS name, coalesce(lang, '') AS value, count(*) FILTER (n_chars > 500) AS stored, count(*) FILTER (length(text) > 500 AND lang <> 'fr') AS derived FROM documents GROUP BY 2
 UNION ALL SELECT 'source', coalesce(source, ''), count(*) FILTER (n_chars > 500), count(*) FILTER (length(text) > 500 AND lang <> 'fr') FROM documents GROUP BY 2

@@ -105,3 +105,10 @@ def changed_pages(store: DataFrame, fetched: DataFrame) -> DataFrame:
 def upserted_run(checkpoint: DataFrame, fresh: DataFrame, keys: list[str], run: str) -> DataFrame:
     """upserted() for one run: rows of other runs stay as they are, and fresh rows are the run's."""
     return upserted(checkpoint, fresh.withColumn("run_key", F.lit(run)), ["run_key", *keys])
+
+
+def resumed(payloads: DataFrame, facets: DataFrame, run: str, resume: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A crawl's checkpoints (id, lastmod, payload) and (run_key, facet, option, ids) as a run may use them: facets of another run's key, or of another taxonomy's, go, while payloads stay, as they are told apart by their own time. Without resume all go."""
+    if not resume:
+        return payloads.limit(0), facets.limit(0)
+    return payloads, facets.filter(F.col("run_key").eqNullSafe(F.lit(run)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -206,8 +206,30 @@ def read_sitemap_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter("loc is not null").groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
 
 
+def traversed_sitemaps(spark: SparkSession, path: str, place: Callable[[str], str], most: int = 100) -> DataFrame:
+    """(loc, lastmod) of the entries of a sitemap, or of all those that an index names, indexes of indexes too: each document once, `most` of them at most, else ValueError. place: where a sitemap of an address lies. Documents are few; their entries stay distributed."""
+    waiting, seen, found = [path], {path}, None
+    while waiting:
+        entries, index = read_sitemap(spark, waiting[0]), read_sitemap_index(spark, waiting[0])
+        waiting.pop(0)
+        found = entries if found is None else found.unionAll(entries)
+        for r in index.select("loc").orderBy("loc").limit(most + 1).collect():
+            if (other := place(r["loc"].strip())) not in seen:
+                if len(seen) >= most:
+                    raise ValueError(f"more than {most} sitemaps from {path}")
+                seen.add(other)
+                waiting.append(other)
+    return found.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+
+
 def by_page_id(entries: DataFrame, pattern: str) -> DataFrame:
-    """(id, loc, lastmod): of the entries that a pattern's group finds an id in, one for each id, of the latest time; of equals any, but always the same."""
+    """(id, loc, lastmod): one for each id that a pattern's group finds in the entries, with the least address and the latest time."""
     found = entries.withColumn("id", F.regexp_extract("loc", pattern, 1)).filter("id <> ''")
-    newest = F.max_by(F.struct("loc", "lastmod"), F.struct(F.coalesce("lastmod", F.lit("")).alias("t"), F.sha2("loc", 256).alias("h")))
-    return found.groupBy("id").agg(newest.alias("x")).select("id", "x.*")
+    return found.groupBy("id").agg(F.min("loc").alias("loc"), F.max("lastmod").alias("lastmod"))
+
+
+def crawl_outcome(status: Column, url: Column, landed: Column, identity: Column, expected: Column, usable: Column) -> Column:
+    """What a fetched page is: failure (no page), redirect (it landed at another page), alias (it says to be another id's), stub (nothing usable in it), else record."""
+    failed = status.isNull() | ~status.between(200, 299)
+    moved = ~page_key(F.coalesce(landed, url)).eqNullSafe(page_key(url))
+    return F.when(failed, "failure").when(moved, "redirect").when(identity.isNotNull() & (identity != expected), "alias").when(~F.coalesce(usable, F.lit(False)), "stub").otherwise("record")
