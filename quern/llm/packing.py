@@ -9,7 +9,9 @@ piece, the emptiest one takes its beginning and the rest is put back in order.
 No rows are shuffled: a pack is made of the rows a task reads, in bounded memory, and read again they give the same
 pack. sequence_id tells the partition and counts within it.
 
-Defined results: a null or empty text has the end id alone; repeated rows are packed each; an empty table gives none.
+Defined results: a null or empty text has the end id alone, a blank one tokens like others; very long texts give full sequences
+and a rest; a null doc_id is packed like others; repeated rows are packed each; of sequences that tie in cost the first takes
+a piece; other columns, whatever their names, take no part; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ dictionary- or delta-encoded; doc_id and the counts, which rise slowly, delta-en
 `before` the ids of its earlier documents, so that a document's place in the whole stream of ids needs only the totals
 of the ranges: as many rows as there are ranges.
 
-Defined results: a null or empty text has the end id alone; a null doc_id sorts first; rows of equal doc_id sort by
-text; an empty table gives no rows.
+Defined results: a null or empty text has the end id alone, and so has a blank one, as the vocabulary drops white space; very
+long texts are one list; a null doc_id sorts first; rows of equal doc_id sort by text, and equal rows have their places one
+after the other; other columns, whatever their names, take no part; an empty table gives no rows. Rows of one doc_id are one
+range: the order by doc_id is the contract, and a doc_id that very many rows share makes a long file.
 """
 
 from __future__ import annotations

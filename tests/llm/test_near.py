@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from quern.llm import near
+from quern.llm.components import components
 from quern.llm.common import WordHashes
 
 
@@ -136,3 +137,33 @@ def test_odd_rows(spark, docs, none):
     assert near.one_of_each_similar(none).count() == 0
     same = spark.createDataFrame([(None, "one text of its own"), (None, "and another one"), (7, "some third text here"), (7, "not the same at all, a fourth"), (7, "some third text here")], "doc_id long, text string")
     assert near.one_of_each_similar(same).count() == 4
+
+
+def test_hot_bands_are_dealt_out_before_they_are_gathered(spark):
+    """Candidates connect the same nodes whether groups are compared whole, or cut in blocks from buckets that are dealt out."""
+    draw = np.random.default_rng(3)
+    bands, width = 6, 8
+    base = draw.integers(0, 1 << 63, 4, dtype=np.uint64)
+    far = draw.integers(0, 1 << 63, 4, dtype=np.uint64)
+    rows = []
+    for k in range(400):  # two groups of near copies, some a little further off, and unrelated ones, many with one band in common
+        fp = (base if k % 3 else far).copy() if k < 300 else draw.integers(0, 1 << 63, 4, dtype=np.uint64)
+        for bit in draw.integers(0, 256, int(draw.integers(0, 40)) if k % 7 else 60):
+            fp[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        keys = draw.integers(0, 1 << width, bands).astype(np.int32)
+        keys[0] = 5 if k % 10 else keys[0]
+        rows.append((k * 11 - 900, bytearray(fp.tobytes()), bytearray(keys.tobytes())))
+    nodes = spark.createDataFrame(rows, "node long, fp binary, bands binary").repartition(3)
+
+    def roots(**limits):
+        found = components(near.candidates(nodes, width, bands, len(rows), **limits)).collect()
+        return sorted((r["node"], r["root"]) for r in found)
+
+    whole = roots()
+    assert 200 < len(whole) < 400
+    assert roots(group=16) == whole == roots(group=16, bucket_entries=40) == roots(group=100, bucket_entries=20)
+
+
+def test_parts_of_edges():
+    label = near._parts(7, np.array([1, 2, 5]), np.array([2, 3, 6]))
+    assert label.tolist() == [0, 1, 1, 1, 4, 5, 5]
