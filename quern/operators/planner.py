@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept
+
 MAIN = "main"
 
 
@@ -139,10 +141,10 @@ def chosen(cells: DataFrame, sets: DataFrame, seed: int, wanted: Column, draw: i
 
 def planned(cells: DataFrame, candidates: DataFrame, seed: int, wanted: Column, choice: Choice = Choice(), draw: int = 0) -> DataFrame:
     """The cells that are wanted get items by their own filters, course by course, so that a side knows the main course of its day, and a dessert both."""
-    rows = filter_set(cells).withColumn("_wanted", F.coalesce(wanted, F.lit(False)))
-    sets = matched(rows.filter("_wanted"), candidates, choice)
-    for course in COURSES:
-        rows = chosen(rows, sets, seed, F.col("_wanted"), draw, course)
+    rows = kept(filter_set(cells).withColumn("_wanted", F.coalesce(wanted, F.lit(False))), "cells")
+    sets = kept(matched(rows.filter("_wanted"), candidates, choice), "sets")
+    for course in COURSES:  # each needs the whole of the one before, several times
+        rows = kept(chosen(rows, sets, seed, F.col("_wanted"), draw, course), "cells")
     return rows.drop("_set", "_wanted")
 
 
