@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.language import declared, substantive
 from ..functions.parse import canonical_url, ease, iso_minutes, quick, rating_doubled, safe_number, stable_key, total_minutes, wait_minutes
 from ..functions.text import ordered_distinct, search_token
+from .alignment import grouped_methods
 
 #: What a payload's JSON holds of a record. Every field may be missing.
 PAYLOAD = (
@@ -73,6 +75,19 @@ def linked_data(objects: DataFrame, key: str, data: str) -> DataFrame:
     )
 
 
+def gated(records: DataFrame, lang: Column, text: Column, code: str, kind: str, other: str) -> DataFrame:
+    """Records that say they are of a language, and whose text is: enough letters of its script, and no fewer than of another (see language.substantive)."""
+    return records.filter(declared(lang, code) & substantive(text, kind, other))
+
+
+def with_sections(records: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """records (key, steps, ...) with sections and tips: by the headings of their pages (key, groups: see alignment.method_groups) where these agree with the steps; else, as without a page, all steps are one section without title."""
+    found = grouped_methods(records.select(key, "steps").join(pages.select(key, "groups"), key), key, "steps", "groups")
+    both = records.join(found.filter(F.size("method.sections") > 0), key, "left")
+    whole = F.array(F.struct(F.lit("").alias("title"), F.col("steps").alias("steps")))
+    return both.withColumns({"sections": F.coalesce("method.sections", whole), "tips": F.coalesce("method.tips", F.array().cast("array<string>"))}).drop("method")
+
+
 def drafts(rows: DataFrame, key: str, sections: str, most: int = 200) -> DataFrame:
     """(key, place, title, quantity, unit, info): the ingredients of all sections in a row, cut to a length; those without a title go."""
     cut = lambda c: F.trim(F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, most))

@@ -56,6 +56,18 @@ def linked_data_records(table):
     return r.select("p_partkey", "title", F.col("prepMinutes").cast("long").alias("prep"), F.col("totalMinutes").cast("long").alias("total"), F.col("rating10").alias("rating"), F.array_join("steps", ";").alias("steps"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'A:mix;B:' || p_type || '>' || p_brand ELSE ':mix>' || p_type || '>' || p_brand END AS sections FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0")
+def linked_data_sections(table):
+    """Records by language and script, with their pages' sections: a third agrees with its page, a third doesn't, a third has none."""
+    k = F.col("p_partkey")
+    rows = table("part").select("p_partkey", F.when(k % 5 == 0, "de-AT").otherwise("EN_us").alias("lang"), F.when(k % 7 == 0, "12 34 ab").otherwise(F.col("p_name")).alias("title"), F.array(F.lit("mix"), F.col("p_type"), F.col("p_brand")).alias("steps"))
+    group = lambda title, anchor: F.struct(F.lit(title).alias("title"), F.lit(False).alias("tip"), F.array(anchor).alias("steps"))
+    pages = table("part").filter("p_partkey % 3 < 2").select("p_partkey", F.array(group("A", F.when(k % 3 == 0, "mix").otherwise("fold")), group("B", F.col("p_brand"))).alias("groups"))
+    kept = no.gated(rows, F.col("lang"), F.col("title"), "en", "a-z", "0-9")
+    shown = F.array_join(F.transform("sections", lambda s: F.concat(s["title"], F.lit(":"), F.array_join(s["steps"], ">"))), ";")
+    return no.with_sections(kept, pages, "p_partkey").select("p_partkey", shown.alias("sections"))
+
+
 @query("""
 SELECT p_partkey, CAST(i - 1 AS INTEGER) AS place, w[i] AS title, CAST(p_size AS VARCHAR) AS quantity, 'cups' AS unit, CASE WHEN i = len(w) AND p_partkey % 2 = 1 THEN 'chopped' ELSE '' END AS info
 FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, p_size, string_split(p_name, ' ') || CASE WHEN p_partkey % 2 = 1 THEN [p_brand] ELSE [] END AS w FROM part))""")
