@@ -130,9 +130,19 @@ def stable_key(text: Column) -> Column:
     return head.cast("double") / F.lit(2.0**64)
 
 
+def stable_head(text: Column) -> Column:
+    """The first 32 bits of the hash behind stable_key. A double rounds the key's 64 bits, which may carry into these."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 8), 16, 10).cast("long")
+
+
+def namespaced(provider: Column, id_: Column) -> Column:
+    """An id of a provider as one text, so that equal ids of two providers differ."""
+    return F.concat(provider, F.lit(":"), id_)
+
+
 def namespaced_key(provider: Column, id_: Column) -> Column:
-    """stable_key of an id of a provider, so that equal ids of two providers differ."""
-    return stable_key(F.concat(provider, F.lit(":"), id_))
+    """stable_key of an id of a provider."""
+    return stable_key(namespaced(provider, id_))
 
 
 def document_id(source: Column, native: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parse import ease, minutes_label, quick, stable_key
+from ..functions.parse import ease, minutes_label, quick, stable_head
 from ..functions.text import label_key, search_token, title_key
 from ..operators import explore as ex
 from ..operators import facets as fa
@@ -251,4 +251,4 @@ def alias_canonical(table):
 
 @query("SELECT p_partkey, round(CAST(CAST('0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967296.0, 6) AS key6 FROM part")
 def stable_random_key(table):
-    return table("part").select("p_partkey", F.round(F.floor(stable_key(F.col("p_partkey").cast("string")) * 4294967296.0) / 4294967296.0, 6).alias("key6"))
+    return table("part").select("p_partkey", F.round(stable_head(F.col("p_partkey").cast("string")) / 4294967296.0, 6).alias("key6"))
