@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import html.entities
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -58,10 +59,18 @@ class _Page(HTMLParser):
             self.parts.append(data)
 
 
-def unescaped(text: str, times: int = 5) -> str:
-    """Entities resolved, also those that were escaped more than once."""
+_ENTITY = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z][a-zA-Z0-9]*;)?")
+
+
+def cut_kept(text: str) -> str:
+    """A text whose ampersands that begin no whole entity, such as that of a cut-off '&am' or '&amp', are escaped: what resolves entities leaves them as they were."""
+    return _ENTITY.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html.entities.html5) else f"&amp;{m[0][1:]}", text)
+
+
+def unescaped(text: str, times: int = 5, cut: bool = True) -> str:
+    """Entities resolved, also those that were escaped more than once. cut: also those without their semicolon."""
     for _ in range(times):
-        plain = html.unescape(text)
+        plain = html.unescape(text if cut else cut_kept(text))
         if plain == text:
             break
         text = plain

@@ -23,3 +23,19 @@ def agrees(spark, tmp_path, name, **tables):
 def test_completions_of_events_of_one_time(spark, tmp_path):
     events = spark.range(12).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") % 2).alias("ts"), F.lit("view").alias("event_type"))
     assert len(agrees(spark, tmp_path, "completion_match", events=events)) == 8
+
+
+def test_keys_whose_bits_a_double_rounds_up(spark, tmp_path):
+    orders = spark.createDataFrame([(235460,), (4332905,), (7,)], "o_orderkey long")
+    assert (235460, 3288155182) in {(k, head) for head, k in agrees(spark, tmp_path, "namespaced_keys", orders=orders)}
+
+
+def test_cut_off_entities_of_pages(spark, tmp_path):
+    html = ["<h1>a&amp;&amp</h1>", "<h1>a &quo</h1>", '<h1>&amp;amp; &amp;quot;</h1><div class="ad">b&ampx; &</div>', "<h1>x &quot;y&quot; &am</h1>"]
+    pages = spark.createDataFrame([(i, f"https://a.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    assert [r[-1] for r in agrees(spark, tmp_path, "scoped_pages", pages=pages) if r[2] == 0] == ["a&&amp"]
+
+
+def test_cut_off_entities_of_page_trees(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://a.org/1", '<nav><ul><li><a href="/a">x &amp;&amp</a></li><li><a href="/b">&lt;y &am</a></li></ul></nav>')], "page_id long, url string, html string")
+    agrees(spark, tmp_path, "page_trees", pages=pages)
