@@ -1,6 +1,7 @@
 """Alignment of two sequences: exact edit distance with the tokens that match, and steps told apart by the headings of a page.
 
-Edit distances are found in a band around the diagonal that is doubled until it holds the distance, row by row on arrays; the
+Pairs of short sequences, which are most, are done many at a time, by whole tables whose rows are steps on arrays of all of them.
+Of longer ones, edit distances are found in a band around the diagonal that is doubled until it holds the distance, row by row on arrays; the
 tokens that match come from halving one side, each half with the band that its own distance needs. So a long pair that hardly
 differs costs its length, and memory is never more than some rows.
 """
@@ -11,8 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+SHORT = 128  # tokens of the longer side of pairs that are done by whole tables
+CELLS = 1 << 21  # of the tables that are held at once, about
 _FAR = np.int64(1 << 40)
 _MATCHES = "array<struct<left:int,right:int>>"
 _METHOD = "struct<sections:array<struct<title:string,steps:array<string>>>,tips:array<string>>"
@@ -75,15 +79,75 @@ def aligned(left: list[str], right: list[str]) -> tuple[int, list[tuple[int, int
     return d, list(_matches(a, b, 0, 0, d))
 
 
+def _padded(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, rest: int) -> np.ndarray:
+    """A row for each sequence of a flat array of codes, filled up with `rest`."""
+    places = np.arange(size.max(initial=0))
+    inside = places < size[:, None]
+    out = np.full(inside.shape, rest, np.int32)
+    out[inside] = codes[(begin[:, None] + places)[inside]]
+    return out
+
+
+def _by_tables(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of pairs, rows of a and b with their lengths, and their matches as (pair, place in a, place in b) in no order."""
+    pairs, places = np.arange(len(a)), np.arange(b.shape[1] + 1, dtype=np.int16)
+    d = np.empty((a.shape[1] + 1, len(a), len(places)), np.int16)
+    d[0] = places
+    for i in range(1, len(d)):
+        d[i, :, 0] = i
+        np.minimum(d[i - 1, :, :-1] + (b != a[:, i - 1 : i]), d[i - 1, :, 1:] + 1, out=d[i, :, 1:], casting="unsafe")
+        d[i] = np.minimum.accumulate(d[i] - places, axis=1) + places
+    found = []
+    p, i, j = pairs, n.astype(np.int64), m.astype(np.int64)
+    while True:
+        left = (i > 0) & (j > 0)
+        p, i, j = p[left], i[left], j[left]
+        if not len(p):
+            break
+        now, across, up = d[i, p, j], d[i - 1, p, j - 1], d[i - 1, p, j]
+        same = a[p, i - 1] == b[p, j - 1]  # some least script keeps it
+        found.append((p[same], i[same] - 1, j[same] - 1))
+        both = same | (across + 1 == now)
+        one = ~both & (up + 1 == now)
+        i, j = i - (both | one), j - ~one
+    return d[n, pairs, m], *(np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in range(3))
+
+
+def _aligned_columns(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Distances and matches of two columns of token lists."""
+    n, m = (np.array(pc.fill_null(pc.list_value_length(c), 0), np.int64) for c in (left, right))
+    tokens = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode(null_encoding="encode")
+    codes = np.array(tokens.indices, np.int32)
+    at_left, at_right = n.cumsum() - n, n.sum() + m.cumsum() - m
+    distances, found = np.zeros(len(n), np.int32), [np.zeros((3, 0), np.int64)]
+    longer = np.maximum(n, m)
+    order = np.argsort(longer, kind="stable")
+    order = order[: np.searchsorted(longer[order], SHORT, side="right")]
+    while len(order):
+        cells = (longer[order] + 1) ** 2 * np.arange(1, len(order) + 1)  # sizes ascend: the last one's table is the largest
+        some, order = np.split(order, [max(1, int(np.searchsorted(cells, CELLS, side="right")))])
+        a, b = _padded(codes, at_left[some], n[some], -1), _padded(codes, at_right[some], m[some], -2)
+        distances[some], p, i, j = _by_tables(a, b, n[some], m[some])
+        found.append(np.stack([some[p], i, j]))
+    for k in np.flatnonzero(longer > SHORT):
+        a, b = codes[at_left[k] :][: n[k]], codes[at_right[k] :][: m[k]]
+        distances[k] = distance(a, b)
+        hits = np.array(list(_matches(a, b, 0, 0, int(distances[k]))), np.int64).reshape(-1, 2).T
+        found.append(np.concatenate([np.full((1, hits.shape[1]), k), hits]))
+    pair, i, j = np.concatenate(found, axis=1)
+    by_place = np.lexsort((i, pair))
+    kept = pa.StructArray.from_arrays([pa.array(x[by_place], pa.int32()) for x in (i, j)], names=["left", "right"])
+    ends = np.bincount(pair, minlength=len(n)).cumsum()
+    return distances, pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), kept)
+
+
 def alignments(df: DataFrame, key: str, left: str, right: str) -> DataFrame:
     """(key, distance, matches) of two columns of token lists; null lists are empty ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [aligned(x or [], y or []) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            kind = pa.list_(pa.struct([("left", pa.int32()), ("right", pa.int32())]))
-            matches = pa.array([[{"left": i, "right": j} for i, j in m] for _, m in found], kind)
-            yield pa.record_batch([b.column(0), pa.array([d for d, _ in found], pa.int32()), matches], names=[key, "distance", "matches"])
+            distances, matches = _aligned_columns(b.column(1), b.column(2))
+            yield pa.record_batch([b.column(0), pa.array(distances), matches], names=[key, "distance", "matches"])
 
     return df.select(key, left, right).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, distance int, matches {_MATCHES}")
 

@@ -13,6 +13,7 @@ from ..operators import personal as pe
 from ..operators import planner as pl
 from ..operators import projections as pr
 from ..operators import select as se
+from ..sources.shared import dealt
 from .registry import query
 
 
@@ -411,8 +412,9 @@ def anchored_steps(table):
 def name_distances(table):
     """Letters of a part's name and type against the next one's name and brand."""
     part = table("part")
-    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.split(F.concat("p_name", "p_brand"), "").alias("right"))
-    both = part.select("p_partkey", F.split(F.concat("p_name", "p_type"), "").alias("left")).join(after, "p_partkey")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.concat("p_name", "p_brand").alias("right"))
+    both = dealt(part.select("p_partkey", F.concat("p_name", "p_type").alias("left")).join(after, "p_partkey"), "p_partkey")
+    both = both.select("p_partkey", *(F.split(c, "").alias(c) for c in ("left", "right")))
     return al.alignments(both, "p_partkey", "left", "right").select("p_partkey", "distance")
 
 

@@ -1,4 +1,4 @@
-"""Tables that a job needs again: written once to the folder that driver and executors share, and read back."""
+"""Tables that a job needs again: written once to the folder that driver and executors share, and read back; and rows that are dealt out to all tasks."""
 
 from __future__ import annotations
 
@@ -24,3 +24,8 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df, its rows dealt over the session's shuffle partitions: a small file is one task, however many rows it packs and however much each of them costs after it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
