@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 NUMBER = r"\d+(?:[.,]\d+)?"
 # Minutes in the units of durations, before and after the T; and words for units of time.
-DATE_MINUTES = {"D": 1440.0}
-TIME_MINUTES = {"H": 60.0, "M": 1.0, "S": 1 / 60}
+ISO_MINUTES = [1440.0, 60.0, 1.0, 1 / 60]  # D, and H, M, S after the T
 TIME_WORDS = {"day": (1440, r"days?|ημέρ[εα]ς?"), "hour": (60, r"hours?|ώρ[εα]ς?"), "minute": (1, r"minutes?|min|λεπτά?")}
 # Signs that are one fraction, and words for measures.
 GLYPHS = "¼½¾⅓⅔⅛⅜⅝⅞"
@@ -26,24 +25,14 @@ def _number(text: Column) -> Column:
     return F.coalesce(F.replace(text, F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
 
 
-def _unit_sum(half: Column, minutes: dict[str, float]) -> tuple[Column, Column]:
-    """(minutes of number-unit pairs, whether they are all of the text, each unit once at most and in order)."""
-    units = "".join(minutes)
-    pair = rf"(\d+(?:\.\d+)?)([{units}])"
-    number, unit = (F.regexp_extract_all(half, F.lit(pair), k) for k in (1, 2))
-    worth = F.create_map(*(F.lit(x) for kv in minutes.items() for x in kv))
-    total = F.aggregate(F.arrays_zip(number.alias("n"), unit.alias("u")), F.lit(0.0), lambda acc, p: acc + _number(p["n"]) * worth[p["u"]])
-    whole = (F.regexp_replace(half, pair, "") == "") & F.array_join(unit, "").rlike("^" + "".join(f"{u}?" for u in units) + "$")
-    return total, whole
+_ISO = r"^P(?:(\d+(?:\.\d+)?)D)?(?:T(?:(\d+(?:\.\d+)?)H)?(?:(\d+(?:\.\d+)?)M)?(?:(\d+(?:\.\d+)?)S)?)?\z"
 
 
 def iso_minutes(text: Column) -> Column:
-    """Minutes of an ISO 8601 duration, rounded up; null where it isn't one. What stands before the T are days, what stands after it times of day."""
+    """Minutes of an ISO 8601 duration, rounded up; null where it isn't one. What stands before the T are days, what stands after it times of day, each unit once at most and in order."""
     upper = F.upper(text)
-    halves = F.split(F.substring(upper, 2, 1 << 20), "T", 2)
-    days, fine_days = _unit_sum(F.get(halves, F.lit(0)), DATE_MINUTES)
-    times, fine_times = _unit_sum(F.coalesce(F.get(halves, F.lit(1)), F.lit("")), TIME_MINUTES)
-    return F.when(upper.startswith("P") & upper.rlike("[0-9]") & fine_days & fine_times, F.ceil(days + times))
+    days, *times = (_number(F.regexp_extract(upper, _ISO, k)) * worth for k, worth in enumerate(ISO_MINUTES, 1))
+    return F.when(upper.rlike(_ISO) & upper.rlike("[0-9]"), F.ceil(days + sum(times[1:], times[0])))
 
 
 def wait_minutes(text: Column) -> Column:

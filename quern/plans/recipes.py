@@ -25,7 +25,7 @@ def payloads(table) -> DataFrame:
     first = F.struct(F.lit(" first  part ").alias("title"), F.transform(words, lambda w: one(F.concat(F.lit(" "), w))).alias("ingredients"))
     second = F.struct(F.lit("second").alias("title"), F.array(one(F.when(k % 2 == 0, "").otherwise(F.col("p_brand")), "chopped")).alias("ingredients"))
     method = F.array(F.struct(F.lit("m").alias("section"), F.transform(F.sequence(F.lit(0), size % 6), lambda i: F.when(i == 0, " ").otherwise(F.concat(F.lit("step "), i.cast("string")))).alias("steps")))
-    return table("part").select("p_partkey", F.to_json(F.struct(
+    return dealt(table("part"), "p_partkey").select("p_partkey", F.to_json(F.struct(
         k.cast("string").alias("id"), F.concat(F.lit("  "), F.col("p_name"), F.lit("\n")).alias("title"), F.lit("EN ").alias("language"), F.when(k % 3 == 0, F.concat(F.lit("http://a.org/"), k)).otherwise(F.concat(F.lit("https://www.A.org/"), k, F.lit("?x=1"))).alias("url"),
         F.array(F.col("p_type"), F.lit(" "), F.col("p_type"), F.col("p_brand")).alias("tags"), F.when(k % 2 == 0, F.concat(F.lit("PT"), size, F.lit("M"))).otherwise(F.concat(size, F.lit(" minutes"))).alias("make_time"),
         F.when(k % 5 == 0, "PT1H").alias("bake_time"), (size / 10).cast("string").alias("average_score"), F.array(first, second).alias("ingredient_sections"), method.alias("method"),
@@ -53,7 +53,7 @@ def linked_data_records(table):
         F.lit("Recipe").alias("@type"), F.concat(F.col("p_name"), F.lit(" ")).alias("name"), F.concat(F.lit("PT"), size, F.lit("M")).alias("prepTime"), F.concat(F.lit("PT"), size % 9, F.lit("M")).alias("cookTime"), F.when(k % 3 == 0, "PT45M").alias("totalTime"),
         F.struct((size % 8).alias("ratingValue"), F.lit("5").alias("bestRating")).alias("aggregateRating"), F.array(F.struct(F.lit("HowToStep").alias("@type"), F.lit("mix").alias("text")), step).alias("recipeInstructions"),
     ))
-    r = no.linked_data(table("part").select("p_partkey", data.alias("data")), "p_partkey", "data")
+    r = no.linked_data(dealt(table("part"), "p_partkey").select("p_partkey", data.alias("data")), "p_partkey", "data")
     return r.select("p_partkey", "title", F.col("prepMinutes").cast("long").alias("prep"), F.col("totalMinutes").cast("long").alias("total"), F.col("rating10").alias("rating"), F.array_join("steps", ";").alias("steps"))
 
 
