@@ -62,10 +62,12 @@ def records_of_payloads(payloads: DataFrame, key: str, payload: str) -> DataFram
 def linked_data(objects: DataFrame, key: str, data: str) -> DataFrame:
     """Records from JSON-LD objects (one JSON text each): name, times by ISO 8601, rating of its best, steps from texts or HowToStep objects."""
     got = lambda path: F.get_json_object(data, f"$.{path}")
-    steps = F.from_json(got("recipeInstructions"), "array<string>")
     step = lambda s: clean(F.coalesce(F.get_json_object(s, "$.text"), s))
-    prep, cook, whole = (iso_minutes(got(f)) for f in ("prepTime", "cookTime", "totalTime"))
-    value, best = safe_number(got("aggregateRating.ratingValue")), F.coalesce(got("aggregateRating.bestRating").try_cast("double"), F.lit(5.0))
+    # What is used more than once is a column of its own, so that it is computed once.
+    objects = objects.select(key, data, *(got(f).alias(f"_{f}") for f in ("prepTime", "cookTime", "totalTime")))
+    objects = objects.select(key, data, *(iso_minutes(F.col(f"_{f}")).alias(f"_{f}") for f in ("prepTime", "cookTime", "totalTime")),
+                             safe_number(got("aggregateRating.ratingValue")).alias("_value"), F.coalesce(got("aggregateRating.bestRating").try_cast("double"), F.lit(5.0)).alias("_best"), F.from_json(got("recipeInstructions"), "array<string>").alias("_steps"))
+    prep, cook, whole, value, best, steps = (F.col(f"_{c}") for c in ("prepTime", "cookTime", "totalTime", "value", "best", "steps"))
     return objects.select(
         key, clean(got("name")).alias("title"), F.coalesce(prep, F.lit(0)).alias("prepMinutes"), F.coalesce(cook, F.lit(0)).alias("cookMinutes"),
         F.coalesce(F.greatest(whole, total_minutes(F.lit(None).cast("long"), prep, cook)), F.lit(0)).alias("totalMinutes"),

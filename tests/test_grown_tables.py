@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from quern.plans import checks, records  # noqa: F401
+from quern.plans import checks, recipes, records  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -39,3 +39,10 @@ def test_cut_off_entities_of_pages(spark, tmp_path):
 def test_cut_off_entities_of_page_trees(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://a.org/1", '<nav><ul><li><a href="/a">x &amp;&amp</a></li><li><a href="/b">&lt;y &am</a></li></ul></nav>')], "page_id long, url string, html string")
     agrees(spark, tmp_path, "page_trees", pages=pages)
+
+
+def test_a_table_of_one_file_is_dealt_out_before_costly_work(spark, tmp_path):
+    part = spark.createDataFrame([(i, f"red bolt {i}", "Brand#1", "SMALL", i) for i in range(60)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").coalesce(1)
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("normalized_payloads", "linked_data_records", "ingredient_drafts", "name_distances"):
+        assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4, name
