@@ -11,6 +11,8 @@ with odds of arccos(2 s / (1 + s)) / pi, 0.15 at 0.8; unrelated ones differ in h
    grows, and what a smaller one has connected is not compared again, so that a group hands on a forest of its closest
    pairs, never all pairs.
 3. Pairs are confirmed by the similarity of their whole sets, and components are taken over those.
+4. A forest says nothing of the pairs that it left out, and some of its own may not be confirmed. So where nodes have many near
+   ones, all pairs within the radius whose nodes aren't yet in one component are confirmed too, and components are taken over both.
 
 What a band sends is packed by bucket; the number of buckets follows the number of documents, and a bucket that is far larger
 than others has its entries dealt out before they are gathered. A group of more than GROUP nodes is cut into blocks
@@ -110,7 +112,12 @@ def sketches(keyed: DataFrame, width: int, bands: int, shingle: int = SHINGLE) -
 
 
 def forest(groups: list[np.ndarray], radii: list[int], items: int = ITEMS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (i, j) between members, numbered through all groups, that connect in each group what the last radius connects: those of nodes with a few near ones, and a forest, the closest first. A group: (members, words) of fingerprints."""
+    """The edges of forest_and_crowd."""
+    return forest_and_crowd(groups, radii, items)[:2]
+
+
+def forest_and_crowd(groups: list[np.ndarray], radii: list[int], items: int = ITEMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i, j) between members, numbered through all groups, that connect in each group what the last radius connects: those of nodes with a few near ones, and a forest, the closest first; and the crowd, members of near pairs that may be no edge. A group: (members, words) of fingerprints."""
     size = np.array([len(g) for g in groups], np.int64)
     words = -(-size // 64)
     first_word = np.r_[0, words.cumsum()]
@@ -147,13 +154,16 @@ def forest(groups: list[np.ndarray], radii: list[int], items: int = ITEMS) -> tu
         return near
 
     # Most have nothing near: they are left out after one comparison at the last radius. What is near a few only is an edge to each.
-    has = np.zeros(len(place), bool)
+    has, crowd = np.zeros((2, len(place)), bool)
     for some, word in items_of(np.arange(len(place))):
         near = near_items(some, word, radii[-1])
         hits = np.flatnonzero(near)
         has[some[hits]] = True
         lane = np.unpackbits(near[hits].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        i, bit = np.nonzero(lane * (lane.sum(axis=1, dtype=np.uint8) <= FEW)[:, None])
+        few = lane.sum(axis=1, dtype=np.uint8) <= FEW
+        i, bit = np.nonzero(lane * ~few[:, None])
+        crowd[some[hits[i]]] = crowd[member_of[64 * word[hits[i]] + bit]] = True
+        i, bit = np.nonzero(lane * few[:, None])
         a, b = some[hits[i]], member_of[64 * word[hits[i]] + bit]
         edges += list(zip(a[a < b].tolist(), b[a < b].tolist()))
     for r in radii if has.any() else []:
@@ -177,18 +187,18 @@ def forest(groups: list[np.ndarray], radii: list[int], items: int = ITEMS) -> tu
                     part = label[64 * first_word[g] : 64 * first_word[g + 1]]
                     part[np.isin(part, np.r_[kinds, mine])] = min(kinds[0], mine)
     a, b = np.array(edges, np.int64).reshape(-1, 2).T
-    return a, b
+    return a, b, np.flatnonzero(crowd)
 
 
-def _edges(node: np.ndarray, fp: np.ndarray, groups: list[np.ndarray], radii: list[int], most: int = 1 << 11) -> Iterator[pa.RecordBatch]:
-    """Forests of groups (places of their members), as many groups at a time as fill about `most` words of each plane."""
+def _edges(node: np.ndarray, fp: np.ndarray, groups: list[np.ndarray], radii: list[int], most: int = 1 << 11) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(edges, places of the crowd) of groups (places of their members), as many groups at a time as fill about `most` words of each plane."""
     ends = np.cumsum([-(-len(g) // 64) for g in groups])
     at = 0
     while at < len(groups):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
         some = np.concatenate(groups[at:end])
-        i, j = forest([fp[g] for g in groups[at:end]], radii)
-        yield pa.record_batch([pa.array(node[some[i]]), pa.array(node[some[j]])], names=["a", "b"])
+        i, j, crowd = forest_and_crowd([fp[g] for g in groups[at:end]], radii)
+        yield pa.record_batch([pa.array(node[some[i]]), pa.array(node[some[j]])], names=["a", "b"]), some[crowd]
         at = end
 
 
@@ -198,7 +208,12 @@ def _radii(least: float) -> list[int]:
 
 
 def candidates(nodes: DataFrame, width: int, bands: int, n: int, least: float = LEAST, group: int = GROUP, bucket_entries: int = BUCKET) -> DataFrame:
-    """(a, b): pairs of nodes to be confirmed, from distinct rows (node, fp, bands)."""
+    """The pairs of candidates_and_crowds."""
+    return candidates_and_crowds(nodes, width, bands, n, least, group, bucket_entries)[0]
+
+
+def candidates_and_crowds(nodes: DataFrame, width: int, bands: int, n: int, least: float = LEAST, group: int = GROUP, bucket_entries: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """From distinct rows (node, fp, bands): (a, b), pairs of nodes to be confirmed; and (place, a, fp), nodes of each place of which pairs within the radius may be left out."""
     buckets = max(1, ceil(n * bands / bucket_entries / bands)) * bands  # as many for each band
     each = buckets // bands
     radii = _radii(least)
@@ -228,12 +243,14 @@ def candidates(nodes: DataFrame, width: int, bands: int, n: int, least: float =
         key, node, fp = unpacked(t)
         order = np.lexsort((node, key))  # the same order whatever the partitions
         parts = np.split(order, np.flatnonzero(np.diff(key[order])) + 1)
-        found = [pa.record_batch([pa.array([], pa.int64())] * 2, names=["a", "b"]), *_edges(node, fp, [p for p in parts if 1 < len(p) <= group], radii)]
-        edges = pa.Table.from_batches(found)
-        hot = np.concatenate([np.zeros(0, np.int64), *(p for p in parts if len(p) > group)]).astype(np.int64)
+        found = list(_edges(node, fp, [p for p in parts if 1 < len(p) <= group], radii))
+        edges = pa.Table.from_batches([pa.record_batch([pa.array([], pa.int64())] * 2, names=["a", "b"]), *(e for e, _ in found)])
+        none = np.zeros(0, np.int64)
+        hot = np.concatenate([none, *(p for p in parts if len(p) > group)]).astype(np.int64)
+        left = np.concatenate([hot, *(c for _, c in found)])
         band = t.column("bucket")[0].as_py() // each
-        columns = {"place": pa.array(band << 32 | key[hot].astype(np.int64)), "a": pa.array(node[hot]), "fp": pa.array([f.tobytes() for f in fp[hot]], pa.binary())}
-        return pa.concat_tables([edges, pa.table(columns)], promote_options="default").select(["place", "a", "b", "fp"])
+        columns = {"place": pa.array(band << 32 | key[left].astype(np.int64)), "a": pa.array(node[left]), "fp": pa.array([f.tobytes() for f in fp[left]], pa.binary()), "hot": pa.array(np.arange(len(left)) < len(hot))}
+        return pa.concat_tables([edges, pa.table(columns)], promote_options="default").select(["place", "a", "b", "fp", "hot"])
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,7 +260,7 @@ def candidates(nodes: DataFrame, width: int, bands: int, n: int, least: float =
                 columns = [np.full(len(key), bucket, np.int32), np.int64(bucket // each) << 32 | key.astype(np.int64), node]
                 yield pa.record_batch([*map(pa.array, columns), pa.array([x.tobytes() for x in key], pa.binary()), pa.array([x.tobytes() for x in node], pa.binary()), pa.array([f.tobytes() for f in fp], pa.binary())], names=["bucket", "place", "a", "keys", "nodes", "fps"])
 
-    met_schema = "place bigint, a bigint, b bigint, fp binary"
+    met_schema = "place bigint, a bigint, b bigint, fp binary, hot boolean"
     packed = nodes.filter(F.octet_length("bands") > 0).select("node", "fp", "bands").mapInArrow(send, "bucket int, keys binary, nodes binary, fps binary")
     sizes = stored(packed.groupBy("bucket").agg(F.sum(F.octet_length("keys") / 4).cast("long").alias("n")), "buckets")
     big = sizes.filter(F.col("n") > 4 * bucket_entries)
@@ -257,14 +274,51 @@ def candidates(nodes: DataFrame, width: int, bands: int, n: int, least: float =
         rest = spread_join(spread, counts.filter(F.col("n") <= group).select("place"), "place", counts).select("bucket", "keys", "nodes", "fps")
         small = spread_join(packed, sizes.filter(F.col("n") <= 4 * bucket_entries).select("bucket"), "bucket", sizes).select("bucket", "keys", "nodes", "fps")
         met = stored(small.unionAll(rest).groupBy("bucket").applyInArrow(meet, met_schema), "met")
-        hot = met.filter("b IS NULL").select("place", "a", "fp").unionAll(early)
+        early = stored(early, "early")
+        hot, crowds = (met.filter(c).select("place", "a", "fp").unionAll(early) for c in ("hot", "b IS NULL"))
     else:
         met = stored(packed.groupBy("bucket").applyInArrow(meet, met_schema), "met")
-        hot = met.filter("b IS NULL").select("place", "a", "fp")
+        hot, crowds = (met.filter(c).select("place", "a", "fp") for c in ("hot", "b IS NULL"))
     both, hot = met.filter("b IS NOT NULL").select("a", "b"), stored(hot, "hot")
     if hot.limit(1).count():
         both = both.unionAll(_hot_edges(hot, radii, group))
-    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), crowds
+
+
+def left_out(crowds: DataFrame, roots: DataFrame, r: int, block: int = 2048) -> DataFrame | None:
+    """(a, b): all pairs of nodes of one place of crowds (place, a, fp) that differ in at most r bits and whose components, of (node, root), differ; None where each place is in one component.
+
+    Nodes of a place's largest component needn't be compared with each other: blocks of all others are compared with blocks of the whole place.
+    """
+
+    def pair(t: pa.Table) -> pa.Table:
+        node, root, own = (np.array(t.column(c)) for c in ("a", "root", "own"))
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, _WORDS)
+        mine, whole = np.flatnonzero(own), np.flatnonzero(~own)
+        found = [np.zeros((2, 0), np.int64)]
+        for at in range(0, len(mine), 64):
+            some = mine[at : at + 64]
+            bits = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, whole, k]).astype(np.uint16) for k in range(_WORDS))
+            i, j = np.nonzero((bits <= r) & (root[some, None] != root[None, whole]))
+            found.append(np.stack([node[some[i]], node[whole[j]]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    named = crowds.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("place", "a", "fp", F.coalesce("root", "a").alias("root"))
+    named = stored(named, "named")
+    sizes = stored(named.groupBy("place", "root").agg(F.count("*").alias("n")), "sizes")
+    places = sizes.groupBy("place").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), F.max("n").alias("most")).filter("roots > 1")
+    parts = lambda n: F.greatest(F.ceil(n / block), F.lit(1))
+    places = stored(places.select("place", "main", parts(F.col("n")).alias("blocks"), parts(F.col("n") - F.col("most")).alias("parts")), "crowds")
+    if not places.limit(1).count():
+        return None
+    within = spread_join(named, places, "place", sizes.groupBy("place").agg(F.sum("n").alias("n")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("a"), n)
+    others = within.filter(F.col("root") != F.col("main")).withColumn("part", dealt("parts")).withColumn("block", each("blocks")).withColumn("own", F.lit(True))
+    whole = within.withColumn("block", dealt("blocks")).withColumn("part", each("parts")).withColumn("own", F.lit(False))
+    columns = ["place", "part", "block", "a", "fp", "root", "own"]
+    return others.select(columns).unionAll(whole.select(columns)).groupBy("place", "part", "block").applyInArrow(pair, "a bigint, b bigint").distinct()
 
 
 def _parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -323,7 +377,7 @@ def _hot_edges(hot: DataFrame, radii: list[int], group: int) -> DataFrame:
     def pair(t: pa.Table) -> pa.Table:
         node, fp = arrays(t)
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        return pa.Table.from_batches([*_edges(node[first], fp[first], [np.arange(len(first))], radii)])
+        return pa.Table.from_batches([e for e, _ in _edges(node[first], fp[first], [np.arange(len(first))], radii)])
 
     counts = stored(hot.groupBy("place").agg(F.count("*").alias("n")), "places")
     blocks = counts.select("place", F.ceil(F.col("n") / group).alias("blocks"))
@@ -385,9 +439,17 @@ def similar_roots(documents: DataFrame, shingle: int = SHINGLE, least: float = L
     keyed = row_keys(documents.select("doc_id", "text")).select(F.col("doc_id").isNull().alias("no_id"), "_row_key", "_row_hash", "text")
     rows = stored(sketches(keyed, width, bands, shingle), "sketches")
     nodes = rows.select("node", "fp", "bands").dropDuplicates(["node"])
-    pairs = stored(candidates(nodes, width, bands, n, least, group), "candidates")
+    pairs, crowds = candidates_and_crowds(nodes, width, bands, n, least, group)
+    pairs = stored(pairs, "candidates")
     sets = stored(_sets(documents, rows, pairs, shingle), "sets")
-    roots = components(confirmed(pairs, sets, least))
+    links = stored(confirmed(pairs, sets, least), "links")
+    roots = components(links)
+    if (more := left_out(crowds, stored(roots, "first"), radius(least))) is not None:
+        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "left_out")
+        new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti")
+        if new.limit(1).count():
+            sets = sets.unionAll(_sets(documents, rows, new.select(F.col("node").alias("a"), F.col("node").alias("b")), shingle))
+        roots = components(links.unionAll(confirmed(more, sets, least)))
     known = rows.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
     known = stored(known, "roots")
     return spread_join(rows.select("no_id", "_row_key", "_row_hash", "node"), known.select("node", "root"), "node", known.select("node", "n")).select("no_id", "_row_key", "_row_hash", "root")

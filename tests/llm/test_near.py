@@ -167,3 +167,45 @@ def test_hot_bands_are_dealt_out_before_they_are_gathered(spark):
 def test_parts_of_edges():
     label = near._parts(7, np.array([1, 2, 5]), np.array([2, 3, 6]))
     assert label.tolist() == [0, 1, 1, 1, 4, 5, 5]
+
+
+def test_links_that_a_forest_leaves_out(spark):
+    """A crowd of nodes near each other, few of which are similar: a pair whose ends closer, unconfirmed edges have connected is still a link."""
+    draw = np.random.default_rng(11)
+    base = draw.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = np.repeat(base[None], 60, axis=0)
+    for fp in fps:  # at most 12 bits between two of them
+        for bit in draw.integers(0, 256, 6):
+            fp[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    ids = np.arange(60) * 7 - 200
+    keys = np.zeros(2, np.int32).tobytes()
+    nodes = spark.createDataFrame([(int(i), bytearray(f.tobytes()), bytearray(keys)) for i, f in zip(ids, fps)], "node long, fp binary, bands binary")
+    pairs, crowds = near.candidates_and_crowds(nodes, 8, 2, 60)
+    pairs = {(r["a"], r["b"]) for r in pairs.collect()}
+    every = {(int(a), int(b)) for a in ids for b in ids if a > b}
+    assert len(pairs) < len(every)  # a forest
+    for links in (set(), {(int(ids[1]), int(ids[0])), (int(ids[2]), int(ids[0]))}):
+        same = {frozenset((int(ids[x]), int(ids[y]))) for x in range(3) for y in range(x)} if links else set()
+        roots = spark.createDataFrame([(int(ids[k]), int(ids[0])) for k in range(3)] if links else [], "node long, root long")
+        for block in (2048, 16):
+            more = {(r["a"], r["b"]) for r in near.left_out(crowds, roots, 30, block).collect()}
+            # No pair of one place is missed but those of one component.
+            assert more == {p for p in every if frozenset(p) not in same}
+    assert near.left_out(crowds, spark.createDataFrame([(int(i), 0) for i in ids], "node long, root long"), 30) is None
+
+
+def test_links_across_crowds_against_brute_force(spark):
+    """Copies of one text whose words are drawn anew at odds that put many pairs on either side of the threshold."""
+    draw = random.Random(2)
+    base = [str(draw.randint(0, 10**7)) for _ in range(200)]
+    rows = []
+    for k in range(200):
+        words = list(base)
+        for at in draw.sample(range(200), 3):
+            words[at] = str(draw.randint(0, 10**7))
+        rows.append((k, " ".join(words)))
+    sets = {i: brute_shingles(t) for i, t in rows}
+    links = sum(jaccard(sets[a], sets[b]) >= 0.8 for a in sets for b in range(a))
+    assert 0 < links < 2000  # of 19,900 pairs
+    got = {r["doc_id"] for r in near.one_of_each_similar(frame(spark, rows)).collect()}
+    assert got == brute_kept(rows)
