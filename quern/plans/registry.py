@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -15,6 +17,8 @@ def query(sql: str | None = None):
 
     def put(f: Callable[[Callable[[str], DataFrame]], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # Texts may be long: what goes to Python at once is bounded by bytes, not by a number of rows.
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         QUERIES[f.__name__] = run

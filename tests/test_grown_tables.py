@@ -1,9 +1,10 @@
 """Queries against their SQL on tables of more, or odder, rows than those given."""
 
 import duckdb
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quern.plans import checks, recipes, records  # noqa: F401
+from quern.plans import checks, recipes, records, texts  # noqa: F401
 from quern.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -46,3 +47,12 @@ def test_a_table_of_one_file_is_dealt_out_before_costly_work(spark, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     for name in ("normalized_payloads", "linked_data_records", "ingredient_drafts", "name_distances"):
         assert QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 4, name
+
+
+def test_what_goes_to_python_is_bounded_by_bytes(spark, tmp_path):
+    """payload_codec over long texts: no batch has more than the bound and a text."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["payload_codec"](spark, str(tmp_path))
+    sizes = [r[0] for r in df.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()]
+    assert sum(sizes) >= 40_000_000 and max(sizes) < 5_000_000
