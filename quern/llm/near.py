@@ -7,12 +7,14 @@ with odds of arccos(2 s / (1 + s)) / pi, 0.15 at 0.8; unrelated ones differ in h
 1. Bands: the bits are cut into bands, and nodes that agree on a whole band meet. Bands are as wide as it takes for about
    64 unrelated nodes to share one, and as many as it takes for a pair of similarity LEAST to share one with odds of RECALL.
 2. Those that meet are compared by bits stored vertically (simhash.near_lanes). The radius holds a pair of similarity LEAST
-   with odds of 0.999. A node that is near a few others makes a pair with each. Where many are near each other, the radius
-   grows, and what a smaller one has connected is not compared again, so that a group hands on a forest of its closest
+   with odds of 0.999. A node that is near FEW others at most makes a pair with each. Where more are near each other, the
+   radius grows, and what a smaller one has connected is not compared again, so that a group hands on a forest of its closest
    pairs, never all pairs.
 3. Pairs are confirmed by the similarity of their whole sets, and components are taken over those.
 4. A forest says nothing of the pairs that it left out, and some of its own may not be confirmed. So where nodes have many near
    ones, all pairs within the radius whose nodes aren't yet in one component are confirmed too, and components are taken over both.
+   That is done where the nodes of a place are gathered with their sets: rows are sent on for nodes and links that connect
+   components, never for all pairs.
 
 What a band sends is packed by bucket; the number of buckets follows the number of documents, and a bucket that is far larger
 than others has its entries dealt out before they are gathered. A group of more than GROUP nodes is cut into blocks
@@ -29,8 +31,9 @@ from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, spread_join, stored
@@ -43,8 +46,9 @@ LEAST = 0.8
 RECALL = 0.995
 COMPARED = 256
 GROUP = 4096
-FEW = 8  # near ones of a node among 64 that all become pairs
+FEW = 8  # near ones of a node that all become pairs
 ITEMS = 1 << 14
+SET_BYTES = 8 << 20  # of sets that are confirmed with as many others at a time, about
 BUCKET = 1 << 17  # entries of bands in a bucket, about
 _WORDS = COMPARED // 64
 _GOLDEN, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -117,7 +121,7 @@ def forest(groups: list[np.ndarray], radii: list[int], items: int = ITEMS) -> tu
 
 
 def forest_and_crowd(groups: list[np.ndarray], radii: list[int], items: int = ITEMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (i, j) between members, numbered through all groups, that connect in each group what the last radius connects: those of nodes with a few near ones, and a forest, the closest first; and the crowd, members of near pairs that may be no edge. A group: (members, words) of fingerprints."""
+    """Edges (i, j) between members, numbered through all groups, that connect in each group what the last radius connects: those of nodes with a few near ones, and a forest, the closest first; and the crowd, members with more near ones: each near pair of others is an edge. A group: (members, words) of fingerprints."""
     size = np.array([len(g) for g in groups], np.int64)
     words = -(-size // 64)
     first_word = np.r_[0, words.cumsum()]
@@ -155,17 +159,22 @@ def forest_and_crowd(groups: list[np.ndarray], radii: list[int], items: int = IT
 
     # Most have nothing near: they are left out after one comparison at the last radius. What is near a few only is an edge to each.
     has, crowd = np.zeros((2, len(place)), bool)
+    close = [np.zeros(0, np.int64)]  # pairs, a number each
     for some, word in items_of(np.arange(len(place))):
         near = near_items(some, word, radii[-1])
         hits = np.flatnonzero(near)
+        if not len(hits):
+            continue
+        nth = some[hits] - some[0]
+        few = np.bincount(nth, np.bitwise_count(near[hits]))[nth] <= FEW  # of all words of the group
         has[some[hits]] = True
-        lane = np.unpackbits(near[hits].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        few = lane.sum(axis=1, dtype=np.uint8) <= FEW
-        i, bit = np.nonzero(lane * ~few[:, None])
-        crowd[some[hits[i]]] = crowd[member_of[64 * word[hits[i]] + bit]] = True
-        i, bit = np.nonzero(lane * few[:, None])
+        crowd[some[hits[~few]]] = True
+        hits = hits[few]
+        i, bit = np.nonzero(np.unpackbits(near[hits].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         a, b = some[hits[i]], member_of[64 * word[hits[i]] + bit]
-        edges += list(zip(a[a < b].tolist(), b[a < b].tolist()))
+        close.append(np.minimum(a, b) * len(place) + np.maximum(a, b))
+    close = np.unique(np.concatenate(close))
+    edges += zip((close // len(place)).tolist(), (close % len(place)).tolist())
     for r in radii if has.any() else []:
         for some, word in items_of(np.flatnonzero(has)):
             low = np.where(label < 0, len(label), label).reshape(-1, 64).min(1)
@@ -285,25 +294,11 @@ def candidates_and_crowds(nodes: DataFrame, width: int, bands: int, n: int, leas
     return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), crowds
 
 
-def left_out(crowds: DataFrame, roots: DataFrame, r: int, block: int = 2048) -> DataFrame | None:
-    """(a, b): all pairs of nodes of one place of crowds (place, a, fp) that differ in at most r bits and whose components, of (node, root), differ; None where each place is in one component.
+def _facing(crowds: DataFrame, roots: DataFrame, block: int) -> DataFrame | None:
+    """(place, part, block, a, fp, root, own): nodes of places of crowds (place, a, fp) that span components of (node, root), dealt so that each pair of two components meets, one node its own; None where each place is in one component.
 
     Nodes of a place's largest component needn't be compared with each other: blocks of all others are compared with blocks of the whole place.
     """
-
-    def pair(t: pa.Table) -> pa.Table:
-        node, root, own = (np.array(t.column(c)) for c in ("a", "root", "own"))
-        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, _WORDS)
-        mine, whole = np.flatnonzero(own), np.flatnonzero(~own)
-        found = [np.zeros((2, 0), np.int64)]
-        for at in range(0, len(mine), 64):
-            some = mine[at : at + 64]
-            bits = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, whole, k]).astype(np.uint16) for k in range(_WORDS))
-            i, j = np.nonzero((bits <= r) & (root[some, None] != root[None, whole]))
-            found.append(np.stack([node[some[i]], node[whole[j]]]))
-        a, b = np.concatenate(found, axis=1)
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
     named = crowds.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("place", "a", "fp", F.coalesce("root", "a").alias("root"))
     named = stored(named, "named")
     sizes = stored(named.groupBy("place", "root").agg(F.count("*").alias("n")), "sizes")
@@ -313,12 +308,99 @@ def left_out(crowds: DataFrame, roots: DataFrame, r: int, block: int = 2048) ->
     if not places.limit(1).count():
         return None
     within = spread_join(named, places, "place", sizes.groupBy("place").agg(F.sum("n").alias("n")))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    dealt = lambda n: F.pmod(F.xxhash64("a"), n)
-    others = within.filter(F.col("root") != F.col("main")).withColumn("part", dealt("parts")).withColumn("block", each("blocks")).withColumn("own", F.lit(True))
-    whole = within.withColumn("block", dealt("blocks")).withColumn("part", each("parts")).withColumn("own", F.lit(False))
+    others = within.filter(F.col("root") != F.col("main")).withColumn("part", _dealt("parts")).withColumn("block", _each("blocks")).withColumn("own", F.lit(True))
+    whole = within.withColumn("block", _dealt("blocks")).withColumn("part", _each("parts")).withColumn("own", F.lit(False))
     columns = ["place", "part", "block", "a", "fp", "root", "own"]
-    return others.select(columns).unionAll(whole.select(columns)).groupBy("place", "part", "block").applyInArrow(pair, "a bigint, b bigint").distinct()
+    return others.select(columns).unionAll(whole.select(columns))
+
+
+def _dealt(n: str) -> Column:
+    return F.pmod(F.xxhash64("a"), n)
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+
+def _apart(t: pa.Table, r: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(own ones, the whole place, which of these each own one is near without being of its component), by places in a table of _facing, some own ones at a time."""
+    root, own = np.array(t.column("root")), np.array(t.column("own"))
+    fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, _WORDS)
+    mine, whole = np.flatnonzero(own), np.flatnonzero(~own)
+    for at in range(0, len(mine), 64):
+        some = mine[at : at + 64]
+        bits = sum(np.bitwise_count(fp[some, None, k] ^ fp[None, whole, k]).astype(np.uint16) for k in range(_WORDS))
+        yield some, whole, (bits <= r) & (root[some, None] != root[None, whole])
+
+
+def left_out(crowds: DataFrame, roots: DataFrame, r: int, block: int = 2048) -> DataFrame | None:
+    """(a, b): all pairs of nodes of one place of crowds (place, a, fp) that differ in at most r bits and whose components, of (node, root), differ; None where each place is in one component. They may be as many as a group's square; links_left_out confirms them without handing them on."""
+
+    def pair(t: pa.Table) -> pa.Table:
+        node = np.array(t.column("a"))
+        found = [np.zeros((2, 0), np.int64)]
+        for some, whole, near in _apart(t, r):
+            i, j = np.nonzero(near)
+            found.append(np.stack([node[some[i]], node[whole[j]]]))
+        a, b = np.concatenate(found, axis=1)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    facing = _facing(crowds, roots, block)
+    return None if facing is None else facing.groupBy("place", "part", "block").applyInArrow(pair, "a bigint, b bigint").distinct()
+
+
+def nodes_left_out(crowds: DataFrame, roots: DataFrame, r: int, block: int = 1 << 14) -> DataFrame | None:
+    """The rows of _facing that are of a pair of left_out."""
+
+    def take(t: pa.Table) -> pa.Table:
+        takes = np.zeros(t.num_rows, bool)
+        for some, whole, near in _apart(t, r):
+            takes[some] = near.any(axis=1)
+            takes[whole] |= near.any(axis=0)
+        return t.filter(pa.array(takes))
+
+    facing = _facing(crowds, roots, block)
+    return None if facing is None else facing.groupBy("place", "part", "block").applyInArrow(take, facing.schema)
+
+
+def links_left_out(facing: DataFrame, sets: DataFrame, r: int, least: float = LEAST, set_bytes: int = SET_BYTES) -> DataFrame:
+    """(a, b): links that connect what all similar pairs of left_out would, from its nodes (facing) and the sets (node, found) of these. A link is of two nodes that those before it in a task haven't connected, so there are less than nodes."""
+
+    def similar(t: pa.Table) -> pa.Table:
+        node, label = np.array(t.column("a")), np.array(t.column("root")).copy()
+        size = np.array(pc.binary_length(t.column("found")), np.int64) // 8
+        begin = np.r_[0, size.cumsum()]
+        codes = np.unique(np.frombuffer(b"".join(t.column("found").to_pylist()), np.uint64), return_inverse=True)[1].astype(np.int32)
+        mark = np.zeros(len(codes), bool)
+        out = []
+        for some, whole, near in _apart(t, r):
+            n, m = size[some, None], size[None, whole]
+            near &= np.minimum(n, m) >= least * np.maximum(n, m)
+            for k, x in enumerate(some):
+                with_ = whole[near[k] & (label[whole] != label[x])]
+                if not len(with_):
+                    continue
+                held = codes[begin[x] : begin[x + 1]]
+                mark[held] = True
+                both = np.add.reduceat(mark[np.concatenate([codes[begin[y] : begin[y + 1]] for y in with_])], np.r_[0, size[with_].cumsum()[:-1]], dtype=np.int64)
+                mark[held] = False
+                with_ = with_[both >= least * (size[x] + size[with_] - both)]
+                joined, first = np.unique(label[with_], return_index=True)
+                out += [(node[x], node[y]) for y in with_[first]]
+                if len(joined):
+                    label[np.isin(label, joined)] = label[x]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    key = ["place", "part", "block"]
+    facing = stored(facing.join(sets.select(F.col("node").alias("a"), F.octet_length("found").cast("long").alias("bytes")), "a"), "facing")
+    cuts = lambda own: F.greatest(F.ceil(F.coalesce(F.sum(F.when(F.col("own") == own, F.col("bytes"))), F.lit(0)) / set_bytes), F.lit(1))
+    cut = facing.join(facing.groupBy(key).agg(cuts(True).alias("parts"), cuts(False).alias("blocks")), key)
+    others = cut.filter("own").withColumn("x", _dealt("parts")).withColumn("y", _each("blocks"))
+    whole = cut.filter("not own").withColumn("y", _dealt("blocks")).withColumn("x", _each("parts"))
+    columns = [*key, "x", "y", "a", "fp", "root", "own"]
+    held = others.select(columns).unionAll(whole.select(columns)).join(sets.select(F.col("node").alias("a"), "found"), "a")
+    return held.groupBy(*key, "x", "y").applyInArrow(similar, "a bigint, b bigint").distinct()
 
 
 def _parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -444,12 +526,12 @@ def similar_roots(documents: DataFrame, shingle: int = SHINGLE, least: float = L
     sets = stored(_sets(documents, rows, pairs, shingle), "sets")
     links = stored(confirmed(pairs, sets, least), "links")
     roots = components(links)
-    if (more := left_out(crowds, stored(roots, "first"), radius(least))) is not None:
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "left_out")
-        new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node", "left_anti")
+    if (facing := nodes_left_out(crowds, stored(roots, "first"), radius(least))) is not None:
+        facing = stored(facing, "left_out")
+        new = facing.select("a", F.col("a").alias("b")).distinct().join(sets.select(F.col("node").alias("a")), "a", "left_anti")
         if new.limit(1).count():
-            sets = sets.unionAll(_sets(documents, rows, new.select(F.col("node").alias("a"), F.col("node").alias("b")), shingle))
-        roots = components(links.unionAll(confirmed(more, sets, least)))
+            sets = sets.unionAll(stored(_sets(documents, rows, new, shingle), "sets"))
+        roots = components(links.unionAll(links_left_out(facing, sets, radius(least), least)))
     known = rows.groupBy("node").agg(F.count("*").alias("n")).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "n")
     known = stored(known, "roots")
     return spread_join(rows.select("no_id", "_row_key", "_row_hash", "node"), known.select("node", "root"), "node", known.select("node", "n")).select("no_id", "_row_key", "_row_hash", "root")

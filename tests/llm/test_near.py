@@ -209,3 +209,42 @@ def test_links_across_crowds_against_brute_force(spark):
     assert 0 < links < 2000  # of 19,900 pairs
     got = {r["doc_id"] for r in near.one_of_each_similar(frame(spark, rows)).collect()}
     assert got == brute_kept(rows)
+
+
+def test_edges_of_a_group_grow_with_its_nodes():
+    """Nodes near some of each 64 others only, but of many: a forest connects them, not all pairs."""
+    draw = np.random.default_rng(4)
+    for n in (512, 2048):
+        seeds = draw.integers(0, 1 << 63, (10, 4), np.uint64)
+        group = seeds[np.arange(n) % 10]
+        i, j, crowd = near.forest_and_crowd([group], near._radii(0.8))
+        assert len(i) <= near.FEW * n and len(crowd) == n
+        label = near._parts(n, i, j)
+        assert all(len(set(label[k::10])) == 1 for k in range(10)) and len(set(label)) == 10
+
+
+@pytest.mark.parametrize("set_bytes", [near.SET_BYTES, 20_000])
+def test_what_a_crowd_leaves_out_is_confirmed_without_its_pairs(spark, set_bytes):
+    draw = np.random.default_rng(6)
+    n, base = 240, draw.integers(0, 1 << 63, 200, np.uint64)
+    sets = []
+    for k in range(n):
+        s = base.copy()
+        changed = draw.choice(200, 10 + k % 17, replace=False)
+        s[changed] = draw.integers(0, 1 << 63, len(changed), np.uint64)
+        sets.append(np.unique(s))
+    sets[5] = sets[5][:90]  # of another size
+    ids = np.arange(n) * 7 - 200
+    similar = {(a, b) for a in range(n) for b in range(a) if (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
+    assert 3 * n < len(similar) < n * (n - 1) / 4
+    expected = near._parts(n, *np.array(sorted(similar)).T)
+    assert len(set(expected)) > 3
+    fp = bytearray(32)
+    crowds = spark.createDataFrame([(place, int(i), fp) for place in (0, 1) for i in ids[place * 100 :]], "place long, a long, fp binary")
+    none = spark.createDataFrame([], "node long, root long")
+    found = spark.createDataFrame([(int(i), bytearray(s.tobytes())) for i, s in zip(ids, sets)], "node long, found binary")
+    facing = near.nodes_left_out(crowds, none, 30, block=1000 if set_bytes == near.SET_BYTES else 64)
+    links = [((r["a"] + 200) // 7, (r["b"] + 200) // 7) for r in near.links_left_out(facing, found, 30, set_bytes=set_bytes).collect()]
+    assert set(links) <= similar and (near._parts(n, *np.array(links).T) == expected).all()
+    if set_bytes == near.SET_BYTES:
+        assert facing.count() < 4 * n and len(links) < 2 * n
