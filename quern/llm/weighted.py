@@ -6,9 +6,9 @@ sample is the (term, t) of least value. Two texts agree in a sample with a proba
 similarity (sum of lesser weights over sum of greater ones), so the share of samples that agree estimates it.
 
 How it runs: each text goes by one exchange to where its samples are taken; the beginning of the document after it comes by
-another. Terms of a text and of its edited form are counted together, in the same exchange, so a term's r, c and b
-serve both, and least values are min_by aggregates. Samples are taken SIDE at a time, which keeps the generated code of
-a stage small enough to be compiled. Neighbours come from ranges of doc_id: the last row of a range belongs before the first
+another. Terms of a text and of its edited form are counted together, in the same exchange, and a term of one weight in
+both, as most are, has its values computed once for both; least values are plain minima. Samples are taken SIDE at a time,
+which keeps the generated code of a stage small enough to be compiled. Neighbours come from ranges of doc_id: the last row of a range belongs before the first
 of the next one, a table of one row per range. Rows are told apart by their place in the table, so that no doc_id or
 group of copies is gathered; a copy's samples are taken again.
 
@@ -71,12 +71,24 @@ def _uniform(bits: Column, n: int) -> Column:
     return (bits.cast("double") + 0.5) * (2.0**-n)
 
 
+def weighted_once(terms: DataFrame) -> DataFrame:
+    """row, term, log, in0 and in1 of (row, term, log0, log1): a row for each weight of a term, and whether it is the term's in text and in edited."""
+    case = lambda log, in0, in1: F.struct(F.col(log).alias("log"), F.lit(in0).alias("in0"), F.lit(in1).alias("in1"))
+    cases = (
+        F.when(F.col("log0").eqNullSafe(F.col("log1")), F.array(case("log0", True, True)))
+        .when(F.col("log1").isNull(), F.array(case("log0", True, False)))
+        .when(F.col("log0").isNull(), F.array(case("log1", False, True)))
+        .otherwise(F.array(case("log0", True, False), case("log1", False, True)))
+    )
+    return terms.select("row", "term", F.explode(cases).alias("c")).select("row", "term", "c.*")
+
+
 def samples(terms: DataFrame, n: int = SAMPLES) -> DataFrame:
     """row, samples0 and samples1: n numbers of 32 bits for each of the two texts (null where one has no terms). Value and sample are one number, the value above, so that a least sample is a plain minimum."""
     sides = F.explode(F.array(*(F.lit(s) for s in range(n // SIDE))))
-    rows = terms.select("row", "term", "log0", "log1", sides.alias("side"))
+    rows = weighted_once(terms).select("row", "term", "log", "in0", "in1", sides.alias("side"))
     low = F.lit((1 << 32) - 1)
-    hashes, draws, least = {}, {}, []
+    hashes, draws, values, least = {}, {}, {}, []
     for d in range(SIDE):
         hashes[f"h{d}"], hashes[f"g{d}"] = F.xxhash64("term", "side", F.lit(2 * d)), F.xxhash64("term", "side", F.lit(2 * d + 1))
     for d in range(SIDE):
@@ -86,13 +98,15 @@ def samples(terms: DataFrame, n: int = SAMPLES) -> DataFrame:
         draws[f"c{d}"] = F.ln(-F.ln(u[0] * u[1]))
         draws[f"b{d}"] = u[2]
     rows = rows.withColumns(hashes).withColumns(draws)
-    rows = rows.withColumns({f"t{d}_{form}": F.floor(F.col(f"log{form}") / F.col(f"r{d}") + F.col(f"b{d}")) for d in range(SIDE) for form in (0, 1)})
+    rows = rows.withColumns({f"t{d}": F.floor(F.col("log") / F.col(f"r{d}") + F.col(f"b{d}")) for d in range(SIDE)})
+    for d in range(SIDE):
+        t = F.col(f"t{d}")
+        value = F.floor((F.col(f"c{d}") - F.col(f"r{d}") * (t - F.col(f"b{d}") + 1) + _ABOVE) * (1 << _FRACTION))
+        sample = F.col("term").bitwiseXOR(F.shiftleft(t, 16)).bitwiseAND(low)
+        values[f"v{d}"] = F.shiftleft(value, 32).bitwiseOR(sample)
+    rows = rows.withColumns(values)
     for form in (0, 1):
-        for d in range(SIDE):
-            t = F.col(f"t{d}_{form}")
-            value = F.floor((F.col(f"c{d}") - F.col(f"r{d}") * (t - F.col(f"b{d}") + 1) + _ABOVE) * (1 << _FRACTION))
-            sample = F.col("term").bitwiseXOR(F.shiftleft(t, 16)).bitwiseAND(low)
-            least.append(F.min(F.shiftleft(value, 32).bitwiseOR(sample)).bitwiseAND(low).alias(f"s{form}_{d}"))
+        least += [F.min(F.when(F.col(f"in{form}"), F.col(f"v{d}"))).bitwiseAND(low).alias(f"s{form}_{d}") for d in range(SIDE)]
     found = rows.groupBy("row", "side").agg(*least)
     some = lambda form: F.when(F.col(f"s{form}_0").isNotNull(), F.array(*(F.col(f"s{form}_{d}") for d in range(SIDE))))
     sides = F.array_sort(F.collect_list(F.struct("side", some(0).alias("s0"), some(1).alias("s1"))))  # n / SIDE of them

@@ -8,7 +8,7 @@ from statistics import mean
 import pytest
 import xxhash
 
-from quern.llm.weighted import SIDE, weighted_fingerprints
+from quern.llm.weighted import SIDE, weighted_fingerprints, weighted_once
 
 N = 16
 
@@ -97,3 +97,9 @@ def test_repeated_ids_and_few_rows(spark, docs, none):
 def test_no_python_and_one_exchange_of_texts(spark, rows):
     plan = weighted_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), N)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InArrow" not in plan
+
+
+def test_a_weight_that_both_texts_share_is_sampled_once(spark):
+    terms = spark.createDataFrame([(1, 10, 0.0, 0.0), (1, 11, 0.0, None), (1, 12, None, 0.5), (2, 10, 0.5, 1.0)], "row long, term long, log0 double, log1 double")
+    got = sorted((tuple(r) for r in weighted_once(terms).collect()))
+    assert got == [(1, 10, 0.0, True, True), (1, 11, 0.0, True, False), (1, 12, 0.5, False, True), (2, 10, 0.5, True, False), (2, 10, 1.0, False, True)]
